@@ -6,8 +6,7 @@ l-subsets of that prefix as join keys; large sets scan the inverted lists of the
 prefix. The boundary is the size up to which subsets cost less than the expected lists. Sets just below the boundary
 also stand in the inverted lists, where large sets find them.
 
-Equal sets are one class. Classes of one key first link to the key's smallest class; after that only pairs of
-classes that are not yet connected are compared, so that a large group of copies needs no pairs of its members.
+Equal sets are one class; linking.py joins the classes of a key without all pairs of a group.
 """
 
 from __future__ import annotations
@@ -16,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuboid.llm.components import components
+from cuboid.llm.linking import ALL, HEAVY, LISTED, link, marked, marks, shared_keys
 from cuboid.llm.tables import saved
 from cuboid.llm.textops import Words, distinct_sets, mix, shingles, signed, slices
 
@@ -116,12 +115,12 @@ def _keys(docs: DataFrame, sketch, limit: int, p: Join, text: str) -> DataFrame:
                     lo, hi = np.minimum(v[a], v[b]), np.maximum(v[a], v[b])
                     out_key.append(mix(lo * np.uint64(0x9E3779B97F4A7C15) + mix(hi)))
                     out_row.append(np.full(len(a), row))
-                    out_kind.append(np.full(len(a), 0))
+                    out_kind.append(np.full(len(a), ALL))
                 if n > limit or 100 * n >= p.percent * (limit + 1):
                     v = v[: p.prefix(n, 1)]
                     out_key.append(v)
                     out_row.append(np.full(len(v), row))
-                    out_kind.append(np.full(len(v), 2 if n > limit else 1))
+                    out_kind.append(np.full(len(v), HEAVY if n > limit else LISTED))
             if out_key:
                 row = np.concatenate(out_row)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(out_key))), pa.array(cls[row]), pa.array(sizes[row].astype(np.int32)), pa.array(np.concatenate(out_kind).astype(np.int8))], names=["key", "cls", "n", "kind"])
@@ -132,21 +131,13 @@ def _keys(docs: DataFrame, sketch, limit: int, p: Join, text: str) -> DataFrame:
 def _marked_sets(docs: DataFrame, classes: DataFrame, p: Join, text: str) -> DataFrame:
     """(cls, members): the shingles of every class in classes (cls). A bitmap of fixed size drops most others
     inside the scan; the join drops the rest."""
-    spark = docs.sparkSession
-    bit = F.pmod("cls", F.lit(1 << p.mark_bits)) + 1
-    rows = classes.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits")).collect()  # of bounded size
-    marks = np.zeros((1 << p.mark_bits) // 8 + 4096, dtype=np.uint8)
-    for r in rows:
-        at = (r["k"] - 1) * 4096
-        marks[at : at + 4096] |= np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    marks = spark.sparkContext.broadcast(marks)
+    bitmap = docs.sparkSession.sparkContext.broadcast(marks(classes, p.mark_bits))
 
     def run(batches):
         seen: set[int] = set()
         for batch in slices(batches, text):
             values, first, cls = _sets(batch.column(text), p)
-            b = cls & ((1 << p.mark_bits) - 1)
-            hit = np.flatnonzero((marks.value[b >> 3] >> (b & 7).astype(np.uint8)) & 1)
+            hit = np.flatnonzero(marked(bitmap.value, cls, p.mark_bits))
             rows = []
             for row in hit.tolist():
                 if int(cls[row]) not in seen:
@@ -158,24 +149,6 @@ def _marked_sets(docs: DataFrame, classes: DataFrame, p: Join, text: str) -> Dat
     return found.join(classes, "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
-    """The pairs (u, v) whose sets are similar."""
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum())
-                keep.append(100 * both >= p.percent * (len(x) + len(y) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    a = sets.select(F.col("cls").alias("u"), F.col("members").alias("a"))
-    b = sets.select(F.col("cls").alias("v"), F.col("members").alias("b"))
-    return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-
-
 def jaccard_components(docs: DataFrame, p: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_key, component_id) for every row of docs; two rows are connected if a chain of
     pairs with 100 * intersection >= percent * union leads from one to the other.
@@ -192,30 +165,9 @@ def jaccard_components(docs: DataFrame, p: Join = Join(), doc_id: str = "doc_id"
     sketch[counts["cell"].to_numpy()] = counts["df"].to_numpy()
     limit = boundary(sketch, p)
     keys = _keys(docs, spark.sparkContext.broadcast(sketch), limit, p, text)
-    w = Window.partitionBy("key")
-    # a list without large sets has no pairs of its own: there all are small and meet by subsets
-    shared = keys.withColumns({"lo": F.min(F.struct("cls", "n")).over(w), "hi": F.max("cls").over(w), "top": F.max("kind").over(w)})
-    shared = saved(shared.filter("lo.cls < hi and top <> 1").drop("hi", "top"))
-
-    fits = lambda a, b: 100 * F.least(a, b) >= p.percent * F.greatest(a, b)
-    stars = shared.filter((F.col("cls") != F.col("lo.cls")) & fits(F.col("n"), F.col("lo.n")))
-    stars = stars.groupBy("cls", F.col("lo.cls").alias("v")).agg(F.count("*").alias("k"))
-    stars = saved(stars.groupBy("cls").agg(F.max_by("v", F.struct("k", "v")).alias("v")).select(F.col("cls").alias("u"), "v"))
+    shared = saved(shared_keys(keys))
     sets = saved(_marked_sets(docs, shared.select("cls").distinct(), p, text))
-    links = saved(_verified(stars, sets, p))
-
-    rest = components(links)
-    tagged = shared.join(rest.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")).drop("lo")
-    tagged = tagged.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)})
-    tagged = saved(tagged.filter("lo < hi").drop("lo", "hi"))
-    a = tagged.select("key", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "kind", "root")])
-    b = tagged.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "kind", "root")])
-    open_pairs = a.join(b, "key").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")))
-    open_pairs = open_pairs.filter(fits(F.col("n_a"), F.col("n_b")) & ((F.col("kind_a") != 1) | (F.col("kind_b") != 1)))
-    open_pairs = open_pairs.select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v")).distinct()
-    links = links.unionByName(_verified(open_pairs, sets, p))
-
-    roots = components(links).withColumnRenamed("node", "cls")
+    roots = link(shared, sets, p.percent).withColumnRenamed("node", "cls")
     ids = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("least")).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = saved(ids)
     smallest = saved(ids.groupBy("root").agg(F.min("least").alias("component_id")))
