@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -61,17 +63,28 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.filter(f"lo.cls < hi and not (low = {LISTED} and top = {LISTED})").drop("hi", "low", "top")
 
 
-def link(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of the classes that similar pairs connect; shared comes from shared_keys.
+def _fits(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
 
-    Every class is first compared with the smallest class of the key it shares most often with one. Then all pairs
-    of one key whose classes are still in different components are compared, so no similar pair is lost."""
+def candidates(shared: DataFrame, least: Callable[[Column], Column], percent: int) -> DataFrame:
+    """The rows of shared whose class has as many keys as a similar pair must share, with its smallest partner."""
+    n = F.floor(F.col("n") * percent / 100)
+    able = shared.groupBy("cls", "n").agg(F.count("*").alias("k"), F.min("kind").alias("kind"))
+    able = able.filter((F.col("kind") == ALL) | (F.col("k") >= least(n))).select("cls")
+    return shared.join(able, "cls", "left_semi")
 
-    def fits(a: Column, b: Column) -> Column:
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    stars = shared.filter((F.col("cls") != F.col("lo.cls")) & fits(F.col("n"), F.col("lo.n")))
-    stars = stars.groupBy("cls", F.col("lo.cls").alias("v")).agg(F.count("*").alias("k"))
+def link(shared: DataFrame, sets: DataFrame, percent: int, least: Callable[[Column], Column] = lambda n: F.lit(1)) -> DataFrame:
+    """(node, root) of the classes that similar pairs connect; shared comes from shared_keys.
+
+    least(n): how many keys a set of n has in common with every similar set that has as many or more (pairs of kind
+    ALL: one key). Every class is first compared with the smallest class of the keys that it shares most often
+    with one. Then all pairs of one key whose classes are still in different components are counted, and those that
+    share enough keys compared, so no similar pair is lost."""
+    stars = shared.filter((F.col("cls") != F.col("lo.cls")) & _fits(F.col("n"), F.col("lo.n"), percent))
+    stars = stars.groupBy("cls", "n", F.col("lo.cls").alias("v")).agg(F.count("*").alias("k"), F.min("kind").alias("kind"))
+    stars = stars.filter((F.col("kind") == ALL) | (4 * F.col("k") >= least(F.col("n"))))  # a guess: see below for the rest
     stars = saved(stars.groupBy("cls").agg(F.max_by("v", F.struct("k", "v")).alias("v")).select(F.col("cls").alias("u"), "v"))
     links = saved(verified(stars, sets, percent))
     roots = components(links).withColumnRenamed("node", "cls")
@@ -82,7 +95,8 @@ def link(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "kind", "root")])
     b = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "kind", "root")])
     pairs = a.join(b, "key").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")))
-    pairs = pairs.filter(fits(F.col("n_a"), F.col("n_b")) & ((F.col("kind_a") != LISTED) | (F.col("kind_b") != LISTED)))
-    pairs = pairs.select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v")).distinct()
+    pairs = pairs.filter(_fits(F.col("n_a"), F.col("n_b"), percent) & ((F.col("kind_a") != LISTED) | (F.col("kind_b") != LISTED)))
+    pairs = pairs.groupBy(F.col("cls_a").alias("u"), F.col("cls_b").alias("v"), F.least("n_a", "n_b").alias("n")).agg(F.count("*").alias("k"), F.min(F.least("kind_a", "kind_b")).alias("kind"))
+    pairs = saved(pairs.filter((F.col("kind") == ALL) | (F.col("k") >= least(F.col("n")))).select("u", "v"))
     more = saved(verified(pairs, sets, percent))
-    return components(links.unionByName(more)) if more.take(1) else components(links)
+    return components(links.unionByName(more)) if more.take(1) else roots.withColumnRenamed("cls", "node")

@@ -63,3 +63,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = substring_dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines", "kept_in", "text")
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of sources takes."""
+    from cuboid.llm.mixing import mix_sources, word_count
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
+    out = mix_sources(docs, "size")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")

@@ -2,9 +2,9 @@
 
 A set with n shingles overlaps any partner in at least ceil(t n) of them, so under one global order of the shingles
 (rare ones first) the first n - ceil(t n) + l shingles of both partners have l in common. Small sets enumerate all
-l-subsets of that prefix as join keys; large sets scan the inverted lists of the single shingles of their l = 1
-prefix. The boundary is the size up to which subsets cost less than the expected lists. Sets just below the boundary
-also stand in the inverted lists, where large sets find them.
+subsets of SUBSET shingles of that prefix (l = SUBSET) as join keys; large sets scan the inverted lists of the single
+shingles of theirs (l = 1 + n // 20) and count how many a pair shares. The boundary is the size up to which subsets
+cost less than the expected lists. Sets just below the boundary also stand in the lists, where large sets find them.
 
 Equal sets are one class; linking.py joins the classes of a key without all pairs of a group.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuboid.llm.linking import ALL, HEAVY, LISTED, link, marked, marks, shared_keys
+from cuboid.llm.linking import ALL, HEAVY, LISTED, candidates, link, marked, marks, shared_keys
 from cuboid.llm.tables import saved
 from cuboid.llm.textops import Words, distinct_sets, mix, shingles, signed, slices
 
@@ -40,6 +40,11 @@ class Join:
     def prefix(self, n: int, subset: int) -> int:
         return n + (-self.percent * n) // 100 + subset  # n - ceil(t n) + subset
 
+    @staticmethod
+    def least(n):
+        """Shingles that the listed prefixes of a pair have in common, n being the smaller one's size."""
+        return 1 + n // 20 if isinstance(n, int) else 1 + F.floor(n / 20)
+
 
 def _sets(column: pa.Array, p: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct shingles of all texts, where each text's begin, and a key of each set (0: empty)."""
@@ -83,7 +88,7 @@ def boundary(sketch: np.ndarray, p: Join, largest: int = 4096) -> int:
     best = 0
     for n in range(2, largest):
         k = p.prefix(n, SUBSET)
-        if k * (k - 1) / 2 > (k - SUBSET + 1) * (1 + entries):
+        if k * (k - 1) / 2 > p.prefix(n, p.least(n)) * (1 + entries):
             if n - best > 20:
                 break
             continue
@@ -108,16 +113,16 @@ def _keys(docs: DataFrame, sketch, limit: int, p: Join, text: str) -> DataFrame:
                     continue
                 seen.add(c)
                 v = values[first[row] : first[row] + n]
-                order = np.lexsort((v, freq[v >> np.uint64(64 - p.sketch_bits)]))[: p.prefix(n, SUBSET)]
-                v = v[order]
+                v = v[np.lexsort((v, freq[v >> np.uint64(64 - p.sketch_bits)]))]
                 if n <= limit:
-                    a, b = np.triu_indices(len(v), 1)
-                    lo, hi = np.minimum(v[a], v[b]), np.maximum(v[a], v[b])
+                    some = v[: p.prefix(n, SUBSET)]
+                    a, b = np.triu_indices(len(some), 1)
+                    lo, hi = np.minimum(some[a], some[b]), np.maximum(some[a], some[b])
                     out_key.append(mix(lo * np.uint64(0x9E3779B97F4A7C15) + mix(hi)))
                     out_row.append(np.full(len(a), row))
                     out_kind.append(np.full(len(a), ALL))
                 if n > limit or 100 * n >= p.percent * (limit + 1):
-                    v = v[: p.prefix(n, 1)]
+                    v = v[: p.prefix(n, p.least(n))]
                     out_key.append(v)
                     out_row.append(np.full(len(v), row))
                     out_kind.append(np.full(len(v), HEAVY if n > limit else LISTED))
@@ -165,9 +170,9 @@ def jaccard_components(docs: DataFrame, p: Join = Join(), doc_id: str = "doc_id"
     sketch[counts["cell"].to_numpy()] = counts["df"].to_numpy()
     limit = boundary(sketch, p)
     keys = _keys(docs, spark.sparkContext.broadcast(sketch), limit, p, text)
-    shared = saved(shared_keys(keys))
+    shared = saved(candidates(saved(shared_keys(keys)), p.least, p.percent))
     sets = saved(_marked_sets(docs, shared.select("cls").distinct(), p, text))
-    roots = link(shared, sets, p.percent).withColumnRenamed("node", "cls")
+    roots = link(shared, sets, p.percent, p.least).withColumnRenamed("node", "cls")
     ids = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("least")).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = saved(ids)
     smallest = saved(ids.groupBy("root").agg(F.min("least").alias("component_id")))
