@@ -59,6 +59,17 @@ def _round(frame: pd.DataFrame, seed: int, last: bool) -> pd.DataFrame:
     frame = frame.sort_values(["_size", "_key", "_share"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
     share, size = frame["_share"].to_numpy(copy=True), frame["_size"].to_numpy()
     coin = mix(frame["_key"].to_numpy().view(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) / 2.0**64
+    start, total = 0, size.sum()
+    while start < len(share) - 1 and 200 * size[start] >= total:  # so large that many partners must take its mass at once
+        p, a, rest = share[start], size[start], slice(start + 1, None)
+        partner = np.where((share[rest] > 0) & (share[rest] < 1), size[rest], 0)
+        lose, gain = (share[rest] * partner).sum(), ((1 - share[rest]) * partner).sum()
+        if 0 < p < 1 and lose > (1 - p) * a and gain > p * a:
+            takes = coin[start] < p
+            share[rest] *= np.where(partner > 0, 1 - (1 - p) * a / lose, 1) if takes else 1
+            share[rest] += 0 if takes else np.where(partner > 0, (1 - share[rest]) * p * a / gain, 0)
+            share[start] = float(takes)
+        start += 1
     i = -1  # the open document
     for j in range(len(share)):
         if not 0 < share[j] < 1:
