@@ -73,3 +73,29 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
     out = mix_sources(docs, "size")
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+#: The rules of op6.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    from cuboid.llm.urls import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, keep=["page_id"])
+
+
+ORACLE_SQL["op6_url_filter"] = r"""
+WITH r(rule, verdict) AS (VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')),
+a AS (SELECT page_id, CASE WHEN url IS NULL OR position('://' IN url) = 0 THEN '' ELSE substring(url, position('://' IN url) + 3) END AS rest FROM pages),
+b AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM a),
+c AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substring(rest, length(h) + 1), '^[^?#]*') AS path FROM b),
+d AS (SELECT c.page_id, r.rule, r.verdict, row_number() OVER (PARTITION BY c.page_id ORDER BY length(r.rule) DESC) AS k
+  FROM c JOIN r ON (c.host = split_part(r.rule, '/', 1) OR ends_with(c.host, '.' || split_part(r.rule, '/', 1)))
+    AND starts_with(c.path, substring(r.rule, position('/' IN r.rule))))
+SELECT c.page_id, c.host, c.path, d.rule, coalesce(d.verdict, 'allow') AS verdict
+FROM c LEFT JOIN d ON d.page_id = c.page_id AND d.k = 1
+"""
