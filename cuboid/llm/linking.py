@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,7 @@ from cuboid.llm.tables import saved
 
 #: Kinds of key rows: the set pairs with all others of its key, only with heavy ones, or is heavy itself.
 ALL, LISTED, HEAVY = 0, 1, 2
+WORDS = 16  # of a bitmap
 
 
 def marks(classes: DataFrame, bits: int) -> np.ndarray:
@@ -75,28 +78,74 @@ def candidates(shared: DataFrame, least: Callable[[Column], Column], percent: in
     return shared.join(able, "cls", "left_semi")
 
 
+def rare_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, cls, n, at) such that any two similar sets of sets (cls, members) have a key in common: with all
+    members ordered by how many sets hold them, the first n - ceil(t n) + 1, at being a member's rank. Members of a
+    single set come first in that order and join nothing, so only their number matters."""
+
+    def run(batches):
+        for batch in batches:
+            members = [np.frombuffer(m.as_buffer(), np.int64) for m in batch.column("members")]
+            sizes = [len(m) for m in members]
+            if members:
+                cls = np.repeat(batch.column("cls").to_numpy(), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(members)), pa.array(cls), pa.array(np.repeat(sizes, sizes).astype(np.int32))], names=["key", "cls", "n"])
+
+    rows = sets.select("cls", "members").mapInArrow(run, "key long, cls long, n int")
+    often = rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    rows = rows.join(often, "key")
+    mine = Window.partitionBy("cls")
+    rows = rows.withColumns({"at": F.row_number().over(mine.orderBy("df", "key")), "held": F.count("*").over(mine)})
+    rows = rows.withColumn("at", F.col("at") + F.col("n") - F.col("held"))
+    return rows.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("key", "cls", "n", "at")
+
+
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(cls, b0, b1, ...): WORDS longs, a bit of which is set if a member falls on it. Where two sets' bits differ,
+    the sets do."""
+
+    def run(batches):
+        for batch in batches:
+            members = [np.frombuffer(m.as_buffer(), np.uint64) for m in batch.column("members")]
+            bits = np.zeros((len(members), WORDS), dtype=np.uint64)
+            for k, m in enumerate(members):
+                np.bitwise_or.at(bits[k], (m >> np.uint64(58)).astype(np.int64) % WORDS, np.uint64(1) << ((m >> np.uint64(50)) & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), *[pa.array(bits[:, i].copy().view(np.int64)) for i in range(WORDS)]], names=["cls", *[f"b{i}" for i in range(WORDS)]])
+
+    return sets.select("cls", "members").mapInArrow(run, "cls long, " + ", ".join(f"b{i} long" for i in range(WORDS)))
+
+
 def link(shared: DataFrame, sets: DataFrame, percent: int, least: Callable[[Column], Column] = lambda n: F.lit(1)) -> DataFrame:
     """(node, root) of the classes that similar pairs connect; shared comes from shared_keys.
 
-    least(n): how many keys a set of n has in common with every similar set that has as many or more (pairs of kind
-    ALL: one key). Every class is first compared with the smallest class of the keys that it shares most often
-    with one. Then all pairs of one key whose classes are still in different components are counted, and those that
-    share enough keys compared, so no similar pair is lost."""
+    Every class is first compared with the smallest class of the keys that it shares most often with one (and at
+    least(n) / 4 times, unless it is of kind ALL): a guess that connects much of a large group. Then classes whose
+    key has several components meet again by their rarest members (rare_keys). Pairs that the rank of a common member
+    or the bitmaps rule out are dropped in that join, all others are compared, so no similar pair is lost."""
     stars = shared.filter((F.col("cls") != F.col("lo.cls")) & _fits(F.col("n"), F.col("lo.n"), percent))
     stars = stars.groupBy("cls", "n", F.col("lo.cls").alias("v")).agg(F.count("*").alias("k"), F.min("kind").alias("kind"))
-    stars = stars.filter((F.col("kind") == ALL) | (4 * F.col("k") >= least(F.col("n"))))  # a guess: see below for the rest
+    stars = stars.filter((F.col("kind") == ALL) | (4 * F.col("k") >= least(F.col("n"))))
     stars = saved(stars.groupBy("cls").agg(F.max_by("v", F.struct("k", "v")).alias("v")).select(F.col("cls").alias("u"), "v"))
     links = saved(verified(stars, sets, percent))
     roots = components(links).withColumnRenamed("node", "cls")
-    rest = shared.drop("lo").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     w = Window.partitionBy("key")
-    rest = rest.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)})
-    rest = saved(rest.filter("lo < hi").drop("lo", "hi"))
-    a = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "kind", "root")])
-    b = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "kind", "root")])
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)})
+        return rows.filter("lo < hi").drop("lo", "hi")
+
+    rest = mixed(shared.drop("lo").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    rest = saved(rest.select("cls", "root").distinct())
+    mine = saved(sets.join(rest, "cls", "left_semi"))
+    keys = saved(mixed(rare_keys(mine, percent).join(rest, "cls")))
+    both = keys.join(bitmaps(mine), "cls")
+    a, b = (both.select("key", *[F.col(c).alias(f"{c}_{x}") for c in both.columns if c != "key"]) for x in "ab")
+    total = F.col("n_a") + F.col("n_b")
+    # the first common member bounds the intersection by what comes after it in either set
+    most = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    apart = reduce(add, (F.bit_count(F.col(f"b{i}_a").bitwiseXOR(F.col(f"b{i}_b"))) for i in range(WORDS)))
     pairs = a.join(b, "key").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")))
-    pairs = pairs.filter(_fits(F.col("n_a"), F.col("n_b"), percent) & ((F.col("kind_a") != LISTED) | (F.col("kind_b") != LISTED)))
-    pairs = pairs.groupBy(F.col("cls_a").alias("u"), F.col("cls_b").alias("v"), F.least("n_a", "n_b").alias("n")).agg(F.count("*").alias("k"), F.min(F.least("kind_a", "kind_b")).alias("kind"))
-    pairs = saved(pairs.filter((F.col("kind") == ALL) | (F.col("k") >= least(F.col("n")))).select("u", "v"))
+    pairs = pairs.filter((most * (100 + percent) >= percent * total) & (apart * (100 + percent) <= (100 - percent) * total))
+    pairs = saved(pairs.select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v")).distinct())
     more = saved(verified(pairs, sets, percent))
     return components(links.unionByName(more)) if more.take(1) else roots.withColumnRenamed("cls", "node")
