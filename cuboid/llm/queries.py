@@ -99,3 +99,22 @@ d AS (SELECT c.page_id, r.rule, r.verdict, row_number() OVER (PARTITION BY c.pag
 SELECT c.page_id, c.host, c.path, d.rule, coalesce(d.verdict, 'allow') AS verdict
 FROM c LEFT JOIN d ON d.page_id = c.page_id AND d.k = 1
 """
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record after writing WARC archives and reading them back."""
+    from cuboid.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op8_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to
+FROM m
+"""
