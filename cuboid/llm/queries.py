@@ -118,3 +118,12 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to
 FROM m
 """
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    from cuboid.llm.toxicity import score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels"), keep=["doc_id"]).select("doc_id", "held_out", "score", "predicted")

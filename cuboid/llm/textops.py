@@ -79,7 +79,7 @@ class Words:
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         out = np.empty(len(self.start), dtype=np.uint64)
-        step = 1 << 20  # of words, so that the temporary arrays stay small
+        step = 1 << 17  # of words, so that the temporary arrays stay small
         for k in range(0, len(self.start), step):
             s, e = self.start[k : k + step], self.end[k : k + step]
             lo, hi = int(s[0]), int(e[-1])
@@ -150,7 +150,7 @@ def distinct_sets(values: np.ndarray, group: np.ndarray, rows: int) -> tuple[np.
     return v, np.concatenate(([0], np.cumsum(np.bincount(g, minlength=rows)))).astype(np.int64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about limit bytes of a text column (one row at least), to bound memory."""
     for batch in batches:
         if not batch.num_rows:
