@@ -127,3 +127,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_toxicity(docs, table(spark, sf_dir, "labels"), keep=["doc_id"]).select("doc_id", "held_out", "score", "predicted")
+
+
+#: The vocabulary file is a parameter; this is the place of the public one.
+PIECES_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document's text, and whether they decode to it."""
+    from cuboid.llm.pieces import encode_pieces
+
+    return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES_MODEL, keep=["doc_id"])
