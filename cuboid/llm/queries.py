@@ -139,3 +139,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuboid.llm.pieces import encode_pieces
 
     return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES_MODEL, keep=["doc_id"])
+
+
+@query
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from cuboid.llm.maintext import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
