@@ -148,12 +148,11 @@ def mix_documents(docs: DataFrame, m: Mix = Mix(), doc_id: str = "doc_id", sourc
     names = docs.columns
     sized = docs.withColumn("_words", word_count(text))
     light = mix_sources(sized.select(F.col(doc_id), F.col(source), F.col("_words")), "_words", m, doc_id, source)
-    # equal (doc_id, source, words) rows are told apart by how many copies they got together
-    taken = light.groupBy(F.col(doc_id).alias("_i"), F.col(source).alias("_s"), F.col("_words").alias("_n")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_rows")).filter("_c > 0")
-    w = Window.partitionBy(doc_id, source, "_words").orderBy(text)
+    # rows equal in doc_id, source and words share what they got together, in the order of their texts
+    taken = light.groupBy(F.col(doc_id).alias("_i"), F.col(source).alias("_s"), F.col("_words").alias("_n"))
+    taken = taken.agg(F.sum("copies").alias("_c"), F.count("*").alias("_rows")).filter("_c > 0")
     same = F.col(doc_id).eqNullSafe(F.col("_i")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_words") == F.col("_n"))
-    both = sized.join(taken, same).withColumn("_at", F.when(F.col("_rows") == 1, 1).otherwise(0))
-    single = both.filter("_rows = 1").withColumn("_k", F.col("_c"))
-    several = both.filter("_rows > 1").withColumn("_k", F.floor((F.row_number().over(w) * F.col("_c")) / F.col("_rows")) - F.floor(((F.row_number().over(w) - 1) * F.col("_c")) / F.col("_rows")))
-    out = single.unionByName(several).filter("_k > 0")
-    return out.withColumn("_x", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).select(*names)
+    both = sized.join(taken, same)
+    at = F.row_number().over(Window.partitionBy("_i", "_s", "_n").orderBy(text))
+    out = both.withColumn("_at", at).withColumn("_k", (F.floor(F.col("_at") * F.col("_c") / F.col("_rows")) - F.floor((F.col("_at") - 1) * F.col("_c") / F.col("_rows"))).cast("int"))
+    return out.filter("_k > 0").withColumn("_x", F.explode(F.sequence(F.lit(1), F.col("_k")))).select(*names)

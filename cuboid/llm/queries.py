@@ -147,3 +147,11 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuboid.llm.maintext import extract_text
 
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+
+
+@query
+def op4_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings made of the embeddings: classes of equal fingerprints, and what aligns with every 20th one."""
+    from cuboid.llm.audio import melodies, search_recordings
+
+    return search_recordings(melodies(table(spark, sf_dir, "embeddings")), id_column="vec_id")
