@@ -16,7 +16,7 @@ from cuboid.llm.tables import saved
 
 #: Kinds of key rows: the set pairs with all others of its key, only with heavy ones, or is heavy itself.
 ALL, LISTED, HEAVY = 0, 1, 2
-WORDS = 16  # of a bitmap
+WORDS = 32  # of a bitmap
 
 
 def marks(classes: DataFrame, bits: int) -> np.ndarray:
@@ -79,8 +79,8 @@ def candidates(shared: DataFrame, least: Callable[[Column], Column], percent: in
 
 
 def rare_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, cls, n, at) such that any two similar sets of sets (cls, members) have a key in common: with all
-    members ordered by how many sets hold them, the first n - ceil(t n) + 1, at being a member's rank. Members of a
+    """Rows (key, cls, n, at, earlier) such that any two similar sets of sets (cls, members) have a key in common: with all
+    members ordered by how many sets hold them, the first n - ceil(t n) + 1, at being a member's rank and earlier the keys before it. Members of a
     single set come first in that order and join nothing, so only their number matters."""
 
     def run(batches):
@@ -92,12 +92,13 @@ def rare_keys(sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(members)), pa.array(cls), pa.array(np.repeat(sizes, sizes).astype(np.int32))], names=["key", "cls", "n"])
 
     rows = sets.select("cls", "members").mapInArrow(run, "key long, cls long, n int")
-    often = rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
-    rows = rows.join(often, "key")
+    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("key"))).filter("df > 1")
     mine = Window.partitionBy("cls")
     rows = rows.withColumns({"at": F.row_number().over(mine.orderBy("df", "key")), "held": F.count("*").over(mine)})
-    rows = rows.withColumn("at", F.col("at") + F.col("n") - F.col("held"))
-    return rows.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("key", "cls", "n", "at")
+    rows = rows.withColumn("at", F.col("at") + F.col("n") - F.col("held")).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    # of all common keys a pair is to be found at the first one only
+    earlier = F.collect_list("key").over(mine.orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("key", "cls", "n", "at", earlier.alias("earlier"))
 
 
 def bitmaps(sets: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def bitmaps(sets: DataFrame) -> DataFrame:
             members = [np.frombuffer(m.as_buffer(), np.uint64) for m in batch.column("members")]
             bits = np.zeros((len(members), WORDS), dtype=np.uint64)
             for k, m in enumerate(members):
-                np.bitwise_or.at(bits[k], (m >> np.uint64(58)).astype(np.int64) % WORDS, np.uint64(1) << ((m >> np.uint64(50)) & np.uint64(63)))
+                np.bitwise_or.at(bits[k], (m >> np.uint64(56)).astype(np.int64) % WORDS, np.uint64(1) << ((m >> np.uint64(48)) & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([batch.column("cls"), *[pa.array(bits[:, i].copy().view(np.int64)) for i in range(WORDS)]], names=["cls", *[f"b{i}" for i in range(WORDS)]])
 
     return sets.select("cls", "members").mapInArrow(run, "cls long, " + ", ".join(f"b{i} long" for i in range(WORDS)))
@@ -146,6 +147,6 @@ def link(shared: DataFrame, sets: DataFrame, percent: int, least: Callable[[Colu
     apart = reduce(add, (F.bit_count(F.col(f"b{i}_a").bitwiseXOR(F.col(f"b{i}_b"))) for i in range(WORDS)))
     pairs = a.join(b, "key").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")))
     pairs = pairs.filter((most * (100 + percent) >= percent * total) & (apart * (100 + percent) <= (100 - percent) * total))
-    pairs = saved(pairs.select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v")).distinct())
+    pairs = saved(pairs.filter(~F.arrays_overlap("earlier_a", "earlier_b")).select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v")))
     more = saved(verified(pairs, sets, percent))
     return components(links.unionByName(more)) if more.take(1) else roots.withColumnRenamed("cls", "node")

@@ -3,7 +3,7 @@
 A set with n shingles overlaps any partner in at least ceil(t n) of them, so under one global order of the shingles
 (rare ones first) the first n - ceil(t n) + l shingles of both partners have l in common. Small sets enumerate all
 subsets of SUBSET shingles of that prefix (l = SUBSET) as join keys; large sets scan the inverted lists of the single
-shingles of theirs (l = 1 + n // 20) and count how many a pair shares. The boundary is the size up to which subsets
+shingles of theirs (l = 1 + n // 12) and count how many a pair shares. The boundary is the size up to which subsets
 cost less than the expected lists. Sets just below the boundary also stand in the lists, where large sets find them.
 
 Equal sets are one class; linking.py joins the classes of a key without all pairs of a group.
@@ -43,7 +43,7 @@ class Join:
     @staticmethod
     def least(n):
         """Shingles that the listed prefixes of a pair have in common, n being the smaller one's size."""
-        return 1 + n // 20 if isinstance(n, int) else 1 + F.floor(n / 20)
+        return 1 + n // 12 if isinstance(n, int) else 1 + F.floor(n / 12)
 
 
 def _sets(column: pa.Array, p: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
