@@ -16,7 +16,7 @@ from cuboid.llm.tables import saved
 
 #: Kinds of key rows: the set pairs with all others of its key, only with heavy ones, or is heavy itself.
 ALL, LISTED, HEAVY = 0, 1, 2
-WORDS = 32  # of a bitmap
+WORDS = 16  # of a bitmap
 
 
 def marks(classes: DataFrame, bits: int) -> np.ndarray:
@@ -110,7 +110,7 @@ def bitmaps(sets: DataFrame) -> DataFrame:
             members = [np.frombuffer(m.as_buffer(), np.uint64) for m in batch.column("members")]
             bits = np.zeros((len(members), WORDS), dtype=np.uint64)
             for k, m in enumerate(members):
-                np.bitwise_or.at(bits[k], (m >> np.uint64(56)).astype(np.int64) % WORDS, np.uint64(1) << ((m >> np.uint64(48)) & np.uint64(63)))
+                np.bitwise_or.at(bits[k], (m >> np.uint64(60)).astype(np.int64) % WORDS, np.uint64(1) << ((m >> np.uint64(54)) & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([batch.column("cls"), *[pa.array(bits[:, i].copy().view(np.int64)) for i in range(WORDS)]], names=["cls", *[f"b{i}" for i in range(WORDS)]])
 
     return sets.select("cls", "members").mapInArrow(run, "cls long, " + ", ".join(f"b{i} long" for i in range(WORDS)))
