@@ -127,7 +127,7 @@ def link(shared: DataFrame, sets: DataFrame, percent: int, least: Callable[[Colu
     stars = stars.groupBy("cls", "n", F.col("lo.cls").alias("v")).agg(F.count("*").alias("k"), F.min("kind").alias("kind"))
     stars = stars.filter((F.col("kind") == ALL) | (4 * F.col("k") >= least(F.col("n"))))
     stars = saved(stars.groupBy("cls").agg(F.max_by("v", F.struct("k", "v")).alias("v")).select(F.col("cls").alias("u"), "v"))
-    links = saved(verified(stars, sets, percent))
+    links = saved(verified(stars, sets, percent), free=True)
     roots = components(links).withColumnRenamed("node", "cls")
     w = Window.partitionBy("key")
 
@@ -136,9 +136,9 @@ def link(shared: DataFrame, sets: DataFrame, percent: int, least: Callable[[Colu
         return rows.filter("lo < hi").drop("lo", "hi")
 
     rest = mixed(shared.drop("lo").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-    rest = saved(rest.select("cls", "root").distinct())
+    rest = saved(rest.select("cls", "root").distinct(), free=True)
     mine = saved(sets.join(rest, "cls", "left_semi"))
-    keys = saved(mixed(rare_keys(mine, percent).join(rest, "cls")))
+    keys = saved(mixed(rare_keys(mine, percent).join(rest, "cls")), free=True)
     both = keys.join(bitmaps(mine), "cls")
     a, b = (both.select("key", *[F.col(c).alias(f"{c}_{x}") for c in both.columns if c != "key"]) for x in "ab")
     total = F.col("n_a") + F.col("n_b")
@@ -148,5 +148,5 @@ def link(shared: DataFrame, sets: DataFrame, percent: int, least: Callable[[Colu
     pairs = a.join(b, "key").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")))
     pairs = pairs.filter((most * (100 + percent) >= percent * total) & (apart * (100 + percent) <= (100 - percent) * total))
     pairs = saved(pairs.filter(~F.arrays_overlap("earlier_a", "earlier_b")).select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v")))
-    more = saved(verified(pairs, sets, percent))
+    more = saved(verified(pairs, sets, percent), free=True)
     return components(links.unionByName(more)) if more.take(1) else roots.withColumnRenamed("cls", "node")

@@ -137,15 +137,15 @@ def repeated_lines(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
     part. Repeated rows with one doc_id and text count as one paragraph each."""
     docs = docs.filter(F.col(doc_id).isNotNull())
     lines = saved(_lines(docs, p, doc_id, text))
-    shared = saved(shared_keys(_keys(docs, p, text)))
-    sets = saved(_members(docs, shared.select("cls").distinct(), p, text))
+    shared = saved(shared_keys(_keys(docs, p, text)), free=True)
+    sets = saved(_members(docs, shared.select("cls").distinct(), p, text), free=True)
     roots = link(shared, sets, p.percent).withColumnRenamed("node", "cls")
     classes = lines.groupBy("cls").agg(F.min(F.struct("id", "line")).alias("lo"), F.max(F.struct("id", "line")).alias("hi"))
     classes = saved(classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
     groups = saved(classes.groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("root", "lo"))
     classes = saved(classes.select("cls", "root").join(groups, "root").select("cls", "lo"))
     out = lines.join(classes, "cls").filter((F.col("id") != F.col("lo.id")) | (F.col("line") != F.col("lo.line")))
-    return out.select("id", "line", "cls", F.col("lo.id").alias("kept_id"), F.col("lo.line").alias("kept_line"))
+    return saved(out.select("id", "line", "cls", F.col("lo.id").alias("kept_id"), F.col("lo.line").alias("kept_line")), free=True)
 
 
 def substring_dedup(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:

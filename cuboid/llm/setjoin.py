@@ -170,8 +170,8 @@ def jaccard_components(docs: DataFrame, p: Join = Join(), doc_id: str = "doc_id"
     sketch[counts["cell"].to_numpy()] = counts["df"].to_numpy()
     limit = boundary(sketch, p)
     keys = _keys(docs, spark.sparkContext.broadcast(sketch), limit, p, text)
-    shared = saved(candidates(saved(shared_keys(keys)), p.least, p.percent))
-    sets = saved(_marked_sets(docs, shared.select("cls").distinct(), p, text))
+    shared = saved(candidates(saved(shared_keys(keys), free=True), p.least, p.percent), free=True)
+    sets = saved(_marked_sets(docs, shared.select("cls").distinct(), p, text), free=True)
     roots = link(shared, sets, p.percent, p.least).withColumnRenamed("node", "cls")
     ids = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("least")).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = saved(ids)

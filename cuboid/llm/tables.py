@@ -23,11 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
     return have.rstrip("/")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
+def saved(df: DataFrame, free: bool = False) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: cuts lineage and survives lost executors.
+
+    free: the shuffle files of the work so far are of no use any more; a garbage collection on the driver lets Spark
+    delete them now rather than at some later time."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cuboid-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
