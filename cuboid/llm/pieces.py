@@ -49,6 +49,8 @@ class Transducer:
         worst = min((s for _, s in self.pieces.values()), default=0.0)
         self.penalty = 10.0 - worst  # of an unknown character in a unigram model
         self.begins = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+        self.ends = {p[n:] for p in self.pieces for n in range(len(p))}
+        self._tails: dict[str, str] = {}
         self.neighbours = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self._pairs: dict[tuple[str, str], bool] = {}
         self._units = _Units(self)
@@ -119,6 +121,32 @@ class Transducer:
             i -= len(piece)
         return out[::-1]
 
+    def shared_path(self, unit: str) -> list[str]:
+        """path of a short unit in a BPE model. The path to a prefix is the prefix's own path, so the last piece of
+        every prefix is kept and serves all units that begin alike."""
+        tails, pieces, ends, pairs = self._tails, self.pieces, self.ends, self._pairs
+        if len(tails) > self.cached:
+            tails.clear()
+        n = i = len(unit)
+        while i and unit[:i] not in tails:
+            i -= 1
+        for j in range(i + 1, n + 1):
+            k, last = j - 1, unit[j - 1]  # an unknown character stands alone
+            while k >= 0 and (piece := unit[k:j]) in ends:
+                if piece in pieces:
+                    pair = (tails[unit[:k]] if k else "", piece)
+                    if pairs[pair] if pair in pairs else self.allowed(*pair):
+                        last = piece
+                        break
+                k -= 1
+            tails[unit[:j]] = last
+        out = []
+        while n:
+            piece = tails[unit[:n]]
+            out.append(piece)
+            n -= len(piece)
+        return out[::-1]
+
     def ids(self, unit: str) -> list[int]:
         """The ids of a unit, which is cut wherever no piece holds two neighbouring characters."""
         if self.fallback:
@@ -127,7 +155,7 @@ class Transducer:
                 parts = map(self._units.__getitem__, map(unit.__getitem__, map(slice, [0, *cuts], [*cuts, len(unit)])))
                 return np.frombuffer(b"".join(parts), dtype=np.int32).tolist()
         out: list[int] = []
-        for piece in self.path(unit):
+        for piece in self.shared_path(unit) if self.kind == 2 and len(unit) <= 48 else self.path(unit):
             if piece in self.pieces:
                 out.append(self.pieces[piece][0])
             elif self.fallback:
