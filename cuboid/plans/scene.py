@@ -42,4 +42,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def oracle(sql: str) -> str:
     """sql with the scene's views, for DuckDB."""
     used = [f"{n} AS ({q})" for n, q in _views(1).items() if n in sql]
+    if not used:
+        return sql
     return ("WITH " if "WITH RECURSIVE" not in sql else "WITH RECURSIVE ") + ", ".join(used) + (", " + sql.strip().removeprefix("WITH RECURSIVE").removeprefix("WITH").strip() if sql.strip().startswith("WITH") else " " + sql)

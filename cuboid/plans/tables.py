@@ -5,16 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written as Parquet in spark.checkpoint.dir (a local folder where that is unset) and read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or where it is unset a local folder (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='cuboid-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/scene-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/scene-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -379,3 +379,19 @@ def viz_point_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distance at which a frame's point colours saturate (its 0.98 quantile)."""
     d = view(spark, sf_dir, "points").select("frame_id", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2).alias("d"))
     return rounded(d.groupBy("frame_id").agg(F.percentile("d", 0.98).alias("far"), F.count("*").alias("n")))
+
+
+@query("SELECT event_type, event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 100")
+def stream_object_db(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 newest events of each type, gathered by a stream into a table."""
+    import uuid
+
+    from cuboid.plans.tables import shared_folder
+    from cuboid.streaming.updates import Log, newest
+
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    log = Log(spark, f"{folder}/rows")
+    log.follow(stream.select("event_type", "event_id", "user_id", "ts"), f"{folder}/checkpoint", lambda b: newest(b, ["event_type"], ["ts", "event_id"], 100)).awaitTermination()
+    return newest(log.rows(), ["event_type"], ["ts", "event_id"], 100).select("event_type", "event_id", "user_id")
