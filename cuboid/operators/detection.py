@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuboid.operators import greedy, pairs
@@ -48,19 +48,25 @@ def match(candidates: DataFrame, later_first: bool = False) -> DataFrame:
     return greedy.assign(edges).select(F.col("left").alias("det_idx"), F.col("right").alias("gt_idx"))
 
 
-def running(df: DataFrame, keys: list[str], score: str, tie: str, flag: str, buckets: int = 64) -> DataFrame:
-    """df with tp and seen: counts of flagged rows and of all rows with the same keys up to each row, best first."""
+def running_sums(df: DataFrame, keys: list[str], score: str, tie: str, sums: dict[str, Column], buckets: int = 64) -> DataFrame:
+    """df with sums of columns over all rows with the same keys up to each row, best score first. Rows are summed by
+    score buckets first, so no window holds more than a bucket."""
     cuts = sorted(set(df.approxQuantile(score, [i / buckets for i in range(1, buckets)], 0.001)))  # at most buckets numbers
     better = F.lit(0)
     for c in cuts:
         better = better + (F.col(score) < c).cast("int")
-    df = saved(df.withColumn("_bucket", better))
-    sums = df.groupBy(*keys, "_bucket").agg(F.sum(F.col(flag).cast("long")).alias("t"), F.count("*").alias("s"))
+    df = saved(df.withColumns({"_bucket": better} | {f"_v_{n}": e for n, e in sums.items()}))
+    parts = df.groupBy(*keys, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums])
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("_t"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_s"))
+    parts = parts.select(*keys, "_bucket", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
     within = Window.partitionBy(*keys, "_bucket").orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.join(sums, [*keys, "_bucket"]).withColumns({"tp": F.col("_t") + F.sum(F.col(flag).cast("long")).over(within), "seen": F.col("_s") + F.count("*").over(within)})
-    return out.drop("_t", "_s", "_bucket")
+    out = df.join(parts, [*keys, "_bucket"]).withColumns({n: F.col(f"_b_{n}") + F.sum(f"_v_{n}").over(within) for n in sums})
+    return out.drop("_bucket", *[f"_{k}_{n}" for n in sums for k in "vb"])
+
+
+def running(df: DataFrame, keys: list[str], score: str, tie: str, flag: str, buckets: int = 64) -> DataFrame:
+    """df with tp and seen: counts of flagged rows and of all rows with the same keys up to each row, best first."""
+    return running_sums(df, keys, score, tie, {"tp": F.col(flag).cast("long"), "seen": F.lit(1).cast("long")}, buckets)
 
 
 def average_precision(curve: DataFrame, totals: DataFrame, keys: list[str], how: str = "r40") -> DataFrame:
@@ -133,3 +139,74 @@ def nds_ap(pred: DataFrame, gt: DataFrame, thresholds: Sequence[float] = (0.5, 1
     value = F.when(F.col("k") * F.col("num_gt") > 100 * F.col("high"), 0.0).when(F.col("at") < F.col("low"), F.col("start.tp") / F.col("start.first")).otherwise(inner)
     over = F.greatest(F.coalesce(value, F.lit(0.0)) - min_precision, F.lit(0.0)) / (1 - min_precision)
     return grid.filter(F.col("k") > round(100 * min_recall)).groupBy("label", "threshold").agg(F.avg(over).alias("ap"))
+
+
+ERRORS = ("trans", "vel", "scale", "orient", "attr")
+
+
+def match_errors(pred: DataFrame, gt: DataFrame, below: float = 2.0, half_turn: Sequence[int] = ()) -> DataFrame:
+    """det_idx, label, score and the errors of every distance match: ground distance, velocity difference, one minus
+    the IoU of the sizes, heading difference (modulo half a turn for the classes of half_turn), attribute (0 or 1,
+    null where the ground truth has none, that is a negative one)."""
+    names = ("cx", "cy", "l", "w", "h", "yaw", "vx", "vy", "attr")
+    pairs_ = match(candidates_by_distance(pred, gt, below), later_first=True)
+    p = pred.select("det_idx", "label", "score", *[F.col(n).alias(f"p_{n}") for n in names])
+    g = gt.select(F.col("box_idx").alias("gt_idx"), *[F.col(n).alias(f"g_{n}") for n in names])
+    both = pairs_.join(p, "det_idx").join(g, "gt_idx")
+    gap = lambda a, b: F.sqrt((F.col(f"p_{a}") - F.col(f"g_{a}")) ** 2 + (F.col(f"p_{b}") - F.col(f"g_{b}")) ** 2)
+    small = F.least("p_l", "g_l") * F.least("p_w", "g_w") * F.least("p_h", "g_h")
+    union = F.col("p_l") * F.col("p_w") * F.col("p_h") + F.col("g_l") * F.col("g_w") * F.col("g_h") - small
+    period = F.when(F.col("label").isin(*half_turn), F.pi()).otherwise(2 * F.pi()) if half_turn else 2 * F.pi()
+    turn = F.abs(F.expr("pmod(g_yaw - p_yaw + _half, 2 * _half)") - F.col("_half"))
+    attr = F.when(F.col("g_attr") < 0, None).otherwise((F.col("p_attr") != F.col("g_attr")).cast("double"))
+    errors = {"trans": gap("cx", "cy"), "vel": gap("vx", "vy"), "scale": 1 - F.try_divide(small, union), "orient": turn, "attr": attr}
+    return both.withColumn("_half", period / 2).withColumns(errors).select("det_idx", "label", "score", *ERRORS)
+
+
+def tp_errors(pred: DataFrame, gt: DataFrame, below: float = 2.0, min_recall: float = 0.1, half_turn: Sequence[int] = ()) -> DataFrame:
+    """(label, metric, error) for the classes of gt and pred: running means of the errors in match order, read at the
+    confidences of the recalls from just over min_recall to the largest one reached, and averaged. 1 if there is no
+    such recall or no match; a mean before its first value is 0, and all ones if there never is a value."""
+    found = saved(match_errors(pred, gt, below, half_turn))
+    flagged = pred.select("label", "score", "det_idx").join(found.select("det_idx", F.lit(True).alias("hit")), "det_idx", "left")
+    flagged = flagged.select("label", "score", (-F.col("det_idx")).alias("tie"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    steps = running(flagged, ["label"], "score", "tie", "hit").groupBy("label", "tp").agg(F.max("score").alias("first"), F.min("score").alias("last"))
+    steps = saved(steps)
+    tps = found.withColumn("tie", -F.col("det_idx"))
+    sums = {f"{k}_{e}": (F.coalesce(F.col(e), F.lit(0.0)) if k == "sum" else F.col(e).isNotNull().cast("long")) for e in ERRORS for k in ("sum", "num")}
+    tps = running_sums(tps, ["label"], "score", "tie", sums | {"t": F.lit(1).cast("long")})
+    any_value = tps.groupBy("label").agg(*[F.max(f"num_{e}").alias(f"all_{e}") for e in ERRORS])
+    mean = lambda e: F.when(F.col(f"all_{e}") == 0, 1.0).otherwise(F.coalesce(F.try_divide(F.col(f"sum_{e}"), F.col(f"num_{e}")), F.lit(0.0)))
+    tps = tps.join(any_value, "label").select("label", "t", F.col("score").alias("conf"), *[mean(e).alias(e) for e in ERRORS])
+    earliest = tps.groupBy("label", "conf").agg(*[F.min_by(e, "t").alias(f"e_{e}") for e in ERRORS])
+    tps = saved(tps.join(earliest, ["label", "conf"]))
+
+    totals = gt.groupBy("label").agg(F.count("*").alias("n"))
+    reach = steps.groupBy("label").agg(F.min("tp").alias("low"), F.max("tp").alias("high"), F.max("first").alias("best"))
+    grid = totals.join(reach, "label").withColumn("k", F.explode(F.sequence(F.lit(round(100 * min_recall) + 1), F.lit(100))))
+    grid = grid.withColumn("x", F.col("k") * F.col("n") / 100).withColumn("at", F.floor("x")).filter((F.col("x") <= F.col("high")) & (F.col("high") > 0))
+    grid = grid.join(steps.select("label", F.col("tp").alias("at"), "last"), ["label", "at"], "left")
+    names = ["conf", *ERRORS, *[f"e_{e}" for e in ERRORS]]
+    lower, upper = (tps.select("label", (F.col("t") - d).alias("at"), *[F.col(c).alias(f"{s}_{c}") for c in names]) for s, d in (("lo", 1), ("up", 0)))
+    grid = grid.join(lower, ["label", "at"], "left").join(upper, ["label", "at"], "left")
+    conf = F.when(F.col("at") < F.col("low"), F.col("best")).when(F.col("x") == F.col("at"), F.col("last")).otherwise(F.col("last") + (F.col("x") - F.col("at")) * (F.col("lo_conf") - F.col("last")))
+    grid = grid.withColumn("conf", conf)
+    part = F.try_divide(F.col("conf") - F.col("lo_conf"), F.col("up_conf") - F.col("lo_conf"))
+    out = []
+    for e in ERRORS:
+        between = F.col(f"lo_e_{e}") + part * (F.col(f"up_{e}") - F.col(f"lo_e_{e}"))
+        value = F.when(F.col("up_conf").isNull(), F.col(f"lo_e_{e}")).when(F.col("lo_conf").isNull() | (F.col("conf") >= F.col("up_conf")), F.col(f"up_e_{e}")).otherwise(F.coalesce(between, F.col(f"up_e_{e}")))
+        out.append(F.avg(value).alias(e))
+    labels = pred.select("label").unionByName(gt.select("label")).distinct()
+    means = labels.join(grid.groupBy("label").agg(*out), "label", "left")
+    return means.unpivot("label", list(ERRORS), "metric", "error").withColumn("error", F.coalesce("error", F.lit(1.0)))
+
+
+def detection_score(pred: DataFrame, gt: DataFrame, weight: float = 5.0, half_turn: Sequence[int] = ()) -> DataFrame:
+    """One row: mean_ap, the mean of each error, and score = (weight * mean_ap + sum of max(0, 1 - error)) over
+    (weight + number of errors); 0 without frames."""
+    ap = nds_ap(pred, gt).agg(F.avg("ap").alias("mean_ap"))
+    errors = tp_errors(pred, gt, half_turn=half_turn).groupBy().pivot("metric", list(ERRORS)).agg(F.avg("error"))
+    both = ap.crossJoin(errors)  # a row each
+    gained = sum((F.greatest(F.lit(0.0), 1 - F.col(e)) for e in ERRORS), F.lit(0.0))
+    return both.withColumn("score", F.coalesce((weight * F.col("mean_ap") + gained) / (weight + len(ERRORS)), F.lit(0.0)))

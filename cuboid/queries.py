@@ -313,6 +313,18 @@ def nds_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(detection.nds_ap(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt")))
 
 
+@query()
+def nds_tp_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean errors of the true positives of each class at 2 metres."""
+    return rounded(detection.tp_errors(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt")))
+
+
+@query()
+def nds_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composite detection score."""
+    return rounded(detection.detection_score(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt")))
+
+
 @query("""WITH f AS (SELECT frame_id, count(*) AS n FROM points GROUP BY frame_id)
 SELECT frame_id, 64::BIGINT AS n, (n >= 64) AS whole FROM f""")
 def point_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

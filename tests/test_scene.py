@@ -129,6 +129,60 @@ def test_perfect_detections_have_full_scores(spark):
     assert whole.ap == pytest.approx(1.0)
 
 
+def plain_errors(pred, gt, below=2.0, start=11):
+    """Matching, running means and interpolation for one class with numpy: the five mean errors."""
+    taken, rows = set(), []
+    for p in sorted(pred, key=lambda p: (-p["score"], -p["frame_id"], -p["det_idx"])):
+        near = [(np.hypot(p["cx"] - g["cx"], p["cy"] - g["cy"]), g["box_idx"], g) for g in gt if g["frame_id"] == p["frame_id"] and g["box_idx"] not in taken]
+        best = min(near, default=None, key=lambda x: x[:2])
+        hit = best if best and best[0] < below else None
+        if hit:
+            taken.add(hit[1])
+        rows.append((p, hit))
+    tp = np.cumsum([h is not None for _, h in rows])
+    if not len(rows) or not tp[-1]:
+        return np.ones(5)
+    grid = np.linspace(0, 1, 101)
+    conf = np.interp(grid, tp / len(gt), [p["score"] for p, _ in rows], right=0)
+    errors = []
+    for p, h in rows:
+        if h:
+            g = h[2]
+            small = np.prod([min(p[k], g[k]) for k in "lwh"])
+            turn = abs((g["yaw"] - p["yaw"] + np.pi) % (2 * np.pi) - np.pi)
+            union = np.prod([p[k] for k in "lwh"]) + np.prod([g[k] for k in "lwh"]) - small
+            errors.append((h[0], np.hypot(p["vx"] - g["vx"], p["vy"] - g["vy"]), 1 - small / union, turn, np.nan if g["attr"] < 0 else float(p["attr"] != g["attr"])))
+    errors, confs = np.array(errors), np.array([p["score"] for p, h in rows if h])
+    last = np.flatnonzero(conf)[-1] if conf.any() else 0
+    out = []
+    for k in range(5):
+        e = errors[:, k]
+        num = np.cumsum(~np.isnan(e))
+        mean = np.ones(len(e)) if not num[-1] else np.divide(np.nancumsum(e), num, out=np.zeros(len(e)), where=num > 0)
+        out.append(1.0 if last < start else np.interp(conf[::-1], confs[::-1], mean[::-1])[::-1][start : last + 1].mean())
+    return np.array(out)
+
+
+def test_true_positive_errors_equal_plain_code(spark):
+    from cuboid.plans.scene import view
+
+    pred, gt = view(spark, SF, "pred"), view(spark, SF, "gt")
+    ps, gs = [r.asDict() for r in pred.collect()], [r.asDict() for r in gt.collect()]
+    got = {(r.label, r.metric): r.error for r in detection.tp_errors(pred, gt).collect()}
+    for label in {p["label"] for p in ps} | {g["label"] for g in gs}:
+        want = plain_errors([p for p in ps if p["label"] == label], [g for g in gs if g["label"] == label])
+        assert [got[label, e] for e in detection.ERRORS] == pytest.approx(list(want), abs=1e-6), label
+
+
+def test_perfect_score(spark):
+    from cuboid.plans.scene import view
+
+    gt = view(spark, SF, "gt").withColumn("attr", F.lit(1))
+    pred = gt.withColumnRenamed("box_idx", "det_idx").withColumn("score", F.lit(0.9))
+    row = detection.detection_score(pred, gt).first()
+    assert row.mean_ap == pytest.approx(1.0) and row.score == pytest.approx(1.0)
+
+
 def test_empty_tables(spark):
     b = spark.createDataFrame([], BOX)
     p = spark.createDataFrame([], "frame_id long, x double, y double, z double")
