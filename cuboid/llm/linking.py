@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuboid.llm.components import components
-from cuboid.llm.tables import saved
+from cuboid.llm.tables import saved, small
 
 #: Kinds of key rows: the set pairs with all others of its key, only with heavy ones, or is heavy itself.
 ALL, LISTED, HEAVY = 0, 1, 2
@@ -75,7 +75,7 @@ def candidates(shared: DataFrame, least: Callable[[Column], Column], percent: in
     n = F.floor(F.col("n") * percent / 100)
     able = shared.groupBy("cls", "n").agg(F.count("*").alias("k"), F.min("kind").alias("kind"))
     able = able.filter((F.col("kind") == ALL) | (F.col("k") >= least(n))).select("cls")
-    return shared.join(able, "cls", "left_semi")
+    return shared.join(small(saved(able)), "cls", "left_semi")
 
 
 def rare_keys(sets: DataFrame, percent: int) -> DataFrame:
@@ -135,10 +135,10 @@ def link(shared: DataFrame, sets: DataFrame, percent: int, least: Callable[[Colu
         rows = rows.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)})
         return rows.filter("lo < hi").drop("lo", "hi")
 
-    rest = mixed(shared.drop("lo").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    rest = mixed(shared.select("key", "cls").join(small(saved(roots)), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
     rest = saved(rest.select("cls", "root").distinct(), free=True)
-    mine = saved(sets.join(rest, "cls", "left_semi"))
-    keys = saved(mixed(rare_keys(mine, percent).join(rest, "cls")), free=True)
+    mine = saved(sets.join(small(rest), "cls", "left_semi"))
+    keys = saved(mixed(rare_keys(mine, percent).join(small(rest), "cls")), free=True)
     both = keys.join(bitmaps(mine), "cls")
     a, b = (both.select("key", *[F.col(c).alias(f"{c}_{x}") for c in both.columns if c != "key"]) for x in "ab")
     total = F.col("n_a") + F.col("n_b")

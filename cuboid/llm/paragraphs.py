@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuboid.llm.linking import ALL, link, marked, marks, shared_keys
-from cuboid.llm.tables import add_columns, saved
+from cuboid.llm.tables import add_columns, saved, small
 from cuboid.llm.textops import Words, distinct_sets, mix, shingles, signed, slices
 
 
@@ -118,7 +118,7 @@ def _members(docs: DataFrame, classes: DataFrame, p: Bands, text: str) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), pa.array([values[begin[r] : begin[r + 1]].tobytes() for r in rows], pa.binary())], names=["cls", "members"])
 
     found = docs.select(text).mapInArrow(run, "cls long, members binary")
-    return found.join(classes, "cls", "left_semi").dropDuplicates(["cls"])
+    return found.join(small(classes), "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def _unseen(rows: np.ndarray, cls: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -138,13 +138,13 @@ def repeated_lines(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
     docs = docs.filter(F.col(doc_id).isNotNull())
     lines = saved(_lines(docs, p, doc_id, text))
     shared = saved(shared_keys(_keys(docs, p, text)), free=True)
-    sets = saved(_members(docs, shared.select("cls").distinct(), p, text), free=True)
+    sets = saved(_members(docs, saved(shared.select("cls").distinct()), p, text), free=True)
     roots = link(shared, sets, p.percent).withColumnRenamed("node", "cls")
     classes = lines.groupBy("cls").agg(F.min(F.struct("id", "line")).alias("lo"), F.max(F.struct("id", "line")).alias("hi"))
-    classes = saved(classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    classes = saved(classes.join(small(saved(roots)), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
     groups = saved(classes.groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("root", "lo"))
     classes = saved(classes.select("cls", "root").join(groups, "root").select("cls", "lo"))
-    out = lines.join(classes, "cls").filter((F.col("id") != F.col("lo.id")) | (F.col("line") != F.col("lo.line")))
+    out = lines.join(small(classes), "cls").filter((F.col("id") != F.col("lo.id")) | (F.col("line") != F.col("lo.line")))
     return saved(out.select("id", "line", "cls", F.col("lo.id").alias("kept_id"), F.col("lo.line").alias("kept_line")), free=True)
 
 

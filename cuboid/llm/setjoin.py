@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuboid.llm.linking import ALL, HEAVY, LISTED, candidates, link, marked, marks, shared_keys
-from cuboid.llm.tables import saved
+from cuboid.llm.tables import saved, small
 from cuboid.llm.textops import Words, distinct_sets, mix, shingles, signed, slices
 
 SUBSET = 2  # the fixed size of enumerated subsets
@@ -151,7 +151,7 @@ def _marked_sets(docs: DataFrame, classes: DataFrame, p: Join, text: str) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), pa.array([values[first[r] : first[r + 1]].tobytes() for r in rows], pa.binary())], names=["cls", "members"])
 
     found = docs.select(text).mapInArrow(run, "cls long, members binary")
-    return found.join(classes, "cls", "left_semi").dropDuplicates(["cls"])
+    return found.join(small(classes), "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def jaccard_components(docs: DataFrame, p: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,9 +171,9 @@ def jaccard_components(docs: DataFrame, p: Join = Join(), doc_id: str = "doc_id"
     limit = boundary(sketch, p)
     keys = _keys(docs, spark.sparkContext.broadcast(sketch), limit, p, text)
     shared = saved(candidates(saved(shared_keys(keys), free=True), p.least, p.percent), free=True)
-    sets = saved(_marked_sets(docs, shared.select("cls").distinct(), p, text), free=True)
+    sets = saved(_marked_sets(docs, saved(shared.select("cls").distinct()), p, text), free=True)
     roots = link(shared, sets, p.percent, p.least).withColumnRenamed("node", "cls")
-    ids = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("least")).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    ids = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("least")).join(small(saved(roots)), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = saved(ids)
     smallest = saved(ids.groupBy("root").agg(F.min("least").alias("component_id")))
     ids = saved(ids.join(smallest, "root").select("cls", "component_id"))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -36,6 +37,12 @@ def saved(df: DataFrame, free: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A saved table of a few short columns, to be broadcast in a join if it has at most so many rows; a larger one
+    is left to Spark, which shuffles both sides."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def add_columns(
     df: DataFrame,
     columns: str,
