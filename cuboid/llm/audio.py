@@ -32,7 +32,7 @@ class Chroma:
     hop: int = 256
     low: float = 100.0
     high: float = 1800.0
-    run: int = 2
+    run: int = 3
     votes: int = 4
     errors: float = 0.15
     overlap: int = 32
