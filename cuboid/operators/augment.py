@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from statistics import NormalDist
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuboid.functions.geom import uniform
 from cuboid.operators import pairs
 from cuboid.operators.boxes import with_exprs
 from cuboid.operators.greedy import suppress
+from cuboid.plans.tables import saved
 
 REFUSED = (
     "ElasticTransform", "RandomPerspective", "RandomAffine", "RandomRotation", "FiveCrop", "TenCrop", "RandomIoUCrop", "AugMix",
@@ -82,17 +86,44 @@ def deficit(boxes: DataFrame, targets: dict[int, int]) -> DataFrame:
     return rows.select("frame_id", "label", F.greatest(F.col("target") - F.coalesce("have", F.lit(0)), F.lit(0)).cast("long").alias("missing"))
 
 
-def place(boxes: DataFrame, stock: DataFrame, targets: dict[int, int], seed: int = 0) -> DataFrame:
+def truncated_normal(u: Column, low: float, high: float, std: float) -> Column:
+    """Numbers of a normal distribution about 0 cut off at low and high, from uniform ones, by its inverse."""
+    if std <= 0 or low > high:
+        raise ValueError("std is positive and the range is ordered")
+    bell = NormalDist(0.0, std)
+    a, b = bell.cdf(low), bell.cdf(high)
+
+    @F.pandas_udf("double")
+    def inverse(x: pd.Series) -> pd.Series:
+        if low == high:
+            return x * 0 + low
+        return x.map(lambda v: min(max(bell.inv_cdf(min(max(a + v * (b - a), 1e-300), 1 - 1e-16)), low), high))
+
+    return inverse(u)
+
+
+def place(boxes: DataFrame, stock: DataFrame, targets: dict[int, int], seed: int = 0, reach: tuple[float, float, float] | None = None, std: float | None = None, attempts: int = 0) -> DataFrame:
     """Boxes of stock (box_idx, label, box columns; of bounded size) to paste into frames: for every class the first
     missing ones of a random order, kept in that order if they meet no box of the frame and none kept before (classes
-    in the order of targets). Candidates that collide are not replaced."""
+    in the order of targets). Candidates that collide are not replaced.
+
+    With attempts, a candidate tries so many random offsets within reach (uniform, or truncated normal with std) and
+    at last none; the first free one counts. A try is a node of one greedy order: it is suppressed by colliding tries
+    of better candidates that are kept, and by an earlier try of its own candidate."""
     need = deficit(boxes, targets).filter("missing > 0")
     order = F.create_map(*[F.lit(x) for i, k in enumerate(targets) for x in (k, i)])
     u = F.expr(uniform(seed, "paste", "frame_id", "box_idx"))
     drawn = need.join(stock.drop("frame_id"), "label").withColumn("_u", u)
     ranked = drawn.withColumn("_k", F.row_number().over(Window.partitionBy("frame_id", "label").orderBy("_u", "box_idx"))).filter("_k <= missing")
     ranked = ranked.withColumn("rank", order[F.col("label")] * 1_000_000 + F.col("_k")).drop("_u", "_k", "missing")
-    hit = pairs.overlapping(ranked, boxes).select("frame_id", F.col("a_box_idx").alias("box_idx")).distinct()
-    free = ranked.join(hit, ["frame_id", "box_idx"], "left_anti").withColumn("id", F.concat_ws("|", "frame_id", "box_idx"))
-    clash = pairs.overlapping(free, free).filter("a_rank < b_rank").select(F.col("a_id").alias("better"), F.col("b_id").alias("worse"))
-    return suppress(free, clash).drop("id", "rank")
+    ranked = ranked.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(attempts))))
+    if attempts and reach is not None:
+        for n, r in zip(("cx", "cy", "cz"), reach, strict=True):
+            v = F.expr(uniform(seed, f"offset{n}", "frame_id", "box_idx", "try"))
+            v = (2 * v - 1) * r if std is None else truncated_normal(v, -r, r, std)
+            ranked = ranked.withColumn(n, F.col(n) + F.when(F.col("try") < attempts, v).otherwise(0.0))
+    hit = pairs.overlapping(ranked, boxes).select("frame_id", F.col("a_box_idx").alias("box_idx"), F.col("a_try").alias("try")).distinct()
+    free = saved(ranked.join(hit, ["frame_id", "box_idx", "try"], "left_anti").withColumn("id", F.concat_ws("|", "frame_id", "box_idx", "try")))
+    both = pairs.overlapping(free, free).filter("a_rank < b_rank").select(F.col("a_id").alias("better"), F.col("b_id").alias("worse"))
+    own = free.select("frame_id", "box_idx", F.col("try").alias("_t"), F.col("id").alias("better")).join(free.select("frame_id", "box_idx", "try", F.col("id").alias("worse")), ["frame_id", "box_idx"]).filter("_t < try")
+    return suppress(free, both.unionByName(own.select("better", "worse"))).drop("id", "rank", "try")

@@ -367,6 +367,23 @@ def copy_paste_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("frame_id", "label", "box_idx")
 
 
+@query()
+def copy_paste_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with up to five random offsets for every candidate."""
+    gt = view(spark, sf_dir, "gt")
+    placed = augment.place(gt, gt.filter("box_idx % 10 = 3"), _TARGETS, 5, (4.0, 4.0, 0.5), 2.0, 5)
+    return rounded(placed.select("frame_id", "label", "box_idx", "cx", "cy", "cz"))
+
+
+@query("""SELECT box_idx, label, round(0.6*sqrt(w*h), 6) + 0.0 AS arrow, round(cx+cos(yaw)*cos(pitch)*l/2, 6) + 0.0 AS ax, round(cy+sin(yaw)*cos(pitch)*l/2, 6) + 0.0 AS ay,
+round(cz-sin(pitch)*l/2, 6) + 0.0 AS az, printf('class %d %.2f', label, 0.5) AS caption FROM gt""")
+def viz_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heading arrows (from the front face) and captions of boxes."""
+    b = boxes.params(view(spark, sf_dir, "gt"))
+    arrow = {"arrow": "0.6D*sqrt(w*h)", "ax": "cx+r00*l/2", "ay": "cy+r10*l/2", "az": "cz+r20*l/2", "caption": "format_string('class %d %.2f', label, 0.5D)"}
+    return rounded(boxes.with_exprs(b, arrow).select("box_idx", "label", *arrow))
+
+
 @query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY ts, event_id) AS i FROM sweeps)
 SELECT a.sensor, a.event_id AS frame, b.event_id AS sweep, (a.i - b.i)::INT AS back FROM k a JOIN k b ON a.sensor = b.sensor AND b.i <= a.i AND a.i - b.i < 3""")
 def sweeps_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,21 @@ def test_perfect_detections_have_full_scores(spark):
     assert whole.ap == pytest.approx(1.0)
 
 
+def test_jittered_pastes_are_the_loops(spark):
+    """Kept boxes meet neither the frame's boxes nor each other, and no candidate with a free try is left out."""
+    gt = spark.createDataFrame([box(0, 1, (0, 0, 0)), box(1, 2, (0, 0, 0))], BOX)
+    stock = spark.createDataFrame([box(9, 10 + k, (0.5 * k, 0, 0)) for k in range(6)], BOX)
+    for tries in (0, 8):
+        placed = augment.place(gt, stock, {0: 5}, 3, (6.0, 6.0, 0.0), None if tries else 1.0, tries)
+        rows = placed.withColumn("origin", F.lit(1)).collect()
+        assert pairs.overlapping(placed, gt).count() == 0
+        assert pairs.overlapping(placed, placed).filter("a_box_idx < b_box_idx").count() == 0
+        assert len({(r.frame_id, r.box_idx) for r in rows}) == len(rows)
+    assert len(rows) > 2
+    values = [r.v for r in spark.range(200).select(augment.truncated_normal((F.col("id") + 0.5) / 200, -1.0, 2.0, 1.0).alias("v")).collect()]
+    assert values == sorted(values) and -1 <= values[0] < -0.9 and 1.8 < values[-1] <= 2
+
+
 def plain_errors(pred, gt, below=2.0, start=11):
     """Matching, running means and interpolation for one class with numpy: the five mean errors."""
     taken, rows = set(), []
