@@ -39,7 +39,7 @@ class Transducer:
     form: str = "identity"
     prefix: bool = True
     squeeze: bool = False
-    cached: int = 500_000
+    cached: int = 300_000
     longest: int = field(init=False)
 
     def __post_init__(self):
@@ -50,7 +50,7 @@ class Transducer:
         self.penalty = 10.0 - worst  # of an unknown character in a unigram model
         self.begins = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
         self.ends = {p[n:] for p in self.pieces for n in range(len(p))}
-        self._tails: dict[str, str] = {}
+        self._tails: dict[str, int] = {}  # lengths of the last piece of prefixes
         self.neighbours = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self._pairs: dict[tuple[str, str], bool] = {}
         self._units = _Units(self)
@@ -87,7 +87,7 @@ class Transducer:
         """Whether a BPE model's piece b can follow a (or begin a unit, a being empty)."""
         out = self._pairs.get((a, b))
         if out is None:
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) > 300_000:
                 self._pairs.clear()
             out = self._pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return out
@@ -122,29 +122,29 @@ class Transducer:
         return out[::-1]
 
     def shared_path(self, unit: str) -> list[str]:
-        """path of a short unit in a BPE model. The path to a prefix is the prefix's own path, so the last piece of
-        every prefix is kept and serves all units that begin alike."""
+        """path of a short unit in a BPE model. The path to a prefix is the prefix's own path, so the last piece's
+        length of every prefix is kept and serves all units that begin alike."""
         tails, pieces, ends, pairs = self._tails, self.pieces, self.ends, self._pairs
-        if len(tails) > self.cached:
+        if len(tails) > self.cached // 2:
             tails.clear()
         n = i = len(unit)
         while i and unit[:i] not in tails:
             i -= 1
         for j in range(i + 1, n + 1):
-            k, last = j - 1, unit[j - 1]  # an unknown character stands alone
+            k, last = j - 1, 1  # an unknown character stands alone
             while k >= 0 and (piece := unit[k:j]) in ends:
                 if piece in pieces:
-                    pair = (tails[unit[:k]] if k else "", piece)
+                    pair = (unit[k - tails[unit[:k]] : k] if k else "", piece)
                     if pairs[pair] if pair in pairs else self.allowed(*pair):
-                        last = piece
+                        last = j - k
                         break
                 k -= 1
             tails[unit[:j]] = last
         out = []
         while n:
-            piece = tails[unit[:n]]
-            out.append(piece)
-            n -= len(piece)
+            size = tails[unit[:n]]
+            out.append(unit[n - size : n])
+            n -= size
         return out[::-1]
 
     def ids(self, unit: str) -> list[int]:
