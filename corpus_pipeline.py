@@ -29,9 +29,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without paragraphs that stand in an earlier one; those left without any text go."""
+    """Documents without paragraphs and spans that stand in an earlier one; those left without any text go."""
     out = substring_dedup(docs)
-    out = out.filter((F.size("removed_lines") == 0) | (F.trim("text") != "")).drop("n_lines", "removed_lines", "kept_in")
+    out = out.filter(((F.size("removed_lines") == 0) & (F.col("cut_words") == 0)) | (F.trim("text") != "")).drop("n_lines", "removed_lines", "cut_words", "kept_in")
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

@@ -4,6 +4,10 @@ A paragraph is a line. Its set holds its distinct shingles (5 words); MinHash si
 that share a band's key are candidates. Paragraphs with equal sets are one class, each band key links its classes to
 the smallest one (a star, never all pairs), and every candidate link is verified on the exact sets. Components of
 verified links are groups of copies; the first paragraph of a group stays, the others are removed.
+
+What then stays is searched for spans: runs of as many words as a paragraph has at least, at any place in a line or
+across lines, that stand in an earlier place word for word. Each window of so many words has one anchor (the smallest
+hash of its 8-word grams), so windows are only compared where their anchor occurs twice. Repeated windows are cut.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cuboid.llm.linking import ALL, link, marked, marks, shared_keys
 from cuboid.llm.tables import add_columns, saved, small
-from cuboid.llm.textops import Words, distinct_sets, mix, shingles, signed, slices
+from cuboid.llm.textops import Words, distinct_sets, mix, shingles, signed, slices, windows
 
 
 @dataclass(frozen=True)
@@ -33,6 +37,8 @@ class Bands:
     bands: int = 16
     rows: int = 4
     mark_bits: int = 24
+    gram: int = 8  # words of an anchor, min_words at most
+    span_bits: int = 26
 
     @property
     def recall(self) -> float:
@@ -148,12 +154,89 @@ def repeated_lines(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
     return saved(out.select("id", "line", "cls", F.col("lo.id").alias("kept_id"), F.col("lo.line").alias("kept_line")), free=True)
 
 
+def _windows(column: pa.Array, p: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of min_words words within a text: row, first word in the text, hash, anchor and the anchor's place."""
+    words = Words(column)
+    hashes = words.hashes()
+    spans, at = windows(hashes, words.first, p.min_words)
+    grams, where = windows(hashes, words.first, min(p.gram, p.min_words))
+    dense = np.zeros(len(hashes), np.uint64)
+    dense[where] = grams
+    anchor, place = dense[at], at.copy()
+    for k in range(1, p.min_words - min(p.gram, p.min_words) + 1):
+        less = dense[at + k] < anchor  # of equal ones the first
+        anchor, place = np.where(less, dense[at + k], anchor), np.where(less, at + k, place)
+    row = words.doc[at]
+    return row, at - words.first[row], signed(spans), signed(anchor), place
+
+
+def _anchors(docs: DataFrame, p: Bands, text: str) -> DataFrame:
+    """(cls, n): the anchors of all windows, and at how many places they stand in a batch."""
+
+    def run(batches):
+        for batch in slices(batches, text):
+            _, _, _, anchor, place = _windows(batch.column(text), p)
+            if len(place):
+                found, n = np.unique(anchor[np.concatenate(([True], place[1:] != place[:-1]))], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["cls", "n"])
+
+    return docs.select(text).mapInArrow(run, "cls long, n long")
+
+
+def _spans(docs: DataFrame, shared: DataFrame, p: Bands, doc_id: str, text: str) -> DataFrame:
+    """(span, id, at): the windows whose anchor is in shared (cls)."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(marks(shared, p.span_bits))
+
+    def run(batches):
+        for batch in slices(batches, text):
+            row, at, span, anchor, _ = _windows(batch.column(text), p)
+            here = np.flatnonzero(marked(bitmap.value, anchor, p.span_bits))
+            ids = batch.column(doc_id).cast(pa.int64()).take(pa.array(row[here]))
+            yield pa.RecordBatch.from_arrays([pa.array(span[here]), ids, pa.array(at[here].astype(np.int32))], names=["span", "id", "at"])
+
+    return docs.select(doc_id, text).mapInArrow(run, "span long, id long, at int")
+
+
+def repeated_spans(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, at, span, kept_id, kept_at): every window of min_words words (at: its first word) that stands at a smaller
+    (doc_id, word) too, and the smallest such place. Rows without a doc_id take no part."""
+    docs = docs.filter(F.col(doc_id).isNotNull())
+    shared = saved(_anchors(docs, p, text).groupBy("cls").agg(F.sum("n").alias("n")).filter("n > 1").select("cls"), free=True)
+    rows = saved(_spans(docs, shared, p, doc_id, text))
+    places = rows.groupBy("span").agg(F.min(F.struct("id", "at")).alias("lo"), F.max(F.struct("id", "at")).alias("hi")).filter("lo < hi")
+    out = rows.join(small(saved(places.select("span", "lo"), free=True)), "span").filter((F.col("id") != F.col("lo.id")) | (F.col("at") != F.col("lo.at")))
+    return out.select("id", "at", "span", F.col("lo.id").alias("kept_id"), F.col("lo.at").alias("kept_at"))
+
+
+def cut_words(text: str, cut: np.ndarray, words: Words) -> str:
+    """text without the words flagged in cut. Of the white space around a gap one side stays, with a line end if there
+    was one on either side or within; none at the ends of the text."""
+    data = text.encode()
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], cut, [False])).astype(np.int8)))
+    out, done = [], 0
+    for i, j in edges.reshape(-1, 2).tolist():
+        lo, hi = (int(words.end[i - 1]) if i else 0), (int(words.start[j]) if j < len(cut) else len(data))
+        left, right = data[lo : words.start[i]], data[words.end[j - 1] : hi]
+        out.append(data[done:lo])
+        if i == 0:
+            out.append(left if j < len(cut) else b"")
+        elif j == len(cut):
+            out.append(right)
+        else:
+            inner = b"\n" if b"\n" in data[words.start[i] : words.end[j - 1]] else left
+            out.append(left if b"\n" in left else right if b"\n" in right else inner)
+        done = hi
+    return b"".join([*out, data[done:]]).decode()
+
+
 def substring_dedup(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with repeated paragraphs cut out of text, and n_lines, removed_lines (numbers from 0, ascending) and
-    kept_in (ascending doc_ids that keep a copy of what was removed here).
+    """docs with repeated paragraphs and spans cut out of text, and n_lines, removed_lines (numbers from 0, ascending),
+    cut_words (how many words of the lines that stay were cut as repeated spans) and kept_in (ascending doc_ids that
+    keep a copy of what was removed here).
 
-    Null and empty texts stay as they are. Rows without a doc_id, and lines under min_words words, are left alone.
-    Lines that stay keep their bytes and order, joined by a newline. keep names the input columns to return (all by
+    Near copies are found among lines of at least min_words words. Spans are verbatim: an embedded copy with some words
+    changed loses its runs of min_words or more unchanged words. Null and empty texts stay as they are, rows without a
+    doc_id are left alone. Words that stay keep their bytes and order, lines that stay whole are joined by a newline. keep names the input columns to return (all by
     default); new columns replace input columns of the same name. An empty table gives an empty result."""
     gone = repeated_lines(docs, p, doc_id, text)
     gone = gone.groupBy(F.col("id").alias("_gone_id")).agg(F.sort_array(F.collect_set(F.struct("line", "cls"))).alias("_gone"), F.sort_array(F.collect_set("kept_id")).alias("_kept_in"))
@@ -175,6 +258,36 @@ def substring_dedup(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
             removed.append(sorted(off))
             texts[k] = "\n".join(x for i, x in enumerate(lines) if i not in off)
         kept_in = [(x or []) if r else [] for x, r in zip(kept_in, removed, strict=True)]
-        return {text: pa.array(texts, pa.string()), "n_lines": pa.array(counts, pa.int32()), "removed_lines": pa.array(removed, pa.list_(pa.int32())), "kept_in": pa.array(kept_in, pa.list_(pa.int64()))}
-
-    return add_columns(both, f"`{text}` string, n_lines int, removed_lines array<int>, kept_in array<long>", work, text, names)
+        return {text: pa.array(texts, pa.string()), "n_lines": pa.array(counts, pa.int32()), "removed_lines": pa.array(removed, pa.list_(pa.int32())), "_kept_in": pa.array(kept_in, pa.list_(pa.int64()))}
+
+    made = f"`{text}` string, n_lines int, removed_lines array<int>, "
+    rest = saved(add_columns(both, made + "_kept_in array<long>", work, text, list(dict.fromkeys([*names, doc_id]))), free=True)
+    spans = repeated_spans(rest, p, doc_id, text).groupBy(F.col("id").alias("_span_id"))
+    spans = spans.agg(F.collect_list(F.struct("at", "span", "kept_id", "kept_at")).alias("_spans"))
+    again = rest.join(spans, F.col(doc_id) == F.col("_span_id"), "left")
+
+    def cut(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        texts, kept_in, counts = batch.column(text).to_pylist(), batch.column("_kept_in").to_pylist(), []
+        for k, spans in enumerate(batch.column("_spans")):
+            counts.append(0)
+            if not spans.is_valid or texts[k] is None:
+                continue
+            found = pa.RecordBatch.from_struct_array(spans.values)
+            at, span, kept_id, kept_at = (found.column(c).to_numpy() for c in ("at", "span", "kept_id", "kept_at"))
+            alone = pa.array([texts[k]], pa.large_string())
+            words, own = Words(alone), _windows(alone, p)[2]
+            same = at < len(own)  # rows with one doc_id can differ
+            same[same] = own[at[same]] == span[same]
+            # a copy that overlaps its first one leaves that one whole
+            mine = kept_id == batch.column(doc_id)[k].as_py()
+            lo = np.where(mine, np.maximum(at, kept_at + p.min_words), at)[same]
+            steps = np.zeros(len(words.start) + 1, np.int64)
+            np.add.at(steps, lo, 1)
+            np.add.at(steps, at[same] + p.min_words, -1)
+            off = steps.cumsum()[:-1] > 0
+            counts[k] = int(off.sum())
+            texts[k] = cut_words(texts[k], off, words)
+            kept_in[k] = sorted({*kept_in[k], *kept_id[same].tolist()})
+        return {text: pa.array(texts, pa.string()), "n_lines": batch.column("n_lines"), "removed_lines": batch.column("removed_lines"), "cut_words": pa.array(counts, pa.int32()), "kept_in": pa.array(kept_in, pa.list_(pa.int64()))}
+
+    return add_columns(again, made + "cut_words int, kept_in array<long>", cut, text, names)

@@ -58,11 +58,11 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.v) AS component_id FROM n JOIN
 
 @query
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the paragraphs that repeat an earlier one, and where their first copies are."""
+    """Every document without the paragraphs and spans that repeat an earlier one, and where their first copies are."""
     from cuboid.llm.paragraphs import substring_dedup
 
     out = substring_dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return out.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines", "kept_in", "text")
+    return out.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines", "cut_words", "kept_in", "text")
 
 
 @query
