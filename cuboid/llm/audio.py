@@ -1,8 +1,8 @@
 """Media columns: chroma fingerprints of audio, and a search that aligns recordings.
 
 A recording's spectrogram is folded into 12 pitch classes a frame. Rectangle filters over an integral image of these
-frames give two bits each, 16 filters a 32-bit integer per frame. Recordings that hold the same run of integers vote
-for an offset; the best offsets of a pair are verified by the share of bits that differ where the two overlap.
+frames give two bits each, 16 filters a 32-bit integer per frame. Frames whose integers agree outside one of four groups of filters vote for
+an offset; every offset with enough votes is verified by the share of bits that differ where the two overlap.
 Recordings with equal fingerprints are one class, and classes are compared, not copies.
 """
 
@@ -24,15 +24,15 @@ from cuboid.llm.textops import mix, signed
 @dataclass(frozen=True)
 class Chroma:
     """rate: samples a second that recordings are expected to have. frame, hop: samples. low, high: Hz that count.
-    run: integers in a row that make a vote. votes: least votes of an offset. errors: largest share of bits that
-    differ. overlap: least frames that two recordings share at an offset."""
+    run: integers in a row that make a vote, of which a quarter of the bits can differ. votes: least frames that vote for
+    an offset. errors: largest share of bits that differ. overlap: least frames that two recordings share at an offset."""
 
     rate: int = 4000
     frame: int = 2048
     hop: int = 256
     low: float = 100.0
     high: float = 1800.0
-    run: int = 3
+    run: int = 1
     votes: int = 4
     errors: float = 0.15
     overlap: int = 32
@@ -135,52 +135,96 @@ def _key(codes: np.ndarray) -> int:
     return int(signed(mix(mix(codes.astype(np.uint64) + at).sum(dtype=np.uint64, keepdims=True)))[0])
 
 
-def align(prints: DataFrame, queries: DataFrame, c: Chroma = Chroma()) -> DataFrame:
+#: Four sub-keys of 24 bits: each leaves out another quarter of the filters, so that some bit errors keep one intact.
+MASKS = [np.uint32(sum(3 << 2 * k for k in range(16) if k % 4 != part)) for part in range(4)]
+
+
+def sub_keys(codes: np.ndarray, c: Chroma) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct sub-keys of a recording and the first frame of each."""
+    n = len(codes) - c.run + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out = []
+    for part, mask in enumerate(MASKS):
+        x = (codes & mask).astype(np.uint64)
+        h = np.full(n, np.uint64(part + 1))
+        for k in range(c.run):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x[k : k + n])
+        out.append(h)
+    keys, first = np.unique(np.concatenate(out), return_index=True)
+    return keys, first % n
+
+
+class Asked:
+    """Recordings to be found: their codes and a sorted index of their sub-keys."""
+
+    def __init__(self, keys: list[int], codes: list[np.ndarray], c: Chroma):
+        self.keys, self.codes, self.c = keys, codes, c
+        found = [sub_keys(x, c) for x in codes]
+        owner = np.repeat(np.arange(len(codes)), [len(k) for k, _ in found])
+        at = np.concatenate([a for _, a in found])
+        sub = np.concatenate([k for k, _ in found])
+        order = np.argsort(sub, kind="stable")
+        self.sub, self.owner, self.at = sub[order], owner[order], at[order]
+        self.longest = max(map(len, codes))
+
+    def matches(self, key: int, r: np.ndarray) -> list[tuple[int, int, float]]:
+        """(query, offset, errors) of the queries that align with r: of all offsets with enough votes the one with the
+        fewest errors (ties: the smaller)."""
+        sub, at = sub_keys(r, self.c)
+        lo, hi = np.searchsorted(self.sub, sub), np.searchsorted(self.sub, sub, side="right")
+        n = hi - lo
+        rows = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        # a frame votes once, however many sub-keys agree
+        step = self.longest + len(r)
+        votes = np.unique((self.owner[rows] * step + self.at[rows] - np.repeat(at, n) + len(r)) * self.longest + self.at[rows])
+        found, n = np.unique(votes // self.longest, return_counts=True)
+        best: dict[int, tuple[float, int]] = {}
+        for v in found[n >= self.c.votes].tolist():
+            k, o = v // step, v % step - len(r)
+            if self.keys[k] == key:
+                continue
+            q, a, b = self.codes[k], max(o, 0), max(-o, 0)
+            n = min(len(q) - a, len(r) - b)
+            if n >= self.c.overlap:
+                errors = int(np.bitwise_count(q[a : a + n] ^ r[b : b + n]).sum()) / (32 * n)
+                if errors <= self.c.errors:
+                    best[k] = min(best.get(k, (2.0, 0)), (errors, o))
+        return [(self.keys[k], o, e) for k, (e, o) in best.items()]
+
+
+def align(prints: DataFrame, queries: DataFrame, c: Chroma = Chroma(), limit: int = 1_000_000) -> DataFrame:
     """(query_key, class_key, offset, errors): the classes that align with a query class, each pair at its best
     offset (frames that the match starts later in the query), a class with itself left out.
 
-    prints: (class_key, codes), one row a class; queries: some of its class_keys."""
-
-    def runs(batches):
-        for batch in batches:
-            keys, codes = batch.column("class_key").to_numpy(), batch.column("codes")
-            out_key, out_cls, out_at = [], [], []
-            for cls, x in zip(keys, codes, strict=True):
-                x = np.asarray(x.values).view(np.uint32).astype(np.uint64)
-                n = len(x) - c.run + 1
-                if n <= 0:
-                    continue
-                h = np.zeros(n, dtype=np.uint64)
-                for k in range(c.run):
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x[k : k + n])
-                h, first = np.unique(h, return_index=True)  # a run votes once for a recording
-                out_key.append(h)
-                out_cls.append(np.full(len(h), cls))
-                out_at.append(first)
-            if out_key:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(out_key))), pa.array(np.concatenate(out_cls)), pa.array(np.concatenate(out_at).astype(np.int32))], names=["run", "class_key", "at"])
-
-    index = saved(prints.select("class_key", "codes").mapInArrow(runs, "run long, class_key long, at int"))
-    asked = index.join(queries.select("class_key"), "class_key", "left_semi").select("run", F.col("class_key").alias("query_key"), F.col("at").alias("q_at"))
-    votes = asked.join(index, "run").filter("query_key <> class_key")
-    votes = votes.groupBy("query_key", "class_key", (F.col("q_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= c.votes)
-    # ties of votes: the smaller offset
-    votes = votes.groupBy("query_key", "class_key").agg(F.max_by("offset", F.struct("votes", -F.col("offset"))).alias("offset"))
-
-    def check(batches):
-        for batch in batches:
-            errors = []
-            for o, q, r in zip(batch.column("offset").to_pylist(), batch.column("q"), batch.column("r"), strict=True):
-                q, r = np.asarray(q.values).view(np.uint32), np.asarray(r.values).view(np.uint32)
-                a, b = max(o, 0), max(-o, 0)
-                n = min(len(q) - a, len(r) - b)
-                errors.append(float(np.bitwise_count(q[a : a + n] ^ r[b : b + n]).sum() / (32 * n)) if n >= c.overlap else 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column("query_key"), batch.column("class_key"), batch.column("offset"), pa.array(errors, pa.float64())], names=["query_key", "class_key", "offset", "errors"])
-
-    left = prints.select(F.col("class_key").alias("query_key"), F.col("codes").alias("q"))
-    right = prints.select("class_key", F.col("codes").alias("r"))
-    both = saved(votes).join(left, "query_key").join(right, "class_key").select("query_key", "class_key", "offset", "q", "r")
-    return both.mapInArrow(check, "query_key long, class_key long, offset int, errors double").filter(F.col("errors") <= c.errors)
+    prints: (class_key, codes), one row a class; queries: some of its class_keys. Queries are broadcast in passes of
+    about limit integers, and votes are counted where a class is read, so that no vote is shuffled."""
+    spark = prints.sparkSession
+    asked = saved(prints.select("class_key", "codes").join(queries.select("class_key"), "class_key", "left_semi"))
+    total = asked.agg(F.sum(F.size("codes"))).first()[0] or 0
+    passes = -(-total // limit)
+    schema = "query_key long, class_key long, offset int, errors double"
+    out = spark.createDataFrame([], schema)
+    for k in range(passes):
+        part = asked.filter(F.pmod(F.xxhash64("class_key"), F.lit(passes)) == k).toArrow()
+        if not part.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((part.column("class_key").to_pylist(), [np.array(x.values).view(np.uint32) for x in part.column("codes")]))
+
+        def run(batches, sent=sent):
+            index = None
+            for batch in batches:
+                index = index or Asked(*sent.value, c)
+                rows = []
+                for key, codes in zip(batch.column("class_key").to_pylist(), batch.column("codes"), strict=True):
+                    rows += [(q, key, o, e) for q, o, e in index.matches(key, np.asarray(codes.values).view(np.uint32))]
+                columns = list(zip(*rows, strict=True)) or [()] * 4
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["query_key", "class_key", "offset", "errors"])
+
+        out = out.unionByName(saved(prints.select("class_key", "codes").mapInArrow(run, schema)))
+        sent.unpersist()
+    return out
 
 
 def melodies(vectors: DataFrame, note: int = 512, rate: int = 4000, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -430,6 +430,27 @@ def test_recordings_align(spark):
     assert not got[1].matches
 
 
+def test_noisy_copies_are_found(spark):
+    c, rng = audio.Chroma(), np.random.default_rng(11)
+    media = audio.melodies(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").limit(80))
+    tunes = [(r.vec_id, audio.read_wav(r.wav)) for r in media.collect()]
+    codes, want = {k: audio.fingerprint(x, c) for k, x in tunes}, set()
+    for k, x in tunes:
+        cut = 512 * (k % 3)
+        codes[10_000 + k] = audio.fingerprint(x[cut:] + rng.normal(0, (0.1, 0.2, 0.25, 0.3)[k % 4], len(x) - cut), c)
+    for q in (k for k in codes if k >= 10_000):
+        for r in codes:  # brute force over all offsets
+            for o in range(-len(codes[r]) + c.overlap, len(codes[q]) - c.overlap + 1) if r != q else ():
+                a, b = max(o, 0), max(-o, 0)
+                n = min(len(codes[q]) - a, len(codes[r]) - b)
+                if np.bitwise_count(codes[q][a : a + n] ^ codes[r][b : b + n]).sum() <= c.errors * 32 * n:
+                    want.add((q, r))
+                    break
+    prints = spark.createDataFrame([(k, x.view(np.int32).tolist()) for k, x in codes.items()], "class_key long, codes array<int>")
+    got = {(r.query_key, r.class_key) for r in audio.align(prints, prints.filter("class_key >= 10000").select("class_key"), c, 5000).collect()}
+    assert len(want) > 60 and got <= want and len(got) >= 0.9 * len(want)
+
+
 # pipeline
 
 
