@@ -102,8 +102,33 @@ def truncated_normal(u: Column, low: float, high: float, std: float) -> Column:
     return inverse(u)
 
 
+_STEPS = (10007, 20011, 30011, 40009, 50021, 60013, 70001, 80021, 90001, 100003)  # primes
+
+
+def offered(need: DataFrame, stock: DataFrame, seed: int = 0, buckets: int = 1024) -> DataFrame:
+    """Rows of need (frame_id, label, missing) with the boxes of stock (box_idx, label) that they are offered, numbered
+    by _k from 1: missing different ones of the class, all of it where it has fewer.
+
+    A class is numbered in a random order, by hashed buckets; a frame takes numbers from a random start in steps that
+    are prime to the size of the class, so that it meets the boxes it takes and no others."""
+    u = F.expr(uniform(seed, "stock", "box_idx"))
+    rows = stock.drop("frame_id").withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * buckets))
+    sizes = rows.groupBy("label", "_b").agg(F.count("*").alias("_m"))
+    mine = Window.partitionBy("label")
+    sizes = sizes.withColumns({"_n": F.sum("_m").over(mine), "_before": F.sum("_m").over(mine.orderBy("_b")) - F.col("_m")}).drop("_m")
+    at = F.row_number().over(Window.partitionBy("label", "_b").orderBy("_u", "box_idx")) - 1
+    rows = rows.withColumn("_at", at).join(sizes.drop("_n"), ["label", "_b"]).withColumn("_at", F.col("_at") + F.col("_before")).drop("_u", "_b", "_before")
+    need = need.join(sizes.select("label", "_n").distinct(), "label")
+    step = F.array(*map(F.lit, _STEPS))[F.floor(F.expr(uniform(seed, "step", "frame_id", "label")) * len(_STEPS)).cast("int")]
+    step = F.when(F.col("_n") % step == 0, 1).otherwise(step)
+    start = F.floor(F.expr(uniform(seed, "paste", "frame_id", "label")) * F.col("_n"))
+    slots = need.withColumns({"_start": start, "_step": step}).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.least("missing", "_n"))))
+    slots = slots.withColumn("_at", (F.col("_start") + F.col("_k") * F.col("_step")) % F.col("_n")).drop("_n", "_start", "_step")
+    return slots.join(rows, ["label", "_at"]).drop("_at")
+
+
 def place(boxes: DataFrame, stock: DataFrame, targets: dict[int, int], seed: int = 0, reach: tuple[float, float, float] | None = None, std: float | None = None, attempts: int = 0) -> DataFrame:
-    """Boxes of stock (box_idx, label, box columns; of bounded size) to paste into frames: for every class the first
+    """Boxes of stock (box_idx, label, box columns) to paste into frames: for every class the first
     missing ones of a random order, kept in that order if they meet no box of the frame and none kept before (classes
     in the order of targets). Candidates that collide are not replaced.
 
@@ -112,10 +137,8 @@ def place(boxes: DataFrame, stock: DataFrame, targets: dict[int, int], seed: int
     of better candidates that are kept, and by an earlier try of its own candidate."""
     need = deficit(boxes, targets).filter("missing > 0")
     order = F.create_map(*[F.lit(x) for i, k in enumerate(targets) for x in (k, i)])
-    u = F.expr(uniform(seed, "paste", "frame_id", "box_idx"))
-    drawn = need.join(stock.drop("frame_id"), "label").withColumn("_u", u)
-    ranked = drawn.withColumn("_k", F.row_number().over(Window.partitionBy("frame_id", "label").orderBy("_u", "box_idx"))).filter("_k <= missing")
-    ranked = ranked.withColumn("rank", order[F.col("label")] * 1_000_000 + F.col("_k")).drop("_u", "_k", "missing")
+    ranked = offered(need, stock, seed)
+    ranked = ranked.withColumn("rank", order[F.col("label")] * 1_000_000 + F.col("_k")).drop("_k", "missing")
     ranked = ranked.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(attempts))))
     if attempts and reach is not None:
         for n, r in zip(("cx", "cy", "cz"), reach, strict=True):

@@ -363,7 +363,7 @@ def copy_paste_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def copy_paste_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes pasted into frames that lack some, without collisions."""
     gt = view(spark, sf_dir, "gt")
-    placed = augment.place(gt, gt.filter("box_idx % 10 = 3"), _TARGETS, 5)
+    placed = augment.place(gt, gt, _TARGETS, 5)
     return placed.select("frame_id", "label", "box_idx")
 
 
@@ -371,7 +371,7 @@ def copy_paste_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 def copy_paste_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with up to five random offsets for every candidate."""
     gt = view(spark, sf_dir, "gt")
-    placed = augment.place(gt, gt.filter("box_idx % 10 = 3"), _TARGETS, 5, (4.0, 4.0, 0.5), 2.0, 5)
+    placed = augment.place(gt, gt, _TARGETS, 5, (4.0, 4.0, 0.5), 2.0, 5)
     return rounded(placed.select("frame_id", "label", "box_idx", "cx", "cy", "cz"))
 
 

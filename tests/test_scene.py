@@ -144,6 +144,23 @@ def test_jittered_pastes_are_the_loops(spark):
     assert values == sorted(values) and -1 <= values[0] < -0.9 and 1.8 < values[-1] <= 2
 
 
+def test_whole_stock_is_offered(spark):
+    from cuboid.queries import QUERIES
+
+    stock = spark.createDataFrame([(i, i % 3, 0) for i in range(100)], "box_idx long, label int, frame_id long")
+    need = spark.createDataFrame([(f, c, m) for f in range(40) for c, m in ((0, 5), (1, 50), (2, 1))], "frame_id long, label int, missing long")
+    got = augment.offered(need, stock, 7).collect()
+    seen = {}
+    for r in got:
+        assert r.box_idx % 3 == r.label
+        seen.setdefault((r.frame_id, r.label), []).append(r.box_idx)
+    for f in range(40):
+        assert [len(set(seen[f, c])) for c in range(3)] == [len(seen[f, c]) for c in range(3)] == [5, 33, 1]
+    assert {r.box_idx for r in got if r.label == 0} == set(range(0, 100, 3))
+    rows = QUERIES["copy_paste_place"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.box_idx % 10 for r in rows} - {3}
+
+
 def plain_errors(pred, gt, below=2.0, start=11):
     """Matching, running means and interpolation for one class with numpy: the five mean errors."""
     taken, rows = set(), []
