@@ -14,7 +14,7 @@ def _print(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the undirected edges (u, v): root is the smallest node it reaches.
+    """A saved table (node, root) for every node of the undirected edges (u, v): root is the smallest node it reaches.
 
     Loops and repeated edges are allowed; rows with a null end are ignored. Each round halves the paths' depth; the
     minima are pre-aggregated, so that a node with very many edges needs no task of its own."""
@@ -25,15 +25,16 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = saved(both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w")))
         # large star: larger neighbours move to the smallest one
-        big = saved(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).filter("u <> v").distinct())
+        big = saved(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).filter("u <> v").distinct(), low, e)
         # small star: smaller neighbours and the node itself move to the smallest one
         low = saved(big.groupBy("u").agg(F.min("v").alias("w")))
         moved = big.join(low, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(low.select("u", F.col("w").alias("v")))
-        e = saved(moved.filter("u <> v").distinct())
+        e = saved(moved.filter("u <> v").distinct(), low, big)
         after = _print(e)
         if after == before:
             break
         before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+    found = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+    return saved(found, e)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -12,13 +11,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuboid.llm.components import components
-from cuboid.llm.tables import saved, small
+from cuboid.llm.tables import drop, saved, small
 
 #: Kinds of key rows: the set pairs with all others of its key, only with heavy ones, or is heavy itself.
 ALL, LISTED, HEAVY = 0, 1, 2
 WORDS = 16  # of a bitmap
 
 
+def bitmap_bits(count: int) -> int:
+    """Bits (as a power of two) of a bitmap that lets pass about one in 16 other keys; 2**27 at most, beyond which a
+    bitmap lets more pass and the join behind it does the rest."""
+    return min(27, max(16, (16 * max(count, 1)).bit_length()))
+
+
 def marks(classes: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of 2**bits bits that has the low bits of every class key (cls): of fixed size at any input."""
     rows = (
@@ -41,7 +46,7 @@ def marked(bitmap: np.ndarray, cls: np.ndarray, bits: int) -> np.ndarray:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of classes with 100 * intersection >= percent * union. sets: (cls, members), sorted
-    distinct 64-bit integers as bytes."""
+    distinct 64-bit integers as bytes. pairs is a saved table."""
 
     def run(batches):
         for batch in batches:
@@ -55,52 +60,25 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     a = sets.select(F.col("cls").alias("u"), F.col("members").alias("a"))
     b = sets.select(F.col("cls").alias("v"), F.col("members").alias("b"))
-    return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return a.join(small(pairs), "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """Of rows (key, cls, n, kind) those whose key joins two classes, with lo: the key's smallest (cls, n)."""
-    w = Window.partitionBy("key")
+    """Of rows (key, cls, n, at, kind) the distinct ones whose key joins two classes, as a saved table.
+
+    Keys are counted with partial sums and joined back, so that a key with very many rows meets in no one task."""
+    keys = saved(keys)
+    heads = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("kind").alias("low"), F.max("kind").alias("top"))
     # a key without heavy sets joins nothing if all its sets are merely listed
-    keys = keys.withColumns({"lo": F.min(F.struct("cls", "n")).over(w), "hi": F.max("cls").over(w), "low": F.min("kind").over(w), "top": F.max("kind").over(w)})
-    return keys.filter(f"lo.cls < hi and not (low = {LISTED} and top = {LISTED})").drop("hi", "low", "top")
+    heads = saved(heads.filter(f"lo < hi and not (low = {LISTED} and top = {LISTED})").select("key"))
+    found = saved(keys.join(small(heads), "key", "left_semi"), keys, heads)
+    return saved(found.distinct(), found)
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def candidates(shared: DataFrame, least: Callable[[Column], Column], percent: int) -> DataFrame:
-    """The rows of shared whose class has as many keys as a similar pair must share, with its smallest partner."""
-    n = F.floor(F.col("n") * percent / 100)
-    able = shared.groupBy("cls", "n").agg(F.count("*").alias("k"), F.min("kind").alias("kind"))
-    able = able.filter((F.col("kind") == ALL) | (F.col("k") >= least(n))).select("cls")
-    return shared.join(small(saved(able)), "cls", "left_semi")
-
-
-def rare_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, cls, n, at, earlier) such that any two similar sets of sets (cls, members) have a key in common: with all
-    members ordered by how many sets hold them, the first n - ceil(t n) + 1, at being a member's rank and earlier the keys before it. Members of a
-    single set come first in that order and join nothing, so only their number matters."""
-
-    def run(batches):
-        for batch in batches:
-            members = [np.frombuffer(m.as_buffer(), np.int64) for m in batch.column("members")]
-            sizes = [len(m) for m in members]
-            if members:
-                cls = np.repeat(batch.column("cls").to_numpy(), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(members)), pa.array(cls), pa.array(np.repeat(sizes, sizes).astype(np.int32))], names=["key", "cls", "n"])
-
-    rows = sets.select("cls", "members").mapInArrow(run, "key long, cls long, n int")
-    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("key"))).filter("df > 1")
-    mine = Window.partitionBy("cls")
-    rows = rows.withColumns({"at": F.row_number().over(mine.orderBy("df", "key")), "held": F.count("*").over(mine)})
-    rows = rows.withColumn("at", F.col("at") + F.col("n") - F.col("held")).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    # of all common keys a pair is to be found at the first one only
-    earlier = F.collect_list("key").over(mine.orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.select("key", "cls", "n", "at", earlier.alias("earlier"))
-
-
 def bitmaps(sets: DataFrame) -> DataFrame:
     """(cls, b0, b1, ...): WORDS longs, a bit of which is set if a member falls on it. Where two sets' bits differ,
     the sets do."""
@@ -116,30 +94,28 @@ def bitmaps(sets: DataFrame) -> DataFrame:
     return sets.select("cls", "members").mapInArrow(run, "cls long, " + ", ".join(f"b{i} long" for i in range(WORDS)))
 
 
-def link(shared: DataFrame, sets: DataFrame, percent: int, least: Callable[[Column], Column] = lambda n: F.lit(1)) -> DataFrame:
-    """(node, root) of the classes that similar pairs connect; shared comes from shared_keys.
-
-    Every class is first compared with the smallest class of the keys that it shares most often with one (and at
-    least(n) / 4 times, unless it is of kind ALL): a guess that connects much of a large group. Then classes whose
-    key has several components meet again by their rarest members (rare_keys). Pairs that the rank of a common member
-    or the bitmaps rule out are dropped in that join, all others are compared, so no similar pair is lost."""
-    stars = shared.filter((F.col("cls") != F.col("lo.cls")) & _fits(F.col("n"), F.col("lo.n"), percent))
-    stars = stars.groupBy("cls", "n", F.col("lo.cls").alias("v")).agg(F.count("*").alias("k"), F.min("kind").alias("kind"))
-    stars = stars.filter((F.col("kind") == ALL) | (4 * F.col("k") >= least(F.col("n"))))
-    stars = saved(stars.groupBy("cls").agg(F.max_by("v", F.struct("k", "v")).alias("v")).select(F.col("cls").alias("u"), "v"))
-    links = saved(verified(stars, sets, percent), free=True)
-    roots = components(links).withColumnRenamed("node", "cls")
-    w = Window.partitionBy("key")
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)})
-        return rows.filter("lo < hi").drop("lo", "hi")
-
-    rest = mixed(shared.select("key", "cls").join(small(saved(roots)), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-    rest = saved(rest.select("cls", "root").distinct(), free=True)
-    mine = saved(sets.join(small(rest), "cls", "left_semi"))
-    keys = saved(mixed(rare_keys(mine, percent).join(small(rest), "cls")), free=True)
-    both = keys.join(bitmaps(mine), "cls")
+def link(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A saved table (node, root) of the classes that similar pairs connect; shared comes from shared_keys.
+
+    Every class is first compared with one class of its keys: the one whose keys hold most rows, which is in the midst
+    of its group (the common origin of changed copies, say). That connects most of a large group with a link per
+    class. Then all pairs of classes that share a key and are still in different components are compared, but for
+    those that the sizes, the rank of a common member or the bitmaps rule out. So no similar pair is lost."""
+    heads = saved(shared.groupBy("key").agg(F.count("*").alias("m")))
+    weight = saved(shared.join(small(heads), "key").groupBy("cls").agg(F.sum("m").alias("m")), heads)
+    ranked = saved(shared.select("key", "cls", "n").join(small(weight), "cls"), weight)
+    tops = saved(ranked.groupBy("key").agg(F.max(F.struct("m", "cls", "n")).alias("top")).select("key", F.col("top.cls").alias("v"), F.col("top.n").alias("n_v")))
+    stars = ranked.join(small(tops), "key").filter((F.col("cls") != F.col("v")) & _fits(F.col("n"), F.col("n_v"), percent))
+    stars = saved(stars.groupBy("cls", "v").agg(F.count("*").alias("k")), ranked, tops)
+    stars = saved(stars.groupBy("cls").agg(F.max_by("v", F.struct("k", "v")).alias("v")).select(F.col("cls").alias("u"), "v"), stars)
+    links = saved(verified(stars, sets, percent), stars)
+    roots = components(links)
+    named = shared.join(small(roots), F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
+    rows = saved(named)
+    mixed = saved(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key"))
+    rest = saved(rows.join(small(mixed), "key", "left_semi"), rows, mixed)
+    bits = saved(bitmaps(sets))
+    both = saved(rest.join(bits, "cls"), rest, bits)
     a, b = (both.select("key", *[F.col(c).alias(f"{c}_{x}") for c in both.columns if c != "key"]) for x in "ab")
     total = F.col("n_a") + F.col("n_b")
     # the first common member bounds the intersection by what comes after it in either set
@@ -147,6 +123,11 @@ def link(shared: DataFrame, sets: DataFrame, percent: int, least: Callable[[Colu
     apart = reduce(add, (F.bit_count(F.col(f"b{i}_a").bitwiseXOR(F.col(f"b{i}_b"))) for i in range(WORDS)))
     pairs = a.join(b, "key").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")))
     pairs = pairs.filter((most * (100 + percent) >= percent * total) & (apart * (100 + percent) <= (100 - percent) * total))
-    pairs = saved(pairs.filter(~F.arrays_overlap("earlier_a", "earlier_b")).select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v")))
-    more = saved(verified(pairs, sets, percent), free=True)
-    return components(links.unionByName(more)) if more.take(1) else roots.withColumnRenamed("cls", "node")
+    pairs = saved(pairs.select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v")).distinct(), both)
+    more = saved(verified(pairs, sets, percent), pairs)
+    out = components(links.unionByName(more)) if more.take(1) else None
+    drop(links, more)
+    if out is None:
+        return roots
+    drop(roots)
+    return out

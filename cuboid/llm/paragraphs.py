@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuboid.llm.linking import ALL, link, marked, marks, shared_keys
-from cuboid.llm.tables import add_columns, saved, small
+from cuboid.llm.linking import ALL, bitmap_bits, link, marked, marks, shared_keys
+from cuboid.llm.tables import add_columns, drop, fresh, saved, small
 from cuboid.llm.textops import Words, distinct_sets, mix, shingles, signed, slices, windows
 
 
@@ -36,9 +36,7 @@ class Bands:
     min_words: int = 20
     bands: int = 16
     rows: int = 4
-    mark_bits: int = 24
     gram: int = 8  # words of an anchor, min_words at most
-    span_bits: int = 26
 
     @property
     def recall(self) -> float:
@@ -95,7 +93,7 @@ def _lines(docs: DataFrame, p: Bands, doc_id: str, text: str) -> DataFrame:
 
 
 def _keys(docs: DataFrame, p: Bands, text: str) -> DataFrame:
-    """(key, cls, n, kind): the band keys of every class, once per partition."""
+    """(key, cls, n, at, kind): the band keys of every class, once per partition."""
 
     def run(batches):
         seen: set[int] = set()
@@ -107,20 +105,21 @@ def _keys(docs: DataFrame, p: Bands, text: str) -> DataFrame:
                 part = np.concatenate([values[begin[r] : begin[r + 1]] for r in rows])
                 keys = signed(signatures(part, np.concatenate(([0], np.cumsum(sizes))), p))
                 n = len(rows) * p.bands
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(cls[rows], p.bands)), pa.array(np.repeat(sizes, p.bands).astype(np.int32)), pa.array(np.full(n, ALL, np.int8))], names=["key", "cls", "n", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(cls[rows], p.bands)), pa.array(np.repeat(sizes, p.bands).astype(np.int32)), pa.array(np.ones(n, np.int32)), pa.array(np.full(n, ALL, np.int8))], names=["key", "cls", "n", "at", "kind"])
 
-    return docs.select(text).mapInArrow(run, "key long, cls long, n int, kind byte")
+    return docs.select(text).mapInArrow(run, "key long, cls long, n int, at int, kind byte")
 
 
 def _members(docs: DataFrame, classes: DataFrame, p: Bands, text: str) -> DataFrame:
-    """(cls, members): the set of every class in classes (cls)."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(marks(classes, p.mark_bits))
+    """(cls, members): the set of every class in the saved table classes (cls)."""
+    bits = bitmap_bits(classes.count())
+    bitmap = docs.sparkSession.sparkContext.broadcast(marks(classes, bits))
 
     def run(batches):
         seen: set[int] = set()
         for batch in slices(batches, text):
             values, begin, cls = paragraph_sets(split(batch.column(text))[0], p)
-            rows = _unseen(np.flatnonzero((np.diff(begin) > 0) & marked(bitmap.value, cls, p.mark_bits)), cls, seen)
+            rows = _unseen(np.flatnonzero((np.diff(begin) > 0) & marked(bitmap.value, cls, bits)), cls, seen)
             yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), pa.array([values[begin[r] : begin[r + 1]].tobytes() for r in rows], pa.binary())], names=["cls", "members"])
 
     found = docs.select(text).mapInArrow(run, "cls long, members binary")
@@ -137,21 +136,24 @@ def _unseen(rows: np.ndarray, cls: np.ndarray, seen: set[int]) -> np.ndarray:
 
 
 def repeated_lines(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, line, cls, kept_id, kept_line): every paragraph to remove, and the copy that stays.
+    """A saved table (id, line, cls, kept_id, kept_line): every paragraph to remove, and the copy that stays.
 
     Of a group of similar paragraphs the one with the smallest (doc_id, line) stays. Rows without a doc_id take no
     part. Repeated rows with one doc_id and text count as one paragraph each."""
     docs = docs.filter(F.col(doc_id).isNotNull())
     lines = saved(_lines(docs, p, doc_id, text))
-    shared = saved(shared_keys(_keys(docs, p, text)), free=True)
-    sets = saved(_members(docs, saved(shared.select("cls").distinct()), p, text), free=True)
-    roots = link(shared, sets, p.percent).withColumnRenamed("node", "cls")
+    shared = shared_keys(_keys(docs, p, text))
+    names = saved(shared.select("cls").distinct())
+    sets = saved(_members(docs, names, p, text), names)
+    roots = link(shared, sets, p.percent)
+    drop(shared, sets)
     classes = lines.groupBy("cls").agg(F.min(F.struct("id", "line")).alias("lo"), F.max(F.struct("id", "line")).alias("hi"))
-    classes = saved(classes.join(small(saved(roots)), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    classes = classes.join(small(roots), F.col("cls") == F.col("node"), "left").select("cls", "lo", "hi", F.coalesce("root", "cls").alias("root"))
+    classes = saved(classes, roots)
     groups = saved(classes.groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("root", "lo"))
-    classes = saved(classes.select("cls", "root").join(groups, "root").select("cls", "lo"))
+    classes = saved(classes.select("cls", "root").join(small(groups), "root").select("cls", "lo"), classes, groups)
     out = lines.join(small(classes), "cls").filter((F.col("id") != F.col("lo.id")) | (F.col("line") != F.col("lo.line")))
-    return saved(out.select("id", "line", "cls", F.col("lo.id").alias("kept_id"), F.col("lo.line").alias("kept_line")), free=True)
+    return saved(out.select("id", "line", "cls", F.col("lo.id").alias("kept_id"), F.col("lo.line").alias("kept_line")), classes, lines)
 
 
 def _windows(column: pa.Array, p: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -184,13 +186,14 @@ def _anchors(docs: DataFrame, p: Bands, text: str) -> DataFrame:
 
 
 def _spans(docs: DataFrame, shared: DataFrame, p: Bands, doc_id: str, text: str) -> DataFrame:
-    """(span, id, at): the windows whose anchor is in shared (cls)."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(marks(shared, p.span_bits))
+    """(span, id, at): the windows whose anchor is in the saved table shared (cls), and a few others."""
+    bits = bitmap_bits(shared.count())
+    bitmap = docs.sparkSession.sparkContext.broadcast(marks(shared, bits))
 
     def run(batches):
         for batch in slices(batches, text):
             row, at, span, anchor, _ = _windows(batch.column(text), p)
-            here = np.flatnonzero(marked(bitmap.value, anchor, p.span_bits))
+            here = np.flatnonzero(marked(bitmap.value, anchor, bits))
             ids = batch.column(doc_id).cast(pa.int64()).take(pa.array(row[here]))
             yield pa.RecordBatch.from_arrays([pa.array(span[here]), ids, pa.array(at[here].astype(np.int32))], names=["span", "id", "at"])
 
@@ -198,14 +201,15 @@ def _spans(docs: DataFrame, shared: DataFrame, p: Bands, doc_id: str, text: str)
 
 
 def repeated_spans(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, at, span, kept_id, kept_at): every window of min_words words (at: its first word) that stands at a smaller
+    """A saved table (id, at, span, kept_id, kept_at): every window of min_words words (at: its first word) that stands at a smaller
     (doc_id, word) too, and the smallest such place. Rows without a doc_id take no part."""
     docs = docs.filter(F.col(doc_id).isNotNull())
-    shared = saved(_anchors(docs, p, text).groupBy("cls").agg(F.sum("n").alias("n")).filter("n > 1").select("cls"), free=True)
-    rows = saved(_spans(docs, shared, p, doc_id, text))
+    shared = saved(_anchors(docs, p, text).groupBy("cls").agg(F.sum("n").alias("n")).filter("n > 1").select("cls"))
+    rows = saved(_spans(docs, shared, p, doc_id, text), shared)
     places = rows.groupBy("span").agg(F.min(F.struct("id", "at")).alias("lo"), F.max(F.struct("id", "at")).alias("hi")).filter("lo < hi")
-    out = rows.join(small(saved(places.select("span", "lo"), free=True)), "span").filter((F.col("id") != F.col("lo.id")) | (F.col("at") != F.col("lo.at")))
-    return out.select("id", "at", "span", F.col("lo.id").alias("kept_id"), F.col("lo.at").alias("kept_at"))
+    places = saved(places.select("span", "lo"))
+    out = rows.join(small(places), "span").filter((F.col("id") != F.col("lo.id")) | (F.col("at") != F.col("lo.at")))
+    return saved(out.select("id", "at", "span", F.col("lo.id").alias("kept_id"), F.col("lo.at").alias("kept_at")), rows, places)
 
 
 def cut_words(text: str, cut: np.ndarray, words: Words) -> str:
@@ -230,46 +234,52 @@ def cut_words(text: str, cut: np.ndarray, words: Words) -> str:
 
 
 def substring_dedup(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with repeated paragraphs and spans cut out of text, and n_lines, removed_lines (numbers from 0, ascending),
-    cut_words (how many words of the lines that stay were cut as repeated spans) and kept_in (ascending doc_ids that
-    keep a copy of what was removed here).
+    """docs with repeated paragraphs and spans cut out of text, and n_removed (words removed), removed_lines (numbers
+    from 0, ascending; the lines that went whole as near copies) and kept_in (ascending doc_ids that keep a copy of what was
+    removed here).
 
     Near copies are found among lines of at least min_words words. Spans are verbatim: an embedded copy with some words
-    changed loses its runs of min_words or more unchanged words. Null and empty texts stay as they are, rows without a
-    doc_id are left alone. Words that stay keep their bytes and order, lines that stay whole are joined by a newline. keep names the input columns to return (all by
-    default); new columns replace input columns of the same name. An empty table gives an empty result."""
-    gone = repeated_lines(docs, p, doc_id, text)
-    gone = gone.groupBy(F.col("id").alias("_gone_id")).agg(F.sort_array(F.collect_set(F.struct("line", "cls"))).alias("_gone"), F.sort_array(F.collect_set("kept_id")).alias("_kept_in"))
-    names = [c for c in (keep or docs.columns) if c != text]
-    both = docs.select(*dict.fromkeys([*names, doc_id, text])).join(gone, F.col(doc_id) == F.col("_gone_id"), "left").drop("_gone_id")
+    changed loses its runs of min_words or more unchanged words. Of equal texts that with the smallest doc_id stays.
+    Null and empty texts stay as they are, rows without a doc_id are left alone, and of repeated rows with one doc_id
+    every row is treated alike (what repeats an earlier place goes). Very long texts are worked on whole. Words that stay keep
+    their bytes and order, lines that stay whole are joined by a newline. keep names the input columns to return (all
+    by default); new columns replace input columns of the same name, other names cannot clash. An empty table gives an
+    empty result."""
+    names = [c for c in (docs.columns if keep is None else keep) if c not in (text, "n_removed", "removed_lines", "kept_in")]
+    taken = [*docs.columns, text, "n_removed", "removed_lines", "kept_in"]
+    gone_id, gone_in, kept_to, spans_in, row_id = (fresh(taken, f"_{x}") for x in ("gone_id", "gone", "kept_to", "spans", "row_id"))
+    lines = repeated_lines(docs, p, doc_id, text)
+    gone = lines.groupBy(F.col("id").alias(gone_id)).agg(F.sort_array(F.collect_set(F.struct("line", "cls"))).alias(gone_in), F.sort_array(F.collect_set("kept_id")).alias(kept_to))
+    # only what is returned travels; the id under a name of its own
+    both = docs.select(*names, F.col(text).alias(text), F.col(doc_id).cast("long").alias(row_id)).join(gone, F.col(row_id) == F.col(gone_id), "left").drop(gone_id)
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        texts, gone = batch.column(text).to_pylist(), batch.column("_gone").to_pylist()
-        kept_in = batch.column("_kept_in").to_pylist()
-        counts, removed = [], []
+        texts, gone = batch.column(text).to_pylist(), batch.column(gone_in).to_pylist()
+        kept_in, counts, removed = batch.column(kept_to).to_pylist(), [], []
         for k, (t, g) in enumerate(zip(texts, gone, strict=True)):
-            lines = t.split("\n") if t is not None else []
-            counts.append(len(lines))
+            counts.append(0)
             if not g or t is None:
                 removed.append([])
                 continue
-            _, _, cls = paragraph_sets(pa.array(lines, pa.large_string()), p)  # rows with one doc_id can differ
+            lines = t.split("\n")
+            mine = pa.array(lines, pa.large_string())
+            _, _, cls = paragraph_sets(mine, p)  # rows with one doc_id can differ
             off = {x["line"] for x in g if x["line"] < len(lines) and int(cls[x["line"]]) == x["cls"]}
             removed.append(sorted(off))
+            counts[k] = int(Words(mine).counts[removed[k]].sum())
             texts[k] = "\n".join(x for i, x in enumerate(lines) if i not in off)
         kept_in = [(x or []) if r else [] for x, r in zip(kept_in, removed, strict=True)]
-        return {text: pa.array(texts, pa.string()), "n_lines": pa.array(counts, pa.int32()), "removed_lines": pa.array(removed, pa.list_(pa.int32())), "_kept_in": pa.array(kept_in, pa.list_(pa.int64()))}
+        return {text: pa.array(texts, pa.string()), "n_removed": pa.array(counts, pa.int64()), "removed_lines": pa.array(removed, pa.list_(pa.int32())), kept_to: pa.array(kept_in, pa.list_(pa.int64()))}
 
-    made = f"`{text}` string, n_lines int, removed_lines array<int>, "
-    rest = saved(add_columns(both, made + "_kept_in array<long>", work, text, list(dict.fromkeys([*names, doc_id]))), free=True)
-    spans = repeated_spans(rest, p, doc_id, text).groupBy(F.col("id").alias("_span_id"))
-    spans = spans.agg(F.collect_list(F.struct("at", "span", "kept_id", "kept_at")).alias("_spans"))
-    again = rest.join(spans, F.col(doc_id) == F.col("_span_id"), "left")
+    made = f"`{text}` string, n_removed long, removed_lines array<int>, "
+    rest = saved(add_columns(both, made + f"`{kept_to}` array<long>", work, text, [*names, row_id]), lines)
+    found = repeated_spans(rest, p, row_id, text)
+    spans = found.groupBy(F.col("id").alias(gone_id)).agg(F.collect_list(F.struct("at", "span", "kept_id", "kept_at")).alias(spans_in))
+    again = rest.join(spans, F.col(row_id) == F.col(gone_id), "left")
 
     def cut(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        texts, kept_in, counts = batch.column(text).to_pylist(), batch.column("_kept_in").to_pylist(), []
-        for k, spans in enumerate(batch.column("_spans")):
-            counts.append(0)
+        texts, kept_in, counts = batch.column(text).to_pylist(), batch.column(kept_to).to_pylist(), batch.column("n_removed").to_pylist()
+        for k, spans in enumerate(batch.column(spans_in)):
             if not spans.is_valid or texts[k] is None:
                 continue
             found = pa.RecordBatch.from_struct_array(spans.values)
@@ -279,15 +289,15 @@ def substring_dedup(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
             same = at < len(own)  # rows with one doc_id can differ
             same[same] = own[at[same]] == span[same]
             # a copy that overlaps its first one leaves that one whole
-            mine = kept_id == batch.column(doc_id)[k].as_py()
+            mine = kept_id == batch.column(row_id)[k].as_py()
             lo = np.where(mine, np.maximum(at, kept_at + p.min_words), at)[same]
             steps = np.zeros(len(words.start) + 1, np.int64)
             np.add.at(steps, lo, 1)
             np.add.at(steps, at[same] + p.min_words, -1)
             off = steps.cumsum()[:-1] > 0
-            counts[k] = int(off.sum())
+            counts[k] += int(off.sum())
             texts[k] = cut_words(texts[k], off, words)
             kept_in[k] = sorted({*kept_in[k], *kept_id[same].tolist()})
-        return {text: pa.array(texts, pa.string()), "n_lines": batch.column("n_lines"), "removed_lines": batch.column("removed_lines"), "cut_words": pa.array(counts, pa.int32()), "kept_in": pa.array(kept_in, pa.list_(pa.int64()))}
+        return {text: pa.array(texts, pa.string()), "n_removed": pa.array(counts, pa.int64()), "removed_lines": batch.column("removed_lines"), "kept_in": pa.array(kept_in, pa.list_(pa.int64()))}
 
-    return add_columns(again, made + "cut_words int, kept_in array<long>", cut, text, names)
+    return add_columns(again, made + "kept_in array<long>", cut, text, names)

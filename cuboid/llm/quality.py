@@ -276,8 +276,8 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text", l
     model = saved(kneser_ney(saved(count_ngrams(docs, rules, text, lang)), rules.order))
     names = docs.columns if keep is None else keep
     if text not in names:
-        scored = saved(score(docs, model, rules, text, lang, keep), free=True)
+        scored = saved(score(docs, model, rules, text, lang, keep))
         return judge(scored, bands(scored, rules, lang), rules, lang)
     # texts are scored once more rather than kept in a table of their own
-    limits = saved(bands(saved(score(docs, model, rules, text, lang, [lang])), rules, lang), free=True)
+    limits = saved(bands(saved(score(docs, model, rules, text, lang, [lang])), rules, lang))
     return judge(score(docs, model, rules, text, lang, keep), limits, rules, lang)

@@ -62,7 +62,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuboid.llm.paragraphs import substring_dedup
 
     out = substring_dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return out.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines", "cut_words", "kept_in", "text")
+    return out.select("doc_id", "n_removed", "text", "removed_lines", "kept_in")
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,31 +16,67 @@ from cuboid.llm.textops import slices
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset a local one (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session whose executors
+    live in the driver's process (tests) gets a local one; on a cluster that is an error."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         have = f"file://{tempfile.mkdtemp(prefix='cuboid-')}"
         spark.conf.set("spark.checkpoint.dir", have)
     return have.rstrip("/")
 
 
-def saved(df: DataFrame, free: bool = False) -> DataFrame:
+#: Folders of the tables that saved() has written and nobody has dropped.
+LIVE: set[str] = set()
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def saved(df: DataFrame, *done: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage and survives lost executors.
 
-    free: the shuffle files of the work so far are of no use any more; a garbage collection on the driver lets Spark
-    delete them now rather than at some later time."""
+    Spark deletes the shuffle files of the write at its end. done: saved tables that only df was made of, deleted
+    then."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cuboid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if free:
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE, before) if before is not None else spark.conf.unset(_FREE)
+    LIVE.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    drop(*done)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes saved tables; nothing that is yet to be computed may read them."""
+    for t in tables:
+        drop_paths(t.sparkSession, [t.saved_at])
+
+
+def drop_paths(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in list(paths):
+        LIVE.discard(path)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(names: Iterable[str], name: str) -> str:
+    """name, with so many underscores before it that no column has it."""
+    have = {n.lower() for n in names}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+def small(table: DataFrame, rows: int = 1 << 16) -> DataFrame:
     """A saved table of a few short columns, to be broadcast in a join if it has at most so many rows; a larger one
-    is left to Spark, which shuffles both sides."""
-    return F.broadcast(df) if df.count() <= rows else df
+    is left to Spark, which shuffles both sides and splits skewed keys."""
+    return F.broadcast(table) if table.count() <= rows else table
 
 
 def add_columns(

@@ -220,10 +220,10 @@ def test_repeated_spans_are_cut(spark):
     rows = [(1, f"{own[0]} {passage} {own[1]}"), (2, f"{own[2]} {passage} {own[3]}\nlast"), (3, f"{own[4]}\n{short}\nend"), (4, f"{own[5]} {' '.join(words[:19])}"), (5, "a " * 60), (None, passage)]
     got = {r.doc_id: r for r in paragraphs.substring_dedup(docs_of(spark, [(i, t, "en", "s") for i, t in rows])).collect()}
     for k in (1, 4, None):
-        assert got[k].text == dict(rows)[k] and got[k].cut_words == 0
-    assert got[2].text == f"{own[2]} {own[3]}\nlast" and got[2].cut_words == 50 and got[2].kept_in == [1] and got[2].removed_lines == []
+        assert got[k].text == dict(rows)[k] and got[k].n_removed == 0
+    assert got[2].text == f"{own[2]} {own[3]}\nlast" and got[2].n_removed == 50 and got[2].kept_in == [1] and got[2].removed_lines == []
     assert got[3].text == f"{own[4]}\nend" and got[3].kept_in == [1]
-    assert got[5].text.split() == ["a"] * 20 and got[5].cut_words == 40
+    assert got[5].text.split() == ["a"] * 20 and got[5].n_removed == 40
 
 
 # mixing
