@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -63,8 +64,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return a.join(small(pairs), "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """Of rows (key, cls, n, at, kind) the distinct ones whose key joins two classes, as a saved table.
+def shared_keys(keys: DataFrame, percent: int, least: Callable[[Column], Column] = lambda n: F.lit(1)) -> DataFrame:
+    """Of rows (key, cls, n, at, kind) the distinct ones whose key joins two classes, as a saved table. Classes with
+    fewer such keys than a similar pair has in common at least (least, of the smaller set's size) are left out.
 
     Keys are counted with partial sums and joined back, so that a key with very many rows meets in no one task."""
     keys = saved(keys)
@@ -72,7 +74,9 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     # a key without heavy sets joins nothing if all its sets are merely listed
     heads = saved(heads.filter(f"lo < hi and not (low = {LISTED} and top = {LISTED})").select("key"))
     found = saved(keys.join(small(heads), "key", "left_semi"), keys, heads)
-    return saved(found.distinct(), found)
+    able = found.groupBy("cls", "n").agg(F.count("*").alias("k"), F.min("kind").alias("kind"))
+    able = saved(able.filter((F.col("kind") == ALL) | (F.col("k") >= least(F.floor(F.col("n") * percent / 100)))).select("cls"))
+    return saved(found.join(small(able), "cls", "left_semi").distinct(), found, able)
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:

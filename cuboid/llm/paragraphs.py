@@ -142,7 +142,7 @@ def repeated_lines(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
     part. Repeated rows with one doc_id and text count as one paragraph each."""
     docs = docs.filter(F.col(doc_id).isNotNull())
     lines = saved(_lines(docs, p, doc_id, text))
-    shared = shared_keys(_keys(docs, p, text))
+    shared = shared_keys(_keys(docs, p, text), p.percent)
     names = saved(shared.select("cls").distinct())
     sets = saved(_members(docs, names, p, text), names)
     roots = link(shared, sets, p.percent)

@@ -3,7 +3,7 @@
 A set with n shingles overlaps any partner in at least ceil(t n) of them, so under one global order of the shingles
 (rare ones first) the first n - ceil(t n) + l shingles of both partners have l in common. Small sets enumerate all
 subsets of SUBSET shingles of that prefix (l = SUBSET) as join keys; large sets scan the inverted lists of the single
-shingles of theirs (l = 1). The boundary is the size up to which subsets cost less than the expected lists. Sets just
+shingles of theirs (l = 1 + n // 12; sets with fewer shared ones are no candidates). The boundary is the size up to which subsets cost less than the expected lists. Sets just
 below the boundary also stand in the lists, where large sets find them.
 
 Equal sets are one class; linking.py joins the classes of a key without all pairs of a group.
@@ -38,6 +38,11 @@ class Join:
     def prefix(self, n: int, subset: int) -> int:
         return n + (-self.percent * n) // 100 + subset  # n - ceil(t n) + subset
 
+    @staticmethod
+    def least(n):
+        """Shingles that the listed prefixes of a pair have in common, n being the smaller one's size."""
+        return 1 + n // 12 if isinstance(n, int) else 1 + F.floor(n / 12)
+
 
 def _sets(column: pa.Array, p: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct shingles of all texts, where each text's begin, and a key of each set (0: empty)."""
@@ -83,7 +88,7 @@ def boundary(sketch: np.ndarray, total: int, p: Join, largest: int = 4096) -> in
     best = 0
     for n in range(2, largest):
         k = p.prefix(n, SUBSET)
-        if k * (k - 1) / 2 > p.prefix(n, 1) * (1 + entries):
+        if k * (k - 1) / 2 > p.prefix(n, p.least(n)) * (1 + entries):
             if n - best > 20:
                 break
             continue
@@ -119,7 +124,7 @@ def _keys(docs: DataFrame, sketch, bits: int, limit: int, p: Join, text: str) ->
                     out_at.append(np.ones(len(a), np.int64))
                     out_kind.append(np.full(len(a), ALL))
                 if n > limit or 100 * n >= p.percent * (limit + 1):
-                    v = v[: p.prefix(n, 1)]
+                    v = v[: p.prefix(n, p.least(n))]
                     out_key.append(v)
                     out_row.append(np.full(len(v), row))
                     out_at.append(np.arange(1, len(v) + 1))
@@ -172,7 +177,7 @@ def jaccard_components(docs: DataFrame, p: Join = Join(), doc_id: str = "doc_id"
     counts = survey.filter("cell is not null").groupBy("cell").agg(F.sum("df").alias("df")).toArrow()  # 2**bits rows at most
     sketch[counts["cell"].to_numpy()] = np.minimum(counts["df"].to_numpy(), 2**31 - 1)
     limit = boundary(sketch, rows.agg(F.sum("n")).first()[0] or 0, p)
-    shared = shared_keys(_keys(docs, spark.sparkContext.broadcast(sketch), bits, limit, p, text))
+    shared = shared_keys(_keys(docs, spark.sparkContext.broadcast(sketch), bits, limit, p, text), p.percent, p.least)
     names = saved(shared.select("cls").distinct())
     sets = saved(_marked_sets(docs, names, p, text), names)
     roots = link(shared, sets, p.percent)
