@@ -1,19 +1,21 @@
-"""SentencePiece encoding and decoding by shortest paths.
-
-The normaliser turns a text into characters with marks for blanks; the pieces and the byte fallback are a weighted
-transducer from characters to ids. Composed with a text it gives a lattice whose arcs are pieces, and the encoding is
-the lattice's shortest path in the tropical semiring. A unigram model's arcs weigh minus their score. In a BPE model
-the order of merges decides, which no sum of weights expresses; there the transducer's states remember the last
-piece, and an arc exists only if the merges of both pieces' text end in these two. Then exactly one path is left.
-
-No piece joins what stands before a blank mark, or a line break that is no piece, with what comes after, so a text's
-lattice falls into units (about words), whose paths are kept in a cache of bounded size.
+"""SentencePiece encoding and decoding by a weighted finite-state transducer.
+
+A model is compiled into three transducers. The normaliser rewrites characters by the model's own map (longest match)
+and marks blanks. The pieces are a trie from characters to ids; characters that are no piece go to an unknown id or,
+with byte fallback, to the ids of their bytes. Composing these with an input gives a lattice whose arcs are pieces, and
+the encoding is the lattice's shortest path in the tropical semiring. A unigram model's arcs weigh minus their score.
+In a BPE model the order of merges decides, which no sum of weights expresses; there the transducer's states remember
+the last piece, and an arc weighs 0 if the merges of both pieces' text end in these two and infinity if not. Then one
+path of finite weight is left.
+
+Where no piece joins what stands before a blank mark, or a line break, with what comes after, a text's lattice falls
+into units (about words). The units that a batch of texts does not share with earlier ones are composed all at once, as
+arrays of arcs, and their ids are kept in a cache of bounded size.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,44 +25,63 @@ from pyspark.sql import DataFrame
 from cuboid.llm.tables import add_columns
 
 MARK = "▁"
+LONG = 64  # characters of a unit beyond which it is composed alone
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
 
 @dataclass
 class Transducer:
     """A compiled model. kind: 1 unigram, 2 BPE. pieces: id and score of every normal piece; fallback: the ids of
-    the 256 bytes or none; out: the bytes that each id stands for."""
+    the 256 bytes or none; out: the bytes that each id stands for; rules: the normaliser's map; frozen: user-defined
+    pieces, which a BPE model takes whole before all others."""
 
     kind: int
     pieces: dict[str, tuple[int, float]]
     fallback: list[int]
     unknown: int
     out: list[bytes]
-    form: str = "identity"
+    rules: dict[str, str] = field(default_factory=dict)
+    frozen: dict[str, int] = field(default_factory=dict)
     prefix: bool = True
     squeeze: bool = False
-    cached: int = 300_000
+    cached: int = 200_000
     longest: int = field(init=False)
 
     def __post_init__(self):
         self.longest = max(map(len, self.pieces), default=1)
-        if any(MARK in p.lstrip(MARK) or "\n" in p[1:] or "\n" in p and len(p) > 1 for p in self.pieces):
-            raise ValueError("a piece joins words or lines: such models are not supported")
+        joins = any(MARK in p.lstrip(MARK) or "\n" in p and len(p) > 1 for p in self.pieces)
+        self.unit = re.compile("(?s).+") if joins else UNIT  # pieces that join words leave the text whole
         worst = min((s for _, s in self.pieces.values()), default=0.0)
         self.penalty = 10.0 - worst  # of an unknown character in a unigram model
         self.begins = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
-        self.ends = {p[n:] for p in self.pieces for n in range(len(p))}
-        self._tails: dict[str, int] = {}  # lengths of the last piece of prefixes
-        self.neighbours = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        starts = "".join({re.escape(k[0]) for k in self.rules})
+        self._rewrite = re.compile(f"[{starts}]") if starts else None
+        self._widest = max(map(len, self.rules), default=0)
+        self._whole = re.compile("|".join(map(re.escape, sorted(self.frozen, key=len, reverse=True)))) if self.frozen else None
         self._pairs: dict[tuple[str, str], bool] = {}
-        self._units = _Units(self)
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._arcs = _Arcs(self)
 
     # normaliser
 
+    def _mapped(self, text: str) -> str:
+        out, done = [], 0
+        for m in self._rewrite.finditer(text):
+            k = m.start()
+            if k < done:
+                continue
+            for n in range(min(self._widest, len(text) - k), 0, -1):
+                to = self.rules.get(text[k : k + n])
+                if to is not None:
+                    out += [text[done:k], to]
+                    done = k + n
+                    break
+        return "".join([*out, text[done:]])
+
     def normalise(self, text: str) -> str:
-        if self.form != "identity":
-            text = unicodedata.normalize("NFKC", text)
-            text = text.casefold() if self.form.endswith("_cf") else text
+        if self._rewrite:
+            text = self._mapped(text)
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         if self.prefix and text:
@@ -71,46 +92,51 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """The result of a BPE model's merges on a short text: always the best, then leftmost, pair."""
-        parts = list(text)
-        while len(parts) > 1:
+        parts, pieces = list(text), self.pieces
+        found = [pieces.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+        while found:
             best, at = None, -1
-            for k in range(len(parts) - 1):
-                found = self.pieces.get(parts[k] + parts[k + 1])
-                if found and (best is None or found[1] > best):
-                    best, at = found[1], k
+            for k, x in enumerate(found):
+                if x is not None and (best is None or x[1] > best):
+                    best, at = x[1], k
             if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del found[at]
+            if at:
+                found[at - 1] = pieces.get(parts[at - 1] + parts[at])
+            if at < len(found):
+                found[at] = pieces.get(parts[at] + parts[at + 1])
         return parts
 
     def allowed(self, a: str, b: str) -> bool:
         """Whether a BPE model's piece b can follow a (or begin a unit, a being empty)."""
-        out = self._pairs.get((a, b))
-        if out is None:
-            if len(self._pairs) > 300_000:
-                self._pairs.clear()
-            out = self._pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
-        return out
+        return self.merged(a + b) == ([a, b] if a else [b])
 
     def path(self, unit: str) -> list[str]:
-        """The pieces (or unknown single characters) on the shortest path through a unit's lattice."""
+        """The pieces (or unknown single characters) on the shortest path through one unit's lattice, arc by arc."""
         n, pieces, begins = len(unit), self.pieces, self.begins
         last: list[str | None] = [""] + [None] * n
         cost = [0.0] + [float("inf")] * n
-        bpe, pairs = self.kind == 2, self._pairs
         for k in range(n):
             before = last[k]
             if before is None:
                 continue
             i = k + 1
             while i <= n and (piece := unit[k:i]) in begins:
-                if bpe:
-                    if last[i] is None and piece in pieces and (pairs[before, piece] if (before, piece) in pairs else self.allowed(before, piece)):
+                found = pieces.get(piece)
+                if found and self.kind == 2:
+                    pair = before, piece
+                    if last[i] is None and pair not in self._pairs:
+                        self._pairs = self._pairs if len(self._pairs) < self.cached else {}
+                        self._pairs[pair] = self.allowed(before, piece)
+                    if last[i] is None and self._pairs[pair]:
                         last[i] = piece
-                elif (found := pieces.get(piece)) and cost[k] - found[1] < cost[i]:
+                elif found and cost[k] - found[1] < cost[i]:
                     cost[i], last[i] = cost[k] - found[1], piece
                 i += 1
-            if unit[k] not in pieces and cost[k] + self.penalty < cost[k + 1]:
+            # an unknown character stands alone
+            if unit[k] not in pieces and (last[k + 1] is None if self.kind == 2 else cost[k] + self.penalty < cost[k + 1]):
                 cost[k + 1], last[k + 1] = cost[k] + self.penalty, unit[k]
         out, i = [], n
         while i > 0:
@@ -121,41 +147,9 @@ class Transducer:
             i -= len(piece)
         return out[::-1]
 
-    def shared_path(self, unit: str) -> list[str]:
-        """path of a short unit in a BPE model. The path to a prefix is the prefix's own path, so the last piece's
-        length of every prefix is kept and serves all units that begin alike."""
-        tails, pieces, ends, pairs = self._tails, self.pieces, self.ends, self._pairs
-        if len(tails) > self.cached // 2:
-            tails.clear()
-        n = i = len(unit)
-        while i and unit[:i] not in tails:
-            i -= 1
-        for j in range(i + 1, n + 1):
-            k, last = j - 1, 1  # an unknown character stands alone
-            while k >= 0 and (piece := unit[k:j]) in ends:
-                if piece in pieces:
-                    pair = (unit[k - tails[unit[:k]] : k] if k else "", piece)
-                    if pairs[pair] if pair in pairs else self.allowed(*pair):
-                        last = j - k
-                        break
-                k -= 1
-            tails[unit[:j]] = last
-        out = []
-        while n:
-            size = tails[unit[:n]]
-            out.append(unit[n - size : n])
-            n -= size
-        return out[::-1]
-
     def ids(self, unit: str) -> list[int]:
-        """The ids of a unit, which is cut wherever no piece holds two neighbouring characters."""
-        if self.fallback:
-            cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.neighbours]
-            if cuts:
-                parts = map(self._units.__getitem__, map(unit.__getitem__, map(slice, [0, *cuts], [*cuts, len(unit)])))
-                return np.frombuffer(b"".join(parts), dtype=np.int32).tolist()
         out: list[int] = []
-        for piece in self.shared_path(unit) if self.kind == 2 and len(unit) <= 48 else self.path(unit):
+        for piece in self.path(unit):
             if piece in self.pieces:
                 out.append(self.pieces[piece][0])
             elif self.fallback:
@@ -164,34 +158,176 @@ class Transducer:
                 out.append(self.unknown)
         return out
 
+    def _segments(self, text: str) -> list[str]:
+        """The units of a text; frozen pieces stand alone."""
+        text = self.normalise(text)
+        if not self._whole:
+            return self.unit.findall(text)
+        out, done = [], 0
+        for m in self._whole.finditer(text):
+            out += [*self.unit.findall(text[done : m.start()]), m[0]]
+            done = m.end()
+        return out + self.unit.findall(text[done:])
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of every text (none for null)."""
+        units = [self._segments(t) if t else [] for t in texts]
+        if len(self._young) > self.cached:  # what was not asked for since the last turn goes
+            self._old, self._young = self._young, {}
+        have, old, new = self._young, self._old, []
+        for unit in dict.fromkeys(u for row in units for u in row):
+            if unit not in have:
+                if unit in old:
+                    have[unit] = old[unit]
+                elif unit in self.frozen:
+                    have[unit] = np.int32(self.frozen[unit]).tobytes()
+                else:
+                    new.append(unit)
+        short = [u for u in new if len(u) <= LONG] if self.fallback else []
+        have.update(zip(short, self._arcs.encode(short), strict=True))
+        once = {u: np.array(self.ids(u), dtype=np.int32).tobytes() for u in new if not self.fallback or len(u) > LONG}
+        get = (lambda u: have[u] if u in have else once[u]) if once else have.__getitem__
+        return [np.frombuffer(b"".join(map(get, row)), dtype=np.int32) for row in units]
+
     def encode(self, text: str) -> np.ndarray:
-        if len(self._units) > self.cached:
-            self._units.clear()
-        return np.frombuffer(b"".join(map(self._units.__getitem__, UNIT.findall(self.normalise(text)))), dtype=np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.out.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-class _Units(dict):
-    """The ids of units as bytes, found on first use."""
+class _Arcs:
+    """The pieces' trie as arrays, and shortest paths through the lattices of many units at once."""
+
+    SLOTS = 1 << 20  # of the table of pairs that were tested
 
     def __init__(self, model: Transducer):
         self.model = model
+        letters = sorted({c for p in model.pieces for c in p})
+        self.letter = {c: k + 1 for k, c in enumerate(letters)}
+        self.width = len(letters) + 1
+        nodes, kids, ends = 1, {}, {}
+        for p in model.pieces:
+            at = 0
+            for c in p:
+                key = at * self.width + self.letter[c]
+                if key not in kids:
+                    kids[key] = nodes
+                    nodes += 1
+                at = kids[key]
+            ends[at] = p
+        self.keys = np.array(sorted(kids), dtype=np.int64)
+        self.child = np.array([kids[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.names = list(model.pieces)  # by an index of their own, unknown characters after the pieces
+        index = {p: k for k, p in enumerate(self.names)}
+        self.index = index
+        self.end = np.full(nodes, -1, dtype=np.int64)
+        self.end[list(ends)] = [index[p] for p in ends.values()]
+        self.weight = np.array([-model.pieces[p][1] for p in self.names])
+        self.codes = np.zeros(0x110000, dtype=np.int32)
+        self.codes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.tested = np.full(self.SLOTS, -1, dtype=np.int64)
+        self.ids = [np.array([model.pieces[p][0]], dtype=np.int32) for p in self.names]
+
+    def _unknown(self, char: str) -> int:
+        if char not in self.index:
+            self.index[char] = len(self.names)
+            self.names.append(char)
+            self.ids.append(np.array([self.model.fallback[b] for b in char.encode("utf-8", "surrogatepass")], dtype=np.int32))
+        return self.index[char]
+
+    def _allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """allowed for pairs of indices (a: -1 at the beginning), by a table that forgets."""
+        key = (a + 1) * (1 << 30) + b
+        slot = (key * 0x9E3779B97F4A7C1 >> 24) & (self.SLOTS - 1)
+        have = self.tested[slot]
+        new = (have >> 1) != key
+        out = (have & 1).astype(bool)
+        if new.any():
+            keys, back = np.unique(key[new], return_inverse=True)
+            names, test = self.names, self.model.allowed
+            good = np.array([test(names[(k >> 30) - 1] if k >> 30 else "", names[k & (1 << 30) - 1]) for k in keys.tolist()], dtype=bool)
+            out[new] = good[back]
+            self.tested[slot[new]] = 2 * key[new] + out[new]
+        return out
 
-    def __missing__(self, unit: str) -> bytes:
-        n = len(unit)
-        if n <= 256:
-            out = np.array(self.model.ids(unit), dtype=np.int32).tobytes()
-            self[unit] = out
-            return out
-        return np.array(self.model.ids(unit), dtype=np.int32).tobytes()
+    def encode(self, units: list[str]) -> list[bytes]:
+        """The ids of short units as bytes."""
+        if not units:
+            return []
+        raw = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        code = self.codes[raw].astype(np.int64)
+        size = np.array([len(u) for u in units], dtype=np.int64)
+        first = np.cumsum(size) - size
+        stop = np.repeat(first + size, size)
+        start = np.arange(len(raw))
+        arcs = []  # (start, length, index)
+        live, node = start, np.zeros(len(raw), dtype=np.int64)
+        known = np.zeros(len(raw), dtype=bool)
+        for n in range(1, self.model.longest + 1):
+            key = node * self.width + code[live + n - 1]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            live, node = live[hit], self.child[at[hit]]
+            piece = self.end[node]
+            there = piece >= 0
+            arcs.append((live[there], np.full(int(there.sum()), n), piece[there]))
+            if n == 1:
+                known[live[there]] = True
+            more = live + n < stop[live]
+            live, node = live[more], node[more]
+            if not len(live):
+                break
+        odd = np.flatnonzero(~known)
+        if len(odd):
+            chars, back = np.unique(raw[odd], return_inverse=True)
+            arcs.append((odd, np.ones(len(odd), np.int64), np.array([self._unknown(chr(c)) for c in chars.tolist()])[back]))
+        begin, length, piece = (np.concatenate(x) for x in zip(*arcs, strict=True))
+        # arcs by where they end within their unit; of a BPE model short ones first, as the first allowed one decides
+        bpe, longest = self.model.kind == 2, self.model.longest + 1
+        until = begin + length - np.repeat(first, size)[begin]
+        group = until * longest + (length if bpe else longest - 1 - length)
+        order = np.argsort(group, kind="stable")
+        begin, length, piece, group = begin[order], length[order], piece[order], group[order]
+        bounds = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))
+        last = np.full(len(raw), -1, dtype=np.int64)  # the piece that ends after each character
+        cost = np.full(len(raw), np.inf)
+        opens = np.zeros(len(raw), dtype=bool)
+        opens[first] = True
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            k, i, x = begin[lo:hi], begin[lo:hi] + length[lo:hi] - 1, piece[lo:hi]
+            if bpe:
+                free = last[i] < 0
+                k, i, x = k[free], i[free], x[free]
+                yes = self._allowed(np.where(opens[k], -1, last[k - 1]), x)
+                last[i[yes]] = x[yes]
+            else:
+                weight = np.where(x < len(self.weight), self.weight[np.minimum(x, len(self.weight) - 1)], self.model.penalty)
+                now = np.where(opens[k], 0.0, cost[k - 1]) + weight
+                yes = now < cost[i]
+                last[i[yes]], cost[i[yes]] = x[yes], now[yes]
+        # back from the ends of all units, a piece a step
+        steps, at, unit = [], first + size - 1, np.arange(len(units))
+        lengths = np.array([len(x) for x in self.names], dtype=np.int64)
+        while len(at):
+            x = last[at]
+            steps.append((unit, x))
+            at = at - lengths[x]
+            more = at >= first[unit]
+            at, unit = at[more], unit[more]
+        owner, x = (np.concatenate(y) for y in zip(*steps, strict=True))
+        order = np.lexsort((-np.arange(len(owner)), owner))
+        owner, x = owner[order], x[order]
+        wide = np.array([len(v) for v in self.ids], dtype=np.int64)
+        flat = np.concatenate([self.ids[v] for v in x.tolist()]) if (wide[x] != 1).any() else np.array([v[0] for v in self.ids], dtype=np.int32)[x]
+        ends = np.cumsum(np.bincount(owner, weights=wide[x], minlength=len(units)).astype(np.int64)).tolist()
+        data = flat.astype(np.int32).tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def compile_model(path: str) -> Transducer:
-    """Reads a SentencePiece model file on the driver. Other normalisers than identity and NFKC (with or without
-    case folding) are not supported, nor are user-defined pieces."""
+    """Reads a SentencePiece model file on the driver."""
     from sentencepiece import sentencepiece_model_pb2 as proto
 
     model = proto.ModelProto()
@@ -200,11 +336,38 @@ def compile_model(path: str) -> Transducer:
     return from_proto(model)
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """The normaliser's rules in a model's precompiled map: four bytes of size, a double-array trie of 32-bit units over
+    UTF-8 bytes, and the targets, each ended by a zero byte."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    trie, targets = np.frombuffer(blob[4 : 4 + size], dtype="<u4").tolist(), blob[4 + size :]
+
+    def kids(node: int) -> int:
+        unit = trie[node]
+        return node ^ ((unit >> 10) << ((unit & 1 << 9) >> 6))
+
+    out, todo = {}, [(0, b"")]
+    while todo:
+        node, word = todo.pop()
+        below = kids(node)
+        if trie[node] >> 8 & 1 and word:  # the node ends a source; its target's place is at the empty label
+            place = trie[below] & 0x7FFFFFFF
+            out[word.decode("utf-8", "replace")] = targets[place : targets.index(b"\0", place)].decode()
+        for byte in range(1, 256):
+            at = below ^ byte
+            if at < len(trie) and trie[at] & 0x800000FF == byte:
+                todo.append((at, word + bytes([byte])))
+    return out
+
+
 def from_proto(model) -> Transducer:
-    kind, form = model.trainer_spec.model_type, model.normalizer_spec.name
-    if kind not in (1, 2) or form not in ("identity", "nfkc", "nmt_nfkc", "nfkc_cf", "nmt_nfkc_cf"):
-        raise ValueError(f"model type {kind} or normaliser {form} is not supported")
-    pieces, fallback, unknown, out = {}, [0] * 256, 0, []
+    """A unigram or BPE model; user-defined pieces are supported in the latter only."""
+    kind = model.trainer_spec.model_type
+    if kind not in (1, 2):
+        raise ValueError(f"model type {kind} is not supported")
+    pieces, fallback, unknown, out, frozen = {}, [0] * 256, 0, [], {}
     for i, p in enumerate(model.pieces):
         out.append(b"")
         if p.type == p.NORMAL:
@@ -217,10 +380,13 @@ def from_proto(model) -> Transducer:
             unknown = i
             out[i] = model.trainer_spec.unk_surface.encode()
         elif p.type == p.USER_DEFINED:
-            raise ValueError("user-defined pieces are not supported")
+            if kind == 1:
+                raise ValueError("user-defined pieces are not supported in a unigram model")
+            frozen[p.piece] = i
+            out[i] = p.piece.encode()
     spec = model.normalizer_spec
     bytes_too = fallback if model.trainer_spec.byte_fallback else []
-    return Transducer(kind, pieces, bytes_too, unknown, out, form, spec.add_dummy_prefix, spec.remove_extra_whitespaces)
+    return Transducer(kind, pieces, bytes_too, unknown, out, character_map(spec.precompiled_charsmap), frozen, spec.add_dummy_prefix, spec.remove_extra_whitespaces)
 
 
 def encode_pieces(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -228,12 +394,13 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", keep: list[str
 
     A null text has null ids and 0 tokens, an empty one no ids; both count as round trips. Texts with characters
     that the normaliser changes, or with the blank mark itself, do not come back as they were. Rows are encoded one by
-    one, whole. New columns replace input columns of the same name. An empty table gives an empty result."""
+    one, whole, however long; equal texts get equal ids. New columns replace input columns of the same name. An empty
+    table gives an empty result."""
     model = docs.sparkSession.sparkContext.broadcast(compile_model(path))
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         m, texts = model.value, batch.column(text).to_pylist()
-        made = [np.zeros(0, np.int32) if t is None else m.encode(t) for t in texts]
+        made = m.encode_all(texts)
         same = [t is None or m.decode(x) == t for t, x in zip(texts, made, strict=True)]
         sizes = np.array([len(x) for x in made], dtype=np.int64)
         offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
@@ -245,7 +412,9 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", keep: list[str
 
 
 def decode_pieces(tokens: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """tokens with the text that ids stand for; null ids give a null text. Ids outside the model raise an error."""
+    """tokens with the text that ids stand for; null ids give a null text, no ids an empty one. Ids outside the model
+    raise an error. Rows are decoded one by one; a column of the text's name is replaced. An empty table gives an empty
+    result."""
     from pyspark.sql import functions as F
 
     model = tokens.sparkSession.sparkContext.broadcast(compile_model(path))

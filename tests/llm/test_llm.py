@@ -322,6 +322,30 @@ def test_unigram_path_is_the_shortest():
         assert -sum(score[p] for p in model.path(text)) == pytest.approx(best(text))
 
 
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc", "nfkc_cf"])
+def test_unigram_model_equals_the_library(rule):
+    """A unigram model written by hand, with byte fallback and the library's own normaliser maps."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    rng, model = random.Random(3), proto.ModelProto()
+    names = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+    model.normalizer_spec.ParseFromString(proto.ModelProto.FromString(names).normalizer_spec.SerializeToString())
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = 1, True
+    model.pieces.add(piece="<unk>", score=0, type=2)
+    for b in range(256):
+        model.pieces.add(piece=f"<0x{b:02X}>", score=0, type=6)
+    words = {"▁", "a", "b", "c", "é", "x", "1"} | {"".join(rng.choice("abc▁") for _ in range(rng.randint(2, 5))) for _ in range(60)}
+    words = {w for w in words if "▁" not in w[1:]}
+    for w in sorted(words):
+        model.pieces.add(piece=w, score=-rng.uniform(1, 9) - 0.3 * len(w), type=1)
+    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    mine = pieces.from_proto(model)
+    texts = ["".join(rng.choice("abc  éx1½ﬁＡ\u3000語①") for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["", " ", "abcabc" * 40]
+    for t, got in zip(texts, mine.encode_all(texts), strict=True):
+        assert got.tolist() == library.encode(t), t
+
+
 # archives
 
 
