@@ -249,7 +249,7 @@ def substring_dedup(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
     taken = [*docs.columns, text, "n_removed", "removed_lines", "kept_in"]
     gone_id, gone_in, kept_to, spans_in, row_id = (fresh(taken, f"_{x}") for x in ("gone_id", "gone", "kept_to", "spans", "row_id"))
     lines = repeated_lines(docs, p, doc_id, text)
-    gone = lines.groupBy(F.col("id").alias(gone_id)).agg(F.sort_array(F.collect_set(F.struct("line", "cls"))).alias(gone_in), F.sort_array(F.collect_set("kept_id")).alias(kept_to))
+    gone = saved(lines.groupBy(F.col("id").alias(gone_id)).agg(F.sort_array(F.collect_set(F.struct("line", "cls"))).alias(gone_in), F.sort_array(F.collect_set("kept_id")).alias(kept_to)), lines)
     # only what is returned travels; the id under a name of its own
     both = docs.select(*names, F.col(text).alias(text), F.col(doc_id).cast("long").alias(row_id)).join(gone, F.col(row_id) == F.col(gone_id), "left").drop(gone_id)
 
@@ -272,10 +272,10 @@ def substring_dedup(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
         return {text: pa.array(texts, pa.string()), "n_removed": pa.array(counts, pa.int64()), "removed_lines": pa.array(removed, pa.list_(pa.int32())), kept_to: pa.array(kept_in, pa.list_(pa.int64()))}
 
     made = f"`{text}` string, n_removed long, removed_lines array<int>, "
-    rest = saved(add_columns(both, made + f"`{kept_to}` array<long>", work, text, [*names, row_id]), lines)
+    rest = saved(add_columns(both, made + f"`{kept_to}` array<long>", work, text, [*names, row_id]), gone)
     found = repeated_spans(rest, p, row_id, text)
     spans = found.groupBy(F.col("id").alias(gone_id)).agg(F.collect_list(F.struct("at", "span", "kept_id", "kept_at")).alias(spans_in))
-    again = rest.join(spans, F.col(row_id) == F.col(gone_id), "left")
+    again = rest.hint("merge").join(spans, F.col(row_id) == F.col(gone_id), "left")
 
     def cut(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         texts, kept_in, counts = batch.column(text).to_pylist(), batch.column(kept_to).to_pylist(), batch.column("n_removed").to_pylist()

@@ -265,6 +265,39 @@ def test_mixed_rows_are_repeated(spark):
     assert mixing.mix_documents(frame).filter("text is null").count() == 0
 
 
+def test_rounding_keeps_expectations_and_words():
+    """Over many seeds the mean of every document's rounded share is its share, in a tree of two levels with documents
+    of very different sizes; the words of a bucket stay exact but for its open document."""
+    rng = np.random.default_rng(5)
+    size = np.array([4000, 900, 500, 300, *rng.integers(5, 60, 26)], dtype=np.int64)
+    share = rng.uniform(0.05, 0.95, len(size))
+    key = rng.integers(-(2**62), 2**62, len(size))
+    half, total = np.arange(len(size)) % 2, np.zeros(len(size))
+    runs = 4000
+    for seed in range(runs):
+        now = share.copy()
+        for h in (0, 1):
+            at = np.flatnonzero(half == h)
+            now[at] = mixing._round(size[at], now[at], key[at], seed, 0, False)
+            still = (now[at] > 0) & (now[at] < 1)
+            assert still.sum() <= 1 and abs((size[at] * (now[at] - share[at])).sum()) < 1e-5 * size.sum()
+        at = np.flatnonzero((now > 0) & (now < 1))
+        if len(at):
+            now[at] = mixing._round(size[at], now[at], key[at], seed, 1, True)
+        assert np.isin(now, (0.0, 1.0)).all()
+        total += now
+    assert np.abs(total / runs - share).max() < 5 * 0.5 / runs**0.5
+
+
+def test_mix_with_clashing_names_and_long_texts(spark):
+    rows = [(1, "w " * 200_000, "x", 1, 2, 3), (1, "v " * 200_000, "x", 1, 2, 3), (2, "a b", None, 4, 5, 6), (None, "", "x", 7, 8, 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, docs int, _n int, _size int")
+    got = mixing.mix_documents(frame)
+    assert got.columns == frame.columns and {(r.docs, r._n, r._size) for r in got.collect()} <= {(1, 2, 3), (4, 5, 6)}
+    assert mixing.mix_sources(frame.withColumn("size", F.lit(2)), "size").count() == 4
+    assert mixing.mix_documents(frame.limit(0)).count() == 0
+
+
 # urls
 
 
