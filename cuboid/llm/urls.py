@@ -4,7 +4,8 @@ A url asks for every (host suffix, path prefix) that a rule could have. The univ
 Level 1 encodes the listed keys; level 2 the other keys of the universe that level 1 takes for listed; level 3 the
 listed keys that level 2 takes for those, and so on until a level makes no mistake. A key of the universe is listed if
 the first level that rejects it is an even one (counted from 1), or if none rejects it and their number is odd.
-Judging urls then needs the filters' bits only, no join.
+Judging urls then needs the filters' bits only, no join. Lists whose filters would take too much memory are dealt
+over shards by the keys' hash; shards are judged one after the other.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuboid.llm.tables import add_columns, saved
+from cuboid.llm.tables import add_columns, drop, fresh, saved, small
 from cuboid.llm.textops import mix
 
 
@@ -44,7 +45,7 @@ def _slot(keys: np.ndarray, seed: int, k: int, size: int) -> np.ndarray:
 
 class Cascade:
     """Levels of one listed set. Bits per listed key: about 1.44 log2 of the universe's size over the list's, and
-    about 3 for the further levels; max_bytes bounds all levels together (they are broadcast)."""
+    about 3 for the further levels."""
 
     def __init__(self, levels: Sequence[Level]):
         self.levels = list(levels)
@@ -61,11 +62,20 @@ class Cascade:
         return out
 
 
-def _level(keys: DataFrame, count: int, rate: float, seed: int, max_bytes: int) -> Level:
+def _rate(n_yes: int, n_no: int) -> float:
+    """Of the first level, which then leaves about as many mistakes as there are listed keys."""
+    return min(0.5, max(1e-9, n_yes / max(n_no, 1) / math.sqrt(2)))
+
+
+def shards(n_yes: int, n_no: int, max_bytes: int) -> int:
+    """How many shards keep a cascade within max_bytes, about."""
+    bits = n_yes * (1.44 * math.log2(1 / _rate(n_yes, n_no)) + 3)
+    return max(1, math.ceil(bits / 8 / max_bytes))
+
+
+def _level(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
     """A Bloom filter over keys (key), its bits set by Spark in blocks of 32768."""
     size = max(64, math.ceil(count * math.log(1 / rate) / math.log(2) ** 2))
-    if size > 8 * max_bytes:
-        raise ValueError(f"a filter of {count} keys at rate {rate:.2g} takes over {max_bytes} bytes; split the list")
     hashes = max(1, round(math.log2(1 / rate)))
 
     def slots(batches):
@@ -85,18 +95,16 @@ def _level(keys: DataFrame, count: int, rate: float, seed: int, max_bytes: int)
     return Level(bits, size, hashes, seed)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, max_bytes: int = 64 << 20) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     """The cascade of listed among universe (both: key, distinct 64-bit hashes). Listed keys that the universe lacks
     take no room. The two sets shrink from level to level, so the number of levels is logarithmic."""
     spark = universe.sparkSession
     yes = saved(listed.join(universe, "key", "left_semi"))
-    no = saved(universe.join(F.broadcast(yes) if yes.count() < 1 << 20 else yes, "key", "left_anti"))
+    no = saved(universe.join(small(yes), "key", "left_anti"))
     n_yes, n_no = yes.count(), no.count()
     levels: list[Level] = []
     while n_yes:
-        # the first level leaves about as many mistakes as there are listed keys
-        rate = min(0.5, max(1e-9, n_yes / max(n_no, 1) / math.sqrt(2))) if not levels else 0.5
-        level = _level(yes, n_yes, rate, len(levels), max_bytes)
+        level = _level(yes, n_yes, 0.5 if levels else _rate(n_yes, n_no), len(levels))
         levels.append(level)
         test = spark.sparkContext.broadcast(level)
 
@@ -104,9 +112,11 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_bytes: int = 64 <<
             for batch in batches:
                 yield batch.filter(pa.array(test.value.has(np.ascontiguousarray(batch.column(0).to_numpy()))))
 
-        caught = saved(no.mapInArrow(wrong, "key long"))
+        caught = saved(no.mapInArrow(wrong, "key long"), no)
+        test.unpersist()
         yes, no = caught, yes  # next: encode the mistakes, test the listed
         n_yes, n_no = caught.count(), n_yes
+    drop(yes, no)
     return Cascade(levels)
 
 
@@ -142,9 +152,11 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "
     """pages with host, path, rule and verdict (allow or block).
 
     rules: (host and path, verdict); a rule fits its host and all subdomains if the path starts with the rule's, and
-    the longest one wins. A url that no rule fits has a null rule and is allowed, as its keys are not listed; so are
-    null urls and urls without ://. Rows are judged one by one. New columns replace input columns of the same name.
-    An empty table gives an empty result."""
+    the longest one wins (a rule that is listed with both verdicts allows). A url that no rule fits has a null rule and
+    is allowed, as its keys are not listed; so are null urls and urls without ://. Rows are judged one by one, urls of
+    any length whole; repeated rows get equal verdicts. Cascades that would take more than max_bytes are cut into
+    shards, each broadcast and judged in a pass of its own. New columns replace input columns of the same name. An
+    empty table gives an empty result."""
     spark = pages.sparkSession
     for text, verdict in rules:
         if verdict not in ("allow", "block") or "/" not in text:
@@ -152,7 +164,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "
     lengths = sorted({len(text) - text.index("/") for text, _ in rules})
     host, path = split_url(url)
     names = [c for c in (pages.columns if keep is None else keep) if c not in ("host", "path", "rule", "verdict")]
-    parts = pages.select(*dict.fromkeys([*names, url]), host.alias("host"), path.alias("path"))
+    source = fresh([*names, "host", "path", "rule", "verdict"], "_url")
+    parts = pages.select(*names, F.col(url).alias(source), host.alias("host"), path.alias("path"))
     # keys need the path's first characters only; the same few repeat over the corpus
     short = parts.select("host", F.substring("path", 1, max(lengths, default=0)).alias("path")).distinct()
 
@@ -162,25 +175,34 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "
             yield pa.RecordBatch.from_arrays([pa.array(_hash(sorted(set(made))), pa.int64())], names=["key"])
 
     universe = saved(short.mapInArrow(keys, "key long").distinct())
-    cascades = {}
-    for verdict in ("allow", "block"):
-        listed = [t for t, v in rules if v == verdict]
-        frame = spark.createDataFrame([(int(k),) for k in _hash(sorted(set(listed)))], "key long")
-        cascades[verdict] = build_cascade(frame, universe, max_bytes)
-    filters = spark.sparkContext.broadcast(cascades)
-
-    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-        asked = [_candidates(h, p, lengths) for h, p in zip(hosts, paths, strict=True)]
-        keys = _hash([k for a in asked for k in a]) if any(asked) else np.zeros(0, np.int64)
-        listed = {v: c.has(keys) for v, c in filters.value.items()}
-        rule, verdict, at = [None] * len(asked), ["allow"] * len(asked), 0
-        for row, a in enumerate(asked):
-            for k, text in enumerate(a):
-                if listed["block"][at + k] or listed["allow"][at + k]:
-                    rule[row], verdict[row] = text, "allow" if listed["allow"][at + k] else "block"
-                    break
-            at += len(a)
-        return {"host": batch.column("host"), "path": batch.column("path"), "rule": pa.array(rule, pa.string()), "verdict": pa.array(verdict, pa.string())}
-
-    return add_columns(parts, "host string, path string, rule string, verdict string", work, url, names)
+    listed = {v: saved(spark.createDataFrame([(int(k),) for k in _hash(sorted({t for t, w in rules if w == v}))], "key long")) for v in ("allow", "block")}
+    size = universe.count()
+    count = max(shards(x.count(), size, max_bytes) for x in listed.values())
+    out = parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
+    for shard in range(count):
+        mine = F.pmod(F.xxhash64("key"), F.lit(count)) == shard
+        cascades = {v: build_cascade(x.filter(mine), universe.filter(mine)) for v, x in listed.items()}
+        filters = spark.sparkContext.broadcast(cascades)
+
+        def work(batch: pa.RecordBatch, filters=filters) -> dict[str, pa.Array]:
+            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
+            asked = [_candidates(h, p, lengths) for h, p in zip(hosts, paths, strict=True)]
+            keys = _hash([k for a in asked for k in a]) if any(asked) else np.zeros(0, np.int64)
+            found = {v: c.has(keys) for v, c in filters.value.items()}
+            rule, verdict, at = batch.column("rule").to_pylist(), batch.column("verdict").to_pylist(), 0
+            for row, a in enumerate(asked):
+                best = a.index(rule[row]) if rule[row] is not None else len(a)  # of earlier shards
+                for k, text in enumerate(a[:best]):
+                    if found["block"][at + k] or found["allow"][at + k]:
+                        rule[row], verdict[row] = text, "allow" if found["allow"][at + k] else "block"
+                        break
+                at += len(a)
+            return {"host": batch.column("host"), "path": batch.column("path"), "rule": pa.array(rule, pa.string()), "verdict": pa.array(verdict, pa.string())}
+
+        last = shard == count - 1
+        made = add_columns(out, "host string, path string, rule string, verdict string", work, source, names if last else [*names, source])
+        if last:
+            drop(universe, *listed.values())
+            return made
+        out = saved(made, *([out] if shard else []))
+        filters.unpersist()

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import re
 import uuid
 import zlib
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuboid.llm.tables import saved, shared_folder
+from cuboid.llm.tables import saved, shared_folder, small
 from cuboid.llm.textops import slices
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -90,64 +89,88 @@ def record_types(pages: DataFrame, page_id: str, html: str, least_bytes: int) ->
     return both.withColumn("_refers_to", refers).drop("_digest", "_last")
 
 
-def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 1000) -> None:
-    """Writes an archive per partition to folder (a uri that executors can write to).
+def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 1000, archive_bytes: int = 256 << 20) -> list[str]:
+    """Writes archives of about archive_bytes to folder (a uri that executors can write to) and returns their uris.
 
     A null html is an empty payload, a null url an empty one; other columns are not written. Of repeated rows whose id
-    is the largest of their payload all are responses. A retried task replaces its archive."""
+    is the largest of their payload all are responses. Every attempt of a task writes archives of its own names; those
+    of attempts that did not end are deleted, so that a retried or speculative task neither loses nor repeats records."""
+    job = uuid.uuid4().hex
 
     def run(batches):
         system, root = fs.FileSystem.from_uri(folder)
-        name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
-        draft = f"{root}/.{name}-{uuid.uuid4().hex}"
-        count, out = 0, None
+        attempt = f"{job}-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
+        names, out, size = [], None, 0
         for batch in slices(batches, html, 4 << 20):
-            out = out or system.open_output_stream(draft, compression=None)
             for i, u, h, r in zip(*(batch.column(c).to_pylist() for c in (page_id, url, html, "_refers_to")), strict=True):
+                if out is None:
+                    names.append(f"{attempt}-{len(names):05d}.warc.gz")
+                    out, size = system.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
                 payload = (h or "").encode("utf-8", "surrogatepass")
                 key = lambda x: f"urn:cuboid:page:{'' if x is None else x}"
-                out.write(record("response" if r is None else "revisit", key(i), u or "", payload, None if r is None else key(r)))
-                count += 1
-        if out:
+                data = record("response" if r is None else "revisit", key(i), u or "", payload, None if r is None else key(r))
+                out.write(data)
+                size += len(data)
+                if size >= archive_bytes:
+                    out.close()
+                    out = None
+        if out is not None:
             out.close()
-            if system.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound:
-                system.delete_file(f"{root}/{name}")
-            system.move(draft, f"{root}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["n"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
 
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
-    typed = record_types(pages.select(page_id, url, html), page_id, html, least_bytes)
-    typed.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    typed = record_types(pages.select(F.col(page_id).alias(page_id), F.col(url).alias(url), F.col(html).alias(html)), page_id, html, least_bytes)
+    names = {r["name"] for r in typed.mapInArrow(run, "name string").collect()}  # a name per archive_bytes
+    for info in system.get_file_info(fs.FileSelector(root)):
+        if info.base_name.startswith(job) and info.base_name not in names:
+            system.delete_file(info.path)
+    return [f"{folder.rstrip('/')}/{n}" for n in sorted(names)]
 
 
-def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of all archives (*.warc.gz) under path, which Spark's readers open: record_id, record_type, uri,
+def read_warc(spark: SparkSession, path: str | list[str], payloads: bool = True, whole_bytes: int = 1 << 30) -> DataFrame:
+    """The records of all archives (*.warc.gz) under path (or of a list of archives): record_id, record_type, uri,
     refers_to, payload (null for a revisit, and if not payloads), payload_bytes (null for a revisit), payload_digest
-    (bare lower-case hexadecimal). An archive is read by one task and may have 2 GB compressed at most."""
+    (bare lower-case hexadecimal). An archive is read by one task, from start to end. Spark's reader hands over
+    archives of up to whole_bytes; larger ones are opened as streams by their task, through Arrow's file systems."""
+
+    def rows_of(chunks):
+        rows, held = [], 0
+        for headers, block in records(chunks):
+            digest = headers.get("warc-payload-digest", "")
+            full = headers.get("warc-type") != "revisit"
+            payload = block.partition(b"\r\n\r\n")[2] if full else None
+            rows.append((
+                headers.get("warc-record-id", "").strip("<>"), headers.get("warc-type"), headers.get("warc-target-uri"),
+                headers["warc-refers-to"].strip("<>") if "warc-refers-to" in headers else None, payload if payloads else None,
+                len(payload) if full else None, base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None))
+            held += len(payload or b"")
+            if held > 8 << 20 or len(rows) == 10_000:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
 
-    def run(batches):
+    def whole(batches):
         for batch in batches:
             for content in batch.column("content"):
-                rows, held = [], 0
                 view = memoryview(content.as_buffer())
-                for headers, block in records(bytes(view[k : k + 65536]) for k in range(0, len(view), 65536)):
-                    digest = headers.get("warc-payload-digest", "")
-                    full = headers.get("warc-type") != "revisit"
-                    payload = block.partition(b"\r\n\r\n")[2] if full else None
-                    rows.append((
-                        headers.get("warc-record-id", "").strip("<>"), headers.get("warc-type"), headers.get("warc-target-uri"),
-                        headers["warc-refers-to"].strip("<>") if "warc-refers-to" in headers else None, payload if payloads else None,
-                        len(payload) if full else None, base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None))
-                    held += len(payload or b"")
-                    if held > 8 << 20 or len(rows) == 10_000:
-                        yield _batch(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield _batch(rows)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
-    return files.select("content").mapInArrow(run, "record_id string, record_type string, uri string, refers_to string, payload binary, payload_bytes long, payload_digest string")
+                yield from rows_of(bytes(view[k : k + 65536]) for k in range(0, len(view), 65536))
+
+    def streamed(batches):
+        for batch in batches:
+            for uri in batch.column("path").to_pylist():
+                system, place = fs.FileSystem.from_uri(uri)
+                with system.open_input_stream(place, compression=None) as f:
+                    yield from rows_of(iter(lambda: f.read(1 << 20), b""))
+
+    schema = "record_id string, record_type string, uri string, refers_to string, payload binary, payload_bytes long, payload_digest string"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz")
+    if isinstance(path, list) and not path:
+        return spark.createDataFrame([], schema)
+    files = files.load(path)
+    short = files.filter(F.col("length") <= whole_bytes).select("content").mapInArrow(whole, schema)
+    return short.unionByName(files.filter(F.col("length") > whole_bytes).select("path").mapInArrow(streamed, schema))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -156,18 +179,25 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def round_trip(pages: DataFrame, folder: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 1000) -> DataFrame:
+def round_trip(pages: DataFrame, folder: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 1000, archive_bytes: int = 256 << 20) -> DataFrame:
     """Writes pages as archives, reads them back and resolves revisits: page_id, payload_bytes, payload_digest,
-    record_type, refers_to. An empty table gives an empty result."""
+    record_type, refers_to.
+
+    folder is a uri; by default a new one in the shared folder. Null and empty pages are empty payloads, very long ones
+    single records. A null id gives a null page_id. Of repeated rows every one is a record. Other columns are ignored,
+    whatever their names. An empty table gives an empty result."""
     spark = pages.sparkSession
     folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    if "://" not in folder:
-        folder = f"file://{os.path.abspath(folder)}"
-    write_warc(pages, folder, page_id, url, html, least_bytes)
-    back = saved(read_warc(spark, folder, payloads=False).drop("payload", "uri"))
+    if "://" not in folder:  # a path without a scheme lies on Spark's default file system
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        folder = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+        folder = re.sub("^file:/+", "file:///", folder)
+    names = write_warc(pages, folder, page_id, url, html, least_bytes, archive_bytes)
+    back = saved(read_warc(spark, names, payloads=False).drop("payload", "uri"))
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '([-0-9]+)$', 1) AS long)")
     whole = back.filter("record_type = 'response'")
     again = back.filter("record_type = 'revisit'")
-    sizes = saved(whole.join(saved(again.select("payload_digest").distinct()), "payload_digest", "left_semi").groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes")))
-    again = again.drop("payload_bytes").join(sizes, "payload_digest", "left")
+    twice = saved(again.select("payload_digest").distinct())
+    sizes = saved(whole.join(small(twice), "payload_digest", "left_semi").groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes")), twice)
+    again = again.drop("payload_bytes").join(small(sizes), "payload_digest", "left")
     return whole.unionByName(again).select(number("record_id").alias(page_id), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

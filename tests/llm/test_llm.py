@@ -308,14 +308,16 @@ def test_cascade_is_exact(spark):
     frame = lambda x: spark.createDataFrame([(int(k),) for k in x], "key long")
     cascade = urls.build_cascade(frame(np.append(listed, 5)), frame(universe))
     assert (cascade.has(universe) == np.isin(universe, listed)).all() and len(cascade.levels) > 1
-    with pytest.raises(ValueError):
-        urls.build_cascade(frame(listed), frame(universe), max_bytes=10)
+    assert urls.shards(10**9, 10**11, 64 << 20) > 10 and urls.shards(4, 1000, 64 << 20) == 1
 
 
 def test_url_rules(spark):
     rows = [None, "", "no scheme", "HTTP://A.Example.NET/en/x?y=/de/", "http://net", "http://net/", "http://xnet/", "http://www.example.com/de", "ftp://b.ORG/fr/#a", "http://example.net/EN/", "http://x.net?a/b"]
     frame = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(rows)], "page_id long, url string, host string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(frame, [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]).collect()}
+    rules = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(frame, rules).collect()}
+    assert got == {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(frame, rules, max_bytes=1).collect()}  # shards
+    assert urls.filter_urls(frame.limit(0), rules).count() == 0
     assert got[0] == got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert got[4] == ("net", "", None, "allow") and got[5] == ("net", "/", "net/", "block") and got[6] == ("xnet", "/", None, "allow")
@@ -392,6 +394,10 @@ def test_archive_round_trip(spark, tmp_path):
     assert got == sorted((i, len((h or "").encode()), sha(h), "revisit" if i == 1 else "response", 2 if i == 1 else None) for i, _, h in rows)
     texts = {bytes(r.payload).decode() for r in warc.read_warc(spark, folder).filter("payload is not null").collect()}
     assert texts == {big, big + "x", "", "short"}
+    again = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(frame, f"{tmp_path}/plain", archive_bytes=1).collect())
+    assert again == got and len(list((tmp_path / "plain").glob("*.warc.gz"))) == len(rows)
+    assert warc.read_warc(spark, f"{tmp_path}/plain", whole_bytes=1).count() == len(rows)  # as streams
+    assert warc.round_trip(frame.limit(0), f"{tmp_path}/none").count() == 0
 
 
 def test_reader_finds_damage():
