@@ -1,10 +1,13 @@
 """Quality rules: base counts, and language-specific perplexity bands of a modified Kneser-Ney n-gram model.
 
-The model's units are character classes (64 of them, a fixed rule), so that an n-gram of order 4 is a 24-bit
-integer. Spark counts the n-grams of all documents that pass the base rule and hold few symbols, and derives
-continuation counts, discounts, probabilities and back-off weights by aggregations and joins. The result is kept
-as sorted integer arrays. One language has 64**order n-grams at most, which bounds what is broadcast at once;
-languages whose models exceed max_entries together are scored in several passes.
+The model's units are characters, of 12 bits each, so that an n-gram of order 5 is a 60-bit integer. Spark counts the
+n-grams of all documents that pass the base rule and hold few symbols, and derives continuation counts, discounts,
+probabilities and back-off weights by aggregations and joins. The model grows with the corpus. It is kept as sorted
+arrays of 64-bit hashes in files of the shared folder, which tasks load; nothing of it passes through the driver.
+
+A model of more than max_entries is cut into shards by the two characters before the one that is scored: all n-grams
+and contexts that a character's probability needs have these in common, but for the few of the lowest orders, which every
+shard gets. Each shard is scored in a pass over the texts, and the passes' sums are added.
 """
 
 from __future__ import annotations
@@ -13,61 +16,52 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuboid.llm.tables import add_columns, saved
-from cuboid.llm.textops import Words, slices, windows
+from cuboid.llm.tables import add_columns, drop, fresh, saved
+from cuboid.llm.textops import Words, mix, signed, slices, windows
 
-CLASSES = 64
-#: Fixed classes: 1-26 a-z, 27 white space, 28 digits, 29 full stop, 30 comma, 31 A-Z, 32 other ASCII, 33-63 the rest.
+BITS = 12  # of a character: code points under 3072 are themselves, the rest fall on 1024 classes
+CLASSES = 1 << BITS
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 
 
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
 @dataclass(frozen=True)
 class Rules:
     """Parameters. min_words and repeat_percent: the base rule. seed_symbols: a document trains the model if it
     passes the base rule and has at most one symbol per seed_symbols words. width: how many deviations wide a band
-    is to either side. floor: the spread of the mean log-probability that even very long documents have."""
+    is to either side. floor: the spread of the mean log-probability that even very long documents have. max_entries:
+    n-grams and contexts that a task holds at once, of 12 bytes each. order is 5 at most."""
 
-    order: int = 4
+    order: int = 5
     min_words: int = 20
     repeat_percent: int = 30
     repeat_window: int = 8
     seed_symbols: int = 10
     width: float = 8.0
     floor: float = 0.02
-    max_entries: int = CLASSES**4
-
-
-def _class_table() -> np.ndarray:
-    table = 33 + np.arange(0x110000, dtype=np.int64) % 31
-    table[:128] = 32
-    table[97:123] = np.arange(1, 27)
-    table[65:91] = 31
-    table[48:58] = 28
-    table[[0x20, *range(0x09, 0x0E)]] = 27
-    table[ord(".")], table[ord(",")] = 29, 30
-    return table.astype(np.uint8)
-
-
-_TABLE: list[np.ndarray] = []
+    max_entries: int = 1 << 26
 
 
 def _grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram that ends at each character of each text, and the number of them per text."""
-    if not _TABLE:
-        _TABLE.append(_class_table())
     pad = " " * (order - 1)
     joined = pad + pad.join(texts)  # each text begins after white space
-    codes = _TABLE[0][np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int32)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    codes = np.where(codes < 3072, codes, 3072 + codes % 1024)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     m = len(codes) - order + 1
-    gram = np.zeros(max(m, 0), dtype=np.int32)
+    gram = np.zeros(max(m, 0), dtype=np.int64)
     for k in range(order):
-        gram *= CLASSES
-        gram += codes[k : k + m]
+        gram <<= BITS
+        gram |= codes[k : k + m]
     keep = np.ones(len(gram), dtype=bool)
     ends = np.cumsum(sizes + order - 1)[:-1]  # windows whose last character is padding
     for k in range(order - 1):
@@ -123,9 +117,10 @@ def count_ngrams(docs: DataFrame, rules: Rules, text: str = "text", lang: str =
                 gram, _ = _grams([texts[k] for k in np.flatnonzero(seed & (langs == one))], rules.order)
                 values, counts = np.unique(gram, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([one] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
+                    [pa.repeat(one, len(values)), pa.array(values), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
-    frame = docs.select(F.col(text).alias(text), F.col(lang).cast("string").alias(lang))
+    frame = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    text, lang = "text", "lang"
     return frame.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -134,7 +129,7 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     backoff: the weight of the lower order after the context gram, null for the highest order."""
     tables = {order: counts}
     for k in range(order - 1, 0, -1):
-        tables[k] = tables[k + 1].select("lang", (F.col("gram") % CLASSES**k).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+        tables[k] = saved(tables[k + 1].select("lang", (F.col("gram") % CLASSES**k).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")))
     out, lower = [], None
     for k in range(1, order + 1):
         t = tables[k].withColumn("ctx", F.expr(f"gram div {CLASSES}"))
@@ -159,125 +154,192 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     return model.groupBy("lang", "k", "gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
 
 
-class Model:
-    """Sorted arrays of one language: for each order k the n-grams with logp, and the contexts with back-off."""
-
-    def __init__(self, k: np.ndarray, gram: np.ndarray, logp: np.ndarray, backoff: np.ndarray, order: int):
-        self.order, self.grams, self.contexts = order, {}, {}
-        for i in range(order + 1):
-            for values, into in ((logp, self.grams), (backoff, self.contexts)):
-                at = np.flatnonzero((k == i) & ~np.isnan(values))
-                at = at[np.argsort(gram[at])]
-                into[i] = gram[at].astype(np.int32), values[at].astype(np.float64)
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        have, values = table
-        if not len(have):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        hit = have[at] == keys
-        return hit, np.where(hit, values[at], 0.0)
-
-    def logp(self, gram: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each n-gram's last unit after the units before it."""
-        distinct, back = np.unique(gram, return_inverse=True)
-        out = np.zeros(len(distinct))
-        left = np.arange(len(distinct))
-        for k in range(self.order, 0, -1):
-            key = (distinct[left] % CLASSES**k).astype(np.int32)
-            hit, value = self._find(self.grams[k], key)
-            _, weight = self._find(self.contexts[k - 1], key // CLASSES)
-            out[left] += np.where(hit, value, weight)
-            left = left[~hit]
-        out[left] += -np.log(CLASSES)
-        return out[back]
-
-
-def _models(table: DataFrame, order: int) -> dict[str, Model]:
-    got = table.toArrow()
-    langs = np.array(got["lang"].to_pylist(), dtype=object)
-    k, gram = (got[c].to_numpy() for c in ("k", "gram"))
-    logp, backoff = (got[c].to_numpy(zero_copy_only=False).astype(float) for c in ("logp", "backoff"))
-    return {x: Model(*(v[langs == x] for v in (k, gram, logp, backoff)), order) for x in sorted(set(langs))}
-
-
-def score(docs: DataFrame, model: DataFrame, rules: Rules, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
-    """docs with base counts and nll (mean negative log-probability per character; null without characters or
-    where the language has no model) and n_units. Languages whose models fit max_entries together share a pass."""
-    spark = docs.sparkSession
-    sizes = sorted((r["lang"], r["n"]) for r in model.groupBy("lang").agg(F.count("*").alias("n")).collect())  # one row a language
-    batches, room = [[]], rules.max_entries
-    for one, n in sizes:
-        if n > room and batches[-1]:
-            batches.append([])
-            room = rules.max_entries
-        batches[-1].append(one)
-        room -= n
-    key = F.coalesce(F.col(lang).cast("string"), F.lit(""))
-    parts = []
-    for i, langs in enumerate(batches):
-        models = spark.sparkContext.broadcast(_models(model.filter(F.col("lang").isin(langs)), rules.order) if langs else {})
-        rest = [x for other in batches if other is not langs for x in other]
-        # the first pass also takes the languages without a model
-        mine = docs if len(batches) == 1 else docs.filter(~key.isin(rest) if i == 0 else key.isin(langs))
-
-        def work(batch: pa.RecordBatch, models=models) -> dict[str, pa.Array]:
-            out = base_counts(batch.column(text), rules)
-            names, texts = _language(batch, lang), batch.column(text).to_pylist()
-            nll = np.full(batch.num_rows, np.nan)
-            units = np.array([len(t or "") for t in texts], dtype=np.int64)
-            for one in set(names):
-                if one in models.value:
-                    at = np.flatnonzero((names == one) & (units > 0))
-                    for part in np.array_split(at, max(1, int(units[at].sum()) >> 21)) if len(at) else ():
-                        gram, n = _grams([texts[k] for k in part], rules.order)
-                        sums = np.concatenate(([0.0], np.cumsum(models.value[one].logp(gram))))
-                        ends = np.cumsum(n)
-                        nll[part] = -(sums[ends] - sums[ends - n]) / np.maximum(n, 1)
-            return {k: pa.array(v) for k, v in out.items()} | {"nll": pa.array(nll, mask=np.isnan(nll)), "n_units": pa.array(units)}
-
-        parts.append(add_columns(mine, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, nll double, n_units long", work, text, keep))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-def bands(scored: DataFrame, rules: Rules, lang: str = "lang") -> DataFrame:
-    """(band_lang, centre, spread): median mean log-probability of the documents that train the model, and the
-    robust spread of one character, per language. Both come from mergeable quantile summaries over all rows."""
-    seed = scored.filter(~F.col("base_failed") & F.col("nll").isNotNull() & (rules.seed_symbols * F.col("n_symbols") <= F.col("n_words")))
-    seed = seed.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("band_lang"), "nll", "n_units")
-    centre = seed.groupBy("band_lang").agg(F.percentile_approx("nll", 0.5, 10000).alias("centre"))
-    off = seed.join(F.broadcast(centre), "band_lang").withColumn("off", F.col("n_units") * F.pow(F.col("nll") - F.col("centre"), 2))
+def _hash(langs: np.ndarray, k: int, gram: np.ndarray) -> np.ndarray:
+    """Keys of n-grams (k > 0) or contexts (k <= 0) of languages, given by their own hashes."""
+    return signed(mix(mix(gram.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (2 * abs(k) + (k <= 0) + 1) % 2**64)) ^ langs))
+
+
+def _lang_hash(name: str) -> np.uint64:
+    import xxhash
+
+    return np.uint64(xxhash.xxh64_intdigest((name or "").encode("utf-8", "surrogatepass"), 11))
+
+
+def _two_before(k: int, gram: np.ndarray) -> np.ndarray:
+    """The two characters before the scored one: of an n-gram of k characters, or of a context of -k."""
+    return (gram >> BITS if k > 0 else gram) & (CLASSES**2 - 1)
+
+
+def _spread(chars: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(chars.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+
+
+def write_model(model: DataFrame, rules: Rules) -> tuple[str, int]:
+    """Writes the model's sorted hash arrays (h, value) as files of the shared folder, a folder a shard (-1: for all),
+    and returns their place and the number of shards."""
+    shards = max(1, -(-2 * model.count() // rules.max_entries))
+
+    def run(batches):
+        for batch in batches:
+            langs = batch.column("lang").dictionary_encode()
+            names = np.array([_lang_hash(x) for x in langs.dictionary.to_pylist()], dtype=np.uint64)[langs.indices.to_numpy()] if batch.num_rows else np.zeros(0, np.uint64)
+            k, gram = batch.column("k").to_numpy(), batch.column("gram").to_numpy()
+            for value, sign in ((batch.column("logp"), 1), (batch.column("backoff"), -1)):
+                value = value.to_numpy(zero_copy_only=False).astype(float)
+                for i in range(rules.order + 1):
+                    at = np.flatnonzero((k == i) & ~np.isnan(value))
+                    low = i < 3 if sign > 0 else i < 2
+                    shard = np.full(len(at), -1, np.int32) if low else _spread(_two_before(sign * i, gram[at]), shards)
+                    yield pa.RecordBatch.from_arrays([pa.array(_hash(names[at], sign * i, gram[at])), pa.array(value[at].astype(np.float32)), pa.array(shard)], names=["h", "value", "shard"])
+
+    rows = model.mapInArrow(run, "h long, value float, shard int")
+    # ranges of hashes are even, so no file of the sorted array is large
+    return saved(rows.repartitionByRange("shard", "h").sortWithinPartitions("shard", "h"), by="shard").saved_at, shards
+
+
+_LOADED: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _load(place: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """One shard's arrays with those for all; a task's process holds one at a time."""
+    if (place, shard) not in _LOADED:
+        _LOADED.clear()
+        system, root = fs.FileSystem.from_uri(place)
+        parts = []
+        for one in (shard, -1):
+            at = f"{root}/shard={one}"
+            if system.get_file_info(at).type == fs.FileType.Directory:
+                for info in system.get_file_info(fs.FileSelector(at)):
+                    if info.base_name.endswith(".parquet"):
+                        with system.open_input_file(info.path) as f:
+                            parts.append(pq.read_table(f, columns=["h", "value"]))
+        keys = np.concatenate([p["h"].to_numpy() for p in parts]) if parts else np.zeros(0, np.int64)
+        values = np.concatenate([p["value"].to_numpy() for p in parts]) if parts else np.zeros(0, np.float32)
+        order = np.argsort(keys, kind="stable")
+        _LOADED[place, shard] = keys[order], values[order]
+    return _LOADED[place, shard]
+
+
+def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    have, values = table
+    if not len(have):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+    hit = have[at] == keys
+    return hit, np.where(hit, values[at], np.float32(0)).astype(np.float64)
+
+
+def log_probability(table: tuple[np.ndarray, np.ndarray], lang: np.uint64, gram: np.ndarray, order: int) -> np.ndarray:
+    """Natural log-probability of each n-gram's last character after those before it."""
+    distinct, back = np.unique(gram, return_inverse=True)
+    out, left = np.zeros(len(distinct)), np.arange(len(distinct))
+    for k in range(order, 0, -1):
+        key = distinct[left] & ((1 << BITS * k) - 1)
+        hit, value = _find(table, _hash(lang, k, key))
+        out[left[hit]] += value[hit]
+        left, key = left[~hit], key[~hit]
+        out[left] += _find(table, _hash(lang, 1 - k, key >> BITS))[1]
+    out[left] -= np.log(CLASSES)
+    return out[back]
+
+
+def score(docs: DataFrame, model: tuple[str, int], rules: Rules, text: str, lang: str, keep: list[str], nll: str, units: str) -> DataFrame:
+    """docs with base counts, and columns nll (mean negative log-probability per character; null without characters or
+    where the language has no model) and units (how many). model comes from write_model."""
+    place, shards = model
+    out, counts = docs, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
+    total = fresh([*docs.columns, *BASE, nll, units], "_sum")
+    names = list(dict.fromkeys([*keep, text, lang]))
+    for shard in range(shards):
+        last, head = shard == shards - 1, shard == 0
+
+        def work(batch: pa.RecordBatch, shard=shard, last=last, head=head) -> dict[str, pa.Array]:
+            table = _load(place, shard)
+            made = base_counts(batch.column(text), rules) if head else {}
+            langs, texts = _language(batch, lang), batch.column(text).to_pylist()
+            sums = np.zeros(batch.num_rows) if head else batch.column(total).to_numpy().copy()
+            size = np.array([len(t or "") for t in texts], dtype=np.int64)
+            known = np.zeros(batch.num_rows, bool)
+            for one in set(langs):
+                code = _lang_hash(one)
+                if not _find(table, _hash(code, 0, np.zeros(1, np.int64)))[0][0]:  # every model has the empty context
+                    continue
+                at = np.flatnonzero((langs == one) & (size > 0))
+                known[at] = True
+                for part in np.array_split(at, max(1, int(size[at].sum()) >> 21)) if len(at) else ():
+                    gram, n = _grams([texts[k] for k in part], rules.order)
+                    mine = _spread(_two_before(rules.order, gram), shards) == shard if shards > 1 else slice(None)
+                    each = np.zeros(len(gram))
+                    each[mine] = log_probability(table, code, gram[mine], rules.order)
+                    upto = np.concatenate(([0.0], np.cumsum(each)))
+                    ends = np.cumsum(n)
+                    sums[part] -= upto[ends] - upto[ends - n]
+            found = {k: pa.array(v) for k, v in made.items()} if head else {k: batch.column(k) for k in BASE}
+            if last:
+                return found | {nll: pa.array(sums / np.maximum(size, 1), mask=~known), units: pa.array(size)}
+            return found | {total: pa.array(sums)}
+
+        if last:
+            return add_columns(out, counts + f"`{nll}` double, `{units}` long", work, text, list(keep))
+        # a row's sum travels with its text to the next shard
+        out = saved(add_columns(out, counts + f"`{total}` double", work, text, names), *([] if head else [out]))
+
+
+def _median(rows: DataFrame, group: str, value: Column, step: float) -> DataFrame:
+    """(group, median) of a value rounded to multiples of step: exact counts, equal in any partitioning."""
+    bins = rows.groupBy(group, F.round(value / step).alias("bin")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(group)
+    bins = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
+    return bins.filter("2 * upto >= all").groupBy(group).agg((F.min("bin") * step).alias("median"))
+
+
+def bands(scored: DataFrame, rules: Rules, lang: str, nll: str, units: str) -> DataFrame:
+    """A saved table (band_lang, centre, spread): median mean log-probability of the documents that train the model, and
+    the robust spread of one character, per language."""
+    seed = scored.filter(~F.col("base_failed") & F.col(nll).isNotNull() & (rules.seed_symbols * F.col("n_symbols") <= F.col("n_words")))
+    seed = seed.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("band_lang"), F.col(nll).alias("nll"), F.col(units).alias("units"))
+    centre = saved(_median(seed, "band_lang", F.col("nll"), 1e-4).withColumnRenamed("median", "centre"))
+    off = seed.join(F.broadcast(centre), "band_lang").withColumn("off", F.log(F.col("units") * F.pow(F.col("nll") - F.col("centre"), 2) + 1e-12))
     # 0.4549 is the median of a squared standard normal deviate
-    return off.groupBy("band_lang").agg(F.first("centre").alias("centre"), F.sqrt(F.percentile_approx("off", 0.5, 10000) / 0.4549).alias("spread"))
+    off = _median(off, "band_lang", F.col("off"), 0.005)
+    return saved(centre.join(off, "band_lang").select("band_lang", "centre", F.sqrt(F.exp("median") / 0.4549).alias("spread")), centre)
 
 
-def judge(scored: DataFrame, limits: DataFrame, rules: Rules, lang: str = "lang") -> DataFrame:
+def judge(scored: DataFrame, limits: DataFrame, rules: Rules, lang: str, nll: str, units: str) -> DataFrame:
     """scored with perplexity, lower, upper (the band at the document's length) and kept."""
-    width = rules.width * F.sqrt(F.pow("spread", 2) / F.greatest(F.col("n_units"), F.lit(1)) + rules.floor**2)
+    key, centre, spread = (fresh(scored.columns, f"_{c}") for c in ("band_lang", "centre", "spread"))
+    limits = limits.select(F.col("band_lang").alias(key), F.col("centre").alias(centre), F.col("spread").alias(spread))
+    width = rules.width * F.sqrt(F.pow(spread, 2) / F.greatest(F.col(units), F.lit(1)) + rules.floor**2)
     outside = (F.col("perplexity") < F.col("lower")) | (F.col("perplexity") > F.col("upper"))
-    out = scored.drop("perplexity", "lower", "upper", "kept", "band_lang", "centre", "spread")
-    out = out.withColumn("band_lang", F.coalesce(F.col(lang).cast("string"), F.lit(""))).join(F.broadcast(limits), "band_lang", "left")
-    out = out.withColumns({"perplexity": F.exp("nll"), "lower": F.exp(F.col("centre") - width), "upper": F.exp(F.col("centre") + width)})
+    # a row a language, and languages are few
+    out = scored.join(F.broadcast(limits), F.coalesce(F.col(lang).cast("string"), F.lit("")) == F.col(key), "left")
+    out = out.withColumns({"perplexity": F.exp(nll), "lower": F.exp(F.col(centre) - width), "upper": F.exp(F.col(centre) + width)})
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False)))
-    return out.drop("band_lang", "centre", "spread", "nll", "n_units")
+    return out.drop(key, centre, spread, nll, units)
 
 
 def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """docs with base counts, perplexity, the band (lower, upper) of its language and length, and kept.
 
-    A null or empty text has no words and fails the base rule. A null language is a language of its own. A language
-    of which no document trains the model has no perplexity and no band; there the base rule alone decides. Rows
-    are judged one by one, so equal rows get equal verdicts. keep names the input columns to return (all by
-    default); new columns replace input columns of the same name. An empty table gives an empty result."""
-    model = saved(kneser_ney(saved(count_ngrams(docs, rules, text, lang)), rules.order))
-    names = docs.columns if keep is None else keep
+    A null or empty text has no words and fails the base rule. A null language is a language of its own (that of the
+    empty name). A language of which no document trains the model has no perplexity and no band; there the base rule
+    alone decides. Rows are judged one by one, texts of any length whole, so equal rows get equal verdicts. keep names
+    the input columns to return (all by default); new columns replace input columns of the same name, others cannot
+    clash. An empty table gives an empty result."""
+    made = [*BASE, "perplexity", "lower", "upper", "kept"]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    docs = docs.select(*dict.fromkeys([*names, text, lang]))
+    nll, units = (fresh([*docs.columns, *made], c) for c in ("_nll", "_units"))
+    counts = saved(count_ngrams(docs, rules, text, lang))
+    grams = saved(kneser_ney(counts, rules.order), counts)
+    model = write_model(grams, rules)
+    drop(grams)
     if text not in names:
-        scored = saved(score(docs, model, rules, text, lang, keep))
-        return judge(scored, bands(scored, rules, lang), rules, lang)
+        scored = saved(score(docs, model, rules, text, lang, list(dict.fromkeys([*names, lang])), nll, units))
+        return judge(scored, bands(scored, rules, lang, nll, units), rules, lang, nll, units).select(*names, *made)
     # texts are scored once more rather than kept in a table of their own
-    limits = saved(bands(saved(score(docs, model, rules, text, lang, [lang])), rules, lang))
-    return judge(score(docs, model, rules, text, lang, keep), limits, rules, lang)
+    first = saved(score(docs, model, rules, text, lang, [lang], nll, units))
+    limits = bands(first, rules, lang, nll, units)
+    drop(first)
+    again = score(docs, model, rules, text, lang, list(dict.fromkeys([*names, lang])), nll, units)
+    return judge(again, limits, rules, lang, nll, units).select(*names, *made)

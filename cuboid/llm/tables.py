@@ -32,17 +32,17 @@ LIVE: set[str] = set()
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def saved(df: DataFrame, *done: DataFrame) -> DataFrame:
+def saved(df: DataFrame, *done: DataFrame, by: str | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage and survives lost executors.
 
     Spark deletes the shuffle files of the write at its end. done: saved tables that only df was made of, deleted
-    then."""
+    then. by: a column of few values, each of which gets a folder."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cuboid-{uuid.uuid4().hex}"
     before = spark.conf.get(_FREE, None)
     spark.conf.set(_FREE, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(_FREE, before) if before is not None else spark.conf.unset(_FREE)
     LIVE.add(path)

@@ -101,8 +101,8 @@ def plain_model(texts, order):
     counts = collections.Counter(int(g) for t in texts for g in quality._grams([t], order)[0])
     tables = {order: counts}
     for k in range(order - 1, 0, -1):
-        tables[k] = collections.Counter(g % 64**k for g in tables[k + 1])
-    lower = lambda g: 1 / 64
+        tables[k] = collections.Counter(g % 4096**k for g in tables[k + 1])
+    lower = lambda g: 1 / 4096
     models = []
     for k in range(1, order + 1):
         t = tables[k]
@@ -112,15 +112,15 @@ def plain_model(texts, order):
         off = lambda c, d=d: d[min(c, 3) - 1]
         total, mass = collections.Counter(), collections.Counter()
         for g, c in t.items():
-            total[g // 64] += c
-            mass[g // 64] += off(c)
+            total[g // 4096] += c
+            mass[g // 4096] += off(c)
 
         def p(g, k=k, t=t, total=total, mass=mass, off=off, lower=lower):
-            below = lower(g % 64 ** (k - 1)) if k > 1 else 1 / 64
-            if g // 64 not in total:
+            below = lower(g % 4096 ** (k - 1)) if k > 1 else 1 / 4096
+            if g // 4096 not in total:
                 return below
             c = t.get(g, 0)
-            return ((c - off(c) if c else 0) + mass[g // 64] * below) / total[g // 64]
+            return ((c - off(c) if c else 0) + mass[g // 4096] * below) / total[g // 4096]
 
         lower = p
         models.append(p)
@@ -140,8 +140,14 @@ def test_model_equals_plain_kneser_ney(spark):
     assert got[51].n_words == 0 and got[51].base_failed and not got[51].kept and got[51].perplexity is None
     assert got[50].base_failed and got[50].perplexity is not None
     assert isinstance(got[3].kept, bool) and len(got) == len(rows)
-    split = {r.doc_id: r.perplexity for r in quality.quality_rules(frame, quality.Rules(order=3, max_entries=1)).collect()}
-    assert split == pytest.approx({k: r.perplexity for k, r in got.items()})  # a pass a language gives the same
+    split = {r.doc_id: r.perplexity for r in quality.quality_rules(frame, quality.Rules(order=3, max_entries=900)).collect()}
+    assert split == pytest.approx({k: r.perplexity for k, r in got.items()})  # several shards give the same
+    for k, r in got.items():  # the band and the verdict by plain code
+        if r.perplexity is not None and r.lower is not None:
+            assert r.kept == (not r.base_failed and r.lower <= r.perplexity <= r.upper)
+    clash = frame.withColumns({"nll": F.lit(1), "centre": F.lit(2), "_nll": F.lit(3), "_centre": F.lit(4), "band_lang": F.lit(5)})
+    out = quality.quality_rules(clash, rules)
+    assert {(r.nll, r.centre, r._nll, r._centre, r.band_lang) for r in out.collect()} == {(1, 2, 3, 4, 5)} and out.columns.count("kept") == 1
     assert quality.quality_rules(docs_of(spark, [])).count() == 0
 
 
