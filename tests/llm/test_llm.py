@@ -445,6 +445,43 @@ def test_cut_is_minimal():
         assert cost(maintext.minimum_cut(source, sink, edges)) == pytest.approx(least)
 
 
+def test_elimination_is_a_minimum_cut():
+    rng = random.Random(10)
+    for _ in range(200):
+        n = rng.randint(1, 9)
+        source, sink = [rng.random() for _ in range(n)], [rng.random() for _ in range(n)]
+        edges = [(k - 1, k, rng.random() / 2) for k in range(1, n)]
+        for _ in range(rng.randint(0, 8)):
+            i, j = sorted(rng.sample(range(n), 2)) if n > 1 else (0, 0)
+            if j - i > 1 and all(not (i < a < j < b or a < i < b < j) for a, b, _ in edges):
+                edges.append((i, j, rng.random() / 2))
+        assert maintext.eliminated_cut(source, sink, edges) == maintext.minimum_cut(source, sink, edges)
+
+
+def test_odd_and_very_long_pages():
+    import time
+
+    assert maintext.main_text("<article><p title=it's>Hello there.</p><math>x = 1</math><p a='b>c' =d>Two</p></article>") == "Hello there.\nx = 1\nTwo"
+    assert maintext.main_text("<div>" + "".join(f"<p>This line has ten plain words in it, number {k}.</p>" for k in range(2000)) + "</div>").count("\n") == 1999
+    began = time.time()
+    for page in ("<a " * 400_000, "<div>" * 200_000 + "x", "<b>" * 100_000 + "y" + "</i>" * 100_000, '<a b="' * 200_000, "<![CDATA[" * 200_000 + ">", "<p>Some words stand here, and they end.\n" * 200_000):
+        maintext.main_text(page)
+    assert time.time() - began < 60
+
+
+def test_pages_without_names_and_roles(spark):
+    """The fitted classifier and the cut find most of the text of pages stripped of classes, roles and speaking elements."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = [r.text for r in QUERIES["op9_main_text"](spark, "/root/testdata/sf0.01").orderBy("page_id").collect()]
+    cut = maintext.fitted(pages)
+    plain = [re.sub(r"<(/?)(article|main|nav|header|footer|aside|section|form)\b[^>]*>", r"<\1div>", re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", r.html or "")) for r in pages.orderBy("page_id").collect()]
+    hit = kept = held = 0
+    for page, t in zip(plain, want, strict=True):
+        a, b = collections.Counter(maintext.main_text(page, cut).split()), collections.Counter(t.split())
+        hit, kept, held = hit + (a & b).total(), kept + a.total(), held + b.total()
+    assert hit / held > 0.9 and hit / kept > 0.8
+
+
 def test_pages_give_back_documents(spark):
     """The text of the given pages is a heading and a document's lines."""
     texts = {"\n".join(y for y in (" ".join(x.split()) for x in r.text.split("\n")) if y) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
