@@ -20,9 +20,9 @@ WORDS = 16  # of a bitmap
 
 
 def bitmap_bits(count: int) -> int:
-    """Bits (as a power of two) of a bitmap that lets pass about one in 16 other keys; 2**27 at most, beyond which a
+    """Bits (as a power of two) of a bitmap that lets pass about one in 64 other keys; 2**27 at most, beyond which a
     bitmap lets more pass and the join behind it does the rest."""
-    return min(27, max(16, (16 * max(count, 1)).bit_length()))
+    return min(27, max(16, (64 * max(count, 1)).bit_length()))
 
 
 def marks(classes: DataFrame, bits: int) -> np.ndarray:
@@ -70,13 +70,15 @@ def shared_keys(keys: DataFrame, percent: int, least: Callable[[Column], Column]
 
     Keys are counted with partial sums and joined back, so that a key with very many rows meets in no one task."""
     keys = saved(keys)
-    heads = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("kind").alias("low"), F.max("kind").alias("top"))
+    heads = saved(keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"))
+    found = saved(keys.join(small(heads), "key", "left_semi").distinct(), keys, heads)
+    heads = found.groupBy("key").agg(F.count("*").alias("k"), F.min("kind").alias("low"), F.max("kind").alias("top"))
     # a key without heavy sets joins nothing if all its sets are merely listed
-    heads = saved(heads.filter(f"lo < hi and not (low = {LISTED} and top = {LISTED})").select("key"))
-    found = saved(keys.join(small(heads), "key", "left_semi"), keys, heads)
+    heads = saved(heads.filter(f"k > 1 and not (low = {LISTED} and top = {LISTED})").select("key"))
+    found = saved(found.join(small(heads), "key", "left_semi"), found, heads)
     able = found.groupBy("cls", "n").agg(F.count("*").alias("k"), F.min("kind").alias("kind"))
     able = saved(able.filter((F.col("kind") == ALL) | (F.col("k") >= least(F.floor(F.col("n") * percent / 100)))).select("cls"))
-    return saved(found.join(small(able), "cls", "left_semi").distinct(), found, able)
+    return saved(found.join(small(able), "cls", "left_semi"), found, able)
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:
