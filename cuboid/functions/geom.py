@@ -50,10 +50,23 @@ def convert(source: str, target: str) -> dict[str, str]:
     raise NotImplementedError(f"no conversion from {source} to {target}")
 
 
-def flip(axis: str) -> dict[str, str]:
-    """A box mirrored along an axis."""
+def columns(fmt: str) -> tuple[str, ...]:
+    """The columns of a box format."""
+    return tuple(convert(fmt, fmt))
+
+
+def flip(axis: str, fmt: str = "XYZLWHYPR") -> dict[str, str]:
+    """A box mirrored along an axis. Corners swap; a box with a yaw only turns for x and y, not for z."""
+    if fmt == "XYZXYZ":
+        return {c: f"-{c[0]}{3 - int(c[1])}" if c[0] == axis else c for c in columns(fmt)}
     turned = {"x": ("yaw", "pitch"), "y": ("yaw", "roll"), "z": ("pitch", "roll")}[axis]
-    return {c: f"-{c}" if c == f"c{axis}" or c in turned else c for c in BOX}
+    return {c: f"-{c}" if c == f"c{axis}" or c in turned else c for c in columns(fmt)}
+
+
+def translate(offset: tuple[float, float, float], fmt: str = "XYZLWHYPR") -> dict[str, str]:
+    """A moved box; both corners move."""
+    by = dict(zip("xyz", offset, strict=True))
+    return {c: f"{c}+({by[c.strip('c12')]!r})" if c.strip("c12") in by else c for c in columns(fmt)}
 
 
 def axis_rotation(axis: tuple[float, float, float], angle: float) -> list[list[float]]:

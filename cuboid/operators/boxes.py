@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +15,14 @@ def with_exprs(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
     return df.withColumns({k: F.expr(v) for k, v in exprs.items() if v != k})
 
 
-def params(boxes: DataFrame, yaw_only: bool = False) -> DataFrame:
-    """boxes with r00 to r22, worked out once a box and before any join."""
-    return with_exprs(boxes, geom.rotation("yaw", "0.0D", "0.0D") if yaw_only else geom.rotation())
+def params(boxes: DataFrame, fmt: str = "XYZLWHYPR") -> DataFrame:
+    """boxes with centre, size, all three angles and r00 to r22 (the axes are columns), worked out once a box and before
+    any join. Boxes of corners get centre and size; angles that a format lacks are 0, columns of theirs are ignored."""
+    if fmt == "XYZXYZ":
+        boxes = boxes.withColumns({k: F.expr(v) for k, v in geom.convert(fmt, "XYZLWH").items()})
+    boxes = boxes.withColumns({c: F.lit(0.0) for c in geom.BOX[6:] if c not in geom.columns(fmt)})
+    angles = [c if c in geom.columns(fmt) else "0.0D" for c in geom.BOX[6:]]
+    return with_exprs(boxes, geom.rotation(*angles))
 
 
 def corners(boxes: DataFrame) -> DataFrame:
@@ -32,8 +39,27 @@ def convert(boxes: DataFrame, source: str, target: str) -> DataFrame:
     return boxes.select(*rest, *[F.expr(v).alias(k) for k, v in exprs.items()])
 
 
-def flip_boxes(boxes: DataFrame, axis: str) -> DataFrame:
-    return with_exprs(boxes, geom.flip(axis))
+def flip_boxes(boxes: DataFrame, axis: str, fmt: str = "XYZLWHYPR") -> DataFrame:
+    return with_exprs(boxes, geom.flip(axis, fmt))
+
+
+def translate_boxes(boxes: DataFrame, offset: tuple[float, float, float], fmt: str = "XYZLWHYPR") -> DataFrame:
+    return with_exprs(boxes, geom.translate(offset, fmt))
+
+
+def scale_boxes(boxes: DataFrame, factor: float, fmt: str = "XYZLWHYPR") -> DataFrame:
+    """Centres and sizes, or both corners, grow; angles stay."""
+    return scale(boxes, factor, geom.columns(fmt)[:6])
+
+
+def score_filter(boxes: DataFrame, least: float, score: str = "score") -> DataFrame:
+    """Boxes with a score of least or more; a box without a score goes."""
+    return boxes.filter(F.col(score) >= least)
+
+
+def class_filter(boxes: DataFrame, labels: Sequence[int], label: str = "label") -> DataFrame:
+    """Boxes of the given classes."""
+    return boxes.filter(F.col(label).isin(*labels))
 
 
 def flip_points(points: DataFrame, axis: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuboid.functions import geom
 from cuboid.operators.boxes import with_exprs
 
 #: Camera axes of an unturned camera: x right, y down, z ahead, in a frame with x ahead, y left, z up.
@@ -66,3 +67,26 @@ def flip_image(cams: DataFrame, axis: str) -> DataFrame:
     row, col, centre = {"h": (0, 1, {"cx0": "img_w-cx0"}), "v": (1, 2, {"cy0": "img_h-cy0"})}[axis]
     signs = {f"e{i}{j}": f"-e{i}{j}" for i in range(3) for j in range(4) if (i == row) != (j == col)}
     return with_exprs(cams, centre | {"skew": "-skew"} | {k: v for k, v in signs.items() if k in cams.columns})
+
+
+def _cells(of) -> dict[str, str]:
+    return {f"e{i}{j}": of(i, j) for i in range(3) for j in range(4)}
+
+
+def translate_cameras(cams: DataFrame, offset: tuple[float, float, float]) -> DataFrame:
+    """Extrinsics after the world moved by offset: the translation loses the rotated offset."""
+    moved = lambda i: "-".join([f"e{i}3", *[f"e{i}{k}*({o!r})" for k, o in enumerate(offset)]])
+    return with_exprs(cams, _cells(lambda i, j: moved(i) if j == 3 else f"e{i}{j}"))
+
+
+def rotate_cameras(cams: DataFrame, axis: tuple[float, float, float], angle: float) -> DataFrame:
+    """Extrinsics after the world turned about an axis through its origin: the turn is undone first."""
+    m = geom.axis_rotation(axis, angle)
+    return with_exprs(cams, _cells(lambda i, j: f"e{i}3" if j == 3 else "+".join(f"e{i}{k}*({m[j][k]!r})" for k in range(3))))
+
+
+def scale_cameras(cams: DataFrame, factor: float) -> DataFrame:
+    """Extrinsics after the world grew: depths grow, pixels stay."""
+    if factor <= 0:
+        raise ValueError("a scale is positive")
+    return with_exprs(cams, _cells(lambda i, j: f"e{i}3*({factor!r})" if j == 3 else f"e{i}{j}"))

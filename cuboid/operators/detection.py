@@ -24,10 +24,20 @@ def with_bins(df: DataFrame, bins: Sequence[tuple[float, float]]) -> DataFrame:
     return df.withColumn("_b", F.explode(table)).filter((far >= F.col("_b.low")) & (far < F.col("_b.high"))).withColumn("bin", F.col("_b.bin")).drop("_b")
 
 
-def candidates_by_iou(pred: DataFrame, gt: DataFrame, least: float, oriented: bool = False) -> DataFrame:
-    """Pairs of one frame and label with IoU >= least (> 0): det_idx, gt_idx, value (smaller is better), score."""
-    found = (pairs.oriented_iou if oriented else pairs.aligned_iou)(pred, gt, ["label"]).filter(F.col("iou") >= least)
-    return found.select("frame_id", "label", F.col("a_det_idx").alias("det_idx"), F.col("b_box_idx").alias("gt_idx"), (-F.col("iou")).alias("value"), F.col("a_score").alias("score"))
+def nms(pred: DataFrame, least: float, by_class: bool = False, fmt: str = "XYZLWHYPR") -> DataFrame:
+    """The detections that greedy suppression keeps in every frame (of each class with by_class): best score first
+    (ties: the smaller det_idx), each kept one suppressing those whose IoU with it is over least."""
+    both = pairs.iou(pred, pred, ["label"] if by_class else None, fmt).filter(F.col("iou") > least)
+    better = F.struct((-F.col("a_score")).alias("s"), "a_det_idx") < F.struct((-F.col("b_score")).alias("s"), F.col("b_det_idx").alias("a_det_idx"))
+    edges = both.filter(better).select(F.col("a_det_idx").alias("better"), F.col("b_det_idx").alias("worse"))
+    return greedy.suppress(pred.withColumnRenamed("det_idx", "id"), edges).withColumnRenamed("id", "det_idx")
+
+
+def candidates_by_iou(pred: DataFrame, gt: DataFrame, least: float, fmt: str = "XYZLWHYPR", on: Sequence[str] = ()) -> DataFrame:
+    """Pairs of one frame and label (and equal columns of on) with IoU >= least (> 0): det_idx, gt_idx, value (smaller
+    is better), score."""
+    found = pairs.iou(pred, gt, ["label", *on], fmt).filter(F.col("iou") >= least)
+    return found.select("frame_id", "label", *on, F.col("a_det_idx").alias("det_idx"), F.col("b_box_idx").alias("gt_idx"), (-F.col("iou")).alias("value"), F.col("a_score").alias("score"))
 
 
 def candidates_by_distance(pred: DataFrame, gt: DataFrame, below: float) -> DataFrame:
@@ -40,12 +50,14 @@ def candidates_by_distance(pred: DataFrame, gt: DataFrame, below: float) -> Data
     return both.filter(F.col("value") < below).select("frame_id", "label", "det_idx", "gt_idx", "value", "score")
 
 
-def match(candidates: DataFrame, later_first: bool = False) -> DataFrame:
-    """(det_idx, gt_idx): best score first, every detection takes its best ground truth still free. Ties of the
-    score go to the smaller det_idx, or to the later frame and det_idx; ties of the value to the smaller gt_idx."""
+def match(candidates: DataFrame, later_first: bool = False, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, det_idx, gt_idx): best score first, every detection takes its best ground truth still free, apart for
+    each value of groups (one chain of rounds serves all). Ties of the score go to the smaller det_idx, or to the later
+    frame and det_idx; ties of the value to the smaller gt_idx."""
     order = F.struct((-F.col("frame_id")).alias("f"), (-F.col("det_idx")).alias("d")) if later_first else F.struct("frame_id", "det_idx")
-    edges = candidates.select(F.col("det_idx").alias("left"), F.col("gt_idx").alias("right"), F.struct((-F.col("score")).alias("s"), order.alias("o")).alias("rank"), "value", F.col("gt_idx").alias("tie"))
-    return greedy.assign(edges).select(F.col("left").alias("det_idx"), F.col("right").alias("gt_idx"))
+    side = lambda c: F.struct(*groups, F.col(c).alias("idx"))
+    edges = candidates.select(side("det_idx").alias("left"), side("gt_idx").alias("right"), F.struct((-F.col("score")).alias("s"), order.alias("o")).alias("rank"), "value", F.col("gt_idx").alias("tie"))
+    return greedy.assign(edges).select(*[F.col(f"left.{g}").alias(g) for g in groups], F.col("left.idx").alias("det_idx"), F.col("right.idx").alias("gt_idx"))
 
 
 def running_sums(df: DataFrame, keys: list[str], score: str, tie: str, sums: dict[str, Column], buckets: int = 64) -> DataFrame:
@@ -91,23 +103,18 @@ def average_precision(curve: DataFrame, totals: DataFrame, keys: list[str], how:
     return totals.join(found, keys, "left").withColumn("ap", F.when(F.col("num_gt") == 0, F.lit(-1.0)).otherwise(F.coalesce("ap", F.lit(0.0))))
 
 
-def map3d(pred: DataFrame, gt: DataFrame, ious: Sequence[float] = (0.1, 0.3, 0.5), bins: Sequence[tuple[float, float]] = ((0.0, float("inf")),), how: str = "r40", oriented: bool = False) -> DataFrame:
+def map3d(pred: DataFrame, gt: DataFrame, ious: Sequence[float] = (0.1, 0.3, 0.5), bins: Sequence[tuple[float, float]] = ((0.0, float("inf")),), how: str = "r40", fmt: str = "XYZLWHYPR") -> DataFrame:
     """(label, iou, bin, num_gt, ap) for every combination, and its roll-ups: over all, per class, per IoU, per class
     and IoU, per bin, per class and bin (the columns summed over are null). Means take defined values only; -1 if
     there are none."""
-    parts = []
-    for b, limits in enumerate(bins):
-        p, g = (saved(with_bins(x, [limits]).drop("bin")) for x in (pred, gt))
-        counts = g.groupBy("label").agg(F.count("*").alias("num_gt"))
-        for iou in ious:
-            hits = match(candidates_by_iou(p, g, iou, oriented)).select("det_idx", F.lit(True).alias("hit"))
-            flagged = p.select("label", "score", "det_idx").join(hits, "det_idx", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-            seen = p.select("label").unionByName(g.select("label")).distinct().join(counts, "label", "left").na.fill(0)
-            ap = average_precision(running(flagged, ["label"], "score", "det_idx", "hit"), seen, ["label"], how)
-            parts.append(ap.withColumns({"iou": F.lit(float(iou)), "bin": F.lit(b)}))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
+    p, g = (saved(with_bins(x, bins)) for x in (pred, gt))
+    levels, keys = F.explode(F.array(*[F.lit(float(i)) for i in ious])), ["label", "bin", "iou"]
+    found = candidates_by_iou(p, g, min(ious), fmt, ["bin"]).withColumn("iou", levels).filter(-F.col("value") >= F.col("iou"))
+    hits = match(found, groups=["bin", "iou"]).select("bin", "iou", "det_idx", F.lit(True).alias("hit"))
+    flagged = p.select("label", "bin", "score", "det_idx").withColumn("iou", levels).join(hits, ["bin", "iou", "det_idx"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    counts = g.groupBy("label", "bin").agg(F.count("*").alias("num_gt"))
+    seen = p.select("label", "bin").unionByName(g.select("label", "bin")).distinct().join(counts, ["label", "bin"], "left").na.fill(0).withColumn("iou", levels)
+    out = average_precision(running(flagged, keys, "score", "det_idx", "hit"), seen, keys, how)
     out = saved(out.select("label", "iou", "bin", "num_gt", "ap"))
     defined = F.coalesce(F.avg(F.when(F.col("num_gt") > 0, F.col("ap"))), F.lit(-1.0)).alias("ap")
     rolled = out.groupingSets([[], ["label"], ["iou"], ["label", "iou"], ["bin"], ["label", "bin"], ["label", "iou", "bin"]], "label", "iou", "bin")
@@ -117,15 +124,11 @@ def map3d(pred: DataFrame, gt: DataFrame, ious: Sequence[float] = (0.1, 0.3, 0.5
 def nds_ap(pred: DataFrame, gt: DataFrame, thresholds: Sequence[float] = (0.5, 1.0, 2.0, 4.0), min_recall: float = 0.1, min_precision: float = 0.1) -> DataFrame:
     """(label, threshold, ap) of distance matching: precision interpolated linearly at 101 recalls (0 beyond the
     largest), those over min_recall averaged after taking off min_precision. Classes without ground truth have 0."""
-    parts = []
-    for t in thresholds:
-        hits = match(candidates_by_distance(pred, gt, t), later_first=True).select("det_idx", F.lit(True).alias("hit"))
-        flagged = pred.select("label", "score", (-F.col("det_idx")).alias("det_idx")).join(hits.withColumn("det_idx", -F.col("det_idx")), "det_idx", "left")
-        curve = running(flagged.withColumn("hit", F.coalesce("hit", F.lit(False))), ["label"], "score", "det_idx", "hit")
-        parts.append(curve.select("label", "tp", "seen").withColumn("threshold", F.lit(float(t))))
-    curve = parts[0]
-    for x in parts[1:]:
-        curve = curve.unionByName(x)
+    each = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    found = candidates_by_distance(pred, gt, max(thresholds)).withColumn("threshold", each).filter(F.col("value") < F.col("threshold"))
+    hits = match(found, True, ["threshold"]).select("threshold", (-F.col("det_idx")).alias("det_idx"), F.lit(True).alias("hit"))
+    flagged = pred.select("label", "score", (-F.col("det_idx")).alias("det_idx")).withColumn("threshold", each).join(hits, ["threshold", "det_idx"], "left")
+    curve = running(flagged.withColumn("hit", F.coalesce("hit", F.lit(False))), ["label", "threshold"], "score", "det_idx", "hit")
     totals = gt.groupBy("label").agg(F.count("*").alias("num_gt"))
     steps = saved(curve.groupBy("label", "threshold", "tp").agg(F.min("seen").alias("first"), F.max("seen").alias("last")))
     labels = pred.select("label").unionByName(gt.select("label")).distinct()

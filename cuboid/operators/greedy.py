@@ -24,7 +24,6 @@ def suppress(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         edges = saved(edges.join(gone.withColumnRenamed("id", "worse"), "worse", "left_anti").join(gone.withColumnRenamed("id", "better"), "better", "left_anti"))
         free = touched.join(gone, "id", "left_anti").join(edges.select(F.col("worse").alias("id")).distinct(), "id", "left_anti")
         done.append(saved(free.select("id")))
-        edges = saved(edges)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

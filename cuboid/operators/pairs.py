@@ -36,6 +36,14 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = CELL) ->
     return found.drop("gx", "gy", *[f"r{i}{j}" for i in range(3) for j in range(3)])
 
 
+def min_points(boxes: DataFrame, points: DataFrame, least: int, cell: float = CELL) -> DataFrame:
+    """The boxes that hold at least so many points of their frame."""
+    if least < 1:
+        return boxes
+    full = points_in_boxes(points.select("frame_id", "x", "y", "z"), boxes, cell).groupBy("frame_id", "box_idx").agg(F.count("*").alias("n"))
+    return boxes.join(full.filter(F.col("n") >= least).select("frame_id", "box_idx"), ["frame_id", "box_idx"], "left_semi")
+
+
 def lowest_box(points: DataFrame, boxes: DataFrame, key: list[str], cell: float = CELL) -> DataFrame:
     """points with box_idx: the lowest of the boxes that hold a point, -1 without one. key names a point."""
     hit = points_in_boxes(points.select("frame_id", *key, "x", "y", "z"), boxes, cell).groupBy("frame_id", *key).agg(F.min("box_idx").alias("box_idx"))
@@ -80,7 +88,7 @@ def oriented_iou(a: DataFrame, b: DataFrame, on: list[str] | None = None) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.column_stack([batch.column(f"{s}_{c}").to_numpy(zero_copy_only=False) for c in sides]) for s in "ab")
-            volume = np.array([common_volume(p, q) for p, q in zip(x, y, strict=True)])
+            volume = np.concatenate([common_volumes(x[k : k + 4096], y[k : k + 4096]) for k in range(0, max(len(x), 1), 4096)])
             union = np.prod(x[:, 3:6], axis=1) + np.prod(y[:, 3:6], axis=1) - volume
             iou = np.divide(volume, union, out=np.zeros_like(volume), where=union > 0)
             arrays = [*batch.columns, pa.array(volume), pa.array(iou)]
@@ -89,41 +97,66 @@ def oriented_iou(a: DataFrame, b: DataFrame, on: list[str] | None = None) -> Dat
     return pairs.mapInArrow(run, schema).filter("iou > 0")
 
 
+def iou(a: DataFrame, b: DataFrame, on: list[str] | None = None, fmt: str = "XYZLWHYPR") -> DataFrame:
+    """near_pairs with iou by box format: of axis-aligned boxes in SQL, of turned ones by clipping. A format without
+    pitch and roll ignores such columns."""
+    if fmt == "XYZXYZ":
+        a, b = (x.withColumns({k: F.expr(v) for k, v in geom.convert(fmt, "XYZLWH").items()}) for x in (a, b))
+    if fmt in ("XYZXYZ", "XYZLWH"):
+        return aligned_iou(a, b, on)
+    flat = {c: F.lit(0.0) for c in geom.BOX if c not in geom.columns(fmt)}
+    return oriented_iou(a.withColumns(flat), b.withColumns(flat), on) if flat else oriented_iou(a, b, on)
+
+
 def common_volume(p: np.ndarray, q: np.ndarray) -> float:
     """The volume that two boxes (centre, size, rotation row by row) share."""
-    origin = p[:3].copy()
-    sides = [(b[:3] - origin, b[3:6] / 2, b[6:].reshape(3, 3)) for b in (p, q)]
-    total = 0.0
+    return float(common_volumes(p[None], q[None])[0])
+
+
+def common_volumes(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The volumes that the boxes of two equally long arrays share, row by row. All pairs are clipped at once: every face
+    is a row of corners, of which count are in use."""
+    origin = p[:, :3].copy()
+    sides = [(b[:, :3] - origin, b[:, 3:6] / 2, b[:, 6:].reshape(-1, 3, 3)) for b in (p, q)]
+    total = np.zeros(len(p))
     for k, (centre, half, turn) in enumerate(sides):
         other_c, other_h, other_r = sides[1 - k]
         for axis in range(3):
+            a, b = (axis + 1) % 3, (axis + 2) % 3
+            u, v = turn[:, :, a] * half[:, a, None], turn[:, :, b] * half[:, b, None]
             for sign in (-1.0, 1.0):
-                normal = sign * turn[:, axis]
-                u, v = turn[:, (axis + 1) % 3] * half[(axis + 1) % 3], turn[:, (axis + 2) % 3] * half[(axis + 2) % 3]
-                middle = centre + normal * half[axis]
-                face = np.array([middle - u - v, middle + u - v, middle + u + v, middle - u + v])
+                normal = sign * turn[:, :, axis]
+                middle = centre + normal * half[:, axis, None]
+                face = np.stack([middle - u - v, middle + u - v, middle + u + v, middle - u + v], axis=1)
+                count = np.full(len(p), 4)
                 for j in range(3):
                     for s in (-1.0, 1.0):
-                        n = s * other_r[:, j]
-                        level = n @ other_c + other_h[j]
+                        n = s * other_r[:, :, j]
+                        level = (n * other_c).sum(1) + other_h[:, j]
+                        facing = (n * normal).sum(1)
                         # faces in one plane count once: the first box's, if both look the same way
-                        if abs(abs(n @ normal) - 1) < 1e-12 and abs(n @ middle - level) < 1e-9 and (k == 1 or n @ normal < 0):
-                            face = face[:0]
-                        elif len(face):
-                            face = _clip(face, face @ n - level)
-                if len(face) > 2:
-                    area = 0.5 * abs(np.cross(face[1:-1] - face[0], face[2:] - face[0]).sum(axis=0) @ normal)
-                    total += area * (normal @ middle) / 3
-    return max(total, 0.0)
-
-
-def _clip(face: np.ndarray, over: np.ndarray) -> np.ndarray:
-    """The part of a polygon where over <= 0."""
-    out = []
-    for i in range(len(face)):
-        j = (i + 1) % len(face)
-        if over[i] <= 0:
-            out.append(face[i])
-        if (over[i] < 0 < over[j]) or (over[j] < 0 < over[i]):
-            out.append(face[i] + (face[j] - face[i]) * (over[i] / (over[i] - over[j])))
-    return np.array(out).reshape(-1, 3)
+                        flush = (np.abs(np.abs(facing) - 1) < 1e-12) & (np.abs((n * middle).sum(1) - level) < 1e-9)
+                        count = np.where(flush & ((k == 1) | (facing < 0)), 0, count)
+                        over = np.where(flush[:, None], 0.0, (face * n[:, None]).sum(2) - level[:, None])
+                        face, count = _clip(face, count, over)
+                fan = np.cross(face[:, 1:-1] - face[:, :1], face[:, 2:] - face[:, :1])
+                fan[np.arange(2, face.shape[1])[None] >= count[:, None]] = 0.0
+                total += 0.5 * np.abs((fan.sum(1) * normal).sum(1)) * (normal * middle).sum(1) / 3
+    return np.maximum(total, 0.0)
+
+
+def _clip(face: np.ndarray, count: np.ndarray, over: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of polygons (rows of count corners) where over <= 0."""
+    n, width = over.shape
+    place = np.arange(width)[None]
+    used = place < count[:, None]
+    after = np.where(place + 1 < count[:, None], place + 1, 0)
+    then = np.take_along_axis(over, after, 1)
+    crossed = used & (((over < 0) & (then > 0)) | ((then < 0) & (over > 0)))
+    part = np.divide(over, over - then, out=np.zeros_like(over), where=crossed)
+    point = face + (np.take_along_axis(face, after[:, :, None], 1) - face) * part[:, :, None]
+    both = np.stack([face, point], axis=2).reshape(n, 2 * width, 3)
+    held = np.stack([used & (over <= 0), crossed], axis=2).reshape(n, 2 * width)
+    left = held.sum(1)
+    order = np.argsort(~held, axis=1, kind="stable")[:, : max(int(left.max(initial=0)), 3)]
+    return np.take_along_axis(both, order[:, :, None], 1), left

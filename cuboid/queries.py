@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuboid.functions import geom
-from cuboid.operators import augment, boxes, cameras, detection, greedy, pairs, sweeps, voxels
+from cuboid.operators import augment, boxes, cameras, detection, pairs, sweeps, voxels
 from cuboid.plans.scene import oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,15 +191,6 @@ def iou_9dof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("frame_id", F.col("a_det_idx").alias("det_idx"), F.col("b_box_idx").alias("box_idx"), "volume", "iou"))
 
 
-def _nms(spark: SparkSession, sf_dir: str, by_class: bool) -> DataFrame:
-    pred = view(spark, sf_dir, "pred")
-    nodes = pred.withColumnRenamed("det_idx", "id")
-    both = pairs.aligned_iou(pred, pred, ["label"] if by_class else None).filter("iou > 0.1")
-    better = F.struct((-F.col("a_score")).alias("s"), "a_det_idx") < F.struct((-F.col("b_score")).alias("s"), F.col("b_det_idx").alias("a_det_idx"))
-    edges = both.filter(better).select(F.col("a_det_idx").alias("better"), F.col("b_det_idx").alias("worse"))
-    return greedy.suppress(nodes, edges).select("frame_id", F.col("id").alias("det_idx"), "label")
-
-
 _NMS = """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY score DESC, det_idx) AS k FROM pred),
 s AS (SELECT {g}, det_idx, k, label AS lab, {cols} FROM n),
 e AS (SELECT b.det_idx AS worse, list(a.det_idx) AS better FROM n x JOIN n y ON {on} AND x.k < y.k
@@ -220,12 +211,80 @@ def _nms_sql(group: list[str]) -> str:
 
 @query(_nms_sql(["frame_id"]))
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nms(spark, sf_dir, False)
+    """Suppression at IoU 0.1 of axis-aligned boxes."""
+    return detection.nms(view(spark, sf_dir, "pred"), 0.1, fmt="XYZLWH").select("frame_id", "det_idx", "label")
 
 
 @query(_nms_sql(["frame_id", "label"]))
 def batched_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nms(spark, sf_dir, True)
+    """Suppression at IoU 0.1 of axis-aligned boxes, each class apart."""
+    return detection.nms(view(spark, sf_dir, "pred"), 0.1, True, "XYZLWH").select("frame_id", "det_idx", "label")
+
+
+@query()
+def nms_yaw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppression of boxes with a yaw (no SQL for oriented IoU; tests compare with a plain loop)."""
+    return detection.nms(view(spark, sf_dir, "pred"), 0.1, fmt="XYZLWHY").select("frame_id", "det_idx", "label")
+
+
+@query()
+def batched_nms_9dof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppression of oriented boxes, each class apart (no SQL for oriented IoU; tests compare with a plain loop)."""
+    return detection.nms(view(spark, sf_dir, "pred"), 0.1, True).select("frame_id", "det_idx", "label")
+
+
+@query()
+def iou_yaw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IoU of boxes with a yaw."""
+    found = pairs.iou(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt"), fmt="XYZLWHY")
+    return rounded(found.select("frame_id", F.col("a_det_idx").alias("det_idx"), F.col("b_box_idx").alias("box_idx"), "iou"))
+
+
+@query()
+def match_iou_9dof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy matches of detections to oriented boxes at IoU 0.1."""
+    return detection.match(detection.candidates_by_iou(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt"), 0.1))
+
+
+@query("SELECT frame_id, det_idx, label FROM pred WHERE score >= 0.5")
+def score_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes.score_filter(view(spark, sf_dir, "pred"), 0.5).select("frame_id", "det_idx", "label")
+
+
+@query("SELECT frame_id, det_idx, label FROM pred WHERE label IN (0, 1, 2)")
+def class_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes.class_filter(view(spark, sf_dir, "pred"), (0, 1, 2)).select("frame_id", "det_idx", "label")
+
+
+@query(f"""WITH b AS (SELECT *, {_ROT} FROM gt)
+SELECT b.frame_id, b.box_idx FROM b JOIN points p ON p.frame_id = b.frame_id AND {geom.contains("p.x", "p.y", "p.z")} GROUP BY ALL HAVING count(*) >= 3""")
+def min_points_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes that hold at least three points."""
+    return pairs.min_points(view(spark, sf_dir, "gt"), view(spark, sf_dir, "points"), 3).select("frame_id", "box_idx")
+
+
+@query(f"""WITH c AS (SELECT box_idx, {', '.join(f'{v} AS {k}' for k, v in geom.convert('XYZLWH', 'XYZXYZ').items())} FROM gt)
+SELECT box_idx, {_r('x1 y1 z1 x2 y2 z2', x1='-x2+1', x2='-x1+1', y1='y1+2', y2='y2+2', z1='z1+3', z2='z2+3')} FROM c""")
+def move_corner_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of corners, mirrored along x and moved by (1, 2, 3)."""
+    c = boxes.convert(view(spark, sf_dir, "gt"), "XYZLWH", "XYZXYZ").select("box_idx", *geom.columns("XYZXYZ"))
+    return rounded(boxes.translate_boxes(boxes.flip_boxes(c, "x", "XYZXYZ"), (1.0, 2.0, 3.0), "XYZXYZ"))
+
+
+@query(f"SELECT box_idx, {_r('cx cy cz l w h yaw', cz='-cz')} FROM gt")
+def flip_z_yaw_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes with a yaw only keep it when mirrored along z."""
+    return rounded(boxes.flip_boxes(view(spark, sf_dir, "gt"), "z", "XYZLWHY").select("box_idx", *geom.columns("XYZLWHY")))
+
+
+@query(f"""SELECT box_idx, cam_idx, {_r('depth', depth='2*(cos(cam_yaw)*cx+sin(cam_yaw)*cy)')} FROM gt CROSS JOIN cams""")
+def move_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths of box centres in cameras after points and extrinsics were turned, moved and doubled alike."""
+    c, b = cameras.extrinsics(view(spark, sf_dir, "cams")), view(spark, sf_dir, "gt").select("box_idx", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
+    axis, angle, offset = (1.0, 2.0, 3.0), 0.7, (4.0, -5.0, 6.0)
+    c = cameras.scale_cameras(cameras.translate_cameras(cameras.rotate_cameras(c, axis, angle), offset), 2.0)
+    b = boxes.scale(boxes.translate(boxes.rotate_points(b, axis, angle), offset), 2.0, ("x", "y", "z"))
+    return rounded(cameras.project(b, c).select("box_idx", "cam_idx", "depth"))
 
 
 _LOW, _HIGH, _SIZE = (-40.0, -40.0, -1.0), (40.0, 40.0, 1.0), (4.0, 4.0, 1.0)
@@ -260,7 +319,7 @@ SELECT det_idx, gt_idx FROM r WHERE gt_idx IS NOT NULL"""
 @query(_MATCH)
 def match_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy matches of detections to boxes at IoU 0.1 (boxes without their angles)."""
-    return detection.match(detection.candidates_by_iou(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt"), 0.1))
+    return detection.match(detection.candidates_by_iou(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt"), 0.1, "XYZLWH"))
 
 
 _CURVE = _MATCH.replace("SELECT det_idx, gt_idx FROM r WHERE gt_idx IS NOT NULL", """, m AS (SELECT det_idx FROM r WHERE gt_idx IS NOT NULL),
@@ -302,7 +361,7 @@ def _ap(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
 
 @query()
 def map3d_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AP by class, IoU and distance bin, with roll-ups."""
+    """AP of oriented boxes by class, IoU and distance bin, with roll-ups."""
     out = detection.map3d(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt"), (0.1, 0.3), ((0.0, 25.0), (25.0, 1000.0)))
     return rounded(out)
 

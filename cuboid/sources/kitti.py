@@ -5,7 +5,7 @@ Files are read by Spark (any store), and become one row per point, camera or box
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Class names in the order of their indices. DontCare rows are dropped, other names get -1.
-CLASSES = ("Car", "Van", "Truck", "Pedestrian", "Person_sitting", "Cyclist", "Tram", "Misc")
+CLASSES = ("Car", "Pedestrian", "Cyclist", "Van", "Truck", "Person_sitting", "Tram", "Misc")
 
 
 def _frame(path: str = "path"):
@@ -40,6 +40,20 @@ def binary_points(spark: SparkSession, path: str, names: tuple[str, ...], glob:
     return files.select(_frame().alias("frame_id"), "content").mapInArrow(run, "frame_id string, pt_idx long, " + ", ".join(f"{n} float" for n in names))
 
 
+def frames(spark: SparkSession, root: str, split: str = "training", chosen: Sequence[str] | None = None) -> DataFrame:
+    """frame_id of the frames that have points, and calibrated (whether they have a calibration file); with chosen only
+    those. Raises ValueError for chosen frames without points."""
+    stems = lambda path, glob: spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(_frame().alias("frame_id"))
+    calibrated = stems(f"{root}/{split}/calib", "*.txt").withColumn("calibrated", F.lit(True))
+    out = stems(f"{root}/{split}/velodyne", "*.bin").join(calibrated, "frame_id", "left").na.fill(False)
+    if chosen is None:
+        return out
+    out = out.filter(F.col("frame_id").isin(*chosen))
+    if lost := sorted({*chosen} - {r["frame_id"] for r in out.select("frame_id").collect()}):  # as many rows as chosen
+        raise ValueError(f"no points for {lost}")
+    return out
+
+
 def points(spark: SparkSession, root: str, split: str = "training") -> DataFrame:
     return binary_points(spark, f"{root}/{split}/velodyne", ("x", "y", "z", "intensity"))
 

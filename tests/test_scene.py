@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuboid.functions import geom
 from cuboid.operators import augment, boxes, detection, greedy, pairs, voxels
+from cuboid.plans.scene import view
 from cuboid.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -219,3 +220,37 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([], BOX)
     p = spark.createDataFrame([], "frame_id long, x double, y double, z double")
     assert pairs.points_in_boxes(p, b).count() == 0 and pairs.oriented_iou(b, b).count() == 0 and boxes.corners(b).count() == 0
+
+
+def test_oriented_suppression_and_matching_equal_plain_loops(spark):
+    for fmt, by_class in (("XYZLWHY", False), ("XYZLWHYPR", True)):
+        pred = view(spark, SF, "pred")
+        iou = {(r.a_det_idx, r.b_det_idx): r.iou for r in pairs.iou(pred, pred, ["label"] if by_class else None, fmt).collect()}
+        kept = []
+        for r in sorted(pred.collect(), key=lambda r: (-r.score, r.det_idx)):
+            if all(iou.get((k, r.det_idx), 0) <= 0.1 for k in kept):
+                kept.append(r.det_idx)
+        assert {r.det_idx for r in detection.nms(pred, 0.1, by_class, fmt).collect()} == set(kept)
+    gt, taken, want = view(spark, SF, "gt"), set(), set()
+    near = {}
+    for r in pairs.iou(pred, gt, ["label"]).filter("iou >= 0.1").collect():
+        near.setdefault(r.a_det_idx, []).append((-r.iou, r.b_box_idx))
+    for r in sorted(pred.collect(), key=lambda r: (-r.score, r.frame_id, r.det_idx)):
+        free = [g for g in sorted(near.get(r.det_idx, [])) if g[1] not in taken]
+        if free:
+            taken.add(free[0][1])
+            want.add((r.det_idx, free[0][1]))
+    got = detection.match(detection.candidates_by_iou(pred, gt, 0.1))
+    assert {(r.det_idx, r.gt_idx) for r in got.collect()} == want and want
+
+
+def test_formats_and_filters(spark):
+    corner = spark.createDataFrame([(0, 0, -1.0, 2.0, 3.0, 4.0, 5.0, 6.0)], "frame_id int, box_idx int, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double")
+    flipped = boxes.flip_boxes(corner, "x", "XYZXYZ").first()
+    assert (flipped.x1, flipped.x2, flipped.y1) == (-4.0, 1.0, 2.0)
+    p = boxes.params(corner, "XYZXYZ").first()
+    assert (p.cx, p.l, p.r00, p.r01, p.yaw) == (1.5, 5.0, 1.0, 0.0, 0.0)
+    assert boxes.scale_boxes(corner, 2.0, "XYZXYZ").first().x2 == 8.0
+    assert pairs.iou(corner, corner, fmt="XYZXYZ").first().iou == 1.0
+    assert boxes.score_filter(spark.createDataFrame([(0.5,), (0.4,), (None,)], "score double"), 0.5).count() == 1
+    assert pairs.min_points(view(spark, SF, "gt"), view(spark, SF, "points"), 0).count() == view(spark, SF, "gt").count()
