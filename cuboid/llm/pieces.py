@@ -44,7 +44,7 @@ class Transducer:
     frozen: dict[str, int] = field(default_factory=dict)
     prefix: bool = True
     squeeze: bool = False
-    cached: int = 200_000
+    cached: int = 100_000
     longest: int = field(init=False)
 
     def __post_init__(self):
@@ -239,7 +239,7 @@ class _Arcs:
 
     def _allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """allowed for pairs of indices (a: -1 at the beginning), by a table that forgets."""
-        key = (a + 1) * (1 << 30) + b
+        key = (a.astype(np.int64) + 1) * (1 << 30) + b
         slot = (key * 0x9E3779B97F4A7C1 >> 24) & (self.SLOTS - 1)
         have = self.tested[slot]
         new = (have >> 1) != key
@@ -257,13 +257,12 @@ class _Arcs:
         if not units:
             return []
         raw = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        code = self.codes[raw].astype(np.int64)
+        code = self.codes[raw]
         size = np.array([len(u) for u in units], dtype=np.int64)
         first = np.cumsum(size) - size
         stop = np.repeat(first + size, size)
-        start = np.arange(len(raw))
-        arcs = []  # (start, length, index)
-        live, node = start, np.zeros(len(raw), dtype=np.int64)
+        arcs = []  # (start, length, index), as 32-bit integers
+        live, node = np.arange(len(raw)), np.zeros(len(raw), dtype=np.int64)
         known = np.zeros(len(raw), dtype=bool)
         for n in range(1, self.model.longest + 1):
             key = node * self.width + code[live + n - 1]
@@ -272,7 +271,7 @@ class _Arcs:
             live, node = live[hit], self.child[at[hit]]
             piece = self.end[node]
             there = piece >= 0
-            arcs.append((live[there], np.full(int(there.sum()), n), piece[there]))
+            arcs.append((live[there].astype(np.int32), np.full(int(there.sum()), n, np.int32), piece[there].astype(np.int32)))
             if n == 1:
                 known[live[there]] = True
             more = live + n < stop[live]
@@ -282,12 +281,12 @@ class _Arcs:
         odd = np.flatnonzero(~known)
         if len(odd):
             chars, back = np.unique(raw[odd], return_inverse=True)
-            arcs.append((odd, np.ones(len(odd), np.int64), np.array([self._unknown(chr(c)) for c in chars.tolist()])[back]))
+            arcs.append((odd.astype(np.int32), np.ones(len(odd), np.int32), np.array([self._unknown(chr(c)) for c in chars.tolist()], dtype=np.int32)[back]))
         begin, length, piece = (np.concatenate(x) for x in zip(*arcs, strict=True))
         # arcs by where they end within their unit; of a BPE model short ones first, as the first allowed one decides
         bpe, longest = self.model.kind == 2, self.model.longest + 1
-        until = begin + length - np.repeat(first, size)[begin]
-        group = until * longest + (length if bpe else longest - 1 - length)
+        until = begin + length - np.repeat(first.astype(np.int32), size)[begin]
+        group = until * np.int32(longest) + (length if bpe else longest - 1 - length)
         order = np.argsort(group, kind="stable")
         begin, length, piece, group = begin[order], length[order], piece[order], group[order]
         bounds = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))
@@ -408,7 +407,7 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", keep: list[str
         ids = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([t is None for t in texts], pa.bool_()))
         return {"ids": ids, "n_tokens": pa.array(sizes), "round_trip": pa.array(same, pa.bool_())}
 
-    return add_columns(docs, "ids array<int>, n_tokens long, round_trip boolean", work, text, keep)
+    return add_columns(docs, "ids array<int>, n_tokens long, round_trip boolean", work, text, keep, limit=1 << 20)
 
 
 def decode_pieces(tokens: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
