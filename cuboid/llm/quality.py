@@ -205,16 +205,21 @@ def _load(place: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
     if (place, shard) not in _LOADED:
         _LOADED.clear()
         system, root = fs.FileSystem.from_uri(place)
-        parts = []
+        found = []
         for one in (shard, -1):
             at = f"{root}/shard={one}"
             if system.get_file_info(at).type == fs.FileType.Directory:
-                for info in system.get_file_info(fs.FileSelector(at)):
-                    if info.base_name.endswith(".parquet"):
-                        with system.open_input_file(info.path) as f:
-                            parts.append(pq.read_table(f, columns=["h", "value"]))
-        keys = np.concatenate([p["h"].to_numpy() for p in parts]) if parts else np.zeros(0, np.int64)
-        values = np.concatenate([p["value"].to_numpy() for p in parts]) if parts else np.zeros(0, np.float32)
+                found += [i.path for i in system.get_file_info(fs.FileSelector(at)) if i.base_name.endswith(".parquet")]
+        sizes = []
+        for path in found:
+            with system.open_input_file(path) as f:
+                sizes.append(pq.ParquetFile(f).metadata.num_rows)
+        keys, values, done = np.empty(sum(sizes), np.int64), np.empty(sum(sizes), np.float32), 0
+        for path, size in zip(found, sizes, strict=True):  # one file at a time, so that little is held twice
+            with system.open_input_file(path) as f:
+                part = pq.read_table(f, columns=["h", "value"])
+            keys[done : done + size], values[done : done + size] = part["h"].to_numpy(), part["value"].to_numpy()
+            done += size
         order = np.argsort(keys, kind="stable")
         _LOADED[place, shard] = keys[order], values[order]
     return _LOADED[place, shard]
