@@ -68,14 +68,15 @@ def shared_keys(keys: DataFrame, percent: int, least: Callable[[Column], Column]
     """Of rows (key, cls, n, at, kind) the distinct ones whose key joins two classes, as a saved table. Classes with
     fewer such keys than a similar pair has in common at least (least, of the smaller set's size) are left out.
 
-    Keys are counted with partial sums and joined back, so that a key with very many rows meets in no one task."""
+    Keys are counted with partial sums and joined back, so that a key with very many rows meets in no one task. Tables
+    of keys grow with the input, so these joins shuffle at every size."""
     keys = saved(keys)
     heads = saved(keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"))
-    found = saved(keys.join(small(heads), "key", "left_semi").distinct(), keys, heads)
+    found = saved(keys.hint("merge").join(heads, "key", "left_semi").distinct(), keys, heads)
     heads = found.groupBy("key").agg(F.count("*").alias("k"), F.min("kind").alias("low"), F.max("kind").alias("top"))
     # a key without heavy sets joins nothing if all its sets are merely listed
     heads = saved(heads.filter(f"k > 1 and not (low = {LISTED} and top = {LISTED})").select("key"))
-    found = saved(found.join(small(heads), "key", "left_semi"), found, heads)
+    found = saved(found.hint("merge").join(heads, "key", "left_semi"), found, heads)
     able = found.groupBy("cls", "n").agg(F.count("*").alias("k"), F.min("kind").alias("kind"))
     able = saved(able.filter((F.col("kind") == ALL) | (F.col("k") >= least(F.floor(F.col("n") * percent / 100)))).select("cls"))
     return saved(found.join(small(able), "cls", "left_semi"), found, able)
@@ -108,10 +109,10 @@ def link(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     class. Then all pairs of classes that share a key and are still in different components are compared, but for
     those that the sizes, the rank of a common member or the bitmaps rule out. So no similar pair is lost."""
     heads = saved(shared.groupBy("key").agg(F.count("*").alias("m")))
-    weight = saved(shared.join(small(heads), "key").groupBy("cls").agg(F.sum("m").alias("m")), heads)
+    weight = saved(shared.hint("merge").join(heads, "key").groupBy("cls").agg(F.sum("m").alias("m")), heads)
     ranked = saved(shared.select("key", "cls", "n").join(small(weight), "cls"), weight)
     tops = saved(ranked.groupBy("key").agg(F.max(F.struct("m", "cls", "n")).alias("top")).select("key", F.col("top.cls").alias("v"), F.col("top.n").alias("n_v")))
-    stars = ranked.join(small(tops), "key").filter((F.col("cls") != F.col("v")) & _fits(F.col("n"), F.col("n_v"), percent))
+    stars = ranked.hint("merge").join(tops, "key").filter((F.col("cls") != F.col("v")) & _fits(F.col("n"), F.col("n_v"), percent))
     stars = saved(stars.groupBy("cls", "v").agg(F.count("*").alias("k")), ranked, tops)
     stars = saved(stars.groupBy("cls").agg(F.max_by("v", F.struct("k", "v")).alias("v")).select(F.col("cls").alias("u"), "v"), stars)
     links = saved(verified(stars, sets, percent), stars)
@@ -119,7 +120,7 @@ def link(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     named = shared.join(small(roots), F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
     rows = saved(named)
     mixed = saved(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key"))
-    rest = saved(rows.join(small(mixed), "key", "left_semi"), rows, mixed)
+    rest = saved(rows.hint("merge").join(mixed, "key", "left_semi"), rows, mixed)
     bits = saved(bitmaps(sets))
     both = saved(rest.join(bits, "cls"), rest, bits)
     a, b = (both.select("key", *[F.col(c).alias(f"{c}_{x}") for c in both.columns if c != "key"]) for x in "ab")

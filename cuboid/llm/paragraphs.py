@@ -208,9 +208,9 @@ def repeated_spans(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
     rows = saved(_spans(docs, shared, p, doc_id, text), shared)
     # counts first: a place is only looked up for windows that stand twice
     twice = saved(rows.groupBy("span").agg(F.count("*").alias("n")).filter("n > 1").select("span"))
-    rows = saved(rows.join(small(twice), "span", "left_semi"), rows, twice)
+    rows = saved(rows.hint("merge").join(twice, "span", "left_semi"), rows, twice)
     places = saved(rows.groupBy("span").agg(F.min(F.struct("id", "at")).alias("lo")))
-    out = rows.join(small(places), "span").filter((F.col("id") != F.col("lo.id")) | (F.col("at") != F.col("lo.at")))
+    out = rows.hint("merge").join(places, "span").filter((F.col("id") != F.col("lo.id")) | (F.col("at") != F.col("lo.at")))
     return saved(out.select("id", "at", "span", F.col("lo.id").alias("kept_id"), F.col("lo.at").alias("kept_at")), rows, places)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from cuboid.llm.tables import add_columns
 
 MARK = "▁"
-LONG = 64  # characters of a unit beyond which it is composed alone
+LONG = 32  # characters of a unit beyond which it is composed alone
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
 
@@ -44,7 +44,7 @@ class Transducer:
     frozen: dict[str, int] = field(default_factory=dict)
     prefix: bool = True
     squeeze: bool = False
-    cached: int = 100_000
+    cached: int = 60_000
     longest: int = field(init=False)
 
     def __post_init__(self):
@@ -407,7 +407,7 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", keep: list[str
         ids = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([t is None for t in texts], pa.bool_()))
         return {"ids": ids, "n_tokens": pa.array(sizes), "round_trip": pa.array(same, pa.bool_())}
 
-    return add_columns(docs, "ids array<int>, n_tokens long, round_trip boolean", work, text, keep, limit=1 << 20)
+    return add_columns(docs, "ids array<int>, n_tokens long, round_trip boolean", work, text, keep)
 
 
 def decode_pieces(tokens: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:

@@ -109,7 +109,7 @@ def count_ngrams(docs: DataFrame, rules: Rules, text: str = "text", lang: str =
     """(lang, gram, n): counts of the highest order's n-grams over every document that trains the model."""
 
     def run(batches):
-        for batch in slices(batches, text, 1 << 20):
+        for batch in slices(batches, text):
             base = base_counts(batch.column(text), rules)
             seed = ~base["base_failed"] & (rules.seed_symbols * base["n_symbols"] <= base["n_words"])
             langs, texts = _language(batch, lang), batch.column(text).to_pylist()
@@ -271,7 +271,7 @@ def score(docs: DataFrame, model: tuple[str, int], rules: Rules, text: str, lang
                     continue
                 at = np.flatnonzero((langs == one) & (size > 0))
                 known[at] = True
-                for part in np.array_split(at, max(1, int(size[at].sum()) >> 20)) if len(at) else ():
+                for part in np.array_split(at, max(1, int(size[at].sum()) >> 19)) if len(at) else ():
                     gram, n = _grams([texts[k] for k in part], rules.order)
                     mine = _spread(_two_before(rules.order, gram), shards) == shard if shards > 1 else slice(None)
                     each = np.zeros(len(gram))
@@ -285,9 +285,9 @@ def score(docs: DataFrame, model: tuple[str, int], rules: Rules, text: str, lang
             return found | {total: pa.array(sums)}
 
         if last:
-            return add_columns(out, counts + f"`{nll}` double, `{units}` long", work, text, list(keep), 1 << 20)
+            return add_columns(out, counts + f"`{nll}` double, `{units}` long", work, text, list(keep))
         # a row's sum travels with its text to the next shard
-        out = saved(add_columns(out, counts + f"`{total}` double", work, text, names, 1 << 20), *([] if head else [out]))
+        out = saved(add_columns(out, counts + f"`{total}` double", work, text, names), *([] if head else [out]))
 
 
 def _median(rows: DataFrame, group: str, value: Column, step: float) -> DataFrame:

@@ -85,7 +85,7 @@ def add_columns(
     work: Callable[[pa.RecordBatch], dict[str, pa.Array]],
     text: str,
     keep: list[str] | None = None,
-    limit: int = 1 << 20,
+    limit: int = 1 << 19,
 ) -> DataFrame:
     """df's columns (or those of keep) and new ones, given as DDL, that work computes for batches of rows.
 

@@ -6,9 +6,7 @@ UTF-8 bytes can be scanned directly. A null text has no words.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -152,19 +150,8 @@ def distinct_sets(values: np.ndarray, group: np.ndarray, rows: int) -> tuple[np.
     return v, np.concatenate(([0], np.cumsum(np.bincount(g, minlength=rows)))).astype(np.int64)
 
 
-@cache
-def return_memory() -> None:
-    """Lets glibc give freed arrays of a megabyte and more back to the system at once. A task's process lives on beside
-    the executor's other processes, and would else hold the most that it ever used."""
-    try:
-        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-    except (AttributeError, OSError):
-        pass  # another C library
-
-
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about limit bytes of a text column (one row at least), to bound memory."""
-    return_memory()
     for batch in batches:
         if not batch.num_rows:
             continue
