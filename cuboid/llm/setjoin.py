@@ -33,7 +33,7 @@ class Join:
     shingle: int = 4
     percent: int = 85
     lower: bool = True
-    cells: int = 16
+    cells: int = 4
 
     def prefix(self, n: int, subset: int) -> int:
         return n + (-self.percent * n) // 100 + subset  # n - ceil(t n) + subset

@@ -29,7 +29,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Folders of the tables that saved() has written and nobody has dropped.
 LIVE: set[str] = set()
-_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of the writes: shuffle files go at a write's end, and a batch that a task exchanges with its Python process has
+#: few rows, as a row may hold a long text.
+_WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def saved(df: DataFrame, *done: DataFrame, by: str | None = None) -> DataFrame:
@@ -39,12 +41,14 @@ def saved(df: DataFrame, *done: DataFrame, by: str | None = None) -> DataFrame:
     then. by: a column of few values, each of which gets a folder."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cuboid-{uuid.uuid4().hex}"
-    before = spark.conf.get(_FREE, None)
-    spark.conf.set(_FREE, "true")
+    before = {k: spark.conf.get(k, None) for k in _WRITES}
+    for k, v in _WRITES.items():
+        spark.conf.set(k, v)
     try:
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
-        spark.conf.set(_FREE, before) if before is not None else spark.conf.unset(_FREE)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     LIVE.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
