@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuboid.llm.tables import add_columns, drop, fresh, saved
-from cuboid.llm.textops import Words, mix, signed, slices, windows
+from cuboid.llm.textops import HELD, Words, let_go, mix, signed, slices, windows
 
 BITS = 12  # of a character: code points under 3072 are themselves, the rest fall on 1024 classes
 CLASSES = 1 << BITS
@@ -197,13 +197,10 @@ def write_model(model: DataFrame, rules: Rules) -> tuple[str, int]:
     return saved(rows.repartitionByRange("shard", "h").sortWithinPartitions("shard", "h"), by="shard").saved_at, shards
 
 
-_LOADED: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-
-
 def _load(place: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
     """One shard's arrays with those for all; a task's process holds one at a time."""
-    if (place, shard) not in _LOADED:
-        _LOADED.clear()
+    if (place, shard) not in HELD:
+        let_go()
         system, root = fs.FileSystem.from_uri(place)
         found = []
         for one in (shard, -1):
@@ -220,9 +217,14 @@ def _load(place: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
                 part = pq.read_table(f, columns=["h", "value"])
             keys[done : done + size], values[done : done + size] = part["h"].to_numpy(), part["value"].to_numpy()
             done += size
+            del part
         order = np.argsort(keys, kind="stable")
-        _LOADED[place, shard] = keys[order], values[order]
-    return _LOADED[place, shard]
+        keys = keys[order]
+        values = values[order]
+        HELD[place, shard] = keys, values
+        del order
+        pa.default_memory_pool().release_unused()
+    return HELD[place, shard]
 
 
 def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,9 +287,9 @@ def score(docs: DataFrame, model: tuple[str, int], rules: Rules, text: str, lang
             return found | {total: pa.array(sums)}
 
         if last:
-            return add_columns(out, counts + f"`{nll}` double, `{units}` long", work, text, list(keep))
+            return add_columns(out, counts + f"`{nll}` double, `{units}` long", work, text, list(keep), holds=True)
         # a row's sum travels with its text to the next shard
-        out = saved(add_columns(out, counts + f"`{total}` double", work, text, names), *([] if head else [out]))
+        out = saved(add_columns(out, counts + f"`{total}` double", work, text, names, holds=True), *([] if head else [out]))
 
 
 def _median(rows: DataFrame, group: str, value: Column, step: float) -> DataFrame:

@@ -30,8 +30,12 @@ def shared_folder(spark: SparkSession) -> str:
 #: Folders of the tables that saved() has written and nobody has dropped.
 LIVE: set[str] = set()
 #: Settings of the writes: shuffle files go at a write's end, and a batch that a task exchanges with its Python process has
-#: few rows, as a row may hold a long text.
-_WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: few rows and bytes, as a row may hold a long text or two large sets.
+_WRITES = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "2m",
+}
 
 
 def saved(df: DataFrame, *done: DataFrame, by: str | None = None) -> DataFrame:
@@ -90,10 +94,12 @@ def add_columns(
     text: str,
     keep: list[str] | None = None,
     limit: int = 1 << 19,
+    holds: bool = False,
 ) -> DataFrame:
     """df's columns (or those of keep) and new ones, given as DDL, that work computes for batches of rows.
 
-    Batches hold about limit bytes of the column text. New columns replace those of the same name."""
+    Batches hold about limit bytes of the column text. holds: whether work uses textops.HELD. New columns replace those
+    of the same name."""
     new = T.StructType.fromDDL(columns)
     names = [f.name for f in new]
     rest = [c for c in (df.columns if keep is None else keep) if c.lower() not in {n.lower() for n in names}]
@@ -102,7 +108,7 @@ def add_columns(
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, limit):
+        for batch in slices(batches, text, limit, holds):
             made = work(batch)
             columns = [batch.column(c) for c in rest] + [made[n] for n in names]
             columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]

@@ -150,8 +150,22 @@ def distinct_sets(values: np.ndarray, group: np.ndarray, rows: int) -> tuple[np.
     return v, np.concatenate(([0], np.cumsum(np.bincount(g, minlength=rows)))).astype(np.int64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about limit bytes of a text column (one row at least), to bound memory."""
+#: What a task's process keeps for the next task of the same operator, as it costs much to load.
+HELD: dict[object, object] = {}
+
+
+def let_go() -> None:
+    """Frees what an operator has left in this task's process."""
+    HELD.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19, holds: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about limit bytes of a text column (one row at least), to bound memory.
+
+    holds: whether the task uses HELD; others free it first."""
+    if not holds:
+        let_go()
     for batch in batches:
         if not batch.num_rows:
             continue
