@@ -353,17 +353,29 @@ def main_text(page: str | None, cut: Cut = Cut(weights=START)) -> str:
 
 
 def fitted(pages: DataFrame, html: str = "html", cut: Cut = Cut()) -> Cut:
-    """cut with weights fitted on cut.sample pages at most (those with the smallest hashes of their html): the label of a
-    block is what its markup says of it, so a table without any such markup keeps the weights of START."""
-    picked = pages.select(F.col(html).alias("html")).filter("html is not null").withColumn("h", F.xxhash64("html")).orderBy("h").limit(cut.sample).select("html")
+    """cut with weights fitted on cut.sample different pages at most (those with the smallest hashes of their html): the
+    label of a block is what its markup says of it, so a table without any such markup keeps the weights of START.
+
+    Hashes are ordered without their pages; a task gives the blocks of a page once, however many copies it reads."""
+    hashed = pages.select(F.col(html).alias("html"), F.xxhash64(F.col(html)).alias("h")).filter("html is not null")
+    last = hashed.select("h").distinct().orderBy("h").limit(cut.sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return replace(cut, weights=START)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # cut.sample hashes at most
         for batch in batches:
-            for page in batch.column("html").to_pylist():
-                rows = [(features(t, n, x), int(role(n) > 0)) for t, n, x in blocks(page) if role(n) and not n.hidden]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.list_(pa.float64())), pa.array([y for _, y in rows], pa.int32())], names=["x", "y"])
-
-    got = picked.mapInArrow(run, "x array<double>, y int").groupBy("x", "y").agg(F.count("*").alias("n")).toArrow()
+            for page, h in zip(batch.column("html"), batch.column("h").to_pylist(), strict=True):
+                if h in seen:
+                    continue
+                seen.add(h)
+                rows = [(features(t, n, x), int(role(n) > 0)) for t, n, x in blocks(page.as_py()) if role(n) and not n.hidden]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([h]), pa.array([[x for x, _ in rows]], pa.list_(pa.list_(pa.float64()))), pa.array([[y for _, y in rows]], pa.list_(pa.int32()))],
+                    names=["h", "x", "y"])
+
+    found = hashed.filter(F.col("h") <= last).mapInArrow(run, "h long, x array<array<double>>, y array<int>").dropDuplicates(["h"])
+    got = found.select(F.explode(F.arrays_zip("x", "y")).alias("r")).groupBy("r.x", "r.y").agg(F.count("*").alias("n")).toArrow()
     x, n = np.array(got["x"].to_pylist()).reshape(-1, len(START)), got["n"].to_numpy()
     return replace(cut, weights=fit(np.repeat(x, n, axis=0), np.repeat(got["y"].to_numpy(), n)))
 
