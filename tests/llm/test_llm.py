@@ -573,3 +573,12 @@ def test_pipeline_stages(spark):
     mixed = corpus_pipeline.STAGES[3][1](spark, before, SF)
     last = corpus_pipeline.STAGES[4][1](spark, mixed, SF)
     assert last.count() == mixed.count() and last.filter("not round_trip").count() == 0
+
+
+def test_main_text_fit_ignores_copies(spark):
+    part = "".join(f"<p>Sentence number {k} of the story, long enough to count.</p>" for k in range(4))
+    rows = [f"<nav><a href=x>Menu {k}</a></nav><article>{part}<p>{k}</p></article><footer><p>Imprint {k}</p></footer>" for k in range(60)]
+    once, often = (spark.createDataFrame([(h,) for h in r], "html string") for r in (rows, [*rows, *rows[:1] * 40, None, ""]))
+    a, b = maintext.fitted(once).weights, maintext.fitted(often).weights
+    assert a == pytest.approx(b, abs=1e-6) and a != maintext.START
+    assert maintext.fitted(once.limit(0)).weights == maintext.START
