@@ -155,3 +155,15 @@ def op4_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuboid.llm.audio import melodies, search_recordings
 
     return search_recordings(melodies(table(spark, sf_dir, "embeddings")), id_column="vec_id")
+
+
+#: The vocabulary file is a parameter; this is the place of the public one.
+COUNTED_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it has more than 512 tokens."""
+    from cuboid.llm.tokencounts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), COUNTED_VOCABULARY, keep=["doc_id"])
