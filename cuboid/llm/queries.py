@@ -193,3 +193,34 @@ WITH e AS (
 )
 SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
 """
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of every language that stand together most tightly."""
+    from cuboid.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+ORACLE_SQL["op13_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), w AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, k AS length, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) r(k) WHERE len(w) >= k
+), f AS MATERIALIZED (SELECT lang, length, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS s FROM f WHERE length > 1),
+q AS (SELECT lang, phrase, length, a, k, array_to_string(s[1:k], ' ') AS first, array_to_string(s[k + 1:], ' ') AS rest FROM c, range(1, 5) r(k) WHERE k < length),
+s AS (
+  SELECT q.lang, q.phrase, q.a, q.k, x.a AS l, y.a AS r, t.n, (1000::HUGEINT * q.a * t.n) // (x.a::HUGEINT * y.a) AS score
+  FROM q JOIN f x ON x.lang = q.lang AND x.phrase = q.first JOIN f y ON y.lang = q.lang AND y.phrase = q.rest JOIN t ON t.lang = q.lang
+), m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS z FROM s) WHERE z = 1),
+i AS (
+  SELECT c.lang, array_to_string(c.s[i:i + k - 1], ' ') AS phrase, max(c.a) AS longer FROM c, range(2, 5) r(k), range(1, 5) o(i) WHERE k < c.length AND i + k - 1 <= c.length GROUP BY ALL
+), o AS (
+  SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, encode(m.phrase)) AS rank FROM m LEFT JOIN i ON i.lang = m.lang AND i.phrase = m.phrase WHERE i.longer IS NULL OR 100 * i.longer < 100 * m.a
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000
+"""
