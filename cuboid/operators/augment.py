@@ -14,6 +14,7 @@ from cuboid.operators.boxes import with_exprs
 from cuboid.operators.greedy import suppress
 from cuboid.plans.tables import saved
 
+#: Names of the image transforms that are refused.
 REFUSED = (
     "ElasticTransform", "RandomPerspective", "RandomAffine", "RandomRotation", "FiveCrop", "TenCrop", "RandomIoUCrop", "AugMix",
     "AutoAugment", "RandAugment", "TrivialAugmentWide", "CutMix", "MixUp",
@@ -127,10 +128,10 @@ def offered(need: DataFrame, stock: DataFrame, seed: int = 0, buckets: int = 102
     return slots.join(rows, ["label", "_at"]).drop("_at")
 
 
-def place(boxes: DataFrame, stock: DataFrame, targets: dict[int, int], seed: int = 0, reach: tuple[float, float, float] | None = None, std: float | None = None, attempts: int = 0) -> DataFrame:
-    """Boxes of stock (box_idx, label, box columns) to paste into frames: for every class the first
-    missing ones of a random order, kept in that order if they meet no box of the frame and none kept before (classes
-    in the order of targets). Candidates that collide are not replaced.
+def placed(boxes: DataFrame, stock: DataFrame, targets: dict[int, int], seed: int = 0, reach: tuple[float, float, float] | None = None, std: float | None = None, attempts: int = 0) -> DataFrame:
+    """Boxes of stock (box_idx, label, box columns) to paste into frames, with their offsets dx, dy and dz and their order
+    in the frame, rank (c, k): for every class the first missing ones of a random order, kept in that order if they meet
+    no box of the frame and none kept before (classes in the order of targets). Candidates that collide are not replaced.
 
     With attempts, a candidate tries so many random offsets within reach (uniform, or truncated normal with std) and
     at last none; the first free one counts. A try is a node of one greedy order: it is suppressed by colliding tries
@@ -138,15 +139,21 @@ def place(boxes: DataFrame, stock: DataFrame, targets: dict[int, int], seed: int
     need = deficit(boxes, targets).filter("missing > 0")
     order = F.create_map(*[F.lit(x) for i, k in enumerate(targets) for x in (k, i)])
     ranked = offered(need, stock, seed)
-    ranked = ranked.withColumn("rank", order[F.col("label")] * 1_000_000 + F.col("_k")).drop("_k", "missing")
+    ranked = ranked.withColumn("rank", F.struct(order[F.col("label")].alias("c"), F.col("_k").alias("k"))).drop("_k", "missing")
     ranked = ranked.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(attempts))))
-    if attempts and reach is not None:
-        for n, r in zip(("cx", "cy", "cz"), reach, strict=True):
-            v = F.expr(uniform(seed, f"offset{n}", "frame_id", "box_idx", "try"))
-            v = (2 * v - 1) * r if std is None else truncated_normal(v, -r, r, std)
-            ranked = ranked.withColumn(n, F.col(n) + F.when(F.col("try") < attempts, v).otherwise(0.0))
+    for n, r in zip(("cx", "cy", "cz"), reach or (0.0,) * 3, strict=True):
+        v = F.lit(0.0)
+        if attempts and reach is not None:
+            u = F.expr(uniform(seed, f"offset{n}", "frame_id", "box_idx", "try"))
+            v = F.when(F.col("try") < attempts, (2 * u - 1) * r if std is None else truncated_normal(u, -r, r, std)).otherwise(0.0)
+        ranked = ranked.withColumn(f"d{n[1]}", v).withColumn(n, F.col(n) + F.col(f"d{n[1]}"))
     hit = pairs.overlapping(ranked, boxes).select("frame_id", F.col("a_box_idx").alias("box_idx"), F.col("a_try").alias("try")).distinct()
     free = saved(ranked.join(hit, ["frame_id", "box_idx", "try"], "left_anti").withColumn("id", F.concat_ws("|", "frame_id", "box_idx", "try")))
     both = pairs.overlapping(free, free).filter("a_rank < b_rank").select(F.col("a_id").alias("better"), F.col("b_id").alias("worse"))
     own = free.select("frame_id", "box_idx", F.col("try").alias("_t"), F.col("id").alias("better")).join(free.select("frame_id", "box_idx", "try", F.col("id").alias("worse")), ["frame_id", "box_idx"]).filter("_t < try")
-    return suppress(free, both.unionByName(own.select("better", "worse"))).drop("id", "rank", "try")
+    return suppress(free, both.unionByName(own.select("better", "worse"))).drop("id", "try")
+
+
+def place(boxes: DataFrame, stock: DataFrame, targets: dict[int, int], seed: int = 0, reach: tuple[float, float, float] | None = None, std: float | None = None, attempts: int = 0) -> DataFrame:
+    """The boxes of placed() without offsets and order."""
+    return placed(boxes, stock, targets, seed, reach, std, attempts).drop("rank", "dx", "dy", "dz")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuboid.plans.tables import saved
+from cuboid.plans.tables import drop, saved
 
 
 def suppress(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -21,9 +21,10 @@ def suppress(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if not gone.take(1):
             break
         touched = edges.join(gone.withColumnRenamed("id", "better"), "better", "left_semi").select(F.col("worse").alias("id")).distinct()
-        edges = saved(edges.join(gone.withColumnRenamed("id", "worse"), "worse", "left_anti").join(gone.withColumnRenamed("id", "better"), "better", "left_anti"))
-        free = touched.join(gone, "id", "left_anti").join(edges.select(F.col("worse").alias("id")).distinct(), "id", "left_anti")
-        done.append(saved(free.select("id")))
+        left = saved(edges.join(gone.withColumnRenamed("id", "worse"), "worse", "left_anti").join(gone.withColumnRenamed("id", "better"), "better", "left_anti"))
+        free = touched.join(gone, "id", "left_anti").join(left.select(F.col("worse").alias("id")).distinct(), "id", "left_anti")
+        done.append(saved(free.select("id"), edges, gone))
+        edges = left
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
@@ -42,5 +43,6 @@ def assign(edges: DataFrame) -> DataFrame:
         held = saved(best.select("left", "b.right", "b.rank").groupBy("right").agg(F.min("rank").alias("top")))
         lost = edges.join(held, "right").filter("rank > top")
         if not lost.take(1):
+            drop(held)
             return edges.join(best.select("left", "b.right"), ["left", "right"])
-        edges = saved(edges.join(held, "right", "left").filter("top IS NULL OR rank <= top").drop("top"))
+        edges = saved(edges.join(held, "right", "left").filter("top IS NULL OR rank <= top").drop("top"), edges, held)

@@ -1,4 +1,6 @@
-"""A 3D scene derived from the given tables: boxes and detections from embeddings, points from lineitem."""
+"""A 3D scene derived from the given tables: boxes and detections from embeddings, points from lineitem.
+
+Frames have about 25 boxes at every size, so that pairs within frames grow with the data and not with its square."""
 
 from __future__ import annotations
 
@@ -7,21 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 PI = "3.141592653589793"
 
 
-def _views(first: int) -> dict[str, str]:
-    """SQL of the scene's views; first: the index of an array's first element (0 in Spark, 1 in DuckDB)."""
+def _views(first: int, frames: str) -> dict[str, str]:
+    """SQL of the scene's views; first: the index of an array's first element (0 in Spark, 1 in DuckDB); frames: how many
+    frames there are."""
     e = lambda k: f"cast(embedding[{k - 1 + first}] AS double)"
-    gt = f"""SELECT vec_id % 20 AS frame_id, vec_id AS box_idx, label, 80*{e(1)} AS cx, 80*{e(2)} AS cy, 4*{e(3)} AS cz, 3+8*abs({e(4)}) AS l,
+    gt = f"""SELECT vec_id % {frames} AS frame_id, vec_id AS box_idx, label, 80*{e(1)} AS cx, 80*{e(2)} AS cy, 4*{e(3)} AS cz, 3+8*abs({e(4)}) AS l,
       1.5+4*abs({e(5)}) AS w, 1.5+4*abs({e(6)}) AS h, 2*{PI}*{e(7)} AS yaw, {e(8)} AS pitch, {e(9)} AS roll, 20*{e(10)} AS vx, 20*{e(11)} AS vy,
       vec_id % 5 - 1 AS attr FROM embeddings"""
     shared = "20*{a}+4*{b}"
-    pred = f"""SELECT vec_id % 20 AS frame_id, vec_id AS det_idx, CASE WHEN vec_id % 7 = 0 THEN (label+1) % 10 ELSE label END AS label,
+    pred = f"""SELECT vec_id % {frames} AS frame_id, vec_id AS det_idx, CASE WHEN vec_id % 7 = 0 THEN (label+1) % 10 ELSE label END AS label,
       80*{e(1)}+6*{e(12)} AS cx, 80*{e(2)}+6*{e(13)} AS cy, 4*{e(3)}+0.5*{e(14)} AS cz, (3+8*abs({e(4)}))*(1+0.3*{e(15)}) AS l,
       (1.5+4*abs({e(5)}))*(1+0.3*{e(15)}) AS w, (1.5+4*abs({e(6)}))*(1+0.3*{e(15)}) AS h, 2*{PI}*{e(7)}+0.5*{e(16)} AS yaw, {e(8)} AS pitch, {e(9)} AS roll,
       0.5+0.9*{e(17)} AS score, {shared.format(a=e(10), b=e(18))} AS vx, {shared.format(a=e(11), b=e(19))} AS vy, vec_id % 5 - 1 AS attr
       FROM embeddings WHERE vec_id % 5 <> 0
-      UNION ALL SELECT vec_id % 20, vec_id + 1000000000, label, -80*{e(1)}, -80*{e(2)}, 4*{e(3)}, 3+8*abs({e(4)}), 1.5+4*abs({e(5)}), 1.5+4*abs({e(6)}), 2*{PI}*{e(7)},
+      UNION ALL SELECT vec_id % {frames}, vec_id + 1000000000, label, -80*{e(1)}, -80*{e(2)}, 4*{e(3)}, 3+8*abs({e(4)}), 1.5+4*abs({e(5)}), 1.5+4*abs({e(6)}), 2*{PI}*{e(7)},
       {e(8)}, {e(9)}, 0.2+0.3*abs({e(20)}), 20*{e(10)}, 20*{e(11)}, vec_id % 5 - 1 FROM embeddings WHERE vec_id % 9 = 0"""
-    points = """SELECT l_orderkey % 20 AS frame_id, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice-80*floor(l_extendedprice/80)-40 AS x,
+    points = f"""SELECT l_orderkey % {frames} AS frame_id, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice-80*floor(l_extendedprice/80)-40 AS x,
       ((37*l_partkey+11*l_orderkey+101*l_suppkey) % 8000)/100.0-40 AS y, l_quantity/25-1 AS z, l_discount AS f0, l_tax AS f1 FROM lineitem"""
     cams = f"""SELECT n_nationkey AS cam_idx, 2*{PI}*n_nationkey/6 AS cam_yaw, 500.0 AS fx, 0.0 AS skew, 320.0 AS cx0, 500.0 AS fy, 240.0 AS cy0,
       640 AS img_w, 480 AS img_h FROM nation WHERE n_nationkey < 6"""
@@ -34,14 +37,15 @@ _TABLES = {"gt": "embeddings", "pred": "embeddings", "points": "lineitem", "cams
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of gt, pred, points, cams and sweeps."""
-    text = _views(0)[name].replace("/100.0", "/100.0D").replace("/10.0-20", "/10.0D-20").replace("500.0", "500.0D").replace("0.0 AS", "0.0D AS").replace("-3.0 AS", "-3.0D AS")
+    frames = max(20, spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() // 25) if name in ("gt", "pred", "points") else 20
+    text = _views(0, str(frames))[name].replace("/100.0", "/100.0D").replace("/10.0-20", "/10.0D-20").replace("500.0", "500.0D").replace("0.0 AS", "0.0D AS").replace("-3.0 AS", "-3.0D AS")
     base = spark.read.parquet(f"{sf_dir}/{_TABLES[name]}.parquet")
     return spark.sql(text.replace(f"FROM {_TABLES[name]}", "FROM {base}"), base=base)
 
 
 def oracle(sql: str) -> str:
     """sql with the scene's views, for DuckDB."""
-    used = [f"{n} AS ({q})" for n, q in _views(1).items() if n in sql]
+    used = [f"{n} AS ({q})" for n, q in _views(1, "(SELECT greatest(20, count(*) // 25) FROM embeddings)").items() if n in sql]
     if not used:
         return sql
     return ("WITH " if "WITH RECURSIVE" not in sql else "WITH RECURSIVE ") + ", ".join(used) + (", " + sql.strip().removeprefix("WITH RECURSIVE").removeprefix("WITH").strip() if sql.strip().startswith("WITH") else " " + sql)

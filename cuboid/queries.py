@@ -2,42 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuboid import paste_queries
 from cuboid.functions import geom
 from cuboid.operators import augment, boxes, cameras, detection, pairs, sweeps, voxels
-from cuboid.plans.scene import oracle, view
+from cuboid.plans.registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401
+from cuboid.plans.registry import rounded_sql as _r
+from cuboid.plans.registry import uniform_sql as _u
+from cuboid.plans.scene import view
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 POINT_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 POINT_ORDER = [*POINT_KEY, "x", "f0", "f1"]
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = oracle(sql)
-        return f
-
-    return register
-
-
-def rounded(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Doubles rounded to 6 digits, without negative zeros."""
-    todo = [n for n, t in df.dtypes if t == "double" and (names is None or n in names)]
-    return df.withColumns({n: F.round(n, 6) + F.lit(0.0) for n in todo})
-
-
-def _r(names: str, **exprs: str) -> str:
-    """SQL of rounded columns."""
-    return ", ".join(f"round({exprs.get(n, n)}, 6) + 0.0 AS {n}" for n in names.split())
-
-
 _ROT = ", ".join(f"{v} AS {k}" for k, v in geom.rotation().items())
 _BOX = " ".join(geom.BOX)
 
@@ -392,11 +371,6 @@ def point_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("frame_id").agg(F.count("*").alias("n"), (F.count_distinct("pt_idx") == 64).alias("whole"))
 
 
-def _u(seed: int, purpose: str, *parts: str) -> str:
-    text = "concat_ws('|', '" + f"{seed}', '{purpose}', " + ", ".join(f"{p}::VARCHAR" for p in parts) + ")"
-    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
-
-
 @query(f"""SELECT box_idx, {_r('cx cy cz yaw', cx=f"CASE WHEN {_u(1, 'flipx', 'frame_id')} < 0.5 THEN -cx ELSE cx END", yaw=f"CASE WHEN {_u(1, 'flipx', 'frame_id')} < 0.5 THEN -yaw ELSE yaw END")} FROM gt""")
 def random_flip_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(augment.random_flip(view(spark, sf_dir, "gt"), "x", 0.5, geom.flip("x"), 1).select("box_idx", "cx", "cy", "cz", "yaw"))
@@ -409,29 +383,10 @@ def random_translate_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(augment.random_scale(moved, 0.9, 1.1, geom.BOX[:6], 2).select("box_idx", "cx", "cy", "cz", "l"))
 
 
-_TARGETS = {0: 4, 1: 3, 2: 6}
-
-
 @query("""WITH t(label, target) AS (VALUES (0, 4), (1, 3), (2, 6)), f AS (SELECT DISTINCT frame_id FROM gt), h AS (SELECT frame_id, label, count(*) AS n FROM gt GROUP BY ALL)
 SELECT f.frame_id, t.label, greatest(t.target - coalesce(h.n, 0), 0)::BIGINT AS missing FROM f CROSS JOIN t LEFT JOIN h ON h.frame_id = f.frame_id AND h.label = t.label""")
 def copy_paste_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return augment.deficit(view(spark, sf_dir, "gt"), _TARGETS)
-
-
-@query()
-def copy_paste_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes pasted into frames that lack some, without collisions."""
-    gt = view(spark, sf_dir, "gt")
-    placed = augment.place(gt, gt, _TARGETS, 5)
-    return placed.select("frame_id", "label", "box_idx")
-
-
-@query()
-def copy_paste_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with up to five random offsets for every candidate."""
-    gt = view(spark, sf_dir, "gt")
-    placed = augment.place(gt, gt, _TARGETS, 5, (4.0, 4.0, 0.5), 2.0, 5)
-    return rounded(placed.select("frame_id", "label", "box_idx", "cx", "cy", "cz"))
+    return augment.deficit(view(spark, sf_dir, "gt"), paste_queries.TARGETS)
 
 
 @query("""SELECT box_idx, label, round(0.6*sqrt(w*h), 6) + 0.0 AS arrow, round(cx+cos(yaw)*cos(pitch)*l/2, 6) + 0.0 AS ax, round(cy+sin(yaw)*cos(pitch)*l/2, 6) + 0.0 AS ay,
