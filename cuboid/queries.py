@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuboid import paste_queries
+from cuboid import chain_queries, paste_queries  # noqa: F401
 from cuboid.functions import geom
 from cuboid.operators import augment, boxes, cameras, detection, pairs, sweeps, voxels
 from cuboid.plans.registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401

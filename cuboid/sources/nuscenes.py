@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cuboid.functions import rigid
+from cuboid.operators import chains
+from cuboid.operators.boxes import with_exprs
+from cuboid.plans.tables import saved
 from cuboid.sources.kitti import binary_points
 
 _POSE = "translation array<double>, rotation array<double>"
@@ -34,16 +40,6 @@ def table(spark: SparkSession, root: str, version: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).option("multiLine", True).json(f"{root}/{version}/{name}.json")
 
 
-def quaternion(q: str) -> dict[str, str]:
-    """SQL of the rotation matrix of a unit quaternion (w, x, y, z) in an array column."""
-    w, x, y, z = (f"{q}[{i}]" for i in range(4))
-    return {
-        "00": f"1-2*({y}*{y}+{z}*{z})", "01": f"2*({x}*{y}-{z}*{w})", "02": f"2*({x}*{z}+{y}*{w})",
-        "10": f"2*({x}*{y}+{z}*{w})", "11": f"1-2*({x}*{x}+{z}*{z})", "12": f"2*({y}*{z}-{x}*{w})",
-        "20": f"2*({x}*{z}-{y}*{w})", "21": f"2*({y}*{z}+{x}*{w})", "22": f"1-2*({x}*{x}+{y}*{y})",
-    }
-
-
 def sensor_poses(spark: SparkSession, root: str, version: str) -> DataFrame:
     """sample_data with channel, modality, camera_intrinsic and the sensor's pose in the global frame, g00 to g23
     (every sensor at its own time)."""
@@ -52,10 +48,38 @@ def sensor_poses(spark: SparkSession, root: str, version: str) -> DataFrame:
     sensor = table(spark, root, version, "sensor").select(F.col("token").alias("sensor_token"), "channel", "modality")
     ego = table(spark, root, version, "ego_pose").select(F.col("token").alias("ego_pose_token"), F.col("translation").alias("et"), F.col("rotation").alias("eq"))
     both = data.join(calibrated, "calibrated_sensor_token").join(sensor, "sensor_token").join(ego, "ego_pose_token")
-    both = both.withColumns({f"_e{k}": F.expr(v) for k, v in quaternion("eq").items()} | {f"_c{k}": F.expr(v) for k, v in quaternion("cq").items()})
-    turn = {f"g{i}{j}": F.expr("+".join(f"_e{i}{k}*_c{k}{j}" for k in range(3))) for i in range(3) for j in range(3)}
-    move = {f"g{i}3": F.expr("+".join(f"_e{i}{k}*ct[{k}]" for k in range(3)) + f"+et[{i}]") for i in range(3)}
-    return both.withColumns(turn | move).drop("ct", "cq", "et", "eq", *[f"_{s}{i}{j}" for s in "ec" for i in range(3) for j in range(3)])
+    both = rigid.chain(with_exprs(both, rigid.of_pose("_e", "eq", "et") | rigid.of_pose("_c", "cq", "ct")), "g", "_e", "_c")
+    return both.drop("ct", "cq", "et", "eq", *rigid.names("_e"), *rigid.names("_c"))
+
+
+def cameras(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """sample_token, channel, img_w, img_h, fx, skew, cx0, fy, cy0 and e00 to e23 of every camera's key frame: from the
+    lidar, at the lidar's time, over the global frame to the camera, at the camera's own time."""
+    poses = sensor_poses(spark, root, version).filter("is_key_frame")
+    lidar = poses.filter("channel = 'LIDAR_TOP'").select("sample_token", *[F.col(f"g{c[1:]}").alias(c) for c in rigid.names("l")])
+    both = rigid.chain(poses.filter("modality = 'camera'").join(lidar, "sample_token"), "e", "-g", "l")
+    k = lambda i, j: F.col("camera_intrinsic")[i][j]
+    inner = {"fx": k(0, 0), "skew": k(0, 1), "cx0": k(0, 2), "fy": k(1, 1), "cy0": k(1, 2)}
+    return both.select("sample_token", "channel", F.col("width").alias("img_w"), F.col("height").alias("img_h"), *[v.alias(n) for n, v in inner.items()], *rigid.names("e"))
+
+
+def sweeps(spark: SparkSession, root: str, version: str, n: int) -> DataFrame:
+    """(key, sweep, back, dt, t00 to t23, sample_token, filename): the n latest lidar sweeps up to every key frame, key frames
+    or not, with their transforms into it. A scene's first frames have fewer."""
+    lidar = saved(sensor_poses(spark, root, version).filter("channel = 'LIDAR_TOP'"))
+    steps = chains.latest(lidar.filter("is_key_frame"), chains.ranked(lidar), n)
+    out = chains.sweep_poses(steps, lidar).join(lidar.select(F.col("token").alias("key"), "sample_token"), "key")
+    return out.join(lidar.select(F.col("token").alias("sweep"), "filename"), "sweep")
+
+
+def sweep_points(spark: SparkSession, root: str, version: str, n: int) -> DataFrame:
+    """sample_token, back, pt_idx, x, y, z, intensity, ring, dt: the points of the n latest sweeps in the key frame's frame."""
+    names = ("x", "y", "z", "intensity", "ring")
+    files = [binary_points(spark, f"{root}/{folder}/LIDAR_TOP", names, "*.bin") for folder in (["samples"] if n == 1 else ["samples", "sweeps"])]
+    points = reduce(DataFrame.unionByName, files).withColumnRenamed("frame_id", "stem")
+    which = sweeps(spark, root, version, n).withColumn("stem", F.regexp_extract("filename", r"([^/]+)\.[a-z]+$", 1))
+    both = with_exprs(points.join(which, "stem"), rigid.moved("t"))
+    return both.select("sample_token", "back", "pt_idx", *names, "dt")
 
 
 def annotations(spark: SparkSession, root: str, version: str, classes: dict[str, str] | None = None) -> DataFrame:
@@ -66,22 +90,21 @@ def annotations(spark: SparkSession, root: str, version: str, classes: dict[str,
     instance = table(spark, root, version, "instance").select(F.col("token").alias("instance_token"), "category_token")
     lidar = sensor_poses(spark, root, version).filter("is_key_frame and channel = 'LIDAR_TOP'").select("sample_token", *[f"g{i}{j}" for i in range(3) for j in range(4)])
     rows = table(spark, root, version, "sample_annotation").join(instance, "instance_token").join(category, "category_token").join(lidar, "sample_token")
-    centre = {n: F.expr("+".join(f"g{j}{i}*(translation[{j}]-g{j}3)" for j in range(3))) for i, n in enumerate(("cx", "cy", "cz"))}
-    q = quaternion("rotation")
-    ahead = [F.expr("+".join(f"g{j}{i}*({q[f'{j}0']})" for j in range(3))) for i in range(2)]
-    rows = rows.withColumns(centre | {"l": F.col("size")[1], "w": F.col("size")[0], "h": F.col("size")[2], "yaw": F.atan2(ahead[1], ahead[0])})
+    rows = chains.boxes_in(rows)
     return rows.select("sample_token", "token", "class", "cx", "cy", "cz", "l", "w", "h", "yaw", "num_lidar_pts")
 
 
 def frames(spark: SparkSession, root: str, version: str, scenes: list[str] | None = None) -> DataFrame:
-    """sample tokens by scene, in time order; scenes: names to keep (all by default)."""
-    scene = table(spark, root, version, "scene").select(F.col("token").alias("scene_token"), F.col("name").alias("scene"))
+    """scene, sample_token, timestamp and frame, the sample's place in its scene's chain (by the samples' own links, not by
+    their times; samples that the chain does not reach follow it in time order). scenes: names to keep (all by default)."""
+    scene = table(spark, root, version, "scene").select(F.col("token").alias("scene_token"), F.col("name").alias("scene"), F.col("first_sample_token").alias("head"))
     if scenes is not None:
         scene = scene.filter(F.col("scene").isin(scenes))
-    from pyspark.sql import Window
-
-    rows = table(spark, root, version, "sample").join(scene, "scene_token")
-    return rows.select("scene", F.col("token").alias("sample_token"), "timestamp", (F.row_number().over(Window.partitionBy("scene").orderBy("timestamp")) - 1).alias("frame"))
+    sample = table(spark, root, version, "sample")
+    placed = chains.ranked(sample).join(scene.select("head"), "head", "left_semi").select("token", "position")
+    rows = sample.join(scene.drop("head"), "scene_token").join(placed, "token", "left")
+    place = F.row_number().over(Window.partitionBy("scene").orderBy(F.asc_nulls_last("position"), "timestamp", "token")) - 1  # a scene has some forty samples
+    return rows.select("scene", F.col("token").alias("sample_token"), "timestamp", place.alias("frame"))
 
 
 def lidar(spark: SparkSession, root: str) -> DataFrame:
