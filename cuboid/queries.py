@@ -438,3 +438,34 @@ def stream_object_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = Log(spark, f"{folder}/rows")
     log.follow(stream.select("event_type", "event_id", "user_id", "ts"), f"{folder}/checkpoint", lambda b: newest(b, ["event_type"], ["ts", "event_id"], 100)).awaitTermination()
     return newest(log.rows(), ["event_type"], ["ts", "event_id"], 100).select("event_type", "event_id", "user_id")
+
+
+_BUCKETS = 1 << 20
+_STATE = _MATCH.replace("SELECT det_idx, gt_idx FROM r WHERE gt_idx IS NOT NULL", f""", m AS (SELECT det_idx FROM r WHERE gt_idx IS NOT NULL),
+q AS (SELECT label, least(greatest(floor(score * {_BUCKETS}), 0), {_BUCKETS - 1}) AS bucket, count(*) AS n, sum((det_idx IN (SELECT det_idx FROM m))::INT) AS hits FROM pred GROUP BY ALL),
+c AS (SELECT label, sum(hits) OVER w AS tp, sum(n) OVER w AS seen FROM q WINDOW w AS (PARTITION BY label ORDER BY bucket DESC)), n AS (SELECT label, count(*) AS num_gt FROM gt GROUP BY label),
+t AS (SELECT n.label, n.num_gt, k, coalesce(max(tp / seen) FILTER (tp * 40 >= k * num_gt), 0) AS p FROM n CROSS JOIN range(1, 41) s(k) LEFT JOIN c ON c.label = n.label GROUP BY ALL)
+SELECT label::BIGINT AS label, num_gt::BIGINT AS num_gt, round(avg(p), 6) + 0.0 AS ap FROM t GROUP BY ALL""")
+
+
+def frame_files(spark: SparkSession, sf_dir: str, folder: str, files: int) -> None:
+    """Writes the scene's detections and boxes to folder, so many files of whole frames."""
+    pred, gt = view(spark, sf_dir, "pred").withColumnRenamed("det_idx", "idx"), view(spark, sf_dir, "gt").withColumnRenamed("box_idx", "idx")
+    names = ["frame_id", "idx", F.col("label").cast("long").alias("label"), *geom.BOX]
+    rows = pred.select(F.lit("pred").alias("kind"), "score", *names).unionByName(gt.select(F.lit("gt").alias("kind"), F.lit(None).cast("double").alias("score"), *names))
+    rows.repartitionByRange(files, "frame_id").write.parquet(folder)
+
+
+@query(_STATE)
+def stream_metric_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AP of each class after a stream of frames has come by in several micro-batches."""
+    import uuid
+
+    from cuboid.plans.tables import shared_folder
+    from cuboid.streaming.metrics import StreamedPrecision
+
+    folder = f"{shared_folder(spark)}/metric-{uuid.uuid4().hex}"
+    frame_files(spark, sf_dir, f"{folder}/frames", 3)
+    metric = StreamedPrecision(spark, folder, (0.1,), _BUCKETS, "XYZLWH")
+    metric.update(spark.readStream.schema(spark.read.parquet(f"{folder}/frames").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/frames"))
+    return rounded(metric.compute().select("label", "num_gt", "ap"))

@@ -14,17 +14,24 @@ class Log:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def follow(self, stream: DataFrame, checkpoint: str, work=None) -> StreamingQuery:
-        """Starts appending work(batch) (the batch itself by default) until the available rows are done."""
+    def follow(self, stream: DataFrame, checkpoint: str, work=None, mode: str = "append") -> StreamingQuery:
+        """Starts appending work(batch) (the batch itself by default) until the available rows are done. mode: what a batch
+        of an aggregation holds (update: changed rows, complete: all of them)."""
 
         def write(batch: DataFrame, number: int) -> None:
             (work(batch) if work else batch).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
 
-        return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def rows(self) -> DataFrame:
         return self.spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*")
 
+    def last(self) -> DataFrame:
+        """The rows of the last batch: the whole of an aggregation whose batches are complete."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        names = [x.getPath().getName() for x in where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)]
+        return self.spark.read.parquet(f"{self.path}/batch={max(int(n[6:]) for n in names if n.startswith('batch='))}")
+
 
 def newest(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The n newest rows of every key (a bounded database of objects: the cap is the feature)."""
