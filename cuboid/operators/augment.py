@@ -12,6 +12,7 @@ from cuboid.functions.geom import uniform
 from cuboid.operators import pairs
 from cuboid.operators.boxes import with_exprs
 from cuboid.operators.greedy import suppress
+from cuboid.operators.order import BUCKET, hash_bucket, numbered
 from cuboid.plans.tables import saved
 
 #: Names of the image transforms that are refused.
@@ -27,19 +28,25 @@ def refuse(name: str) -> None:
         raise TypeError(f"{name} does not apply to 3D scenes")
 
 
-def shuffle_points(points: DataFrame, key: list[str], seed: int = 0) -> DataFrame:
-    """points with pt_idx, a random order within the frame (ties by key)."""
+def shuffle_points(points: DataFrame, key: list[str], seed: int = 0, which: Column | None = None) -> DataFrame:
+    """points with pt_idx, a random order within the frame (ties by key), without sorting a frame in one task. which: the
+    frames to shuffle; others keep the order of their pt_idx."""
     u = F.expr(uniform(seed, "shuffle", "frame_id", *key))
-    return points.withColumn("pt_idx", F.row_number().over(Window.partitionBy("frame_id").orderBy(u, *key)) - 1)
+    rows, bucket = hash_bucket(points.withColumn("_u", u), ["frame_id"], F.col("_u"))
+    if which is None:
+        return numbered(rows, ["frame_id"], bucket, ["_u", *key], "pt_idx").drop("_u", "_n")
+    rows = rows.withColumn("_go", which)
+    mixed = F.when(F.col("_go"), bucket).otherwise(F.floor(F.col("pt_idx") / BUCKET))
+    return numbered(rows, ["frame_id"], mixed, [F.when(F.col("_go"), F.col("_u")), *key], "pt_idx").drop("_u", "_n", "_go")
 
 
 def sample_points(points: DataFrame, n: int, key: list[str], seed: int = 0) -> DataFrame:
-    """n points of every frame: without replacement where it has as many, with replacement otherwise."""
+    """n points of every frame, numbered by slot: without replacement where it has as many, with replacement otherwise."""
     ranked = shuffle_points(points, key, seed)
     counts = points.groupBy("frame_id").agg(F.count("*").alias("_n"))
     slots = counts.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     pick = F.when(F.col("_n") >= n, F.col("slot")).otherwise(F.floor(F.expr(uniform(seed, "draw", "frame_id", "slot")) * F.col("_n")))
-    slots = slots.withColumn("pt_idx", pick.cast("int")).drop("_n")
+    slots = slots.withColumn("pt_idx", pick.cast("long")).drop("_n")
     return ranked.filter(F.col("pt_idx") < n).join(slots, ["frame_id", "pt_idx"])
 
 

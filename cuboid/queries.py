@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuboid import chain_queries, paste_queries  # noqa: F401
+from cuboid import chain_queries, paste_queries, transform_queries  # noqa: F401
 from cuboid.functions import geom
 from cuboid.operators import augment, boxes, cameras, detection, pairs, sweeps, voxels
 from cuboid.plans.registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401
@@ -363,14 +363,6 @@ def nds_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(detection.detection_score(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt")))
 
 
-@query("""WITH f AS (SELECT frame_id, count(*) AS n FROM points GROUP BY frame_id)
-SELECT frame_id, 64::BIGINT AS n, (n >= 64) AS whole FROM f""")
-def point_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64 points of every frame; whole: none of them twice."""
-    out = augment.sample_points(view(spark, sf_dir, "points"), 64, [*POINT_KEY, "x", "f0", "f1"])
-    return out.groupBy("frame_id").agg(F.count("*").alias("n"), (F.count_distinct("pt_idx") == 64).alias("whole"))
-
-
 @query(f"""SELECT box_idx, {_r('cx cy cz yaw', cx=f"CASE WHEN {_u(1, 'flipx', 'frame_id')} < 0.5 THEN -cx ELSE cx END", yaw=f"CASE WHEN {_u(1, 'flipx', 'frame_id')} < 0.5 THEN -yaw ELSE yaw END")} FROM gt""")
 def random_flip_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(augment.random_flip(view(spark, sf_dir, "gt"), "x", 0.5, geom.flip("x"), 1).select("box_idx", "cx", "cy", "cz", "yaw"))
@@ -417,13 +409,6 @@ def sweeps_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sweeps.accumulate(p, poses).select("event_id", "x", "y", "z", "dt"))
 
 
-@query("""WITH d AS (SELECT frame_id, sqrt(x*x+y*y+z*z) AS d FROM points) SELECT frame_id, round(quantile_cont(d, 0.98), 6) + 0.0 AS far, count(*)::BIGINT AS n FROM d GROUP BY frame_id""")
-def viz_point_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distance at which a frame's point colours saturate (its 0.98 quantile)."""
-    d = view(spark, sf_dir, "points").select("frame_id", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2).alias("d"))
-    return rounded(d.groupBy("frame_id").agg(F.percentile("d", 0.98).alias("far"), F.count("*").alias("n")))
-
-
 @query("SELECT event_type, event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 100")
 def stream_object_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 100 newest events of each type, gathered by a stream into a table."""
