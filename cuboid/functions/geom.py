@@ -127,6 +127,45 @@ def aligned_iou(a: str = "a", b: str = "b") -> str:
     return f"CASE WHEN {union}>0 THEN ({over})/{union} ELSE 0.0 END"
 
 
+def yaw_iou(a: str = "a", b: str = "b") -> list[dict[str, str]]:
+    """iou of two boxes with a yaw (pitch and roll ignored), as columns to be worked out step by step.
+
+    The common area of two rectangles is half the sum, over the edges of both, of the part of the edge inside the other
+    rectangle times the edge's distance from a common origin (here b's centre) times its length. In the frame of the other
+    rectangle that part is cut out by two pairs of parallel lines. An edge along the other's edge counts once: a's, if both
+    rectangles lie on the same side of it."""
+    c = lambda s, n: f"{s}_{n}"
+    dx, dy = f"({c(a, 'cx')}-{c(b, 'cx')})", f"({c(a, 'cy')}-{c(b, 'cy')})"
+    first = {"_c": f"cos({c(a, 'yaw')}-{c(b, 'yaw')})", "_s": f"sin({c(a, 'yaw')}-{c(b, 'yaw')})"}
+    for s, sign in ((b, ""), (a, "-")):  # the other centre in the frame of s
+        cos, sin = f"cos({c(s, 'yaw')})", f"sin({c(s, 'yaw')})"
+        first |= {f"_{s}u": f"{sign}({cos}*{dx}+{sin}*{dy})", f"_{s}v": f"{sign}({cos}*{dy}-{sin}*{dx})"}
+    second, third, terms = {}, {}, []
+    for s, o, turn in ((a, b, "_s"), (b, a, "-_s")):
+        hl, hw, ol, ow = f"{c(s, 'l')}/2", f"{c(s, 'w')}/2", f"{c(o, 'l')}/2", f"{c(o, 'w')}/2"
+        for k, (i, j, along) in enumerate(((1, -1, "l"), (1, 1, "w"), (-1, 1, "l"), (-1, -1, "w"))):  # ends of edges, counter-clockwise
+            start = {0: (-1, -1), 1: (1, -1), 2: (1, 1), 3: (-1, 1)}[k]
+            x, y = f"({start[0]}*{hl})", f"({start[1]}*{hw})"
+            ex, ey = f"({i - start[0]}*{hl})", f"({j - start[1]}*{hw})"
+            n = f"_{s}{k}"
+            second |= {f"{n}x": f"_{o}u+_c*{x}-({turn})*{y}", f"{n}y": f"_{o}v+({turn})*{x}+_c*{y}", f"{n}p": f"_c*{ex}-({turn})*{ey}", f"{n}q": f"({turn})*{ex}+_c*{ey}"}
+            size, ends = c(s, along), []
+            for at, go, half, outward in ((f"{n}x", f"{n}p", ol, f"{n}q*{n}x"), (f"{n}y", f"{n}q", ow, f"-{n}p*{n}y")):
+                flat = f"abs({go}) <= 1e-9*{size}"
+                beside = f"abs(abs({at})-{half}) <= 1e-9*(1+{half})"
+                kept = f"{outward} > 0" if s == a else "1 = 0"
+                out = f"({beside} AND NOT ({kept})) OR (NOT ({beside}) AND abs({at}) > {half})"
+                low, high = f"(-{half}-{at})/{go}", f"({half}-{at})/{go}"
+                ends.append((f"CASE WHEN {flat} THEN CASE WHEN {out} THEN 2.0 ELSE 0.0 END ELSE least({low}, {high}) END", f"CASE WHEN {flat} THEN 1.0 ELSE greatest({low}, {high}) END"))
+            third |= {f"{n}a": f"greatest(0.0, {ends[0][0]}, {ends[1][0]})", f"{n}b": f"least(1.0, {ends[0][1]}, {ends[1][1]})"}
+            lever = f"({n}x*{n}q-{n}y*{n}p)" if s == a else f"({c(b, 'l')}*{c(b, 'w')}/2)"
+            terms.append(f"greatest(0.0, {n}b-{n}a)*{lever}")
+    over = f"greatest(0.0, least({c(a, 'cz')}+{c(a, 'h')}/2, {c(b, 'cz')}+{c(b, 'h')}/2)-greatest({c(a, 'cz')}-{c(a, 'h')}/2, {c(b, 'cz')}-{c(b, 'h')}/2))"
+    fourth = {"_volume": f"greatest(0.0, ({'+'.join(terms)})/2)*{over}"}
+    both = f"({c(a, 'l')}*{c(a, 'w')}*{c(a, 'h')}+{c(b, 'l')}*{c(b, 'w')}*{c(b, 'h')}-_volume)"
+    return [first, second, third, fourth, {"iou": f"CASE WHEN {both} > 0 THEN _volume/{both} ELSE 0.0 END"}]
+
+
 def uniform(seed: int, purpose: str, *parts: str) -> str:
     """A number in [0, 1) that depends on the values of parts only (the same in any partitioning)."""
     text = "concat_ws('|'," + ",".join([f"'{seed}'", f"'{purpose}'", *[f"cast({p} AS string)" for p in parts]]) + ")"

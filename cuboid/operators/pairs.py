@@ -1,28 +1,59 @@
 """Spatial joins of points and boxes within a frame.
 
-Both sides are dealt by frame and ground cell, so a frame with a large share of all rows is spread over many keys. A
-point has one cell, a box all cells under its bounding circle; a pair of boxes counts in the first cell they share.
+Both sides are dealt by frame and ground cell, so a frame with a large share of all rows is spread over many keys. Cells
+come in levels, each four times as wide as the one before: a box lies in the level in which its bounding circle touches
+16 cells at most, however large it is. Points are looked up in the levels that boxes have; a pair of boxes meets in the
+level of the larger one and counts in the first cell they share. Boxes with a centre or size that is not finite meet
+nothing.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuboid.functions import geom
 from cuboid.operators.boxes import params
 
-CELL = 8.0  # metres
+CELL = 8.0  # metres, of the finest level
+_INF = float("inf")
 
 
-def _cells(boxes: DataFrame, cell: float) -> DataFrame:
-    reach = F.sqrt(F.col("l") ** 2 + F.col("w") ** 2 + F.col("h") ** 2) / 2
-    span = lambda c: F.sequence(F.floor((F.col(c) - reach) / cell), F.floor((F.col(c) + reach) / cell))
+def _reach(prefix: str = "") -> Column:
+    return F.sqrt(F.col(f"{prefix}l") ** 2 + F.col(f"{prefix}w") ** 2 + F.col(f"{prefix}h") ** 2) / 2
+
+
+def _level(cell: float, prefix: str = "") -> Column:
+    """The level in which a box is at most three cells wide."""
+    return F.greatest(F.lit(0), F.ceil(F.log(2 * _reach(prefix) / (3 * cell)) / math.log(4))).cast("int")
+
+
+def _width(cell: float) -> Column:
+    return F.lit(cell) * F.pow(F.lit(4.0), F.col("_level"))
+
+
+def _finite(boxes: DataFrame) -> DataFrame:
+    """Boxes whose centre and size are numbers."""
+    return boxes.filter((F.abs(F.col("cx")) < _INF) & (F.abs(F.col("cy")) < _INF) & (F.abs(F.col("cz")) < _INF) & (_reach() < _INF))
+
+
+def _levels(cell: float, *boxes: DataFrame) -> Column:
+    """The levels of the boxes, worked out as part of the query that uses them."""
+    own = reduce(DataFrame.unionByName, [_finite(b).select(_level(cell).alias("_level")) for b in boxes])
+    return own.agg(F.collect_set("_level")).scalar()
+
+
+def _cells(boxes: DataFrame, cell: float, levels: Column | None = None) -> DataFrame:
+    """A row per box and cell (_level, gx, gy): of the box's own level, and of coarser ones of levels."""
+    boxes = _finite(boxes).withColumn("_level", _level(cell) if levels is None else F.explode(levels)).filter(F.col("_level") >= _level(cell))
+    span = lambda c: F.sequence(F.floor((F.col(c) - _reach()) / _width(cell)), F.floor((F.col(c) + _reach()) / _width(cell)))
     return boxes.withColumn("gx", F.explode(span("cx"))).withColumn("gy", F.explode(span("cy")))
 
 
@@ -31,9 +62,10 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = CELL) ->
     but frame_id, label renamed to box_label."""
     box = _cells(params(boxes), cell)
     box = box.withColumnRenamed("label", "box_label") if "label" in box.columns else box
-    pts = points.withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell)})
-    found = pts.join(box, ["frame_id", "gx", "gy"]).filter(F.expr(geom.contains()))
-    return found.drop("gx", "gy", *[f"r{i}{j}" for i in range(3) for j in range(3)])
+    pts = points.withColumn("_level", F.explode(_levels(cell, boxes)))
+    pts = pts.withColumns({"gx": F.floor(F.col("x") / _width(cell)), "gy": F.floor(F.col("y") / _width(cell))})
+    found = pts.join(box, ["frame_id", "_level", "gx", "gy"]).filter(F.expr(geom.contains()))
+    return found.drop("_level", "gx", "gy", *[f"r{i}{j}" for i in range(3) for j in range(3)])
 
 
 def min_points(boxes: DataFrame, points: DataFrame, least: int, cell: float = CELL) -> DataFrame:
@@ -52,17 +84,16 @@ def lowest_box(points: DataFrame, boxes: DataFrame, key: list[str], cell: float
 
 def near_pairs(a: DataFrame, b: DataFrame, on: list[str] | None = None, cell: float = CELL) -> DataFrame:
     """Pairs of boxes of one frame (and equal columns of on) whose bounding spheres meet, columns prefixed a_ and b_."""
-    keys = ["frame_id", *(on or [])]
-    sides = []
+    keys, place = ["frame_id", *(on or [])], ["_level", "gx", "gy"]
+    levels, sides = _levels(cell, a, b), []
     for name, df in (("a", a), ("b", b)):
-        df = _cells(params(df), cell)
-        sides.append(df.select(*keys, "gx", "gy", *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in (*keys, "gx", "gy")]))
-    both = sides[0].join(sides[1], [*keys, "gx", "gy"])
-    half = lambda s: F.sqrt(F.col(f"{s}_l") ** 2 + F.col(f"{s}_w") ** 2 + F.col(f"{s}_h") ** 2) / 2
-    first = lambda c: F.greatest(*[F.floor((F.col(f"{s}_{c}") - half(s)) / cell) for s in "ab"])
-    own = (F.col("gx") == first("cx")) & (F.col("gy") == first("cy"))
+        df = _cells(params(df), cell, levels)
+        sides.append(df.select(*keys, *place, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in (*keys, *place)]))
+    both = sides[0].join(sides[1], [*keys, *place])
+    first = lambda c: F.greatest(*[F.floor((F.col(f"{s}_{c}") - _reach(f"{s}_")) / _width(cell)) for s in "ab"])
+    own = (F.col("_level") == F.greatest(_level(cell, "a_"), _level(cell, "b_"))) & (F.col("gx") == first("cx")) & (F.col("gy") == first("cy"))
     apart = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in ("cy", "cz")), (F.col("a_cx") - F.col("b_cx")) ** 2)
-    return both.filter(own & (apart <= (half("a") + half("b")) ** 2)).drop("gx", "gy")
+    return both.filter(own & (apart <= (_reach("a_") + _reach("b_")) ** 2)).drop(*place)
 
 
 def overlapping(a: DataFrame, b: DataFrame, on: list[str] | None = None) -> DataFrame:
@@ -98,14 +129,25 @@ def oriented_iou(a: DataFrame, b: DataFrame, on: list[str] | None = None) -> Dat
 
 
 def iou(a: DataFrame, b: DataFrame, on: list[str] | None = None, fmt: str = "XYZLWHYPR") -> DataFrame:
-    """near_pairs with iou by box format: of axis-aligned boxes in SQL, of turned ones by clipping. A format without
-    pitch and roll ignores such columns."""
+    """near_pairs with iou by box format: of axis-aligned boxes and boxes with a yaw in SQL, of those with three angles by
+    clipping. A format without pitch and roll ignores such columns."""
     if fmt == "XYZXYZ":
         a, b = (x.withColumns({k: F.expr(v) for k, v in geom.convert(fmt, "XYZLWH").items()}) for x in (a, b))
     if fmt in ("XYZXYZ", "XYZLWH"):
         return aligned_iou(a, b, on)
-    flat = {c: F.lit(0.0) for c in geom.BOX if c not in geom.columns(fmt)}
-    return oriented_iou(a.withColumns(flat), b.withColumns(flat), on) if flat else oriented_iou(a, b, on)
+    return yaw_iou(a, b, on) if fmt == "XYZLWHY" else oriented_iou(a, b, on)
+
+
+def yaw_iou(a: DataFrame, b: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """near_pairs with iou of boxes that have a yaw only, pairs of IoU 0 left out: the common area of turned rectangles in
+    SQL, edge by edge (geom.yaw_iou), times the common height. Every step's columns are made by a generator of one row, so
+    that neither projections nor the filters on iou repeat the steps before."""
+    flat = lambda df: df.withColumns({c: F.lit(0.0) for c in ("pitch", "roll")})
+    found = near_pairs(flat(a), flat(b), on)
+    made = geom.yaw_iou()
+    for step in made:
+        found = found.select("*", F.inline(F.array(F.struct(*[F.expr(v).alias(k) for k, v in step.items()]))))
+    return found.drop(*[c for step in made[:-1] for c in step]).filter("iou > 0")
 
 
 def common_volume(p: np.ndarray, q: np.ndarray) -> float:

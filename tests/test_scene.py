@@ -254,3 +254,45 @@ def test_formats_and_filters(spark):
     assert pairs.iou(corner, corner, fmt="XYZXYZ").first().iou == 1.0
     assert boxes.score_filter(spark.createDataFrame([(0.5,), (0.4,), (None,)], "score double"), 0.5).count() == 1
     assert pairs.min_points(view(spark, SF, "gt"), view(spark, SF, "points"), 0).count() == view(spark, SF, "gt").count()
+
+
+def test_yaw_iou_equals_clipping(spark):
+    """Random rectangles, and ones that share edges, corners and centres, turned by multiples of a right angle or not."""
+    r = np.random.default_rng(11)
+    a, b = [], []
+    for i in range(400):
+        if i % 2:
+            p, q = ([*r.uniform(-3, 3, 3), *r.uniform(0.5, 6, 3), r.uniform(-7, 7)] for _ in range(2))
+        else:
+            turn = r.choice([0.0, 0.3])
+            p, q = ([*r.integers(-2, 3, 3).astype(float), *r.integers(1, 4, 3).astype(float) * 2, r.integers(-3, 4) * np.pi / 2] for _ in range(2))
+            for x in (p, q):
+                x[0], x[1], x[6] = np.cos(turn) * x[0] - np.sin(turn) * x[1], np.sin(turn) * x[0] + np.cos(turn) * x[1], x[6] + turn
+        a.append(box(i, i, tuple(map(float, p[:3])), tuple(map(float, p[3:6])), (float(p[6]), 0.0, 0.0)))
+        b.append(box(i, i, tuple(map(float, q[:3])), tuple(map(float, q[3:6])), (float(q[6]), 0.0, 0.0)))
+    a, b = spark.createDataFrame(a, BOX), spark.createDataFrame(b, BOX)
+    got = {x.frame_id: x.iou for x in pairs.yaw_iou(a, b).collect()}
+    want = {x.frame_id: x.iou for x in pairs.oriented_iou(a, b).collect()}
+    assert len(want) > 200
+    for k in got.keys() | want.keys():
+        assert got.get(k, 0.0) == pytest.approx(want.get(k, 0.0), abs=1e-7), k
+
+
+def test_boxes_of_all_sizes_meet(spark):
+    """Boxes from centimetres to a thousand kilometres, none with more than a few rows of cells; odd ones meet nothing."""
+    from cuboid.operators.pairs import _cells
+
+    r = np.random.default_rng(12)
+    size = lambda: tuple(float(x) for x in 10 ** r.uniform(-2, 6) * r.uniform(0.5, 1, 3))
+    data = [box(i % 2, i, tuple(float(x) for x in r.normal(size=3) * 10 ** r.uniform(0, 5)), size()) for i in range(300)]
+    data += [box(0, 1000, (float("nan"), 0.0, 0.0)), box(0, 1001, (0.0, 0.0, 0.0), (float("inf"), 1.0, 1.0)), box(0, 1002, (0.0, 0.0, 0.0), (0.0, 0.0, 0.0))]
+    df = spark.createDataFrame(data, BOX)
+    assert _cells(df, 8.0).groupBy("box_idx").count().agg({"count": "max"}).first()[0] <= 16
+    flat = {x.box_idx: x for x in df.collect()}
+    meets = lambda p, q: all(abs(getattr(p, c) - getattr(q, c)) <= (getattr(p, s) + getattr(q, s)) / 2 for c, s in (("cx", "l"), ("cy", "w"), ("cz", "h")))
+    want = {(i, j) for i, p in flat.items() for j, q in flat.items() if p.frame_id == q.frame_id and i not in (1000, 1001) and j not in (1000, 1001) and meets(p, q)}
+    assert {(x.a_box_idx, x.b_box_idx) for x in pairs.overlapping(df, df).collect()} == want and len(want) > 1000
+    points = spark.createDataFrame([(i % 2, i, *(float(x) for x in r.normal(size=3) * 10 ** r.uniform(0, 5))) for i in range(400)], "frame_id long, p long, x double, y double, z double")
+    inside = lambda p, q: abs(p.x - q.cx) <= q.l / 2 and abs(p.y - q.cy) <= q.w / 2 and abs(p.z - q.cz) <= q.h / 2
+    want = {(p.p, j) for p in points.collect() for j, q in flat.items() if j not in (1000, 1001) and p.frame_id == q.frame_id and inside(p, q)}
+    assert {(x.p, x.box_idx) for x in pairs.points_in_boxes(points, df).collect()} == want and len(want) > 1000
