@@ -7,6 +7,7 @@ needs no window over all of them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -205,11 +206,68 @@ def tp_errors(pred: DataFrame, gt: DataFrame, below: float = 2.0, min_recall: fl
     return means.unpivot("label", list(ERRORS), "metric", "error").withColumn("error", F.coalesce("error", F.lit(1.0)))
 
 
-def detection_score(pred: DataFrame, gt: DataFrame, weight: float = 5.0, half_turn: Sequence[int] = ()) -> DataFrame:
-    """One row: mean_ap, the mean of each error, and score = (weight * mean_ap + sum of max(0, 1 - error)) over
-    (weight + number of errors); 0 without frames."""
-    ap = nds_ap(pred, gt).agg(F.avg("ap").alias("mean_ap"))
-    errors = tp_errors(pred, gt, half_turn=half_turn).groupBy().pivot("metric", list(ERRORS)).agg(F.avg("error"))
+#: Classes whose heading counts modulo half a turn, and errors that are not taken of a class.
+HALF_TURN = ("barrier",)
+SKIPPED = {"traffic_cone": ("attr", "vel", "orient"), "barrier": ("attr", "vel")}
+
+
+@dataclass(frozen=True)
+class Scoring:
+    """What the composite score takes in. classes: the labels that count, with or without boxes (None: those of either
+    table); thresholds: distances of AP; below: the one of the errors; metrics: the errors that count; half_turn: labels
+    whose heading counts modulo half a turn; skips: errors that are not taken of a label."""
+
+    classes: tuple[int, ...] | None = None
+    thresholds: tuple[float, ...] = (0.5, 1.0, 2.0, 4.0)
+    below: float = 2.0
+    min_recall: float = 0.1
+    min_precision: float = 0.1
+    weight: float = 5.0
+    metrics: tuple[str, ...] = ERRORS
+    half_turn: tuple[int, ...] = ()
+    skips: tuple[tuple[int, str], ...] = ()
+
+    def __post_init__(self) -> None:
+        if self.below not in self.thresholds:
+            raise ValueError("the distance of the errors is one of the thresholds")
+        if bad := {*self.metrics, *[m for _, m in self.skips]} - set(ERRORS):
+            raise ValueError(f"no such errors: {sorted(bad)}")
+        if self.classes is not None and not self.classes:
+            raise ValueError("a score needs a class")
+
+    @classmethod
+    def of_names(cls, names: Sequence[str], **options) -> Scoring:
+        """Labels are positions in names; half turns and skips follow from them."""
+        skips = tuple((i, m) for i, n in enumerate(names) for m in SKIPPED.get(n, ()))
+        return cls(classes=tuple(range(len(names))), half_turn=tuple(i for i, n in enumerate(names) if n in HALF_TURN), skips=skips, **options)
+
+
+def class_errors(pred: DataFrame, gt: DataFrame, how: Scoring = Scoring()) -> DataFrame:
+    """(label, metric, error) for every class and metric that counts: 1 for a class without matches, null where skipped."""
+    labels = _labels(pred, gt, how).withColumn("metric", F.explode(F.array(*map(F.lit, how.metrics))))
+    found = tp_errors(pred, gt, how.below, how.min_recall, how.half_turn)
+    skipped = F.lit(False)
+    for label, metric in how.skips:
+        skipped = skipped | ((F.col("label") == label) & (F.col("metric") == metric))
+    return labels.join(found, ["label", "metric"], "left").withColumn("error", F.when(~skipped, F.coalesce("error", F.lit(1.0))))
+
+
+def _labels(pred: DataFrame, gt: DataFrame, how: Scoring) -> DataFrame:
+    if how.classes is None:
+        return pred.select("label").unionByName(gt.select("label")).distinct()
+    kind = pred.schema["label"].dataType
+    return pred.sparkSession.createDataFrame([(c,) for c in how.classes], f"label {kind.simpleString()}")
+
+
+def detection_score(pred: DataFrame, gt: DataFrame, how: Scoring = Scoring()) -> DataFrame:
+    """One row: mean_ap, the mean of each error that counts, and score = (weight * mean_ap + sum of max(0, 1 - error)) over
+    (weight + number of errors). Means leave skipped classes out; an error that is skipped everywhere is null and adds
+    nothing. Without classes the score is 0."""
+    if how.classes is not None:
+        pred, gt = (x.filter(F.col("label").isin(*how.classes)) for x in (pred, gt))
+    ap = nds_ap(pred, gt, how.thresholds, how.min_recall, how.min_precision).groupBy("label").agg(F.avg("ap").alias("ap"))
+    ap = _labels(pred, gt, how).join(ap, "label", "left").agg(F.avg(F.coalesce("ap", F.lit(0.0))).alias("mean_ap"))
+    errors = class_errors(pred, gt, how).groupBy().pivot("metric", list(how.metrics)).agg(F.avg("error"))
     both = ap.crossJoin(errors)  # a row each
-    gained = sum((F.greatest(F.lit(0.0), 1 - F.col(e)) for e in ERRORS), F.lit(0.0))
-    return both.withColumn("score", F.coalesce((weight * F.col("mean_ap") + gained) / (weight + len(ERRORS)), F.lit(0.0)))
+    gained = sum((F.coalesce(F.greatest(F.lit(0.0), 1 - F.col(e)), F.lit(0.0)) for e in how.metrics), F.lit(0.0))
+    return both.withColumn("score", F.coalesce((how.weight * F.col("mean_ap") + gained) / (how.weight + len(how.metrics)), F.lit(0.0)))

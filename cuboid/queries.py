@@ -339,7 +339,8 @@ def ap_all_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ap(spark, sf_dir, "all_points")
 
 
-@query()
+@query(_CURVE + """, t AS (SELECT n.label, n.num_gt, k, coalesce(max(tp / seen) FILTER (tp * 100 >= k * num_gt OR (tp / num_gt)::FLOAT >= (k::FLOAT / 100)), 0) AS p FROM n CROSS JOIN range(0, 101) q(k) LEFT JOIN c ON c.label = n.label GROUP BY ALL)
+SELECT label, num_gt::BIGINT AS num_gt, round(avg(p), 6) + 0.0 AS ap FROM t GROUP BY ALL""")
 def ap_r101(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ap(spark, sf_dir, "r101")
 
@@ -360,7 +361,50 @@ def map3d_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out)
 
 
-@query()
+_FAR = "sqrt(cx*cx+cy*cy+cz*cz)"
+#: The same with axis-aligned boxes, a loop over the detections of every frame, class, bin and IoU.
+_BINNED = f"""WITH RECURSIVE bins(bin, low, high) AS (VALUES (0, 0, 25), (1, 20, 1000)), ious(iou) AS (VALUES (0.1::DOUBLE), (0.3::DOUBLE)),
+p AS (SELECT pred.*, bin FROM pred JOIN bins ON {_FAR} >= low AND {_FAR} < high), g AS (SELECT gt.*, bin FROM gt JOIN bins ON {_FAR} >= low AND {_FAR} < high),
+j AS (SELECT a.frame_id, a.label, a.bin, a.det_idx, b.box_idx, a.score, {", ".join(f"{s}.{c} AS {s}_{c}" for s in "ab" for c in geom.BOX[:6])} FROM p a JOIN g b ON a.frame_id = b.frame_id AND a.label = b.label AND a.bin = b.bin),
+o AS (SELECT j.*, {geom.aligned_iou()} AS v FROM j), w AS (SELECT frame_id, label, bin, iou, det_idx, score, list(box_idx ORDER BY v DESC, box_idx) AS want FROM o JOIN ious ON v >= iou GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY frame_id, label, bin, iou ORDER BY score DESC, det_idx) AS k FROM w),
+r AS (SELECT DISTINCT frame_id, label, bin, iou, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS det_idx, NULL::BIGINT AS gt_idx FROM k UNION ALL
+  SELECT r.frame_id, r.label, r.bin, r.iou, r.k + 1, CASE WHEN x.g IS NULL THEN r.taken ELSE list_append(r.taken, x.g) END, k.det_idx, x.g
+  FROM r JOIN k ON r.frame_id = k.frame_id AND r.label = k.label AND r.bin = k.bin AND r.iou = k.iou AND k.k = r.k + 1, LATERAL (SELECT list_filter(k.want, lambda q: NOT list_contains(r.taken, q))[1] AS g) x),
+m AS (SELECT DISTINCT bin, iou, det_idx FROM r WHERE gt_idx IS NOT NULL),
+c AS (SELECT p.label, p.bin, i.iou, sum((m.det_idx IS NOT NULL)::INT) OVER w AS tp, row_number() OVER w AS seen FROM p CROSS JOIN ious i LEFT JOIN m ON m.bin = p.bin AND m.iou = i.iou AND m.det_idx = p.det_idx WINDOW w AS (PARTITION BY p.label, p.bin, i.iou ORDER BY score DESC, p.det_idx)),
+n AS (SELECT s.label, s.bin, i.iou, coalesce(x.n, 0) AS num_gt FROM (SELECT label, bin FROM p UNION SELECT label, bin FROM g) s CROSS JOIN ious i LEFT JOIN (SELECT label, bin, count(*) AS n FROM g GROUP BY ALL) x ON x.label = s.label AND x.bin = s.bin),
+t AS (SELECT n.label, n.bin, n.iou, n.num_gt, k, coalesce(max(tp / seen) FILTER (tp * 40 >= k * num_gt), 0) AS p FROM n CROSS JOIN range(1, 41) q(k) LEFT JOIN c ON c.label = n.label AND c.bin = n.bin AND c.iou = n.iou GROUP BY ALL),
+u AS (SELECT label, bin, iou, num_gt, CASE WHEN num_gt > 0 THEN avg(p) END AS ap FROM t GROUP BY label, bin, iou, num_gt)
+SELECT label, iou, bin, num_gt::BIGINT AS num_gt, round(coalesce(ap, -1), 6) + 0.0 AS ap, (4*(label IS NULL)::INT + 2*(iou IS NULL)::INT + (bin IS NULL)::INT)::BIGINT AS level
+FROM (SELECT label, iou, bin, sum(num_gt) AS num_gt, avg(ap) AS ap FROM u GROUP BY GROUPING SETS ((), (label), (iou), (label, iou), (bin), (label, bin), (label, iou, bin)))"""
+
+
+@query(_BINNED)
+def map3d_range_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AP of axis-aligned boxes by class, IoU and overlapping distance bins, with roll-ups."""
+    return rounded(detection.map3d(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt"), (0.1, 0.3), ((0.0, 25.0), (20.0, 1000.0)), fmt="XYZLWH"))
+
+
+#: Distance matching as a loop, and the curve read between its own rows.
+_NDS = """WITH RECURSIVE ths(threshold) AS (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE), (4.0::DOUBLE)),
+o AS (SELECT p.frame_id, p.label, p.det_idx, g.box_idx, p.score, sqrt((p.cx-g.cx)*(p.cx-g.cx)+(p.cy-g.cy)*(p.cy-g.cy)) AS v FROM pred p JOIN gt g ON g.frame_id = p.frame_id AND g.label = p.label),
+w AS (SELECT frame_id, label, threshold, det_idx, score, list(box_idx ORDER BY v, box_idx) AS want FROM o JOIN ths ON v < threshold GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY frame_id, label, threshold ORDER BY score DESC, det_idx DESC) AS k FROM w),
+r AS (SELECT DISTINCT frame_id, label, threshold, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS det_idx, NULL::BIGINT AS gt_idx FROM k UNION ALL
+  SELECT r.frame_id, r.label, r.threshold, r.k + 1, CASE WHEN x.g IS NULL THEN r.taken ELSE list_append(r.taken, x.g) END, k.det_idx, x.g
+  FROM r JOIN k ON r.frame_id = k.frame_id AND r.label = k.label AND r.threshold = k.threshold AND k.k = r.k + 1, LATERAL (SELECT list_filter(k.want, lambda q: NOT list_contains(r.taken, q))[1] AS g) x),
+m AS (SELECT DISTINCT threshold, det_idx FROM r WHERE gt_idx IS NOT NULL),
+c AS (SELECT p.label, h.threshold, sum((m.det_idx IS NOT NULL)::INT) OVER w AS tp, row_number() OVER w AS seen FROM pred p CROSS JOIN ths h LEFT JOIN m ON m.threshold = h.threshold AND m.det_idx = p.det_idx WINDOW w AS (PARTITION BY p.label, h.threshold ORDER BY score DESC, p.det_idx DESC)),
+n AS (SELECT l.label, h.threshold, coalesce(x.n, 0) AS num_gt, k FROM (SELECT label FROM pred UNION SELECT label FROM gt) l CROSS JOIN ths h CROSS JOIN range(11, 101) s(k) LEFT JOIN (SELECT label, count(*) AS n FROM gt GROUP BY label) x ON x.label = l.label),
+j AS (SELECT n.label, n.threshold, n.num_gt, n.k, max(seen) FILTER (tp * 100 <= n.k * num_gt) AS j FROM n LEFT JOIN c ON c.label = n.label AND c.threshold = n.threshold GROUP BY ALL),
+v AS (SELECT j.*, CASE WHEN num_gt = 0 OR f.seen IS NULL THEN 0 WHEN j IS NULL THEN f.tp / f.seen WHEN b.seen IS NULL THEN CASE WHEN a.tp * 100 = k * num_gt THEN a.tp / a.seen ELSE 0 END
+    ELSE a.tp / a.seen + coalesce((k * num_gt / 100 - a.tp) / nullif(b.tp - a.tp, 0), 0) * (b.tp / b.seen - a.tp / a.seen) END AS p
+  FROM j LEFT JOIN c a ON a.label = j.label AND a.threshold = j.threshold AND a.seen = j.j LEFT JOIN c b ON b.label = j.label AND b.threshold = j.threshold AND b.seen = j.j + 1 LEFT JOIN c f ON f.label = j.label AND f.threshold = j.threshold AND f.seen = 1)
+SELECT label, threshold, round(avg(greatest(p - 0.1, 0) / 0.9), 6) + 0.0 AS ap FROM v GROUP BY ALL"""
+
+
+@query(_NDS)
 def nds_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AP of distance matching at 0.5, 1, 2 and 4 metres."""
     return rounded(detection.nds_ap(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt")))
@@ -378,6 +422,13 @@ def nds_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(detection.detection_score(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt")))
 
 
+@query()
+def nds_score_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of six classes, one of them without any box, three errors, half turns and skips."""
+    how = detection.Scoring((0, 1, 2, 3, 4, 77), (1.0, 2.0), 2.0, weight=3.0, metrics=("trans", "orient", "vel"), half_turn=(1,), skips=((2, "vel"), (3, "orient")))
+    return rounded(detection.detection_score(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt"), how))
+
+
 @query(f"""SELECT box_idx, {_r('cx cy cz yaw', cx=f"CASE WHEN {_u(1, 'flipx', 'frame_id')} < 0.5 THEN -cx ELSE cx END", yaw=f"CASE WHEN {_u(1, 'flipx', 'frame_id')} < 0.5 THEN -yaw ELSE yaw END")} FROM gt""")
 def random_flip_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(augment.random_flip(view(spark, sf_dir, "gt"), "x", 0.5, geom.flip("x"), 1).select("box_idx", "cx", "cy", "cz", "yaw"))

@@ -296,3 +296,32 @@ def test_boxes_of_all_sizes_meet(spark):
     inside = lambda p, q: abs(p.x - q.cx) <= q.l / 2 and abs(p.y - q.cy) <= q.w / 2 and abs(p.z - q.cz) <= q.h / 2
     want = {(p.p, j) for p in points.collect() for j, q in flat.items() if j not in (1000, 1001) and p.frame_id == q.frame_id and inside(p, q)}
     assert {(x.p, x.box_idx) for x in pairs.points_in_boxes(points, df).collect()} == want and len(want) > 1000
+
+
+def test_score_options_equal_plain_sums(spark):
+    """Classes, metrics and skips put together by hand from the parts of the score."""
+    pred, gt = view(spark, SF, "pred"), view(spark, SF, "gt")
+    how = detection.Scoring((0, 1, 2, 77), (1.0, 2.0), 2.0, weight=3.0, metrics=("trans", "orient"), half_turn=(1,), skips=((2, "orient"), (77, "trans")))
+    got = detection.detection_score(pred, gt, how).first()
+    ap = {(r.label, r.threshold): r.ap for r in detection.nds_ap(pred, gt, (1.0, 2.0)).collect()}
+    mean_ap = sum(ap.get((c, t), 0.0) for c in (0, 1, 2, 77) for t in (1.0, 2.0)) / 8
+    errors = {(r.label, r.metric): r.error for r in detection.tp_errors(pred, gt, 2.0, half_turn=(1,)).collect()}
+    trans = sum(errors[c, "trans"] for c in (0, 1, 2)) / 3
+    orient = (errors[0, "orient"] + errors[1, "orient"] + 1.0) / 3  # no box of class 77: error 1
+    assert (got.mean_ap, got.trans, got.orient) == pytest.approx((mean_ap, trans, orient))
+    assert got.score == pytest.approx((3 * mean_ap + max(0, 1 - trans) + max(0, 1 - orient)) / 5)
+
+
+def test_a_metric_skipped_everywhere_adds_nothing(spark):
+    pred, gt = view(spark, SF, "pred"), view(spark, SF, "gt")
+    got = detection.detection_score(pred, gt, detection.Scoring((0,), metrics=("vel", "trans"), skips=((0, "vel"),))).first()
+    assert got.vel is None and got.score == pytest.approx((5 * got.mean_ap + max(0, 1 - got.trans)) / 7)
+
+
+def test_scoring_presets_and_refusals():
+    how = detection.Scoring.of_names(["car", "barrier", "traffic_cone"], weight=2.0)
+    assert (how.classes, how.half_turn, how.weight) == ((0, 1, 2), (1,), 2.0)
+    assert set(how.skips) == {(1, "attr"), (1, "vel"), (2, "attr"), (2, "vel"), (2, "orient")}
+    for bad in ({"below": 3.0}, {"metrics": ("trans", "colour")}, {"classes": ()}, {"skips": ((1, "x"),)}):
+        with pytest.raises(ValueError):
+            detection.Scoring(**bad)
