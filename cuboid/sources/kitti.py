@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuboid.operators.cameras import in_view, project
+
 #: Class names in the order of their indices. DontCare rows are dropped, other names get -1.
 CLASSES = ("Car", "Pedestrian", "Cyclist", "Van", "Truck", "Person_sitting", "Tram", "Misc")
 
@@ -83,6 +85,49 @@ def cameras(spark: SparkSession, root: str, split: str = "training") -> DataFram
     return rows.select("frame_id", *[F.expr(v).alias(n) for n, v in {**k, **e}.items()])
 
 
+def header_size(content: bytes) -> tuple[int, int] | None:
+    """Width and height in the header of a PNG or JPEG file; None for other files and cut headers."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and len(content) >= 24:
+        return int.from_bytes(content[16:20], "big"), int.from_bytes(content[20:24], "big")
+    at = 2 if content[:2] == b"\xff\xd8" else len(content)
+    while at + 9 <= len(content) and content[at] == 0xFF:
+        mark = content[at + 1]
+        if mark == 0xFF:  # a filling byte
+            at += 1
+        elif mark == 0x01 or 0xD0 <= mark <= 0xD8:  # marks without a length
+            at += 2
+        elif 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):  # a frame's header
+            return int.from_bytes(content[at + 7 : at + 9], "big"), int.from_bytes(content[at + 5 : at + 7], "big")
+        else:
+            at += 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+    return None
+
+
+def image_sizes(spark: SparkSession, root: str, split: str = "training") -> DataFrame:
+    """frame_id, img_w and img_h of the images of camera 2, from their headers; no pixel is decoded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [header_size(memoryview(c.as_buffer())[: 1 << 20].tobytes()) for c in batch.column(1)]
+            wide, high = (pa.array([None if s is None else s[k] for s in found], pa.int32()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), wide, high], names=["frame_id", "img_w", "img_h"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg}").option("recursiveFileLookup", "true").load(f"{root}/{split}")
+    return files.filter(F.col("path").rlike("/image_2/[^/]+$")).select(_frame().alias("frame_id"), "content").mapInArrow(run, "frame_id string, img_w int, img_h int").filter("img_w IS NOT NULL")
+
+
+def sized_cameras(spark: SparkSession, root: str, split: str = "training") -> DataFrame:
+    """cameras() with img_w and img_h; a frame without a readable image has 1 x 1, so that hardly a point is in view."""
+    sizes = image_sizes(spark, root, split)
+    return cameras(spark, root, split).join(sizes, "frame_id", "left").na.fill(1, ["img_w", "img_h"])
+
+
+def points_in_view(spark: SparkSession, root: str, split: str = "training") -> DataFrame:
+    """The points that camera 2 sees, in their order."""
+    seen = in_view(project(points(spark, root, split), sized_cameras(spark, root, split)))
+    return seen.select("frame_id", "pt_idx", "x", "y", "z", "intensity")
+
+
 def boxes(spark: SparkSession, root: str, split: str = "training", classes: tuple[str, ...] = CLASSES) -> DataFrame:
     """frame_id, box_idx, label and boxes in the lidar's frame (yaw is -ry - pi/2, not wrapped)."""
     raw = spark.read.text(f"{root}/{split}/label_2/*.txt").select(_frame("_metadata.file_path").alias("frame_id"), F.split(F.trim("value"), r"\s+").alias("f"), F.monotonically_increasing_id().alias("_at"))

@@ -40,6 +40,46 @@ def test_kitti_tree(spark, tmp_path):
     assert (boxes[0].l, boxes[0].w, boxes[0].h) == (4.0, 1.6, 1.5) and boxes[0].yaw == pytest.approx(-0.3 - math.pi / 2)
 
 
+def png(w, h):
+    return b"\x89PNG\r\n\x1a\n" + (13).to_bytes(4, "big") + b"IHDR" + w.to_bytes(4, "big") + h.to_bytes(4, "big") + b"\x08\x02\0\0\0"
+
+
+def jpeg(w, h):
+    app, huffman = b"\xff\xe0\0\x10JFIF\0" + bytes(9), b"\xff\xc4\0\x04\0\0"
+    return b"\xff\xd8" + app + huffman + b"\xff\xff\xc2\0\x11\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes(10)
+
+
+def test_image_headers():
+    assert kitti.header_size(png(1242, 375)) == (1242, 375) == kitti.header_size(jpeg(1242, 375))
+    for bad in (b"", b"GIF89a" + bytes(20), png(5, 5)[:20], jpeg(5, 5)[:25], b"\xff\xd8" + bytes(30)):
+        assert kitti.header_size(bad) is None
+
+
+def test_points_in_view(spark, tmp_path):
+    """Frames with a PNG, with a JPEG, with a broken image and without one; the wrong camera's image does not count."""
+    top, rng = tmp_path / "training", np.random.default_rng(1)
+    for d in ("velodyne", "calib", "image_2", "image_3"):
+        (top / d).mkdir(parents=True)
+    k, turn = np.array([[50.0, 0, 20, 0], [0, 50, 10, 0], [0, 0, 1, 0]]), np.array([[0.0, -1, 0, 0], [0, 0, -1, 0], [1, 0, 0, 0]])
+    clouds = {}
+    for i, image in enumerate((png(40, 20), jpeg(30, 25), b"broken", None)):
+        clouds[f"{i:06}"] = rng.uniform(-5, 5, (200, 4)).astype("<f4")
+        clouds[f"{i:06}"].tofile(top / f"velodyne/{i:06}.bin")
+        (top / f"calib/{i:06}.txt").write_text("".join(f"{n}: {' '.join(map(str, v.ravel()))}\n" for n, v in {"P2": k, "R0_rect": np.eye(3), "Tr_velo_to_cam": turn}.items()))
+        (top / f"image_3/{i:06}.png").write_bytes(png(9, 9))
+        if image is not None:
+            (top / f"image_2/{i:06}.{'jpg' if i == 1 else 'png'}").write_bytes(image)
+    sizes = {"000000": (40, 20), "000001": (30, 25), "000002": (1, 1), "000003": (1, 1)}
+    assert {r.frame_id: (r.img_w, r.img_h) for r in kitti.sized_cameras(spark, str(tmp_path)).collect()} == sizes
+    want = set()
+    for frame, cloud in clouds.items():
+        for n, (x, y, z, _) in enumerate(cloud.astype(float)):
+            if x > 0 and 0 <= 50 * -y / x + 20 < sizes[frame][0] and 0 <= 50 * -z / x + 10 < sizes[frame][1]:
+                want.add((frame, n))
+    assert {(r.frame_id, r.pt_idx) for r in kitti.points_in_view(spark, str(tmp_path)).collect()} == want
+    assert len({f for f, _ in want}) >= 2
+
+
 def test_nuscenes_tables(spark, tmp_path):
     half = [math.cos(math.pi / 4), 0, 0, math.sin(math.pi / 4)]  # 90 degrees about z
     still = {"translation": [0.0, 0, 0], "rotation": [1.0, 0, 0, 0]}
