@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuboid.functions import geom, rigid
-from cuboid.operators import augment, cameras, order
+from cuboid.operators import augment, cameras, detection, order
 from cuboid.operators import transforms as T
 from cuboid.paste_queries import POINT_ORDER, numbered_points
 from cuboid.plans.registry import query, rounded
@@ -123,3 +123,44 @@ def viz_point_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     channel = lambda e: F.floor(e * 255).cast("int")
     out = t.select("frame_id", "pt_idx", "far", channel(F.col("t")).alias("red"), F.lit(0).alias("green"), channel(1 - F.col("t")).alias("blue"), F.lit(255).alias("alpha"))
     return rounded(out)
+
+
+_SEEN = """SELECT b.box_idx, c.cam_idx, d > 0 AS visible, d AS depth, CASE WHEN d > 0 THEN fx*(sin(y)*cx-cos(y)*cy)/d+320 ELSE 0 END AS u, CASE WHEN d > 0 THEN fy*(-cz)/d+240 ELSE 0 END AS v
+FROM gt b, range(0, 6) c(cam_idx), LATERAL (SELECT 2*pi()*cam_idx/6+0.01*frame_id AS y, 500.0::DOUBLE+frame_id % 7 AS fx, 500.0::DOUBLE+frame_id % 5 AS fy), LATERAL (SELECT cos(y)*cx+sin(y)*cy AS d)"""
+
+
+@query(f"""WITH s AS ({_SEEN}) SELECT box_idx, cam_idx::INT AS cam_idx, 'h' AS flip, visible, {_r('depth u v', u='CASE WHEN visible THEN 640-u ELSE 0 END')} FROM s
+UNION ALL SELECT box_idx, cam_idx::INT, 'v', visible, {_r('depth u v', v='CASE WHEN visible THEN 480-v ELSE 0 END')} FROM s""")
+def flip_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box centres of mirrored worlds in the cameras of mirrored images: where they were, mirrored."""
+    s, out = scene(spark, sf_dir), None
+    for flip, axis in (("h", "y"), ("v", "z")):
+        centres = s.boxes.select("frame_id", "box_idx", *[(-F.col(f"c{c}") if c == axis else F.col(f"c{c}")).alias(c) for c in "xyz"])
+        seen = cameras.project(centres, cameras.flip_image(s.cameras, flip))
+        seen = seen.select("box_idx", "cam_idx", F.lit(flip).alias("flip"), (F.col("depth") > 0).alias("visible"), "depth", *[F.nanvl(c, F.lit(0.0)).alias(c) for c in "uv"])
+        out = seen if out is None else out.unionByName(seen)
+    return rounded(out)
+
+
+def _normal(c: str) -> str:
+    return f"{c}+0.05*sqrt(-2*ln(1-{_u(6, c + '1', 'frame_id', 'pt_idx')}))*cos(2*pi()*{_u(6, c + '2', 'frame_id', 'pt_idx')})"
+
+
+@query(f"WITH {_PTS} SELECT frame_id, pt_idx::BIGINT AS pt_idx, {_r('x y z', **{c: _normal(c) for c in 'xyz'})} FROM pts")
+def point_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with normal noise."""
+    return rounded(augment.jitter_points(numbered_points(spark, sf_dir), 0.05, ["pt_idx"], 6).select("frame_id", "pt_idx", "x", "y", "z"))
+
+
+@query("""WITH bins(bin, low, high) AS (VALUES (0, 0, 25), (1, 20, 1000)) SELECT label, bin, count(*)::BIGINT AS n FROM gt JOIN bins ON sqrt(cx*cx+cy*cy+cz*cz) >= low AND sqrt(cx*cx+cy*cy+cz*cz) < high GROUP BY ALL""")
+def distance_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of each class by overlapping bins of their distance."""
+    return detection.with_bins(view(spark, sf_dir, "gt"), ((0.0, 25.0), (20.0, 1000.0))).groupBy("label", "bin").agg(F.count("*").alias("n"))
+
+
+@query("""WITH j AS (SELECT p.frame_id, p.label, p.det_idx, g.box_idx AS gt_idx, sqrt((p.cx-g.cx)*(p.cx-g.cx)+(p.cy-g.cy)*(p.cy-g.cy)) AS far FROM pred p JOIN gt g ON g.frame_id = p.frame_id AND g.label = p.label)
+SELECT frame_id, label, det_idx, gt_idx, round(far, 6) + 0.0 AS far FROM j WHERE far < 4""")
+def distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections and boxes of a class within four metres on the ground."""
+    found = detection.candidates_by_distance(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt"), 4.0)
+    return rounded(found.select("frame_id", "label", "det_idx", "gt_idx", F.col("value").alias("far")))
