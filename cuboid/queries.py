@@ -461,7 +461,7 @@ SELECT a.sensor, a.event_id AS frame, b.event_id AS sweep, (a.i - b.i)::INT AS b
 def sweeps_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event's three latest sweeps of its sensor."""
     s = view(spark, sf_dir, "sweeps").withColumn("seq", F.struct("ts", "event_id"))
-    out = sweeps.last_sweeps(s.select("sensor", "seq"), s.select("sensor", "seq"), 3)
+    out = sweeps.last_sweeps(s.select("sensor", "seq"), s.select("sensor", "seq"), 3, F.to_date("seq.ts"))
     return out.select("sensor", F.col("frame.event_id").alias("frame"), F.col("sweep.event_id").alias("sweep"), "back")
 
 
