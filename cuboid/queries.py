@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuboid import chain_queries, paste_queries, transform_queries  # noqa: F401
 from cuboid.functions import geom
 from cuboid.operators import augment, boxes, cameras, detection, pairs, sweeps, voxels
+from cuboid.plans import score_sql
 from cuboid.plans.registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401
 from cuboid.plans.registry import rounded_sql as _r
 from cuboid.plans.registry import uniform_sql as _u
@@ -386,43 +387,28 @@ def map3d_range_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(detection.map3d(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt"), (0.1, 0.3), ((0.0, 25.0), (20.0, 1000.0)), fmt="XYZLWH"))
 
 
-#: Distance matching as a loop, and the curve read between its own rows.
-_NDS = """WITH RECURSIVE ths(threshold) AS (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE), (4.0::DOUBLE)),
-o AS (SELECT p.frame_id, p.label, p.det_idx, g.box_idx, p.score, sqrt((p.cx-g.cx)*(p.cx-g.cx)+(p.cy-g.cy)*(p.cy-g.cy)) AS v FROM pred p JOIN gt g ON g.frame_id = p.frame_id AND g.label = p.label),
-w AS (SELECT frame_id, label, threshold, det_idx, score, list(box_idx ORDER BY v, box_idx) AS want FROM o JOIN ths ON v < threshold GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY frame_id, label, threshold ORDER BY score DESC, det_idx DESC) AS k FROM w),
-r AS (SELECT DISTINCT frame_id, label, threshold, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS det_idx, NULL::BIGINT AS gt_idx FROM k UNION ALL
-  SELECT r.frame_id, r.label, r.threshold, r.k + 1, CASE WHEN x.g IS NULL THEN r.taken ELSE list_append(r.taken, x.g) END, k.det_idx, x.g
-  FROM r JOIN k ON r.frame_id = k.frame_id AND r.label = k.label AND r.threshold = k.threshold AND k.k = r.k + 1, LATERAL (SELECT list_filter(k.want, lambda q: NOT list_contains(r.taken, q))[1] AS g) x),
-m AS (SELECT DISTINCT threshold, det_idx FROM r WHERE gt_idx IS NOT NULL),
-c AS (SELECT p.label, h.threshold, sum((m.det_idx IS NOT NULL)::INT) OVER w AS tp, row_number() OVER w AS seen FROM pred p CROSS JOIN ths h LEFT JOIN m ON m.threshold = h.threshold AND m.det_idx = p.det_idx WINDOW w AS (PARTITION BY p.label, h.threshold ORDER BY score DESC, p.det_idx DESC)),
-n AS (SELECT l.label, h.threshold, coalesce(x.n, 0) AS num_gt, k FROM (SELECT label FROM pred UNION SELECT label FROM gt) l CROSS JOIN ths h CROSS JOIN range(11, 101) s(k) LEFT JOIN (SELECT label, count(*) AS n FROM gt GROUP BY label) x ON x.label = l.label),
-j AS (SELECT n.label, n.threshold, n.num_gt, n.k, max(seen) FILTER (tp * 100 <= n.k * num_gt) AS j FROM n LEFT JOIN c ON c.label = n.label AND c.threshold = n.threshold GROUP BY ALL),
-v AS (SELECT j.*, CASE WHEN num_gt = 0 OR f.seen IS NULL THEN 0 WHEN j IS NULL THEN f.tp / f.seen WHEN b.seen IS NULL THEN CASE WHEN a.tp * 100 = k * num_gt THEN a.tp / a.seen ELSE 0 END
-    ELSE a.tp / a.seen + coalesce((k * num_gt / 100 - a.tp) / nullif(b.tp - a.tp, 0), 0) * (b.tp / b.seen - a.tp / a.seen) END AS p
-  FROM j LEFT JOIN c a ON a.label = j.label AND a.threshold = j.threshold AND a.seen = j.j LEFT JOIN c b ON b.label = j.label AND b.threshold = j.threshold AND b.seen = j.j + 1 LEFT JOIN c f ON f.label = j.label AND f.threshold = j.threshold AND f.seen = 1)
-SELECT label, threshold, round(avg(greatest(p - 0.1, 0) / 0.9), 6) + 0.0 AS ap FROM v GROUP BY ALL"""
-
-
-@query(_NDS)
+_DISTANCES = (0.5, 1.0, 2.0, 4.0)
+
+
+@query(f"{score_sql.matched(_DISTANCES)}, {score_sql.AP} SELECT label, threshold, round(ap, 6) + 0.0 AS ap FROM aps")
 def nds_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AP of distance matching at 0.5, 1, 2 and 4 metres."""
     return rounded(detection.nds_ap(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt")))
 
 
-@query()
+@query(f"{score_sql.matched((2.0,))}, {score_sql.errors(2.0)} SELECT label, metric, round(error, 6) + 0.0 AS error FROM errs")
 def nds_tp_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean errors of the true positives of each class at 2 metres."""
     return rounded(detection.tp_errors(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt")))
 
 
-@query()
+@query(score_sql.score(_DISTANCES, 2.0, 5.0))
 def nds_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The composite detection score."""
     return rounded(detection.detection_score(view(spark, sf_dir, "pred"), view(spark, sf_dir, "gt")))
 
 
-@query()
+@query(score_sql.score((1.0, 2.0), 2.0, 3.0, ("trans", "orient", "vel"), (0, 1, 2, 3, 4, 77), (1,), ((2, "vel"), (3, "orient"))))
 def nds_score_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of six classes, one of them without any box, three errors, half turns and skips."""
     how = detection.Scoring((0, 1, 2, 3, 4, 77), (1.0, 2.0), 2.0, weight=3.0, metrics=("trans", "orient", "vel"), half_turn=(1,), skips=((2, "vel"), (3, "orient")))
