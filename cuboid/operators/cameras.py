@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cuboid.functions import geom
 from cuboid.operators.boxes import with_exprs
 
+RIG = 1 << 12  # cameras that all frames share; they are broadcast
+
 #: Camera axes of an unturned camera: x right, y down, z ahead, in a frame with x ahead, y left, z up.
 
 
@@ -18,9 +20,14 @@ def extrinsics(cams: DataFrame) -> DataFrame:
 
 
 def project(points: DataFrame, cams: DataFrame) -> DataFrame:
-    """Every point in every camera of cams (few rows; joined on frame_id where cams has one): u, v, depth. Where
-    depth <= 0, u and v are NaN."""
-    both = points.join(cams, "frame_id") if "frame_id" in cams.columns else points.crossJoin(F.broadcast(cams))
+    """Every point in every camera of cams: u, v, depth. Where depth <= 0, u and v are NaN. Cameras are joined on
+    frame_id where cams has one; otherwise they are a rig that all frames share, of at most RIG cameras."""
+    if "frame_id" in cams.columns:
+        both = points.join(cams, "frame_id")
+    else:
+        if cams.limit(RIG + 1).count() > RIG:
+            raise ValueError(f"a rig that all frames share has at most {RIG} cameras; give others a frame_id")
+        both = points.crossJoin(F.broadcast(cams))
     for k, name in enumerate(("_px", "_py", "depth")):
         both = both.withColumn(name, F.expr(f"e{k}0*x+e{k}1*y+e{k}2*z+e{k}3"))
     seen = F.col("depth") > 0

@@ -1,6 +1,6 @@
 """Detection metrics: greedy matching and average precision, as joins and aggregations.
 
-Running counts over a class are taken in score buckets first, so that a class with a large share of all detections
+Running counts over a class are taken in ranges of scores first, so that a class with a large share of all detections
 needs no window over all of them.
 """
 
@@ -61,25 +61,29 @@ def match(candidates: DataFrame, later_first: bool = False, groups: Sequence[str
     return greedy.assign(edges).select(*[F.col(f"left.{g}").alias(g) for g in groups], F.col("left.idx").alias("det_idx"), F.col("right.idx").alias("gt_idx"))
 
 
-def running_sums(df: DataFrame, keys: list[str], score: str, tie: str, sums: dict[str, Column], buckets: int = 64) -> DataFrame:
-    """df with sums of columns over all rows with the same keys up to each row, best score first. Rows are summed by
-    score buckets first, so no window holds more than a bucket."""
-    cuts = sorted(set(df.approxQuantile(score, [i / buckets for i in range(1, buckets)], 0.001)))  # at most buckets numbers
-    better = F.lit(0)
-    for c in cuts:
-        better = better + (F.col(score) < c).cast("int")
-    df = saved(df.withColumns({"_bucket": better} | {f"_v_{n}": e for n, e in sums.items()}))
-    parts = df.groupBy(*keys, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums])
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*keys, "_bucket", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    within = Window.partitionBy(*keys, "_bucket").orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.join(parts, [*keys, "_bucket"]).withColumns({n: F.col(f"_b_{n}") + F.sum(f"_v_{n}").over(within) for n in sums})
-    return out.drop("_bucket", *[f"_{k}_{n}" for n in sums for k in "vb"])
+def running_sums(df: DataFrame, keys: list[str], score: str, tie: str, sums: dict[str, Column], rows: int = 1 << 20) -> DataFrame:
+    """df with sums of columns over all rows with the same keys up to each row, best score first.
 
+    Rows are cut into ranges of about so many rows by keys, score and tie, as many as the table needs, and every range
+    is summed first. So no window holds more than a range, whatever a key's share of the rows and however many scores
+    are equal."""
+    df = saved(df.withColumns({f"_v_{n}": e for n, e in sums.items()}))
+    ranges = df.count() // rows + 1
+    if ranges == 1:
+        df = df.withColumn("_range", F.lit(0))
+    else:  # written, as ranges are drawn anew whenever they are computed
+        df = saved(df.repartitionByRange(ranges, *keys, F.desc(score), F.asc(tie)).withColumn("_range", F.spark_partition_id()), df)
+    parts = df.groupBy(*keys, "_range").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums])
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "_range", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    within = Window.partitionBy(*keys, "_range").orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.join(parts, [*keys, "_range"]).withColumns({n: F.col(f"_b_{n}") + F.sum(f"_v_{n}").over(within) for n in sums})
+    return out.drop("_range", *[f"_{k}_{n}" for n in sums for k in "vb"])
 
-def running(df: DataFrame, keys: list[str], score: str, tie: str, flag: str, buckets: int = 64) -> DataFrame:
+
+def running(df: DataFrame, keys: list[str], score: str, tie: str, flag: str, rows: int = 1 << 20) -> DataFrame:
     """df with tp and seen: counts of flagged rows and of all rows with the same keys up to each row, best first."""
-    return running_sums(df, keys, score, tie, {"tp": F.col(flag).cast("long"), "seen": F.lit(1).cast("long")}, buckets)
+    return running_sums(df, keys, score, tie, {"tp": F.col(flag).cast("long"), "seen": F.lit(1).cast("long")}, rows)
 
 
 def average_precision(curve: DataFrame, totals: DataFrame, keys: list[str], how: str = "r40") -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuboid.functions import geom
-from cuboid.operators import augment, boxes, detection, greedy, pairs, voxels
+from cuboid.operators import augment, boxes, cameras, detection, greedy, pairs, voxels
 from cuboid.plans.scene import view
 from cuboid.queries import ORACLE_SQL, QUERIES
 
@@ -122,6 +122,28 @@ def test_average_precision_cases(spark):
     assert {r.label: round(r.ap, 6) for r in detection.average_precision(counted, totals, ["label"], "r40").collect()} == {0: 1.0, 1: 0.5, 2: -1.0}
 
 
+def test_running_sums_in_ranges_equal_one_window(spark):
+    """A class with most rows, few different scores, null scores and an empty table; ranges of 20 rows and one of all."""
+    rows = spark.range(300).selectExpr("if(id % 5 = 0, id % 3, 7) AS label", "if(id % 50 = 1, null, (id * 7 % 4) / 4D) AS score", "id AS det_idx", "id % 3 = 0 AS hit")
+    whole = {(r.det_idx, r.tp, r.seen) for r in detection.running(rows, ["label"], "score", "det_idx", "hit").collect()}
+    cut = [(r.det_idx, r.tp, r.seen) for r in detection.running(rows, ["label"], "score", "det_idx", "hit", rows=20).collect()]
+    assert len(cut) == 300 and set(cut) == whole
+    order = sorted(rows.collect(), key=lambda r: (r.label, r.score is None, -(r.score or 0), r.det_idx))
+    seen, want = {}, set()
+    for r in order:
+        tp, n = seen.get(r.label, (0, 0))
+        seen[r.label] = tp + r.hit, n + 1
+        want.add((r.det_idx, *seen[r.label]))
+    assert whole == want
+    assert detection.running(rows.limit(0), ["label"], "score", "det_idx", "hit", rows=20).count() == 0
+
+
+def test_a_shared_rig_is_bounded(spark):
+    points = spark.createDataFrame([(0, 1.0, 2.0, 3.0)], "frame_id long, x double, y double, z double")
+    with pytest.raises(ValueError):
+        cameras.project(points, spark.range(cameras.RIG + 1).withColumnRenamed("id", "cam_idx"))
+
+
 def test_perfect_detections_have_full_scores(spark):
     gt = spark.createDataFrame([box(f, 10 * f + k, (5 * k, f, 0), label=k) for f in range(3) for k in range(2)], BOX)
     pred = gt.withColumnRenamed("box_idx", "det_idx").withColumn("score", F.lit(0.9) - F.col("det_idx") / 1000)
