@@ -16,7 +16,7 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,19 +46,25 @@ _OFF_WORDS = frozenset(
     "toolbar pagination pager copyright legal disclaimer skip hidden tags meta".split()
 )
 _TALK_WORDS = frozenset("comment comments commentlist reply replies discussion disqus respond reactions thread".split())
+#: Words that say where and how, not what: they may follow the word that a class name is about.
+_PLAIN_WORDS = frozenset(
+    "list item items box wrap wrapper container section block bar area panel region inner outer row col column group holder slot unit link "
+    "links button buttons icon icons form field count info top bottom left right center middle first last posts articles stories".split()
+)
 _ON_WORDS = frozenset("article content post entry story main body text maincontent articlebody".split())
 
 
 @dataclass(frozen=True)
 class Cut:
     """sure: cost of going against a page's own markup. near: capacity between neighbours under one parent; it
-    halves with every step of distance in the DOM. weights: of the classifier, fitted on sample pages at most. most:
-    largest log-odds. blocks: pages of more are cut by elimination."""
+    halves with every step of distance in the DOM. weights: of the classifier, fitted on sample pages at most, and on page_blocks blocks of
+    each at most, evenly spread over the page. most: largest log-odds. blocks: pages of more are cut by elimination."""
 
     sure: float = 12.0
     near: float = 1.5
     weights: tuple[float, ...] = ()
     sample: int = 2000
+    page_blocks: int = 1024
     most: float = 6.0
     blocks: int = 256
 
@@ -75,23 +81,44 @@ class _Node:
     linked: bool = False  # inside a link that opens below that block
 
 
-def _open(tag: str, attributes: str, parent: _Node | None) -> _Node:
+@lru_cache(maxsize=4096)
+def _name_words(name: str) -> frozenset[str]:
+    """The known words of one class, id or role, if it is about a known word: "site-header" and "ad-slot-3" are, "thread-safety"
+    is not."""
+    parts = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+    known = frozenset(w for w in parts if w in _OFF_WORDS or w in _TALK_WORDS or w in _ON_WORDS)
+    for w in reversed(parts if known else ()):
+        if w in known:
+            return known
+        if w not in _PLAIN_WORDS and not w.isdigit():
+            break
+    return frozenset()
+
+
+def _open(tag: str, attributes: str, parent: _Node | None, first: bool = False) -> _Node:
+    """The node of an opened element; first: nothing of the body's text came before it."""
     verdict = parent.verdict if parent else 0
     talk, hidden = (parent.talk, parent.hidden) if parent else (False, False)
     words: set[str] = set()
+    talks = posts = False
     if "=" in attributes or "hidden" in attributes:
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id", "role"):
-                words.update(re.split(r"[^a-z0-9]+", value))
+                for said in map(_name_words, value.split()):
+                    words |= said
+                    talks = talks or bool(said & _TALK_WORDS)
+                    posts = posts or bool(said) and said <= _ON_WORDS
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
     if tag not in ("html", "body"):
         off, on = bool(words & _OFF_WORDS), bool(words & _ON_WORDS)
-        talk = talk or bool(words & _TALK_WORDS)
+        talk = talk or talks and not (posts and tag in ("article", "main"))  # a discussion that is itself the post
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not off:
             if parent and parent.tag in ("header", "hgroup") and parent.parent and parent.parent.verdict > 0:
                 verdict = 1  # an article's own heading
+        elif tag == "form" and first and parent and parent.tag in ("", "html", "body"):
+            pass  # may hold the whole page
         elif tag in _OFF_TAGS or off and not on:
             verdict = -1
         elif tag in ("article", "main") or on and not off:
@@ -104,7 +131,7 @@ def _open(tag: str, attributes: str, parent: _Node | None) -> _Node:
 def _tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
     """(text before, tag or "", closing, attributes) of a page's tags and, at last, of its end. Comments, declarations and
     the content of raw elements are skipped; what opens no tag is text."""
-    at, done, ends = 0, 0, page.rfind(">")
+    at, done, ends, sections = 0, 0, page.rfind(">"), page.rfind("]]>")
     while True:
         k = page.find("<", at)
         if k < 0 or k > ends:
@@ -114,8 +141,8 @@ def _tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
         if page.startswith("!--", at):
             end = page.find("-->", at + 3)
             stop = len(page) if end < 0 else end + 3
-        elif page.startswith("![CDATA[", at) and (end := page.find("]]>", at)) >= 0:
-            stop = end + 3
+        elif page.startswith("![CDATA[", at) and at <= sections:
+            stop = page.index("]]>", at) + 3
         elif page[at : at + 1] in ("!", "?"):
             stop = page.index(">", at) + 1
         elif m := _TAG.match(page, at):
@@ -189,7 +216,7 @@ def blocks(page: str) -> list[tuple[str, _Node, float]]:
                     n = n.parent
                 if n.parent and n.tag in ends:
                     node = leave(n)
-        node = _open(tag, attributes, node)
+        node = _open(tag, attributes, node, len(out) < 2 and all(n.tag == "title" for _, n, _ in out))
         held[tag] += 1
     flush()
     return out
@@ -370,6 +397,7 @@ def fitted(pages: DataFrame, html: str = "html", cut: Cut = Cut()) -> Cut:
                     continue
                 seen.add(h)
                 rows = [(features(t, n, x), int(role(n) > 0)) for t, n, x in blocks(page.as_py()) if role(n) and not n.hidden]
+                rows = rows[:: max(1, -(-len(rows) // cut.page_blocks))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([h]), pa.array([[x for x, _ in rows]], pa.list_(pa.list_(pa.float64()))), pa.array([[y for _, y in rows]], pa.list_(pa.int32()))],
                     names=["h", "x", "y"])

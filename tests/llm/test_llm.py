@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -469,6 +470,27 @@ def test_odd_and_very_long_pages():
     assert time.time() - began < 60
 
 
+@pytest.mark.parametrize("page, roles", [
+    ('<article class="post discussion"><p>One two three.</p></article>', [1]),
+    ('<article class="comment"><p>One two three.</p></article>', [-1]),
+    ('<div class="content thread-safety"><p>One two three.</p></div>', [1]),
+    ('<div class="comment-list wide"><p>One two three.</p></div>', [-1]),
+    ('<div class="site-header"><p>One two three.</p></div><div class="ad-slot-3">One</div><p class="admiral">One</p>', [-1, -1, 0]),
+    ('<title>T</title><body><form id=aspnet><p>One two three.</p><form>Name</form></form>', [-1, 0, -1]),
+    ('<body><p>One two.</p><form><p>Name</p></form>', [0, -1]),
+])
+def test_names_count_by_what_they_are_about(page, roles):
+    assert [maintext.role(n) for _, n, _ in maintext.blocks(page)] == roles
+
+
+def test_scanning_is_linear():
+    """Openers without an end: a page of 400000 takes seconds at most."""
+    for opener in ("<![CDATA[>", "<!-->", "<![CDATA[", "<a b=\"", "<script>"):
+        start = time.time()
+        maintext.blocks("<p>a</p>" + opener * 400_000)
+        assert time.time() - start < 20, opener
+
+
 def test_pages_without_names_and_roles(spark):
     """The fitted classifier and the cut find most of the text of pages stripped of classes, roles and speaking elements."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
