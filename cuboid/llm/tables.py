@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Folders of the tables that saved() has written and nobody has dropped.
 LIVE: set[str] = set()
+_OWNED: ContextVar[set[str] | None] = ContextVar("_OWNED", default=None)
 #: Settings of the writes: shuffle files go at a write's end, and a batch that a task exchanges with its Python process has
 #: few rows and bytes, as a row may hold a long text or two large sets.
 _WRITES = {
@@ -54,12 +57,26 @@ def saved(df: DataFrame, *done: DataFrame, by: str | None = None) -> DataFrame:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     LIVE.add(path)
+    if (owned := _OWNED.get()) is not None:
+        owned.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     drop(*done)
     return out
 
 
+@contextmanager
+def owning() -> Iterator[set[str]]:
+    """The folders of the tables that this thread saves within the block, for drop_paths(). Tables of other threads, or of
+    blocks within this one, are not among them."""
+    paths: set[str] = set()
+    token = _OWNED.set(paths)
+    try:
+        yield paths
+    finally:
+        _OWNED.reset(token)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes saved tables; nothing that is yet to be computed may read them."""
     for t in tables:
@@ -69,6 +86,8 @@ def drop(*tables: DataFrame) -> None:
 def drop_paths(spark: SparkSession, paths: Iterable[str]) -> None:
     for path in list(paths):
         LIVE.discard(path)
+        if (owned := _OWNED.get()) is not None:
+            owned.discard(path)
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 

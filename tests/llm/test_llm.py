@@ -470,6 +470,24 @@ def test_odd_and_very_long_pages():
     assert time.time() - began < 60
 
 
+def test_owners_hold_their_own_tables_only(spark):
+    from threading import Thread
+
+    from cuboid.llm.tables import drop_paths, owning, saved
+
+    others = []
+    with owning() as mine:
+        kept = saved(spark.range(3))
+        with owning() as inner:
+            gone = saved(spark.range(4))
+        one = Thread(target=lambda: others.append(saved(spark.range(5))))
+        one.start()
+        one.join()
+        assert mine == {kept.saved_at} and inner == {gone.saved_at}
+        drop_paths(spark, inner)
+    assert kept.count() == 3 and others[0].count() == 5
+
+
 @pytest.mark.parametrize("page, roles", [
     ('<article class="post discussion"><p>One two three.</p></article>', [1]),
     ('<article class="comment"><p>One two three.</p></article>', [-1]),
