@@ -11,7 +11,7 @@ from cuboid.llm.pieces import encode_pieces
 from cuboid.llm.quality import quality_rules
 from cuboid.llm.queries import PIECES_MODEL
 from cuboid.llm.setjoin import Join, one_of_each
-from cuboid.llm.tables import LIVE, drop_paths, saved
+from cuboid.llm.tables import drop, drop_paths, owning, saved
 
 
 #: The columns that stages read. Others travel under neutral names, so that none clashes with an operator's results.
@@ -72,15 +72,19 @@ STAGES = [
     ("SentencePiece encoding", encoded),
 ]
 
-#: The model's verdicts, MinHash and merges are no SQL; tests compare the stages with brute force.
+#: The model's verdicts, MinHash and merges are no SQL. Tests compare the operators with brute force and count the stages' rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; every stage's result is written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir. Every stage's result is written to the shared folder, and dropped when the
+    next one's is there; two runs at a time do not touch each other's tables."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        before = set(LIVE)
-        docs = saved(stage(spark, docs, sf_dir))
-        drop_paths(spark, LIVE - before - {docs.saved_at})
+        with owning() as tables:
+            docs = saved(stage(spark, docs, sf_dir))
+        drop_paths(spark, tables - {docs.saved_at})
+        if last is not None:
+            drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
