@@ -5,6 +5,10 @@ n-grams of all documents that pass the base rule and hold few symbols, and deriv
 probabilities and back-off weights by aggregations and joins. The model grows with the corpus. It is kept as sorted
 arrays of 64-bit hashes in files of the shared folder, which tasks load; nothing of it passes through the driver.
 
+No text is judged by what it taught: a language has two models, each counted over the half of its texts that a hash of
+the whole text gives, and each text is scored by the other half's. Equal texts are in one half, so that a group of copies
+does not vouch for itself either. The bands come from these held-out scores too.
+
 A model of more than max_entries is cut into shards by the two characters before the one that is scored: all n-grams
 and contexts that a character's probability needs have these in common, but for the few of the lowest orders, which every
 shard gets. Each shard is scored in a pass over the texts, and the passes' sums are added.
@@ -38,7 +42,8 @@ class Rules:
     """Parameters. min_words and repeat_percent: the base rule. seed_symbols: a document trains the model if it
     passes the base rule and has at most one symbol per seed_symbols words. width: how many deviations wide a band
     is to either side. floor: the spread of the mean log-probability that even very long documents have. max_entries:
-    n-grams and contexts that a task holds at once, of 12 bytes each. order is 5 at most."""
+    n-grams and contexts that a task holds at once, of 12 bytes each. held_rows: counts that a task adds up before it
+    hands them on, of 16 bytes each. order is 5 at most."""
 
     order: int = 5
     min_words: int = 20
@@ -48,6 +53,7 @@ class Rules:
     width: float = 8.0
     floor: float = 0.02
     max_entries: int = 1 << 26
+    held_rows: int = 1 << 20
 
 
 def _grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,23 +107,58 @@ def base_counts(column: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
     }
 
 
-def _language(batch: pa.RecordBatch, lang: str) -> np.ndarray:
-    return np.array([x or "" for x in batch.column(lang).to_pylist()], dtype=object)
+def halves(texts: list[str | None]) -> np.ndarray:
+    """The half (0 or 1) that each text belongs to, by all its bytes."""
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), 5) & 1 for t in texts], dtype=np.int64)
+
+
+def _models(langs: pa.Array, half: np.ndarray) -> np.ndarray:
+    """The name of the model of each language and half."""
+    return np.array([f"{h}{x or ''}" for x, h in zip(langs.to_pylist(), half.tolist(), strict=True)], dtype=object)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and the sums of their counts."""
+    values, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(values, kind="stable")
+    values, counts = values[order], counts[order]
+    new = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))[: len(values)])
+    return values[new], np.add.reduceat(counts, new) if len(new) else counts
 
 
 def count_ngrams(docs: DataFrame, rules: Rules, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, n): counts of the highest order's n-grams over every document that trains the model."""
+    """(lang, gram, n): counts of the highest order's n-grams over every document that trains a model; lang names it.
+
+    A task adds up the counts of its batches as far as they are at most rules.held_rows, then hands them on."""
+
+    def rows(held):
+        for one, parts in sorted(held.items()):
+            values, counts = _summed(parts)
+            for k in range(0, len(values), 1 << 17):
+                v, n = values[k : k + (1 << 17)], counts[k : k + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(one, len(v)), pa.array(v), pa.array(n)], names=["lang", "gram", "n"])
 
     def run(batches):
+        held, size = {}, 0
         for batch in slices(batches, text):
             base = base_counts(batch.column(text), rules)
             seed = ~base["base_failed"] & (rules.seed_symbols * base["n_symbols"] <= base["n_words"])
-            langs, texts = _language(batch, lang), batch.column(text).to_pylist()
-            for one in sorted(set(langs[seed])):
-                gram, _ = _grams([texts[k] for k in np.flatnonzero(seed & (langs == one))], rules.order)
+            texts = batch.column(text).to_pylist()
+            models = _models(batch.column(lang), halves(texts))
+            for one in sorted(set(models[seed])):
+                gram, _ = _grams([texts[k] for k in np.flatnonzero(seed & (models == one))], rules.order)
                 values, counts = np.unique(gram, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(one, len(values)), pa.array(values), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
+                held.setdefault(one, []).append((values, counts.astype(np.int64)))
+                size += len(values)
+            if size > rules.held_rows:
+                held = {one: [_summed(parts)] for one, parts in held.items()}
+                size = sum(len(v) for parts in held.values() for v, _ in parts)
+            if 2 * size > rules.held_rows:
+                yield from rows(held)
+                held, size = {}, 0
+        yield from rows(held)
 
     frame = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     text, lang = "text", "lang"
@@ -251,8 +292,8 @@ def log_probability(table: tuple[np.ndarray, np.ndarray], lang: np.uint64, gram:
 
 
 def score(docs: DataFrame, model: tuple[str, int], rules: Rules, text: str, lang: str, keep: list[str], nll: str, units: str) -> DataFrame:
-    """docs with base counts, and columns nll (mean negative log-probability per character; null without characters or
-    where the language has no model) and units (how many). model comes from write_model."""
+    """docs with base counts, and columns nll (mean negative log-probability per character by the model of the other half;
+    null without characters or where there is no such model) and units (how many). model comes from write_model."""
     place, shards = model
     out, counts = docs, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
     total = fresh([*docs.columns, *BASE, nll, units], "_sum")
@@ -263,15 +304,16 @@ def score(docs: DataFrame, model: tuple[str, int], rules: Rules, text: str, lang
         def work(batch: pa.RecordBatch, shard=shard, last=last, head=head) -> dict[str, pa.Array]:
             table = _load(place, shard)
             made = base_counts(batch.column(text), rules) if head else {}
-            langs, texts = _language(batch, lang), batch.column(text).to_pylist()
+            texts = batch.column(text).to_pylist()
+            models = _models(batch.column(lang), 1 - halves(texts))
             sums = np.zeros(batch.num_rows) if head else batch.column(total).to_numpy().copy()
             size = np.array([len(t or "") for t in texts], dtype=np.int64)
             known = np.zeros(batch.num_rows, bool)
-            for one in set(langs):
+            for one in set(models):
                 code = _lang_hash(one)
                 if not _find(table, _hash(code, 0, np.zeros(1, np.int64)))[0][0]:  # every model has the empty context
                     continue
-                at = np.flatnonzero((langs == one) & (size > 0))
+                at = np.flatnonzero((models == one) & (size > 0))
                 known[at] = True
                 for part in np.array_split(at, max(1, int(size[at].sum()) >> 19)) if len(at) else ():
                     gram, n = _grams([texts[k] for k in part], rules.order)
@@ -329,8 +371,8 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text", l
     """docs with base counts, perplexity, the band (lower, upper) of its language and length, and kept.
 
     A null or empty text has no words and fails the base rule. A null language is a language of its own (that of the
-    empty name). A language of which no document trains the model has no perplexity and no band; there the base rule
-    alone decides. Rows are judged one by one, texts of any length whole, so equal rows get equal verdicts. keep names
+    empty name). Where no document of the other half of a language trains its model a text has no perplexity; there the
+    base rule alone decides, as it does for languages without a band. Rows are judged one by one, texts of any length whole, so equal rows get equal verdicts. keep names
     the input columns to return (all by default); new columns replace input columns of the same name, others cannot
     clash. An empty table gives an empty result."""
     made = [*BASE, "perplexity", "lower", "upper", "kept"]
@@ -341,12 +383,6 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text", l
     grams = saved(kneser_ney(counts, rules.order), counts)
     model = write_model(grams, rules)
     drop(grams)
-    if text not in names:
-        scored = saved(score(docs, model, rules, text, lang, list(dict.fromkeys([*names, lang])), nll, units))
-        return judge(scored, bands(scored, rules, lang, nll, units), rules, lang, nll, units).select(*names, *made)
-    # texts are scored once more rather than kept in a table of their own
-    first = saved(score(docs, model, rules, text, lang, [lang], nll, units))
-    limits = bands(first, rules, lang, nll, units)
-    drop(first)
-    again = score(docs, model, rules, text, lang, list(dict.fromkeys([*names, lang])), nll, units)
-    return judge(again, limits, rules, lang, nll, units).select(*names, *made)
+    # texts that are returned travel with their scores, as scoring costs more than writing
+    scored = saved(score(docs, model, rules, text, lang, list(dict.fromkeys([*names, lang])), nll, units))
+    return judge(scored, bands(scored, rules, lang, nll, units), rules, lang, nll, units).select(*names, *made)

@@ -134,10 +134,13 @@ def test_model_equals_plain_kneser_ney(spark):
     rules = quality.Rules(order=3)
     frame = docs_of(spark, rows)
     got = {r.doc_id: r for r in quality.quality_rules(frame, rules).collect()}
-    model = plain_model([r[1] for r in rows[:12]], 3)
-    probe = rows[3][1]
-    want = np.exp(-np.mean([np.log(model(int(g))) for g in quality._grams([probe], 3)[0]]))
-    assert got[3].perplexity == pytest.approx(want, rel=1e-6)
+    half = dict(enumerate(quality.halves([r[1] for r in rows[:12]]).tolist()))
+    assert set(half.values()) == {0, 1}
+    for probe in range(12):  # each by the model of the other half
+        model = plain_model([r[1] for r in rows[:12] if half[r[0]] != half[probe]], 3)
+        want = np.exp(-np.mean([np.log(model(int(g))) for g in quality._grams([rows[probe][1]], 3)[0]]))
+        assert got[probe].perplexity == pytest.approx(want, rel=1e-6)
+    assert got[52].perplexity is None and got[52].kept  # nothing else of its language trains a model
     assert got[51].n_words == 0 and got[51].base_failed and not got[51].kept and got[51].perplexity is None
     assert got[50].base_failed and got[50].perplexity is not None
     assert isinstance(got[3].kept, bool) and len(got) == len(rows)
@@ -152,6 +155,24 @@ def test_model_equals_plain_kneser_ney(spark):
     assert quality.quality_rules(docs_of(spark, [])).count() == 0
 
 
+def test_counts_are_added_up_in_parts(spark):
+    rng = random.Random(4)
+    frame = docs_of(spark, [(i, sentence(rng, 40), "en" if i % 3 else "de", "s") for i in range(60)]).coalesce(1)
+    whole, parts = ({(r.lang, r.gram): r.n for r in quality.count_ngrams(frame, quality.Rules(held_rows=n)).collect()} for n in (1 << 20, 50))
+    assert whole == parts and {x[0] for x in whole} == {"0en", "1en", "0de", "1de"}
+
+
+def test_letters_in_disorder_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    clean = quality.quality_rules(docs).filter("kept and doc_id % 5 = 0").orderBy("doc_id").limit(80).collect()
+    rng = random.Random(1)
+    mixed = [(10**7 + r.doc_id, r.lang, " ".join("".join(rng.sample(w, len(w))) for w in r.text.split())) for r in clean]
+    more = docs.unionByName(spark.createDataFrame(mixed, "doc_id long, lang string, text string"))
+    got = {r.doc_id: r.kept for r in quality.quality_rules(more, keep=["doc_id", "lang"]).collect()}  # the copies train along
+    assert np.mean([got[r.doc_id] for r in clean]) >= 0.97
+    assert np.mean([got[i] for i, *_ in mixed]) <= 0.1
+
+
 def test_clean_documents_stay(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     got = QUERIES["op2_quality_rules"](spark, "/root/testdata/sf0.01").filter("not base_failed").collect()
