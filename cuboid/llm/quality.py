@@ -98,8 +98,10 @@ def base_counts(column: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
     data, offsets = words.data.tobytes(), words.offsets.tolist()
     dup = np.zeros(n, dtype=np.int64)
     for k in range(n):
-        lines = [x for x in data[offsets[k] : offsets[k + 1]].split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
-        dup[k] = len(lines) - len(set(lines))
+        lines = data[offsets[k] : offsets[k + 1]].split(b"\n")
+        if len(lines) > len(set(lines)):
+            lines = [x for x in lines if x.strip(b" \t\n\x0b\x0c\r")]
+            dup[k] = len(lines) - len(set(lines))
     failed = (words.counts < rules.min_words) | (100 * repeated > rules.repeat_percent * words.counts)
     return {
         "n_words": words.counts, "word_chars": words.code_points(), "n_symbols": words.per_text(_SYMBOLS[words.data]),
@@ -272,7 +274,8 @@ def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.nd
     have, values = table
     if not len(have):
         return np.zeros(len(keys), bool), np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+    order, at = np.argsort(keys), np.empty(len(keys), np.int64)
+    at[order] = np.minimum(np.searchsorted(have, keys[order]), len(have) - 1)  # ascending keys find their place sooner
     hit = have[at] == keys
     return hit, np.where(hit, values[at], np.float32(0)).astype(np.float64)
 
