@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
 LIVE: set[str] = set()
 _OWNED: ContextVar[set[str] | None] = ContextVar("_OWNED", default=None)
 #: Settings of the writes: shuffle files go at a write's end, and a batch that a task exchanges with its Python process has
-#: few rows and bytes, as a row may hold a long text or two large sets. Texts take least room with this codec.
+#: few rows and bytes, as a row may hold a long text or two large sets. Texts take less room with this codec than with the default one.
 _WRITES = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
