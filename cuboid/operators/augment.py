@@ -31,23 +31,32 @@ def refuse(name: str) -> None:
 def shuffle_points(points: DataFrame, key: list[str], seed: int = 0, which: Column | None = None) -> DataFrame:
     """points with pt_idx, a random order within the frame (ties by key), without sorting a frame in one task. which: the
     frames to shuffle; others keep the order of their pt_idx."""
+    return _mixed(points, key, seed, which).drop("_n")
+
+
+def _mixed(points: DataFrame, key: list[str], seed: int, which: Column | None = None) -> DataFrame:
+    """shuffle_points with _n, the size of the frame. Points are worked out once and saved: they are counted twice before they
+    are numbered."""
     u = F.expr(uniform(seed, "shuffle", "frame_id", *key))
-    rows, bucket = hash_bucket(points.withColumn("_u", u), ["frame_id"], F.col("_u"))
+    rows, bucket = hash_bucket(saved(points.withColumn("_u", u)), ["frame_id"], F.col("_u"))
     if which is None:
-        return numbered(rows, ["frame_id"], bucket, ["_u", *key], "pt_idx").drop("_u", "_n")
+        return numbered(rows, ["frame_id"], bucket, ["_u", *key], "pt_idx").drop("_u")
     rows = rows.withColumn("_go", which)
     mixed = F.when(F.col("_go"), bucket).otherwise(F.floor(F.col("pt_idx") / BUCKET))
-    return numbered(rows, ["frame_id"], mixed, [F.when(F.col("_go"), F.col("_u")), *key], "pt_idx").drop("_u", "_n", "_go")
+    return numbered(rows, ["frame_id"], mixed, [F.when(F.col("_go"), F.col("_u")), *key], "pt_idx").drop("_u", "_go")
 
 
 def sample_points(points: DataFrame, n: int, key: list[str], seed: int = 0) -> DataFrame:
-    """n points of every frame, numbered by slot: without replacement where it has as many, with replacement otherwise."""
-    ranked = shuffle_points(points, key, seed)
-    counts = points.groupBy("frame_id").agg(F.count("*").alias("_n"))
-    slots = counts.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pick = F.when(F.col("_n") >= n, F.col("slot")).otherwise(F.floor(F.expr(uniform(seed, "draw", "frame_id", "slot")) * F.col("_n")))
-    slots = slots.withColumn("pt_idx", pick.cast("long")).drop("_n")
-    return ranked.filter(F.col("pt_idx") < n).join(slots, ["frame_id", "pt_idx"])
+    """n points of every frame, numbered by slot: without replacement where it has as many, with replacement otherwise.
+
+    A small frame's slots are dealt to its points in turn, so that many tasks make them, and meet the points that they draw in
+    a shuffle at every size; a row of frames makes n slots, too many to broadcast."""
+    first = saved(_mixed(points, key, seed).filter(F.col("pt_idx") < n))
+    whole = first.filter(F.col("_n") >= n).withColumn("slot", F.col("pt_idx").cast("int"))
+    few = first.filter(F.col("_n") < n)
+    slots = few.select("frame_id", "_n", F.explode(F.sequence(F.col("pt_idx"), F.lit(n - 1).cast("long"), F.col("_n"))).alias("slot"))
+    slots = slots.withColumn("slot", F.col("slot").cast("int")).withColumn("pt_idx", F.floor(F.expr(uniform(seed, "draw", "frame_id", "slot")) * F.col("_n"))).drop("_n")
+    return whole.unionByName(few.hint("merge").join(slots, ["frame_id", "pt_idx"])).drop("_n")
 
 
 def jitter_points(points: DataFrame, sigma: float, key: list[str], seed: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuboid.functions import geom, rigid
-from cuboid.operators import cameras
+from cuboid.operators import augment, cameras
 from cuboid.operators import transforms as T
 from cuboid.operators.boxes import with_exprs
 from cuboid.plans.scene import view
@@ -120,3 +120,17 @@ def test_shuffles_and_samples_agree_in_any_partitioning(spark):
         assert a == b
     n = {r.frame_id: r.n for r in T.PointSample(200)(T.Scene(points)).points.groupBy("frame_id").agg(F.count("*").alias("n")).collect()}
     assert set(n.values()) == {200}
+
+
+def test_samples_of_many_small_frames_are_not_broadcast(spark):
+    """Frames with fewer points than slots: every slot holds one of the frame's points, drawn by its hash, and neither the slots
+    nor the points go through the driver."""
+    df = spark.range(40 * 3 + 9).selectExpr("if(id < 120, id % 40, 99L) AS frame_id", "if(id < 120, id DIV 40, id-120) AS pt_idx", "id/1.0D AS x", "0.0D AS y", "0.0D AS z")
+    out = augment.sample_points(df, 7, ["pt_idx"], 4)
+    got = {(r.frame_id, r.slot): r.x for r in out.collect()}
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == len(got) == 41 * 7 and {s for _, s in got} == set(range(7))
+    assert len({got[99, s] for s in range(7)}) == 7 and all(got[99, s] >= 120 for s in range(7))
+    order = {(r.frame_id, r.pt_idx): r.x for r in augment.shuffle_points(df, ["pt_idx"], 4).collect()}
+    draw = {(r.frame_id, r.slot): r.k for r in spark.range(40 * 7).selectExpr("id % 40 AS frame_id", "id DIV 40 AS slot").withColumn("k", F.floor(F.expr(geom.uniform(4, "draw", "frame_id", "slot")) * 3)).collect()}
+    assert all(got[k] == order[k[0], d] for k, d in draw.items()) and len(set(draw.values())) == 3
