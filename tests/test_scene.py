@@ -1,5 +1,7 @@
 """The scene engine against hand-computed values, loops in plain Python and DuckDB."""
 
+import shutil
+
 import duckdb
 import numpy as np
 import pytest
@@ -347,3 +349,20 @@ def test_scoring_presets_and_refusals():
     for bad in ({"below": 3.0}, {"metrics": ("trans", "colour")}, {"classes": ()}, {"skips": ((1, "x"),)}):
         with pytest.raises(ValueError):
             detection.Scoring(**bad)
+
+
+def test_points_on_the_border_of_an_image(spark, tmp_path):
+    """Points that lie on the right or lower border of an image are outside in fov_filter as in its SQL, however rounded."""
+    for t in ("nation", "embeddings"):
+        shutil.copy(f"{SF}/{t}.parquet", tmp_path)
+    at = [(-7.5, 4.8, 0.68), (-16.25, 10.4, 0.68), (-7.5, 4.79, 0.68), (2.0, 0.0, -0.96), (2.0, 0.0, -0.92)]
+    cols = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    rows = [(0, 0, round(100 * y + 4000) * pow(101, -1, 8000), k, float(round(25 * z + 25)), x + 40, 0.0, 0.0) for k, (x, y, z) in enumerate(at)]
+    spark.createDataFrame(rows, cols).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    for t, files in (("nation", ""), ("embeddings", ""), ("lineitem", "/*.parquet")):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet{files}'")
+    got = {(r.frame_id, r.cam_idx): r.n for r in QUERIES["fov_filter"](spark, str(tmp_path)).collect()}
+    assert got == {(f, c): n for f, c, n in con.sql(ORACLE_SQL["fov_filter"]).fetchall()} and got[0, 3] == 1 and got[0, 0] == 1
+    seen = cameras.project(view(spark, str(tmp_path), "points"), cameras.extrinsics(view(spark, str(tmp_path), "cams")))
+    assert cameras.in_view(seen).filter("cam_idx = 3").count() > 1  # to the last bit, one of the first two lies inside
