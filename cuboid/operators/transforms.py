@@ -341,4 +341,5 @@ def _(t, fmt):
 
 @kernel(PointJitter, "points")
 def _(t, fmt):
-    return {c: f"{c}+_p_sigma*sqrt(-2*ln(1-{t.draw(c + '1', 'pt_idx')}))*cos(2*pi()*{t.draw(c + '2', 'pt_idx')})" for c in "xyz"}
+    noise = lambda c: f"_p_sigma*sqrt(-2*ln(1-{t.draw(c + '1', 'pt_idx')}))*cos(2*pi()*{t.draw(c + '2', 'pt_idx')})"
+    return {c: f"{c}+CASE WHEN _p_sigma > 0 THEN {noise(c)} ELSE 0.0D END" for c in "xyz"}

@@ -134,3 +134,13 @@ def test_samples_of_many_small_frames_are_not_broadcast(spark):
     order = {(r.frame_id, r.pt_idx): r.x for r in augment.shuffle_points(df, ["pt_idx"], 4).collect()}
     draw = {(r.frame_id, r.slot): r.k for r in spark.range(40 * 7).selectExpr("id % 40 AS frame_id", "id DIV 40 AS slot").withColumn("k", F.floor(F.expr(geom.uniform(4, "draw", "frame_id", "slot")) * 3)).collect()}
     assert all(got[k] == order[k[0], d] for k, d in draw.items()) and len(set(draw.values())) == 3
+
+
+def test_shuffled_points_are_worked_out_once(small):
+    """Counting a frame's points and its buckets before they are numbered does not repeat the transforms before."""
+    steps = [T.PointJitter(0.05, 0.5, 14), *MOVES, T.RangeFilter((-30.0, -30.0, -12.0), (30.0, 35.0, 9.0))]
+    plain = T.Compose(steps)(small).points
+    out = T.Compose([*steps, T.PointShuffle(0.5, 15)])(small).points
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("PointJitter.x1") <= 1
+    assert rows(out, "frame_id", "x", "y", "z") == rows(plain, "frame_id", "x", "y", "z")
+    assert rows(out, "frame_id", "pt_idx") == [(f, k) for f, n in sorted(plain.groupBy("frame_id").count().collect()) for k in range(n)]
