@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 BUCKET = 4096  # rows of a bucket, about
 
 
-def numbered(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str | Column], name: str) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str | Column], name: str, sizes: DataFrame | None = None) -> DataFrame:
     """df with name, each row's position from 0 among the rows of the same keys, by bucket and then by order.
 
     Rows are sorted within a bucket only; the rows of earlier buckets are counted, so that a group with a third of all rows
-    is spread over many tasks. bucket: any orderable column; it should have few thousand rows a value."""
+    is spread over many tasks. bucket: any orderable column; it should have few thousand rows a value. sizes: keys, _bucket
+    and _size, the rows of every bucket, where they are known."""
     rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
+    sizes = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size")) if sizes is None else sizes
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1

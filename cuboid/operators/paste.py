@@ -27,7 +27,8 @@ def object_bank(boxes: DataFrame, points: DataFrame | None, min_points: int = 5,
     are kept; of each class only the newest size ones by the columns of newest (the cap is the feature). Without points
     every labelled box is kept.
 
-    boxes: frame_id, box_idx (unique over all frames), label, box columns; points: frame_id, pt_idx, x, y, z, ..."""
+    boxes: frame_id, box_idx (unique over all frames), label, box columns; points: frame_id, pt_idx (unique in its frame), x,
+    y, z, ... Points are read once, and what lies in boxes is kept with all its columns."""
     if min_points < 1:
         raise ValueError("an object has one point at least")
     if size is not None and size < 1:
@@ -37,8 +38,9 @@ def object_bank(boxes: DataFrame, points: DataFrame | None, min_points: int = 5,
     if points is None:
         entries = entries.withColumn("n_points", F.lit(0).cast("long"))
     else:
-        inside = pairs.points_in_boxes(points.select("frame_id", "pt_idx", "x", "y", "z"), boxes)
-        owner = saved(inside.groupBy("frame_id", "pt_idx").agg(F.min("box_idx").alias("box_idx")))
+        whole = F.struct(*[c for c in points.columns if c not in ("frame_id", "pt_idx")]).alias("_point")
+        inside = pairs.points_in_boxes(points.select("frame_id", "pt_idx", "x", "y", "z", whole), boxes)
+        owner = saved(inside.groupBy("frame_id", "pt_idx").agg(F.min("box_idx").alias("box_idx"), F.first("_point").alias("_point")))
         full = owner.groupBy("box_idx").agg(F.count("*").alias("n_points")).filter(F.col("n_points") >= min_points)
         entries = entries.join(full, "box_idx")
     if size is not None:
@@ -47,8 +49,8 @@ def object_bank(boxes: DataFrame, points: DataFrame | None, min_points: int = 5,
     entries = saved(entries.select("box_idx", "frame_id", "label", *geom.BOX, "n_points"))
     if owner is None:
         return Bank(entries, None)
-    held = owner.join(entries.select("box_idx"), "box_idx", "left_semi").withColumnRenamed("box_idx", "obj")
-    return Bank(entries, points.join(held, ["frame_id", "pt_idx"]).drop("frame_id"))
+    held = owner.join(entries.select("box_idx"), "box_idx", "left_semi")
+    return Bank(entries, held.select("pt_idx", F.col("box_idx").alias("obj"), "_point.*"))
 
 
 def paste(
@@ -60,6 +62,9 @@ def paste(
     points come after the ones that stay, moved with their boxes; both tables are numbered anew, box_idx and pt_idx from 0
     in every frame. source is the pasted entry's box_idx, null for what was there before.
 
+    Points are read three times (save what is costly to work out). Those that go are kept as lists by bucket of pt_idx (of at
+    most BUCKET), so that leaving them out and numbering the rest takes one shuffle of the points.
+
     Frames without boxes lack nothing (they are not in boxes). A bank without points pastes boxes alone and removes the
     scene points inside them all the same; pasting into frames without points (points None) leaves the objects' points out.
     Objects of other frames and of the frame itself are candidates; the latter meet themselves and drop out."""
@@ -69,7 +74,6 @@ def paste(
     stock = bank.entries.select("box_idx", "label", *geom.BOX)
     new = saved(augment.placed(chosen, stock, targets, seed, reach, std, attempts).withColumnRenamed("box_idx", "source"))
     part = lambda df, k, c: df.withColumns({"_part": F.lit(k), "_c": F.col("rank.c") if k else F.lit(0), "_k": F.col("rank.k") if k else F.lit(0).cast("long"), "_at": F.col(c).cast("long")})
-    bucket = F.struct("_part", "_c", "_k", F.floor(F.col("_at") / BUCKET).alias("_b"))
 
     own = ["frame_id", "label", *geom.BOX]
     both = part(boxes.select(*own, "box_idx", F.lit(None).cast("long").alias("source")), 0, "box_idx")
@@ -79,10 +83,18 @@ def paste(
     if points is None:
         return out, None
 
-    gone = pairs.points_in_boxes(points.select("frame_id", "pt_idx", "x", "y", "z"), new.select("frame_id", "source", *geom.BOX)).select("frame_id", "pt_idx").distinct()
-    stay = part(points.join(gone, ["frame_id", "pt_idx"], "left_anti").withColumn("source", F.lit(None).cast("long")), 0, "pt_idx")
+    block = F.floor(F.col("pt_idx") / BUCKET)
+    inside = pairs.points_in_boxes(points.select("frame_id", "pt_idx", "x", "y", "z"), new.select("frame_id", "source", *geom.BOX))
+    gone = saved(inside.groupBy("frame_id", block.alias("_bucket")).agg(F.collect_set("pt_idx").alias("_gone")))
+    leave = lambda df: df.withColumn("_bucket", block).join(gone, ["frame_id", "_bucket"], "left").filter(~F.coalesce(F.array_contains("_gone", F.col("pt_idx")), F.lit(False))).drop("_gone")
+    sizes = saved(leave(points.select("frame_id", "pt_idx")).groupBy("frame_id", "_bucket").agg(F.count("*").alias("_size")))
+    stay = leave(points).withColumn("source", F.lit(None).cast("long")).withColumnRenamed("pt_idx", "_at")
+    stay = numbered(stay, ["frame_id"], F.col("_bucket"), ["_at"], "pt_idx", sizes).drop("_at")
     if bank.points is not None:
         moved = bank.points.join(new.select("frame_id", F.col("source").alias("obj"), "rank", "dx", "dy", "dz"), "obj")
         moved = moved.withColumns({c: F.col(c) + F.col(f"d{c}") for c in "xyz"}).withColumnRenamed("obj", "source")
-        stay = stay.unionByName(part(moved, 1, "pt_idx").drop("rank", "dx", "dy", "dz"), allowMissingColumns=True)
-    return out, numbered(stay.drop("pt_idx"), ["frame_id"], bucket, ["_at"], "pt_idx").drop("_part", "_c", "_k", "_at")
+        moved = numbered(moved.withColumnRenamed("pt_idx", "_at"), ["frame_id"], F.struct("rank", F.floor(F.col("_at") / BUCKET).alias("_b")), ["_at"], "pt_idx")
+        before = sizes.groupBy("frame_id").agg(F.sum("_size").alias("_before"))
+        moved = moved.join(before, "frame_id", "left").withColumn("pt_idx", F.col("pt_idx") + F.coalesce("_before", F.lit(0)))
+        stay = stay.unionByName(moved.drop("_at", "rank", "dx", "dy", "dz", "_before"), allowMissingColumns=True)
+    return out, stay

@@ -10,6 +10,7 @@ from cuboid.operators import augment, paste
 from cuboid.operators.order import numbered
 from cuboid.plans.registry import query, rounded, rounded_sql, uniform_sql
 from cuboid.plans.scene import view
+from cuboid.plans.tables import saved
 
 POINT_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "x", "f0", "f1"]
 TARGETS = {0: 4, 1: 3, 2: 6}
@@ -79,8 +80,8 @@ al AS (SELECT frame_id, NULL::BIGINT AS source, 0 AS c, 0 AS k, pt_idx AS pos, x
 SELECT frame_id, (row_number() OVER (PARTITION BY frame_id ORDER BY c, k, pos) - 1)::BIGINT AS pt_idx, source, {rounded_sql('x y z f0')} FROM al""")
 def copy_paste_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points of all frames after objects with their points were pasted into those that lack some."""
-    gt, points, bank = _bank(spark, sf_dir)
-    _, out = paste.paste(gt, points, bank, TARGETS, 5)
+    gt, points = view(spark, sf_dir, "gt"), saved(numbered_points(spark, sf_dir))
+    _, out = paste.paste(gt, points, paste.object_bank(gt, points, 2, 40), TARGETS, 5)
     return rounded(out.select("frame_id", "pt_idx", "source", "x", "y", "z", F.col("f0").cast("double").alias("f0")))
 
 
@@ -88,6 +89,6 @@ def copy_paste_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT frame_id, (row_number() OVER (PARTITION BY frame_id ORDER BY c, k, pos) - 1)::BIGINT AS box_idx, label, source, {rounded_sql('cx cy cz')} FROM al""")
 def copy_paste_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The boxes of all frames after the same pasting."""
-    gt, points, bank = _bank(spark, sf_dir)
-    out, _ = paste.paste(gt, points, bank, TARGETS, 5)
+    gt, _, bank = _bank(spark, sf_dir)
+    out, _ = paste.paste(gt, None, bank, TARGETS, 5)
     return rounded(out.select("frame_id", "box_idx", "label", "source", "cx", "cy", "cz"))

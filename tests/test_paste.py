@@ -134,6 +134,24 @@ def test_refusals_and_empty_tables(spark):
     assert new.count() == pts.count() == 0
 
 
+def test_points_are_not_worked_out_again_and_again(spark):
+    """The bank keeps its points with their columns, and pasting numbers the scene's in one pass; gaps in pt_idx close."""
+    boxes, points = scene(spark)
+    points = points.withColumns({"pt_idx": F.expr("pt_idx * 3001"), "f": F.expr("f + length(concat('marker', frame_id)) - 7")})
+    bank = object_bank(boxes, points, 1)
+    used = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("marker")
+    _, pts = paste(boxes, points, bank, {2: 2, 1: 9}, seed=3)
+    assert used(bank.points) == 0 and used(pts) <= 1
+    assert all(r.pt_idx == 3001 * r.f for r in bank.points.collect())
+    held = {r.box_idx: r.n_points for r in bank.entries.collect()}
+    for f in range(3):
+        mine = sorted((r for r in pts.collect() if r.frame_id == f), key=lambda r: r.pt_idx)
+        old = [r.f for r in mine if r.source is None]
+        assert [r.pt_idx for r in mine] == list(range(len(mine))) and old == sorted(old)
+        assert all(r.source is not None for r in mine[len(old) :])
+        assert len(mine) - len(old) == sum(held[s] for s in {r.source for r in mine[len(old) :]})
+
+
 def test_numbered(spark):
     r = np.random.default_rng(2)
     data = [(int(g), float(v), i) for i, (g, v) in enumerate(zip(r.integers(0, 3, 5000) ** 2, r.normal(size=5000).round(2)))]
