@@ -68,6 +68,7 @@ SELECT frame_id, (row_number() OVER (PARTITION BY frame_id ORDER BY CASE WHEN go
 def scene_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of the same frames with noise, cut to a range and shuffled by chance."""
     s = scene(spark, sf_dir)
+    s = s.replace(points=s.points.drop("f1"))
     steps = [T.PointJitter(0.05, 0.5, 14), *MOVES, T.RangeFilter((-30.0, -30.0, -12.0), (30.0, 35.0, 9.0)), T.PointShuffle(0.5, 15)]
     return rounded(T.Compose(steps)(s).points.select("frame_id", "pt_idx", "x", "y", "z", F.col("f0").cast("double").alias("f0")))
 
@@ -91,7 +92,7 @@ def scene_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PTS} SELECT frame_id, (row_number() OVER (PARTITION BY frame_id ORDER BY {_u(3, 'shuffle', 'frame_id', 'pt_idx')}, pt_idx) - 1)::BIGINT AS pt_idx, {_r('x y z')} FROM pts")
 def point_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frame's points in a random order."""
-    return rounded(augment.shuffle_points(numbered_points(spark, sf_dir), ["pt_idx"], 3).select("frame_id", "pt_idx", "x", "y", "z"))
+    return rounded(augment.shuffle_points(numbered_points(spark, sf_dir).drop("f0", "f1"), ["pt_idx"], 3).select("frame_id", "pt_idx", "x", "y", "z"))
 
 
 def _sample_sql(n: int) -> str:
@@ -103,13 +104,13 @@ SELECT s.frame_id, s.slot::INT AS slot, {_r('x y z')} FROM s JOIN k ON k.frame_i
 @query(_sample_sql(64))
 def point_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64 points of every frame."""
-    return rounded(augment.sample_points(numbered_points(spark, sf_dir), 64, ["pt_idx"]).select("frame_id", "slot", "x", "y", "z"))
+    return rounded(augment.sample_points(numbered_points(spark, sf_dir).drop("f0", "f1"), 64, ["pt_idx"]).select("frame_id", "slot", "x", "y", "z"))
 
 
 @query(_sample_sql(4000))
 def point_sample_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4000 points of every frame, drawn with replacement where it has fewer."""
-    return rounded(augment.sample_points(numbered_points(spark, sf_dir), 4000, ["pt_idx"]).select("frame_id", "slot", "x", "y", "z"))
+    return rounded(augment.sample_points(numbered_points(spark, sf_dir).drop("f0", "f1"), 4000, ["pt_idx"]).select("frame_id", "slot", "x", "y", "z"))
 
 
 @query(f"""WITH {_PTS}, d AS (SELECT frame_id, pt_idx, sqrt(x*x+y*y+z*z) AS d FROM pts), q AS (SELECT frame_id, greatest(quantile_cont(d, 0.98), 1e-6) AS far FROM d GROUP BY frame_id),
