@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 from operator import add
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,9 @@ from cuboid.llm.tables import drop, saved, small
 #: Kinds of key rows: the set pairs with all others of its key, only with heavy ones, or is heavy itself.
 ALL, LISTED, HEAVY = 0, 1, 2
 WORDS = 16  # of a bitmap
+SLICES = 4  # of the keys that are counted and placed at a time, if there are more than SLICED of them
+SLICED = 1 << 20
+PRINT = 4  # bits a member of a fingerprint, at least
 
 
 def bitmap_bits(count: int) -> int:
@@ -45,23 +50,96 @@ def marked(bitmap: np.ndarray, cls: np.ndarray, bits: int) -> np.ndarray:
     return ((bitmap[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes with 100 * intersection >= percent * union. sets: (cls, members), sorted
-    distinct 64-bit integers as bytes. pairs is a saved table."""
+def unmarked(rows: DataFrame, key: str, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose key is surely not in the saved table classes (cls), or is null, and the others: all that are in it and
+    about one in 64 of the rest, so that a join needs to move only these."""
+    bits = bitmap_bits(classes.count())
+    bitmap = rows.sparkSession.sparkContext.broadcast(marks(classes, bits))
+
+    @F.pandas_udf("boolean")
+    def hit(keys: pd.Series) -> pd.Series:
+        return pd.Series(marked(bitmap.value, keys.to_numpy(np.int64), bits))
+
+    maybe = hit(F.coalesce(F.col(key).cast("long"), F.lit(0)))
+    there = F.col(key).isNotNull()
+    return rows.filter(~(there & maybe)), rows.filter(there & maybe)
+
+
+def prints(sets: DataFrame) -> DataFrame:
+    """(cls, n, bits): a bitmap of at least PRINT bits a member of each set, a power of two of them, and the set's size."""
+
+    def run(batches):
+        for batch in batches:
+            found, sizes = [], []
+            for m in batch.column("members"):
+                x = np.frombuffer(m.as_buffer(), np.uint64)
+                bits = np.zeros(1 << max(10, (PRINT * len(x) - 1).bit_length()), bool)
+                bits[(x & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+                found.append(np.packbits(bits).tobytes())
+                sizes.append(len(x))
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], names=["cls", "n", "bits"])
+
+    return sets.select("cls", "members").mapInArrow(run, "cls long, n long, bits binary")
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two fingerprints (bytes) differ, the longer one folded to the shorter one's length; two sets differ
+    in at least as many members."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.bitwise_count(x ^ np.bitwise_or.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def _meeting(pairs: DataFrame, values: DataFrame, room: int, fits: Callable[[np.ndarray, np.ndarray, int, int], bool]) -> DataFrame:
+    """The pairs (u, v) of classes whose values fit, as a saved table. pairs and values (cls, n, value) are saved ones.
+
+    A value travels with every pair, so pairs are taken in parts that move about room bytes each."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            x, y = ([np.frombuffer(m.as_buffer(), np.uint8) for m in batch.column(c)] for c in ("x", "y"))
+            keep = [fits(*z) for z in zip(x, y, batch.column("n_u").to_pylist(), batch.column("n_v").to_pylist(), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    a = sets.select(F.col("cls").alias("u"), F.col("members").alias("a"))
-    b = sets.select(F.col("cls").alias("v"), F.col("members").alias("b"))
-    return a.join(small(pairs), "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    a = values.select(F.col("cls").alias("u"), F.col("n").alias("n_u"), F.col("value").alias("x"))
+    b = values.select(F.col("cls").alias("v"), F.col("n").alias("n_v"), F.col("value").alias("y"))
+    lengths = values.select(F.col("cls").alias("u"), F.length("value").alias("k"))
+    moved = pairs.join(lengths, "u").agg(F.sum("k")).first()[0] or 0
+    parts, out = max(1, math.ceil(moved / max(room, 1 << 20))), []
+    for k in range(parts):
+        some = small(pairs) if parts == 1 else pairs.filter(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == k)
+        out.append(saved(a.join(some, "u").join(b, "v").mapInArrow(run, "u long, v long")))
+    return out[0] if parts == 1 else saved(reduce(DataFrame.unionByName, out), *out)
+
+
+def _bytes(sets: DataFrame) -> int:
+    return sets.agg(F.sum(F.length("members"))).first()[0] or 0
+
+
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A saved table of the pairs that their fingerprints do not rule out: all similar ones, and a few that are less so. A
+    fingerprint is 8 to 16 times smaller than its set, but for sets under 256 members."""
+
+    def fits(x, y, n, m) -> bool:
+        return apart(x, y) * (100 + percent) <= (100 - percent) * (n + m)
+
+    values = saved(prints(sets).withColumnRenamed("bits", "value"))
+    out = _meeting(pairs, values, _bytes(sets), fits)
+    drop(values)
+    return out
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A saved table of the pairs (u, v) of classes with 100 * intersection >= percent * union. sets: (cls, members), sorted
+    distinct 64-bit integers as bytes. pairs is a saved table."""
+
+    def fits(a, b, n, m) -> bool:
+        x, y = a.view(np.uint64), b.view(np.uint64)
+        both = int((x[np.minimum(np.searchsorted(x, y), n - 1)] == y).sum())
+        return 100 * both >= percent * (n + m - both)
+
+    values = sets.select("cls", F.floor(F.length("members") / 8).alias("n"), F.col("members").alias("value"))
+    return _meeting(pairs, values, 2 * _bytes(sets), fits)
 
 
 def shared_keys(keys: DataFrame, percent: int, least: Callable[[Column], Column] = lambda n: F.lit(1)) -> DataFrame:
@@ -69,17 +147,23 @@ def shared_keys(keys: DataFrame, percent: int, least: Callable[[Column], Column]
     fewer such keys than a similar pair has in common at least (least, of the smaller set's size) are left out.
 
     Keys are counted with partial sums and joined back, so that a key with very many rows meets in no one task. Tables
-    of keys grow with the input, so these joins shuffle at every size."""
+    of keys grow with the input, so these joins shuffle at every size, a slice of the keys at a time: most keys join
+    nothing, and the files of one slice's shuffles go before the next one's come."""
     keys = saved(keys)
-    heads = saved(keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"))
-    found = saved(keys.hint("merge").join(heads, "key", "left_semi").distinct(), keys, heads)
-    heads = found.groupBy("key").agg(F.count("*").alias("k"), F.min("kind").alias("low"), F.max("kind").alias("top"))
-    # a key without heavy sets joins nothing if all its sets are merely listed
-    heads = saved(heads.filter(f"k > 1 and not (low = {LISTED} and top = {LISTED})").select("key"))
-    found = saved(found.hint("merge").join(heads, "key", "left_semi"), found, heads)
-    able = found.groupBy("cls", "n").agg(F.count("*").alias("k"), F.min("kind").alias("kind"))
+    slices, found = SLICES if keys.count() > SLICED else 1, []
+    for k in range(slices):
+        mine = keys.filter(F.pmod("key", F.lit(slices)) == k) if slices > 1 else keys
+        heads = saved(mine.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"))
+        some = saved(mine.hint("merge").join(heads, "key", "left_semi").distinct(), heads)
+        heads = some.groupBy("key").agg(F.count("*").alias("k"), F.min("kind").alias("low"), F.max("kind").alias("top"))
+        # a key without heavy sets joins nothing if all its sets are merely listed
+        heads = saved(heads.filter(f"k > 1 and not (low = {LISTED} and top = {LISTED})").select("key"))
+        found.append(saved(some.hint("merge").join(heads, "key", "left_semi"), some, heads))
+    drop(keys)
+    every = reduce(DataFrame.unionByName, found)
+    able = every.groupBy("cls", "n").agg(F.count("*").alias("k"), F.min("kind").alias("kind"))
     able = saved(able.filter((F.col("kind") == ALL) | (F.col("k") >= least(F.floor(F.col("n") * percent / 100)))).select("cls"))
-    return saved(found.join(small(able), "cls", "left_semi"), found, able)
+    return saved(every.join(small(able), "cls", "left_semi"), *found, able)
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:
@@ -107,7 +191,8 @@ def link(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Every class is first compared with one class of its keys: the one whose keys hold most rows, which is in the midst
     of its group (the common origin of changed copies, say). That connects most of a large group with a link per
     class. Then all pairs of classes that share a key and are still in different components are compared, but for
-    those that the sizes, the rank of a common member or the bitmaps rule out. So no similar pair is lost."""
+    those that the sizes, the rank of a common member, the bitmaps or the fingerprints rule out. So no similar pair is
+    lost."""
     heads = saved(shared.groupBy("key").agg(F.count("*").alias("m")))
     weight = saved(shared.hint("merge").join(heads, "key").groupBy("cls").agg(F.sum("m").alias("m")), heads)
     ranked = saved(shared.select("key", "cls", "n").join(small(weight), "cls"), weight)
@@ -115,7 +200,8 @@ def link(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     stars = ranked.hint("merge").join(tops, "key").filter((F.col("cls") != F.col("v")) & _fits(F.col("n"), F.col("n_v"), percent))
     stars = saved(stars.groupBy("cls", "v").agg(F.count("*").alias("k")), ranked, tops)
     stars = saved(stars.groupBy("cls").agg(F.max_by("v", F.struct("k", "v")).alias("v")).select(F.col("cls").alias("u"), "v"), stars)
-    links = saved(verified(stars, sets, percent), stars)
+    links = verified(stars, sets, percent)
+    drop(stars)
     roots = components(links)
     named = shared.join(small(roots), F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
     rows = saved(named)
@@ -127,11 +213,14 @@ def link(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     total = F.col("n_a") + F.col("n_b")
     # the first common member bounds the intersection by what comes after it in either set
     most = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    apart = reduce(add, (F.bit_count(F.col(f"b{i}_a").bitwiseXOR(F.col(f"b{i}_b"))) for i in range(WORDS)))
+    differ = reduce(add, (F.bit_count(F.col(f"b{i}_a").bitwiseXOR(F.col(f"b{i}_b"))) for i in range(WORDS)))
     pairs = a.join(b, "key").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")))
-    pairs = pairs.filter((most * (100 + percent) >= percent * total) & (apart * (100 + percent) <= (100 - percent) * total))
+    pairs = pairs.filter((most * (100 + percent) >= percent * total) & (differ * (100 + percent) <= (100 - percent) * total))
     pairs = saved(pairs.select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v")).distinct(), both)
-    more = saved(verified(pairs, sets, percent), pairs)
+    # these bitmaps are full for large sets, so chance pairs of them, which grow faster than the input, are still here
+    close = likely(pairs, sets, percent)
+    more = verified(close, sets, percent)
+    drop(pairs, close)
     out = components(links.unionByName(more)) if more.take(1) else None
     drop(links, more)
     if out is None:

@@ -167,7 +167,8 @@ def mix_documents(docs: DataFrame, m: Mix = Mix(), doc_id: str = "doc_id", sourc
     taken = mix_sources(light, "size", m).groupBy(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(n))
     taken = saved(taken.agg(F.sum("copies").alias(k), F.count("*").alias(x)).filter(F.col(k) > 0))
     same = F.col(doc_id).eqNullSafe(F.col(i)) & F.col(source).eqNullSafe(F.col(s)) & (F.col(words) == F.col(n))
-    out = sized.join(taken.filter(F.col(x) == 1).drop(x), same).select(*names, k)
+    # both sides grow with the input: texts are shuffled once, at every size
+    out = sized.hint("merge").join(taken.filter(F.col(x) == 1).drop(x), same).select(*names, k)
     if taken.filter(F.col(x) > 1).take(1):  # only rows that share an id, a source and a size are ordered
         some = sized.join(taken.filter(F.col(x) > 1), same)
         at = F.row_number().over(Window.partitionBy(i, s, n).orderBy(text))

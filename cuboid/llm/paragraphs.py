@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuboid.llm.linking import ALL, bitmap_bits, link, marked, marks, shared_keys
+from cuboid.llm.linking import ALL, bitmap_bits, link, marked, marks, shared_keys, unmarked
 from cuboid.llm.tables import add_columns, drop, fresh, saved, small
 from cuboid.llm.textops import Words, distinct_sets, mix, shingles, signed, slices, windows
 
@@ -252,8 +252,10 @@ def substring_dedup(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
     gone_id, gone_in, kept_to, spans_in, row_id = (fresh(taken, f"_{x}") for x in ("gone_id", "gone", "kept_to", "spans", "row_id"))
     lines = repeated_lines(docs, p, doc_id, text)
     gone = saved(lines.groupBy(F.col("id").alias(gone_id)).agg(F.sort_array(F.collect_set(F.struct("line", "cls"))).alias(gone_in), F.sort_array(F.collect_set("kept_id")).alias(kept_to)), lines)
-    # only what is returned travels; the id under a name of its own
-    both = docs.select(*names, F.col(text).alias(text), F.col(doc_id).cast("long").alias(row_id)).join(gone, F.col(row_id) == F.col(gone_id), "left").drop(gone_id)
+    # only what is returned travels, and only where a cut may be due; the id under a name of its own
+    all_rows = docs.select(*names, F.col(text).cast("string").alias(text), F.col(doc_id).cast("long").alias(row_id))
+    whole, part = unmarked(all_rows, row_id, gone.select(F.col(gone_id).alias("cls")))
+    both = part.hint("merge").join(gone, F.col(row_id) == F.col(gone_id), "left").drop(gone_id)
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         texts, gone = batch.column(text).to_pylist(), batch.column(gone_in).to_pylist()
@@ -275,9 +277,14 @@ def substring_dedup(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
 
     made = f"`{text}` string, n_removed long, removed_lines array<int>, "
     rest = saved(add_columns(both, made + f"`{kept_to}` array<long>", work, text, [*names, row_id]), gone)
+    whole = whole.withColumns({"n_removed": F.lit(0).cast("long"), "removed_lines": F.array().cast("array<int>"), kept_to: F.array().cast("array<long>")})
+    rest = rest.unionByName(whole)
     found = repeated_spans(rest, p, row_id, text)
+    ids = saved(found.select(F.col("id").alias("cls")).distinct())
+    whole, part = unmarked(rest, row_id, ids)
+    drop(ids)
     spans = found.groupBy(F.col("id").alias(gone_id)).agg(F.collect_list(F.struct("at", "span", "kept_id", "kept_at")).alias(spans_in))
-    again = rest.hint("merge").join(spans, F.col(row_id) == F.col(gone_id), "left")
+    again = part.hint("merge").join(spans, F.col(row_id) == F.col(gone_id), "left")
 
     def cut(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         texts, kept_in, counts = batch.column(text).to_pylist(), batch.column(kept_to).to_pylist(), batch.column("n_removed").to_pylist()
@@ -302,4 +309,5 @@ def substring_dedup(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
             kept_in[k] = sorted({*kept_in[k], *kept_id[same].tolist()})
         return {text: pa.array(texts, pa.string()), "n_removed": pa.array(counts, pa.int64()), "removed_lines": batch.column("removed_lines"), "kept_in": pa.array(kept_in, pa.list_(pa.int64()))}
 
-    return add_columns(again, made + "kept_in array<long>", cut, text, names)
+    out = add_columns(again, made + "kept_in array<long>", cut, text, names)
+    return out.unionByName(whole.withColumnRenamed(kept_to, "kept_in").select(*out.columns))

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuboid.llm.linking import ALL, HEAVY, LISTED, bitmap_bits, link, marked, marks, shared_keys
-from cuboid.llm.tables import add_columns, drop, saved, small
+from cuboid.llm.linking import ALL, HEAVY, LISTED, bitmap_bits, link, marked, marks, shared_keys, unmarked
+from cuboid.llm.tables import add_columns, drop, fresh, saved, small
 from cuboid.llm.textops import Words, distinct_sets, mix, shingles, signed, slices
 
 SUBSET = 2  # the fixed size of enumerated subsets
@@ -199,10 +199,14 @@ def one_of_each(docs: DataFrame, p: Join = Join(), doc_id: str = "doc_id", text:
     an empty result."""
     groups = saved(jaccard_components(docs, p, doc_id, text).select(F.col(doc_id).alias("_id"), "class_key", "component_id").filter("_id is not null"))
     often = saved(groups.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").select("_id"))
-    first = saved(groups.filter("_id = component_id").select("_id", "class_key").distinct(), groups)
+    first = saved(groups.filter("_id = component_id").select("_id", "class_key").distinct())
     # an id that stands once needs no look at its text
-    once = saved(first.join(small(often), "_id", "left_anti").select("_id"))
-    out = docs.join(small(once), F.col(doc_id) == F.col("_id"), "left_semi").unionByName(docs.filter(F.col(doc_id).isNull()))
+    once = first.join(small(often), "_id", "left_anti").select("_id")
+    off = saved(groups.select(F.col("_id").alias("cls")).distinct().join(once.withColumnRenamed("_id", "cls"), "cls", "left_anti"), groups)
+    # most texts stay where they are: only those that may have to go meet the list of those that do
+    stay, doubtful = unmarked(docs, doc_id, off)
+    gone = fresh(docs.columns, "_gone")
+    out = stay.unionByName(doubtful.hint("merge").join(off.withColumnRenamed("cls", gone), F.col(doc_id) == F.col(gone), "left_anti"))
     if not often.take(1):
         return out
 
