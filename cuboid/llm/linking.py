@@ -142,30 +142,41 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _meeting(pairs, values, 2 * _bytes(sets), fits)
 
 
-def shared_keys(keys: DataFrame, percent: int, least: Callable[[Column], Column] = lambda n: F.lit(1)) -> DataFrame:
-    """Of rows (key, cls, n, at, kind) the distinct ones whose key joins two classes, as a saved table. Classes with
-    fewer such keys than a similar pair has in common at least (least, of the smaller set's size) are left out.
+def joining(keys: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A saved table of the distinct rows (key, cls, n, at, kind) whose key joins two classes. keys: (key) of all rows. near
+    gives the rows of the keys in a saved table heads (key), and maybe others.
 
     Keys are counted with partial sums and joined back, so that a key with very many rows meets in no one task. Tables
-    of keys grow with the input, so these joins shuffle at every size, a slice of the keys at a time: most keys join
-    nothing, and the files of one slice's shuffles go before the next one's come."""
-    keys = saved(keys)
-    slices, found = SLICES if keys.count() > SLICED else 1, []
-    for k in range(slices):
-        mine = keys.filter(F.pmod("key", F.lit(slices)) == k) if slices > 1 else keys
-        heads = saved(mine.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"))
-        some = saved(mine.hint("merge").join(heads, "key", "left_semi").distinct(), heads)
-        heads = some.groupBy("key").agg(F.count("*").alias("k"), F.min("kind").alias("low"), F.max("kind").alias("top"))
-        # a key without heavy sets joins nothing if all its sets are merely listed
-        heads = saved(heads.filter(f"k > 1 and not (low = {LISTED} and top = {LISTED})").select("key"))
-        found.append(saved(some.hint("merge").join(heads, "key", "left_semi"), some, heads))
-    drop(keys)
+    of keys grow with the input, so these joins shuffle at every size."""
+    heads = saved(keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"))
+    some = saved(near(heads).hint("merge").join(heads, "key", "left_semi").distinct(), heads, batch=20_000)
+    heads = some.groupBy("key").agg(F.count("*").alias("k"), F.min("kind").alias("low"), F.max("kind").alias("top"))
+    # a key without heavy sets joins nothing if all its sets are merely listed
+    heads = saved(heads.filter(f"k > 1 and not (low = {LISTED} and top = {LISTED})").select("key"))
+    return saved(some.hint("merge").join(heads, "key", "left_semi"), some, heads)
+
+
+def of_able(found: list[DataFrame], percent: int, least: Callable[[Column], Column] = lambda n: F.lit(1)) -> DataFrame:
+    """A saved table of all rows of found, tables of joining(), without the classes that have fewer such keys than a
+    similar pair has in common at least (least, of the smaller set's size)."""
     every = reduce(DataFrame.unionByName, found)
     able = every.groupBy("cls", "n").agg(F.count("*").alias("k"), F.min("kind").alias("kind"))
     able = saved(able.filter((F.col("kind") == ALL) | (F.col("k") >= least(F.floor(F.col("n") * percent / 100)))).select("cls"))
     return saved(every.join(small(able), "cls", "left_semi"), *found, able)
 
 
+def shared_keys(keys: DataFrame, percent: int, least: Callable[[Column], Column] = lambda n: F.lit(1)) -> DataFrame:
+    """Of rows (key, cls, n, at, kind) the distinct ones whose key joins two classes, as a saved table; see joining() and
+    of_able(). Keys are taken a slice at a time: most keys join nothing, and the files of one slice's shuffles go before
+    the next one's come."""
+    keys = saved(keys)
+    slices = SLICES if keys.count() > SLICED else 1
+    parts = [keys.filter(F.pmod("key", F.lit(slices)) == k) if slices > 1 else keys for k in range(slices)]
+    found = [joining(mine.select("key"), lambda heads, mine=mine: mine) for mine in parts]
+    drop(keys)
+    return of_able(found, percent, least)
+
+
 def _fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 

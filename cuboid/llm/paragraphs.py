@@ -20,9 +20,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuboid.llm.linking import ALL, bitmap_bits, link, marked, marks, shared_keys, unmarked
+from cuboid.llm.linking import ALL, SLICED, SLICES, bitmap_bits, joining, link, marked, marks, of_able, unmarked
 from cuboid.llm.tables import add_columns, drop, fresh, saved, small
-from cuboid.llm.textops import Words, distinct_sets, mix, shingles, signed, slices, windows
+from cuboid.llm.textops import Words, distinct_sets, least, mix, shingles, signed, slices, windows
 
 
 @dataclass(frozen=True)
@@ -52,9 +52,10 @@ def split(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pc.list_flatten(lines), row, np.arange(len(row)) - first[row]
 
 
-def paragraph_sets(lines: pa.Array, p: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle sets of the lines of at least min_words words (others have empty ones), and a key of each set."""
-    words = Words(lines)
+def paragraph_sets(lines: pa.Array, p: Bands, words: Words | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle sets of the lines of at least min_words words (others have empty ones), and a key of each set. words: those
+    of the lines, if they are at hand."""
+    words = Words(lines) if words is None else words
     hashes, counts = words.hashes(), words.counts
     long = counts >= p.min_words
     keep = np.repeat(long, counts)
@@ -79,35 +80,57 @@ def signatures(values: np.ndarray, begin: np.ndarray, p: Bands) -> np.ndarray:
 
 
 def _lines(docs: DataFrame, p: Bands, doc_id: str, text: str) -> DataFrame:
-    """(id, line, cls): the paragraphs of at least min_words words."""
+    """(id, line, cls, n, k0, k1, ...): the paragraphs of at least min_words words, and the band keys of every class, once
+    per partition (null in its other lines)."""
+    keys = [f"k{b}" for b in range(p.bands)]
 
     def run(batches):
+        seen: set[int] = set()
         for batch in slices(batches, text):
             lines, row, number = split(batch.column(text))
-            _, begin, cls = paragraph_sets(lines, p)
-            at = np.flatnonzero(np.diff(begin))
+            values, begin, cls = paragraph_sets(lines, p)
+            sizes = np.diff(begin)
+            at = np.flatnonzero(sizes)
+            if not len(at):
+                continue
+            new = np.isin(at, _unseen(at, cls, seen))
+            found = np.zeros((p.bands, len(at)), np.int64)
+            if new.any():
+                mine = values[np.repeat(new, sizes[at])]
+                found[:, new] = signed(signatures(mine, np.concatenate(([0], np.cumsum(sizes[at[new]]))), p)).T
             ids = batch.column(doc_id).cast(pa.int64()).take(pa.array(row[at]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(number[at].astype(np.int32)), pa.array(cls[at])], names=["id", "line", "cls"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(number[at].astype(np.int32)), pa.array(cls[at]), pa.array(sizes[at].astype(np.int32)), *[pa.array(k, mask=~new) for k in found]], names=["id", "line", "cls", "n", *keys])
+
+    return docs.select(doc_id, text).mapInArrow(run, "id long, line int, cls long, n int, " + ", ".join(f"{k} long" for k in keys))
+
+
+def _shared(lines: DataFrame, p: Bands) -> DataFrame:
+    """shared_keys() of the saved table lines. Keys of different bands never meet, so a slice is a few bands. Most keys
+    stand once: those that a bitmap of the others rules out are not sorted and shuffled."""
+
+    def band_slice(keys: list[str]) -> DataFrame:
+        mine = lines.filter(F.col(keys[0]).isNotNull())
+        return joining(mine.select(F.explode(F.array(*keys)).alias("key")), lambda heads: _near(mine, keys, heads))
 
-    return docs.select(doc_id, text).mapInArrow(run, "id long, line int, cls long")
+    count = SLICES if lines.count() * p.bands > SLICED else 1
+    parts = [[f"k{b}" for b in part] for part in np.array_split(np.arange(p.bands), count)]
+    return of_able([band_slice(keys) for keys in parts if keys], p.percent)
 
 
-def _keys(docs: DataFrame, p: Bands, text: str) -> DataFrame:
-    """(key, cls, n, at, kind): the band keys of every class, once per partition."""
+def _near(lines: DataFrame, keys: list[str], heads: DataFrame) -> DataFrame:
+    """(key, cls, n, at, kind): the rows of lines with a key in the saved table heads (key), and a few others."""
+    bits = bitmap_bits(heads.count())
+    bitmap = lines.sparkSession.sparkContext.broadcast(marks(heads.select(F.col("key").alias("cls")), bits))
 
     def run(batches):
-        seen: set[int] = set()
-        for batch in slices(batches, text):
-            values, begin, cls = paragraph_sets(split(batch.column(text))[0], p)
-            rows = _unseen(np.flatnonzero(np.diff(begin)), cls, seen)
-            if len(rows):
-                sizes = np.diff(begin)[rows]
-                part = np.concatenate([values[begin[r] : begin[r + 1]] for r in rows])
-                keys = signed(signatures(part, np.concatenate(([0], np.cumsum(sizes))), p))
-                n = len(rows) * p.bands
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(cls[rows], p.bands)), pa.array(np.repeat(sizes, p.bands).astype(np.int32)), pa.array(np.ones(n, np.int32)), pa.array(np.full(n, ALL, np.int8))], names=["key", "cls", "n", "at", "kind"])
+        for batch in batches:
+            found = np.concatenate([batch.column(k).to_numpy() for k in keys])
+            hit = np.flatnonzero(marked(bitmap.value, found, bits))
+            at = pa.array(hit % batch.num_rows)
+            n = len(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(found[hit]), batch.column("cls").take(at), batch.column("n").take(at), pa.array(np.ones(n, np.int32)), pa.array(np.full(n, ALL, np.int8))], names=["key", "cls", "n", "at", "kind"])
 
-    return docs.select(text).mapInArrow(run, "key long, cls long, n int, at int, kind byte")
+    return lines.select("cls", "n", *keys).mapInArrow(run, "key long, cls long, n int, at int, kind byte")
 
 
 def _members(docs: DataFrame, classes: DataFrame, p: Bands, text: str) -> DataFrame:
@@ -142,7 +165,7 @@ def repeated_lines(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
     part. Repeated rows with one doc_id and text count as one paragraph each."""
     docs = docs.filter(F.col(doc_id).isNotNull())
     lines = saved(_lines(docs, p, doc_id, text))
-    shared = shared_keys(_keys(docs, p, text), p.percent)
+    shared = _shared(lines, p)
     names = saved(shared.select("cls").distinct())
     sets = saved(_members(docs, names, p, text), names)
     roots = link(shared, sets, p.percent)
@@ -159,30 +182,26 @@ def repeated_lines(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
 def _windows(column: pa.Array, p: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All windows of min_words words within a text: row, first word in the text, hash, anchor and the anchor's place."""
     words = Words(column)
-    hashes = words.hashes()
+    hashes, gram = words.hashes(), min(p.gram, p.min_words)
     spans, at = windows(hashes, words.first, p.min_words)
-    grams, where = windows(hashes, words.first, min(p.gram, p.min_words))
+    grams, where = windows(hashes, words.first, gram)
     dense = np.zeros(len(hashes), np.uint64)
     dense[where] = grams
-    anchor, place = dense[at], at.copy()
-    for k in range(1, p.min_words - min(p.gram, p.min_words) + 1):
-        less = dense[at + k] < anchor  # of equal ones the first
-        anchor, place = np.where(less, dense[at + k], anchor), np.where(less, at + k, place)
+    anchor, place = least(dense, p.min_words - gram + 1)
     row = words.doc[at]
-    return row, at - words.first[row], signed(spans), signed(anchor), place
+    return row, at - words.first[row], signed(spans), signed(anchor[at]), place[at]
 
 
 def _anchors(docs: DataFrame, p: Bands, text: str) -> DataFrame:
-    """(cls, n): the anchors of all windows, and at how many places they stand in a batch."""
+    """(cls): the anchors of all windows, once for every place where they stand."""
 
     def run(batches):
         for batch in slices(batches, text):
             _, _, _, anchor, place = _windows(batch.column(text), p)
             if len(place):
-                found, n = np.unique(anchor[np.concatenate(([True], place[1:] != place[:-1]))], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[np.concatenate(([True], place[1:] != place[:-1]))])], names=["cls"])
 
-    return docs.select(text).mapInArrow(run, "cls long, n long")
+    return docs.select(text).mapInArrow(run, "cls long")
 
 
 def _spans(docs: DataFrame, shared: DataFrame, p: Bands, doc_id: str, text: str) -> DataFrame:
@@ -204,7 +223,7 @@ def repeated_spans(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
     """A saved table (id, at, span, kept_id, kept_at): every window of min_words words (at: its first word) that stands at a smaller
     (doc_id, word) too, and the smallest such place. Rows without a doc_id take no part."""
     docs = docs.filter(F.col(doc_id).isNotNull())
-    shared = saved(_anchors(docs, p, text).groupBy("cls").agg(F.sum("n").alias("n")).filter("n > 1").select("cls"))
+    shared = saved(_anchors(docs, p, text).groupBy("cls").agg(F.count("*").alias("n")).filter("n > 1").select("cls"))
     rows = saved(_spans(docs, shared, p, doc_id, text), shared)
     # counts first: a place is only looked up for windows that stand twice
     twice = saved(rows.groupBy("span").agg(F.count("*").alias("n")).filter("n > 1").select("span"))
@@ -214,22 +233,22 @@ def repeated_spans(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
     return saved(out.select("id", "at", "span", F.col("lo.id").alias("kept_id"), F.col("lo.at").alias("kept_at")), rows, places)
 
 
-def cut_words(text: str, cut: np.ndarray, words: Words) -> str:
-    """text without the words flagged in cut. Of the white space around a gap one side stays, with a line end if there
+def cut_words(text: str, cut: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
+    """text without the words flagged in cut; start and end: the words' bytes. Of the white space around a gap one side stays, with a line end if there
     was one on either side or within; none at the ends of the text."""
     data = text.encode()
     edges = np.flatnonzero(np.diff(np.concatenate(([False], cut, [False])).astype(np.int8)))
     out, done = [], 0
     for i, j in edges.reshape(-1, 2).tolist():
-        lo, hi = (int(words.end[i - 1]) if i else 0), (int(words.start[j]) if j < len(cut) else len(data))
-        left, right = data[lo : words.start[i]], data[words.end[j - 1] : hi]
+        lo, hi = (int(end[i - 1]) if i else 0), (int(start[j]) if j < len(cut) else len(data))
+        left, right = data[lo : start[i]], data[end[j - 1] : hi]
         out.append(data[done:lo])
         if i == 0:
             out.append(left if j < len(cut) else b"")
         elif j == len(cut):
             out.append(right)
         else:
-            inner = b"\n" if b"\n" in data[words.start[i] : words.end[j - 1]] else left
+            inner = b"\n" if b"\n" in data[start[i] : end[j - 1]] else left
             out.append(left if b"\n" in left else right if b"\n" in right else inner)
         done = hi
     return b"".join([*out, data[done:]]).decode()
@@ -258,22 +277,28 @@ def substring_dedup(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
     both = part.hint("merge").join(gone, F.col(row_id) == F.col(gone_id), "left").drop(gone_id)
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        texts, gone = batch.column(text).to_pylist(), batch.column(gone_in).to_pylist()
-        kept_in, counts, removed = batch.column(kept_to).to_pylist(), [], []
-        for k, (t, g) in enumerate(zip(texts, gone, strict=True)):
-            counts.append(0)
-            if not g or t is None:
-                removed.append([])
-                continue
-            lines = t.split("\n")
-            mine = pa.array(lines, pa.large_string())
-            _, _, cls = paragraph_sets(mine, p)  # rows with one doc_id can differ
-            off = {x["line"] for x in g if x["line"] < len(lines) and int(cls[x["line"]]) == x["cls"]}
-            removed.append(sorted(off))
-            counts[k] = int(Words(mine).counts[removed[k]].sum())
-            texts[k] = "\n".join(x for i, x in enumerate(lines) if i not in off)
-        kept_in = [(x or []) if r else [] for x, r in zip(kept_in, removed, strict=True)]
-        return {text: pa.array(texts, pa.string()), "n_removed": pa.array(counts, pa.int64()), "removed_lines": pa.array(removed, pa.list_(pa.int32())), kept_to: pa.array(kept_in, pa.list_(pa.int64()))}
+        n, texts = batch.num_rows, batch.column(text).to_pylist()
+        counts, removed, kept_in = np.zeros(n, np.int64), [[]] * n, [[]] * n
+        some = batch.filter(pc.and_(pc.is_valid(batch.column(gone_in)), pc.is_valid(batch.column(text))))
+        if some.num_rows:
+            here = np.flatnonzero(pc.and_(pc.is_valid(batch.column(gone_in)), pc.is_valid(batch.column(text))))
+            lines, row, _ = split(some.column(text))
+            words = Words(lines)
+            cls = paragraph_sets(lines, p, words)[2]  # rows with one doc_id can differ
+            first = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(here)))))
+            gone, mine = pa.RecordBatch.from_struct_array(pc.list_flatten(some.column(gone_in))), np.asarray(pc.list_parent_indices(some.column(gone_in)))
+            line, want = gone.column("line").to_numpy(), gone.column("cls").to_numpy()
+            at = first[mine] + line
+            at = at[(at < first[mine + 1]) & (cls[np.minimum(at, len(cls) - 1)] == want)]
+            off = np.zeros(len(row), bool)
+            off[at] = True
+            counts[here] = np.bincount(row, weights=np.where(off, words.counts, 0), minlength=len(here)).astype(np.int64)
+            strings, kept = lines.to_pylist(), some.column(kept_to).to_pylist()
+            for k in np.unique(row[off]).tolist():
+                lo, flags = first[k], off[first[k] : first[k + 1]]
+                texts[here[k]] = "\n".join(strings[i] for i in (lo + np.flatnonzero(~flags)).tolist())
+                removed[here[k]], kept_in[here[k]] = np.flatnonzero(flags).tolist(), kept[k] or []
+        return {text: pa.array(texts, pa.string()), "n_removed": pa.array(counts), "removed_lines": pa.array(removed, pa.list_(pa.int32())), kept_to: pa.array(kept_in, pa.list_(pa.int64()))}
 
     made = f"`{text}` string, n_removed long, removed_lines array<int>, "
     rest = saved(add_columns(both, made + f"`{kept_to}` array<long>", work, text, [*names, row_id]), gone)
@@ -287,27 +312,36 @@ def substring_dedup(docs: DataFrame, p: Bands = Bands(), doc_id: str = "doc_id",
     again = part.hint("merge").join(spans, F.col(row_id) == F.col(gone_id), "left")
 
     def cut(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        texts, kept_in, counts = batch.column(text).to_pylist(), batch.column(kept_to).to_pylist(), batch.column("n_removed").to_pylist()
-        for k, spans in enumerate(batch.column(spans_in)):
-            if not spans.is_valid or texts[k] is None:
-                continue
-            found = pa.RecordBatch.from_struct_array(spans.values)
+        texts, kept_in, counts = batch.column(text).to_pylist(), batch.column(kept_to).to_pylist(), np.array(batch.column("n_removed"))
+        there = pc.and_(pc.is_valid(batch.column(spans_in)), pc.is_valid(batch.column(text)))
+        some, here = batch.filter(there), np.flatnonzero(there)
+        if len(here):
+            found, row = pa.RecordBatch.from_struct_array(pc.list_flatten(some.column(spans_in))), np.asarray(pc.list_parent_indices(some.column(spans_in)))
             at, span, kept_id, kept_at = (found.column(c).to_numpy() for c in ("at", "span", "kept_id", "kept_at"))
-            alone = pa.array([texts[k]], pa.large_string())
-            words, own = Words(alone), _windows(alone, p)[2]
-            same = at < len(own)  # rows with one doc_id can differ
-            same[same] = own[at[same]] == span[same]
+            words = Words(some.column(text))
+            own, place = windows(words.hashes(), words.first, p.min_words)
+            has = np.zeros(len(words.start) + 1, bool)
+            dense = np.zeros(len(words.start) + 1, np.int64)
+            has[place], dense[place] = True, signed(own)
+            base = words.first[row]
+            same = at < words.counts[row]  # rows with one doc_id can differ
+            same[same] = has[(base + at)[same]] & (dense[(base + at)[same]] == span[same])
             # a copy that overlaps its first one leaves that one whole
-            mine = kept_id == batch.column(row_id)[k].as_py()
-            lo = np.where(mine, np.maximum(at, kept_at + p.min_words), at)[same]
-            steps = np.zeros(len(words.start) + 1, np.int64)
-            np.add.at(steps, lo, 1)
-            np.add.at(steps, at[same] + p.min_words, -1)
+            mine = kept_id == some.column(row_id).to_numpy()[row]
+            lo = np.where(mine, np.maximum(at, kept_at + p.min_words), at)
+            size = len(words.start) + 1
+            steps = np.bincount((base + lo)[same], minlength=size) - np.bincount((base + at + p.min_words)[same], minlength=size)
             off = steps.cumsum()[:-1] > 0
-            counts[k] += int(off.sum())
-            texts[k] = cut_words(texts[k], off, words)
-            kept_in[k] = sorted({*kept_in[k], *kept_id[same].tolist()})
-        return {text: pa.array(texts, pa.string()), "n_removed": pa.array(counts, pa.int64()), "removed_lines": batch.column("removed_lines"), "kept_in": pa.array(kept_in, pa.list_(pa.int64()))}
+            for k in np.unique(row[same]).tolist():
+                w, i = slice(words.first[k], words.first[k + 1]), here[k]
+                counts[i] += int(off[w].sum())
+                texts[i] = cut_words(texts[i], off[w], words.start[w] - words.offsets[k], words.end[w] - words.offsets[k])
+            pairs = np.unique(np.stack((row[same], kept_id[same])), axis=1) if same.any() else np.zeros((2, 0), np.int64)
+            for k, new in zip(*(x.tolist() for x in pairs), strict=True):
+                kept_in[here[k]].append(new)
+            for i in here.tolist():
+                kept_in[i] = sorted(set(kept_in[i]))
+        return {text: pa.array(texts, pa.string()), "n_removed": pa.array(counts), "removed_lines": batch.column("removed_lines"), "kept_in": pa.array(kept_in, pa.list_(pa.int64()))}
 
     out = add_columns(again, made + "kept_in array<long>", cut, text, names)
     return out.unionByName(whole.withColumnRenamed(kept_to, "kept_in").select(*out.columns))

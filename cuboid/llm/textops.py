@@ -52,7 +52,7 @@ class Words:
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
         column = column.cast(pa.large_binary()) if column.type != pa.large_binary() else column
-        column = column.fill_null(b"")
+        column = column.fill_null(b"") if column.null_count else column
         self.rows = len(column)
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + self.rows + 1]
         raw = column.buffers()[2]
@@ -60,15 +60,15 @@ class Words:
         size = int(offsets[-1]) - base if self.rows else 0
         self.data = np.frombuffer(raw, dtype=np.uint8)[base : base + size] if size else np.zeros(0, dtype=np.uint8)
         self.offsets = offsets - base if self.rows else np.zeros(1, dtype=np.int64)
-        inside = ~_SPACE[self.data]
-        cut = np.zeros(size + 1, dtype=bool)  # a word ends where its text ends
-        cut[self.offsets] = True
-        before = np.concatenate(([False], inside[:-1])) if size else inside
-        after = np.concatenate((inside[1:], [False])) if size else inside
-        self.start = np.flatnonzero(inside & (~before | cut[:-1]))
-        self.end = np.flatnonzero(inside & (~after | cut[1:])) + 1
-        self.doc = np.searchsorted(self.offsets, self.start, side="right") - 1
-        self.counts = np.bincount(self.doc, minlength=self.rows).astype(np.int64) if self.rows else np.zeros(0, np.int64)
+        inside = (self.data != 0x20) & (self.data - np.uint8(9) > 4)  # not in _SPACE
+        bounds = self.offsets[(self.offsets > 0) & (self.offsets < size)]  # a word ends where its text ends
+        before, after = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+        before[1:], after[:-1] = inside[:-1], inside[1:]
+        before[bounds], after[bounds - 1] = False, False
+        self.start = np.flatnonzero(inside > before)
+        self.end = np.flatnonzero(inside > after) + 1
+        self.counts = np.diff(np.searchsorted(self.start, self.offsets)) if self.rows else np.zeros(0, np.int64)
+        self.doc = np.repeat(np.arange(self.rows), self.counts)
         self.first = np.concatenate(([0], np.cumsum(self.counts)))
 
     def hashes(self, lower: bool = False) -> np.ndarray:
@@ -79,7 +79,7 @@ class Words:
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         out = np.empty(len(self.start), dtype=np.uint64)
-        step = 1 << 17  # of words, so that the temporary arrays stay small
+        step = 1 << 13  # of words, so that the temporary arrays stay in the cache
         for k in range(0, len(self.start), step):
             s, e = self.start[k : k + step], self.end[k : k + step]
             lo, hi = int(s[0]), int(e[-1])
@@ -116,6 +116,16 @@ def windows(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
     return mix(out[at]), at
 
 
+def least(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest of every n values in a row, and the place of the first such one."""
+    low, place, have = values, np.arange(len(values)), 1
+    while have < n:
+        step = min(have, n - have)
+        less = low[step:] < low[:-step]  # of equal ones the first
+        low, place, have = np.where(less, low[step:], low[:-step]), np.where(less, place[step:], place[:-step]), have + step
+    return low, place
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """All n-word shingles with their group; a group of 1 to n-1 words has its whole sequence as one."""
     found, at = windows(hashes, first, n)
