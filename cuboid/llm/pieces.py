@@ -16,6 +16,7 @@ arrays of arcs, and their ids are kept in a cache of bounded size.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +27,7 @@ from cuboid.llm.tables import add_columns
 
 MARK = "▁"
 LONG = 32  # characters of a unit beyond which it is composed alone
+AT_ONCE = 1 << 16  # characters of the units that are composed at once; their arcs take about 250 bytes a character
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
 
@@ -44,7 +46,7 @@ class Transducer:
     frozen: dict[str, int] = field(default_factory=dict)
     prefix: bool = True
     squeeze: bool = False
-    cached: int = 60_000
+    cached: int = 40_000
     longest: int = field(init=False)
 
     def __post_init__(self):
@@ -53,7 +55,7 @@ class Transducer:
         self.unit = re.compile("(?s).+") if joins else UNIT  # pieces that join words leave the text whole
         worst = min((s for _, s in self.pieces.values()), default=0.0)
         self.penalty = 10.0 - worst  # of an unknown character in a unigram model
-        self.begins = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+        self._sorted = sorted(self.pieces)
         starts = "".join({re.escape(k[0]) for k in self.rules})
         self._rewrite = re.compile(f"[{starts}]") if starts else None
         self._widest = max(map(len, self.rules), default=0)
@@ -113,9 +115,14 @@ class Transducer:
         """Whether a BPE model's piece b can follow a (or begin a unit, a being empty)."""
         return self.merged(a + b) == ([a, b] if a else [b])
 
+    def begins(self, text: str) -> bool:
+        """Whether a piece begins with text."""
+        at = bisect_left(self._sorted, text)
+        return at < len(self._sorted) and self._sorted[at].startswith(text)
+
     def path(self, unit: str) -> list[str]:
         """The pieces (or unknown single characters) on the shortest path through one unit's lattice, arc by arc."""
-        n, pieces, begins = len(unit), self.pieces, self.begins
+        n, pieces = len(unit), self.pieces
         last: list[str | None] = [""] + [None] * n
         cost = [0.0] + [float("inf")] * n
         for k in range(n):
@@ -123,7 +130,7 @@ class Transducer:
             if before is None:
                 continue
             i = k + 1
-            while i <= n and (piece := unit[k:i]) in begins:
+            while i <= n and self.begins(piece := unit[k:i]):
                 found = pieces.get(piece)
                 if found and self.kind == 2:
                     pair = before, piece
@@ -184,7 +191,10 @@ class Transducer:
                 else:
                     new.append(unit)
         short = [u for u in new if len(u) <= LONG] if self.fallback else []
-        have.update(zip(short, self._arcs.encode(short), strict=True))
+        turn = np.cumsum([len(u) for u in short], dtype=np.int64) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(short)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            have.update(zip(short[lo:hi], self._arcs.encode(short[lo:hi]), strict=True))
         once = {u: np.array(self.ids(u), dtype=np.int32).tobytes() for u in new if not self.fallback or len(u) > LONG}
         get = (lambda u: have[u] if u in have else once[u]) if once else have.__getitem__
         return [np.frombuffer(b"".join(map(get, row)), dtype=np.int32) for row in units]
@@ -221,21 +231,35 @@ class _Arcs:
         self.child = np.array([kids[k] for k in self.keys.tolist()], dtype=np.int64)
         self.names = list(model.pieces)  # by an index of their own, unknown characters after the pieces
         index = {p: k for k, p in enumerate(self.names)}
-        self.index = index
+        self.odd: dict[str, int] = {}  # the unknown characters' indices
         self.end = np.full(nodes, -1, dtype=np.int64)
         self.end[list(ends)] = [index[p] for p in ends.values()]
         self.weight = np.array([-model.pieces[p][1] for p in self.names])
-        self.codes = np.zeros(0x110000, dtype=np.int32)
+        self.codes = np.zeros(0x110000, dtype=np.uint16 if len(letters) < 1 << 16 else np.int32)
         self.codes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.tested = np.full(self.SLOTS, -1, dtype=np.int64)
-        self.ids = [np.array([model.pieces[p][0]], dtype=np.int32) for p in self.names]
+        self.ids = np.array([model.pieces[p][0] for p in self.names], dtype=np.int32)
+        self.lengths = np.array([len(p) for p in self.names], dtype=np.int64)
 
     def _unknown(self, char: str) -> int:
-        if char not in self.index:
-            self.index[char] = len(self.names)
+        if char not in self.odd:
+            self.odd[char] = len(self.names)
             self.names.append(char)
-            self.ids.append(np.array([self.model.fallback[b] for b in char.encode("utf-8", "surrogatepass")], dtype=np.int32))
-        return self.index[char]
+        return self.odd[char]
+
+    def _out(self, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after another, and how many each has: unknown characters have their bytes'."""
+        wide = np.ones(len(piece), dtype=np.int64)
+        strange = np.flatnonzero(piece >= len(self.ids))
+        if not len(strange):
+            return self.ids[piece], wide
+        found = [[self.model.fallback[b] for b in self.names[k].encode("utf-8", "surrogatepass")] for k in piece[strange].tolist()]
+        wide[strange] = [len(x) for x in found]
+        flat = np.empty(int(wide.sum()), dtype=np.int32)
+        one = np.repeat(piece < len(self.ids), wide)
+        flat[one] = self.ids[piece[piece < len(self.ids)]]
+        flat[~one] = np.concatenate(found)
+        return flat, wide
 
     def _allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """allowed for pairs of indices (a: -1 at the beginning), by a table that forgets."""
@@ -308,20 +332,18 @@ class _Arcs:
                 last[i[yes]], cost[i[yes]] = x[yes], now[yes]
         # back from the ends of all units, a piece a step
         steps, at, unit = [], first + size - 1, np.arange(len(units))
-        lengths = np.array([len(x) for x in self.names], dtype=np.int64)
         while len(at):
             x = last[at]
             steps.append((unit, x))
-            at = at - lengths[x]
+            at = at - np.where(x < len(self.lengths), self.lengths[np.minimum(x, len(self.lengths) - 1)], 1)
             more = at >= first[unit]
             at, unit = at[more], unit[more]
         owner, x = (np.concatenate(y) for y in zip(*steps, strict=True))
         order = np.lexsort((-np.arange(len(owner)), owner))
         owner, x = owner[order], x[order]
-        wide = np.array([len(v) for v in self.ids], dtype=np.int64)
-        flat = np.concatenate([self.ids[v] for v in x.tolist()]) if (wide[x] != 1).any() else np.array([v[0] for v in self.ids], dtype=np.int32)[x]
-        ends = np.cumsum(np.bincount(owner, weights=wide[x], minlength=len(units)).astype(np.int64)).tolist()
-        data = flat.astype(np.int32).tobytes()
+        flat, wide = self._out(x)
+        ends = np.cumsum(np.bincount(owner, weights=wide, minlength=len(units)).astype(np.int64)).tolist()
+        data = flat.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 

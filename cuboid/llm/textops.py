@@ -6,6 +6,7 @@ UTF-8 bytes can be scanned directly. A null text has no words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,14 +161,22 @@ def distinct_sets(values: np.ndarray, group: np.ndarray, rows: int) -> tuple[np.
     return v, np.concatenate(([0], np.cumsum(np.bincount(g, minlength=rows)))).astype(np.int64)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; others have none
 #: What a task's process keeps for the next task of the same operator, as it costs much to load.
 HELD: dict[object, object] = {}
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. A task's process outlives the task, and Spark keeps more of them than run at a time."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def let_go() -> None:
     """Frees what an operator has left in this task's process."""
     HELD.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19, holds: bool = False) -> Iterator[pa.RecordBatch]:
@@ -186,6 +195,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19,
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    del batches
+    give_back()
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -372,6 +372,23 @@ def test_encoding_equals_the_library(spark):
     assert {r.doc_id: r.text for r in back.collect()} == dict(enumerate([*texts, None]))
 
 
+def test_encoder_needs_little_memory():
+    """A task's process holds the encoder and its caches while it encodes texts of ever new words; several processes do."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghij klmnop éт") for _ in range(400_000)) for _ in range(2)]
+    tracemalloc.start()
+    model = pieces.compile_model(PIECES_MODEL)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    got = [model.encode(t) for t in texts]
+    most = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    assert [model.decode(x) for x in got] == texts
+    assert held < 28e6 and most < 40e6  # 34 and 58 MB with an object for every piece's ids and the arcs of all new words at once
+
+
 def test_unigram_path_is_the_shortest():
     score = {"a": -1.0, "b": -2.0, "ab": -2.5, "ba": -2.2, "aba": -6.0, "▁": -1.5, "▁a": -1.9}
     model = pieces.Transducer(1, {p: (i, s) for i, (p, s) in enumerate(score.items())}, [], 99, [])
