@@ -9,16 +9,20 @@ Recordings with equal fingerprints are one class, and classes are compared, not
 from __future__ import annotations
 
 import io
+import uuid
 import wave
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuboid.llm.tables import add_columns, saved
-from cuboid.llm.textops import mix, signed
+from cuboid.llm.textops import HELD, give_back, let_go, mix, signed
 
 
 @dataclass(frozen=True)
@@ -47,18 +51,28 @@ def _filters() -> list[tuple[int, int, int, int]]:
     return [(k % 4, y, min(2 + (5 * k) % 6, 12 - y) if k % 2 else 12 - y, 2 + 2 * (k // 4)) for k, y in enumerate(first)]
 
 
-def chroma(samples: np.ndarray, c: Chroma) -> np.ndarray:
-    """Frames by 12 pitch classes, each frame scaled to length 1 (silent frames: zeros)."""
-    if len(samples) < c.frame:
-        return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32), c.frame)[:: c.hop]
-    power = np.abs(np.fft.rfft(frames * np.hanning(c.frame).astype(np.float32), axis=1)) ** 2
+@cache
+def _folding(c: Chroma) -> tuple[np.ndarray, slice, np.ndarray]:
+    """The window, the frequencies that count and the pitch class of each."""
     hz = np.fft.rfftfreq(c.frame, 1 / c.rate)
     at = np.flatnonzero((hz >= c.low) & (hz <= min(c.high, c.rate / 2)))
     pitch = np.round(12 * np.log2(hz[at] / 440.0)).astype(int) % 12
     fold = np.zeros((len(at), 12))
     fold[np.arange(len(at)), pitch] = 1
-    out = power[:, at] @ fold
+    return np.hanning(c.frame).astype(np.float32), slice(at[0], at[-1] + 1) if len(at) else slice(0), fold
+
+
+def chroma(samples: np.ndarray, c: Chroma) -> np.ndarray:
+    """Frames by 12 pitch classes, each frame scaled to length 1 (silent frames: zeros)."""
+    if len(samples) < c.frame:
+        return np.zeros((0, 12))
+    window, at, fold = _folding(c)
+    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32), c.frame)[:: c.hop]
+    power = np.empty((len(frames), len(fold)))
+    for k in range(0, len(frames), 16):  # a few frames stay in the processor's cache
+        waves = np.fft.rfft((frames[k : k + 16] * window).astype(np.float64), axis=1)
+        power[k : k + 16] = np.abs(waves[:, at].astype(np.complex64)) ** 2
+    out = power @ fold
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return np.where(size > 1e-6, out / np.maximum(size, 1e-12), 0.0)
 
@@ -69,15 +83,14 @@ def fingerprint(samples: np.ndarray, c: Chroma) -> np.ndarray:
     n = len(image) - WIDTH + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint32)
-    sums = np.zeros((len(image) + 1, 13))
-    sums[1:, 1:] = image.cumsum(0).cumsum(1)
-    start = np.arange(n)
+    sums = np.zeros((13, len(image) + 1))  # a row a pitch class: filters read runs of frames
+    sums[1:, 1:] = image.cumsum(0).cumsum(1).T
 
     def area(t0, t1, y0, y1):
-        return sums[start + t1, y1] - sums[start + t0, y1] - sums[start + t1, y0] + sums[start + t0, y0]
+        return sums[y1, t1 : t1 + n] - sums[y1, t0 : t0 + n] - sums[y0, t1 : t1 + n] + sums[y0, t0 : t0 + n]
 
-    out = np.zeros(n, dtype=np.uint32)
-    for kind, y, h, w in _filters():
+    pairs = np.empty((2, 16, n))
+    for k, (kind, y, h, w) in enumerate(_filters()):
         y2, half, mid = y + h, w // 2, y + (h + 1) // 2
         if kind == 0:  # low classes against high ones
             a, b = area(0, w, y, mid), area(0, w, mid, y2)
@@ -87,9 +100,12 @@ def fingerprint(samples: np.ndarray, c: Chroma) -> np.ndarray:
             a, b = area(0, half, y, mid) + area(half, w, mid, y2), area(0, half, mid, y2) + area(half, w, y, mid)
         else:  # a band against all classes
             a, b = area(0, w, y, y2), area(0, w, 0, 12) * (y2 - y) / 12
-        value = np.log((1e-2 + a) / (1e-2 + b))
-        level = (value > -0.7).astype(np.uint32) + (value > 0) + (value > 0.7)
-        out = (out << np.uint32(2)) | (level ^ (level >> np.uint32(1))).astype(np.uint32)
+        pairs[:, k] = a, b
+    value = np.log((1e-2 + pairs[0]) / (1e-2 + pairs[1]))
+    level = (value > -0.7).astype(np.uint32) + (value > 0) + (value > 0.7)
+    out = np.zeros(n, dtype=np.uint32)
+    for gray in level ^ (level >> np.uint32(1)):
+        out = (out << np.uint32(2)) | gray.astype(np.uint32)
     return out
 
 
@@ -106,13 +122,19 @@ def read_wav(data: bytes | None) -> np.ndarray:
         return np.zeros(0)
 
 
+def pcm(samples: np.ndarray) -> np.ndarray:
+    """Numbers within 1 as 16-bit PCM."""
+    return (np.clip(samples, -1, 1) * 32767).astype("<i2")
+
+
 def write_wav(samples: np.ndarray, rate: int) -> bytes:
+    """Numbers within 1, or 16-bit PCM, as a recording."""
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
         w.setnchannels(1)
         w.setsampwidth(2)
         w.setframerate(rate)
-        w.writeframes((np.clip(samples, -1, 1) * 32767).astype("<i2").tobytes())
+        w.writeframes((samples if samples.dtype == "<i2" else pcm(samples)).tobytes())
     return out.getvalue()
 
 
@@ -139,58 +161,127 @@ def _key(codes: np.ndarray) -> int:
 MASKS = [np.uint32(sum(3 << 2 * k for k in range(16) if k % 4 != part)) for part in range(4)]
 
 
-def sub_keys(codes: np.ndarray, c: Chroma) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct sub-keys of a recording and the first frame of each."""
+def sub_keys(codes: np.ndarray, starts: np.ndarray, c: Chroma) -> tuple[np.ndarray, np.ndarray]:
+    """All sub-keys of recordings that begin at starts of codes, and the position of each, ascending within a mask."""
     n = len(codes) - c.run + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    out = []
+    whole = np.ones(n, dtype=bool)  # integers in a row are of one recording
+    for k in range(1, c.run):
+        over = starts[1:] - k
+        whole[over[(over >= 0) & (over < n)]] = False
+    at, out = np.flatnonzero(whole), []
     for part, mask in enumerate(MASKS):
         x = (codes & mask).astype(np.uint64)
-        h = np.full(n, np.uint64(part + 1))
+        h = np.full(len(at), np.uint64(part + 1))
         for k in range(c.run):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x[k : k + n])
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x[at + k])
         out.append(h)
-    keys, first = np.unique(np.concatenate(out), return_index=True)
-    return keys, first % n
+    return np.concatenate(out), np.tile(at, len(MASKS))
+
+
+def ragged(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1 ... counts[0] of them, then those of first[1] and so on."""
+    return np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
 
 class Asked:
-    """Recordings to be found: their codes and a sorted index of their sub-keys."""
-
-    def __init__(self, keys: list[int], codes: list[np.ndarray], c: Chroma):
-        self.keys, self.codes, self.c = keys, codes, c
-        found = [sub_keys(x, c) for x in codes]
-        owner = np.repeat(np.arange(len(codes)), [len(k) for k, _ in found])
-        at = np.concatenate([a for _, a in found])
-        sub = np.concatenate([k for k, _ in found])
+    """Recordings to be found, given by their keys, codes one after the other and sizes, and where in them every sub-key is."""
+
+    def __init__(self, keys: np.ndarray, codes: np.ndarray, size: np.ndarray, c: Chroma):
+        self.keys, self.codes, self.size, self.c = keys, codes, size, c
+        self.first = np.cumsum(size) - size
+        self.owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        sub, at = sub_keys(self.codes, self.first, c)
         order = np.argsort(sub, kind="stable")
-        self.sub, self.owner, self.at = sub[order], owner[order], at[order]
-        self.longest = max(map(len, codes))
-
-    def matches(self, key: int, r: np.ndarray) -> list[tuple[int, int, float]]:
-        """(query, offset, errors) of the queries that align with r: of all offsets with enough votes the one with the
-        fewest errors (ties: the smaller)."""
-        sub, at = sub_keys(r, self.c)
-        lo, hi = np.searchsorted(self.sub, sub), np.searchsorted(self.sub, sub, side="right")
-        n = hi - lo
-        rows = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        sub, at = sub[order], at[order].astype(np.int32)
+        new = np.ones(len(sub), dtype=bool)
+        new[1:] = sub[1:] != sub[:-1]
+        own = self.owner[at]
+        keep = new.copy()  # of a recording's equal sub-keys the first frame counts
+        keep[1:] |= own[1:] != own[:-1]
+        self.sub, self.at = sub[new], at[keep]
+        self.start = np.append(np.flatnonzero(new[keep]), len(self.at))
+
+    def matches(self, keys: np.ndarray, codes: np.ndarray, size: np.ndarray, hits: int = 1 << 17) -> Iterator[tuple[np.ndarray, ...]]:
+        """(query_key, class_key, offset, errors) of the queries that align with recordings, given by their keys, codes
+        one after the other and sizes: of all offsets with enough votes the one with the fewest errors (ties: the smaller).
+
+        Recordings with about so many hits (one at least) are worked on at a time."""
+        first = np.cumsum(size) - size
+        sub, at = sub_keys(codes, first, self.c)
+        if not len(sub) or not len(self.sub):
+            return
+        order = np.argsort(sub)  # neighbours are looked up one after the other
+        where = np.searchsorted(self.sub, sub[order])
+        found = self.sub[np.minimum(where, len(self.sub) - 1)] == sub[order]
+        where, at = where[found], at[order[found]]
+        # by recording and sub-key, the first frame
+        owner = np.repeat(np.arange(len(size)), size)
+        ids = np.sort((owner[at] * len(self.sub) + where) * len(codes) + at)
+        group, at = ids // len(codes), ids % len(codes)
+        new = np.ones(len(ids), dtype=bool)
+        new[1:] = group[1:] != group[:-1]
+        where, at = group[new] % len(self.sub), at[new]
+        lo, n = self.start[where], self.start[where + 1] - self.start[where]
+        ends = np.searchsorted(owner[at], np.arange(len(size)), side="right")
+        total = np.concatenate(([0], np.cumsum(n)))[ends]
+        k = 0
+        while k < len(size):
+            done, begin = (total[k - 1], ends[k - 1]) if k else (0, 0)
+            k = max(k + 1, int(np.searchsorted(total, done + hits, side="right")))
+            part = slice(begin, ends[k - 1])
+            if total[k - 1] - done:
+                yield from self._aligned(keys, codes, size, first, owner, at[part], lo[part], n[part])
+
+    def _aligned(self, keys, codes, size, first, owner, at, lo, n) -> Iterator[tuple[np.ndarray, ...]]:
+        """matches() of the hits of a few recordings: a sub-key at position at of codes has n places from lo on."""
+        # hits are counted by a hash of recording, query and offset; only where enough meet are votes told apart
+        q = self.at[ragged(n, lo)]
+        mine = owner[at]
+        buckets = 1 << max(10, int(2 * len(q)).bit_length())
+        spot = q - np.repeat(at - first[mine] - mine * 0x9E3779B1, n)
+        spot &= buckets - 1
+        often = np.flatnonzero((np.bincount(spot, minlength=buckets) >= self.c.votes)[spot])
+        q, at = q[often].astype(np.int64), np.repeat(at, n)[often]
         # a frame votes once, however many sub-keys agree
-        step = self.longest + len(r)
-        votes = np.unique((self.owner[rows] * step + self.at[rows] - np.repeat(at, n) + len(r)) * self.longest + self.at[rows])
-        found, n = np.unique(votes // self.longest, return_counts=True)
-        best: dict[int, tuple[float, int]] = {}
-        for v in found[n >= self.c.votes].tolist():
-            k, o = v // step, v % step - len(r)
-            if self.keys[k] == key:
-                continue
-            q, a, b = self.codes[k], max(o, 0), max(-o, 0)
-            n = min(len(q) - a, len(r) - b)
-            if n >= self.c.overlap:
-                errors = int(np.bitwise_count(q[a : a + n] ^ r[b : b + n]).sum()) / (32 * n)
-                if errors <= self.c.errors:
-                    best[k] = min(best.get(k, (2.0, 0)), (errors, o))
-        return [(self.keys[k], o, e) for k, (e, o) in best.items()]
+        votes = np.sort(q * len(codes) + at)
+        votes = votes[np.append(votes[:1] >= 0, votes[1:] != votes[:-1])]
+        q, at = votes // len(codes), votes % len(codes)
+        asked, mine = self.owner[q].astype(np.int64), owner[at]
+        low, step = int(size.max()), int(size.max() + self.size.max())
+        ids, n = np.unique((mine * len(self.size) + asked) * step + (q - self.first[asked]) - (at - first[mine]) + low, return_counts=True)
+        ids = ids[n >= self.c.votes]
+        pair, offset = ids // step, ids % step - low
+        mine, asked = pair // len(self.size), pair % len(self.size)
+        a, b = np.maximum(offset, 0), np.maximum(-offset, 0)
+        n = np.minimum(self.size[asked] - a, size[mine] - b)
+        good = np.flatnonzero((n >= self.c.overlap) & (self.keys[asked] != keys[mine]))
+        errors = np.zeros(len(ids), dtype=np.int64)
+        a, b = a + self.first[asked], b + first[mine]
+        # half of the frames rules out most
+        for begin, end in ((np.zeros_like(n), n // 2), (n // 2, n)):
+            for part in np.array_split(good, 1 + int(n[good].sum()) // (1 << 20)):
+                if len(part):
+                    m = (end - begin)[part]
+                    differ = np.bitwise_count(self.codes[ragged(m, (a + begin)[part])] ^ codes[ragged(m, (b + begin)[part])])
+                    errors[part] += np.diff(np.append(0, np.cumsum(differ, dtype=np.int64))[np.append(0, np.cumsum(m))])
+            good = good[errors[good] / (32 * n[good]) <= self.c.errors]
+        share = errors[good] / (32 * n[good])
+        good, share = (x[np.lexsort((offset[good], share, pair[good]))] for x in (good, share))
+        best = np.ones(len(good), dtype=bool)
+        best[1:] = pair[good[1:]] != pair[good[:-1]]
+        good, share = good[best], share[best]
+        if len(good):
+            yield self.keys[asked[good]], keys[mine[good]], offset[good], share
+
+
+def columns(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, codes one after the other and sizes of rows (class_key, codes)."""
+    codes = batch.column("codes")
+    codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+    size = pc.fill_null(pc.list_value_length(codes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return batch.column("class_key").to_numpy(), codes.flatten().to_numpy().view(np.uint32), size
 
 
 def align(prints: DataFrame, queries: DataFrame, c: Chroma = Chroma(), limit: int = 1_000_000) -> DataFrame:
@@ -198,8 +289,9 @@ def align(prints: DataFrame, queries: DataFrame, c: Chroma = Chroma(), limit: in
     offset (frames that the match starts later in the query), a class with itself left out.
 
     prints: (class_key, codes), one row a class; queries: some of its class_keys. Queries are broadcast in passes of
-    about limit integers, and votes are counted where a class is read, so that no vote is shuffled."""
-    spark = prints.sparkSession
+    about limit integers, and votes are counted where a class is read, so that no vote is shuffled. Votes grow with the
+    product of classes and queries."""
+    spark, prints = prints.sparkSession, prints.filter("class_key is not null")
     asked = saved(prints.select("class_key", "codes").join(queries.select("class_key"), "class_key", "left_semi"))
     total = asked.agg(F.sum(F.size("codes"))).first()[0] or 0
     passes = -(-total // limit)
@@ -209,20 +301,19 @@ def align(prints: DataFrame, queries: DataFrame, c: Chroma = Chroma(), limit: in
         part = asked.filter(F.pmod(F.xxhash64("class_key"), F.lit(passes)) == k).toArrow()
         if not part.num_rows:
             continue
-        sent = spark.sparkContext.broadcast((part.column("class_key").to_pylist(), [np.array(x.values).view(np.uint32) for x in part.column("codes")]))
+        sent, name = spark.sparkContext.broadcast(columns(part)), f"recordings {uuid.uuid4().hex}"
 
-        def run(batches, sent=sent):
-            index = None
+        def run(batches, sent=sent, name=name):
             for batch in batches:
-                index = index or Asked(*sent.value, c)
-                rows = []
-                for key, codes in zip(batch.column("class_key").to_pylist(), batch.column("codes"), strict=True):
-                    rows += [(q, key, o, e) for q, o, e in index.matches(key, np.asarray(codes.values).view(np.uint32))]
-                columns = list(zip(*rows, strict=True)) or [()] * 4
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["query_key", "class_key", "offset", "errors"])
-
-        out = out.unionByName(saved(prints.select("class_key", "codes").mapInArrow(run, schema)))
+                if name not in HELD:
+                    let_go()
+                    HELD[name] = Asked(*sent.value, c)
+                for found in HELD[name].matches(*columns(batch)):
+                    types = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, types, strict=True)], names=["query_key", "class_key", "offset", "errors"])
+            give_back()
+
+        out = out.unionByName(saved(prints.select("class_key", "codes").mapInArrow(run, schema), split=8 << 20))
         sent.unpersist()
     return out
 
@@ -230,24 +321,25 @@ def align(prints: DataFrame, queries: DataFrame, c: Chroma = Chroma(), limit: in
 def melodies(vectors: DataFrame, note: int = 512, rate: int = 4000, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id_column, wav): recordings that Spark derives from vectors, a note per value (its pitch rises with the value,
     three octaves over -0.55 to 0.55). The first id % 4 notes are left out, so that copies of a vector begin at
-    different times. A null or empty vector gives an empty recording, a null value a rest."""
+    different times. A null or empty vector gives an empty recording, a null value a rest. A recording is much longer
+    than its vector, so the vectors are dealt out evenly first, however few parts their file can be read in."""
+    parts = 4 * vectors.sparkSession.sparkContext.defaultParallelism
 
     def run(batches):
         t = np.arange(note) / rate
         edge = np.minimum(1, np.minimum(np.arange(note), np.arange(note)[::-1]) / 40)
-        tones = {}
+        tones = np.array([pcm(0.5 * edge * np.sin(2 * np.pi * 130.81 * 2 ** (s / 12) * t)) for s in range(37)] + [pcm(np.zeros(note))])
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
                 wavs = []
-                for i, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    steps = [None if x is None or x != x else int(np.clip(round((x + 0.55) / 1.1 * 36), 0, 36)) for x in v or []][(i or 0) % 4 :]
-                    for s in {*steps} - tones.keys():
-                        tones[s] = np.zeros(note) if s is None else 0.5 * edge * np.sin(2 * np.pi * 130.81 * 2 ** (s / 12) * t)
-                    wavs.append(write_wav(np.concatenate([tones[s] for s in steps]) if steps else np.zeros(0), rate))
+                for i, v in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    x = np.asarray(v.values.to_numpy(zero_copy_only=False) if v.is_valid else [], dtype=np.float64)
+                    steps = np.where(np.isnan(x), 37, np.clip(np.rint((x + 0.55) / 1.1 * 36), 0, 36)).astype(int)[(i or 0) % 4 :]
+                    wavs.append(write_wav(tones[steps].ravel(), rate))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(wavs, pa.binary())], names=[id_column, "wav"])
 
-    return vectors.select(F.col(id_column).cast("long").alias(id_column), vector).mapInArrow(run, f"{id_column} long, wav binary")
+    return vectors.select(F.col(id_column).cast("long").alias(id_column), vector).repartition(parts).mapInArrow(run, f"{id_column} long, wav binary")
 
 
 def search_recordings(media: DataFrame, every: int = 20, id_column: str = "id", wav: str = "wav", c: Chroma = Chroma()) -> DataFrame:
@@ -262,7 +354,9 @@ def search_recordings(media: DataFrame, every: int = 20, id_column: str = "id",
     # any row of a class holds its codes, so they need no shuffle of all copies
     classes = prints.filter("class_key is not null").groupBy("class_key").agg(F.min(id_column).alias("class_id"), F.max(is_query.cast("int")).alias("asked"))
     classes = saved(classes)
-    codes = saved(prints.filter("class_key is not null").select("class_key", "codes").dropDuplicates(["class_key"]))
+    parts = 4 * media.sparkSession.sparkContext.defaultParallelism  # files of about equal size, so that tasks are, too
+    codes = prints.filter("class_key is not null").select("class_key", "codes").repartition(parts, "class_key")
+    codes = saved(codes.dropDuplicates(["class_key"]))
     found = align(codes, classes.filter("asked = 1"), c)
     names = classes.select("class_key", "class_id")
     found = found.join(names, "class_key").groupBy(F.col("query_key").alias("class_key"))
